@@ -94,7 +94,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     table = known()
     lookup = F.map_from_arrays(F.array(*(F.lit(k) for k in table)), F.array(*(F.lit(f"<{v}>") for v in table.values())))
     lines = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), ENDS, "\n"), OTHER, " ")
-    sentences = F.filter(F.transform(F.split(lines, "\n"), F.trim), lambda s: s != "")
+    sentences = F.filter(F.transform(F.split(lines, "\n"), lambda s: F.trim(s)), lambda s: s != "")
     rules = F.array(*(F.struct(F.lit(n).alias("rule"), F.lit(lic).alias("license"), F.lit("".join(f"<{x}>" for x in ids)).alias("ids")) for n, lic, ids in RULES))
     coded = df.select(F.col(id_col), F.transform(sentences, lambda s: F.coalesce(F.element_at(lookup, s), F.lit("?"))).alias("codes"))
     coded = coded.select(id_col, F.size("codes").cast("long").alias("n_sentences"), F.regexp_replace(F.array_join("codes", ""), r"\?+", "?").alias("sequence"))

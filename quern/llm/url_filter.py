@@ -119,6 +119,6 @@ tree0 AS (SELECT host, segments, count(*) AS n, count(m.bad) AS labelled, coales
 {','.join(levels)},
 total AS (SELECT CASE WHEN sum(labelled) > 0 THEN 1 - sum(bad)::DOUBLE / sum(labelled) ELSE 1 END AS prior FROM tree{depth}),
 purity AS (SELECT host, template, sum(labelled)::BIGINT AS n_labelled, round((sum(labelled) - sum(bad) + {WEIGHT}::DOUBLE * any_value(prior)) / (sum(labelled) + {WEIGHT}), 6) AS purity FROM tree{depth}, total GROUP BY host, template)
-SELECT r.page_id, r.host, r.path, CASE {cases(1)} END AS rule, coalesce(CASE {cases(0)} END, CASE WHEN purity < {PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
+SELECT r.page_id, r.host, r.path, rule, coalesce(ruled, CASE WHEN purity < {PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
   CASE WHEN t.template = '' THEN '/' ELSE t.template END AS template, p.n_labelled, p.purity
-FROM (SELECT * FROM r) r JOIN tree{depth} t ON r.host = t.host AND r.segments = t.segments JOIN purity p ON p.host = t.host AND p.template = t.template"""
+FROM (SELECT *, CASE {cases(1)} END AS rule, CASE {cases(0)} END AS ruled FROM r) r JOIN tree{depth} t ON r.host = t.host AND r.segments = t.segments JOIN purity p ON p.host = t.host AND p.template = t.template"""
