@@ -17,7 +17,7 @@ def ingest(spark, d):
     return st.ingest(st.source(spark, d, "documents", files=3), lambda b: ch.window_chunks(b, "doc_id", "text"), ["doc_id", "chunk_index"])
 
 
-@query("str_02_telemetry_rollup", "SELECT floor(epoch(ts))::BIGINT - floor(epoch(ts))::BIGINT % 86400 AS start, event_type, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, round(avg(value), 4) AS mean FROM events GROUP BY 1, 2")
+@query("str_02_telemetry_rollup", "SELECT floor(epoch(ts))::BIGINT - floor(epoch(ts))::BIGINT % 86400 AS start, event_type, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
 def rollup(spark, d):
     return st.drain(st.telemetry_rollup(st.source(spark, d, "events")), "update", ["start", "event_type"])
 

@@ -52,7 +52,7 @@ def drain(df: DataFrame, mode: str = "append", keys: list[str] | None = None) ->
 def telemetry_rollup(events: DataFrame, width: str = "1 day") -> DataFrame:
     """Requests, errors and mean latency by tumbling window and event."""
     seen = events.withWatermark("ts", RETENTION).groupBy(F.window("ts", width), "event_type")
-    return seen.agg(F.count("*").alias("requests"), F.count_if(F.col("event_type") == "error").alias("errors"), F.round(F.avg("value"), 4).alias("mean")).select(F.unix_seconds("window.start").alias("start"), "event_type", "requests", "errors", "mean")
+    return seen.agg(F.count("*").alias("requests"), F.count_if(F.col("event_type") == "error").alias("errors"), F.round(F.avg("value"), 6).alias("mean")).select(F.unix_seconds("window.start").alias("start"), "event_type", "requests", "errors", "mean")
 
 
 def fixed_window_counts(events: DataFrame, seconds: int) -> DataFrame:
