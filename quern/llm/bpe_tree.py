@@ -55,6 +55,7 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
         ranks = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
+        self.dtype = "<u2" if self.bpe.n_vocab <= 1 << 16 else "<u4"
         self.sizes = np.zeros(self.bpe.n_vocab, np.int64)
         for t, i in [*ranks.items(), *((s.encode(), i) for s, i in self.special.items())]:
             self.sizes[i] = len(t)
@@ -198,8 +199,8 @@ def encode_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     """One row per row: id_col, n_tokens, ids_sha256, decoded_sha256 (and with keep_ids ids array<int> and decoded string).
 
     A text of at most LEAF characters is a tree of one leaf and stays where it is read. Longer texts
-    become rows of one leaf each, which are dealt over all tasks, encoded, and joined per text;
-    they are told apart by their place in the input, so repeated rows and null ids stay apart.
+    become rows of one leaf each, which are dealt over all tasks, encoded, and joined per text (whose
+    pieces' texts are the decoded ids); they are told apart by their place in the input, so repeated rows and null ids stay apart.
     Null and empty texts have no ids. An empty table gives an empty result. Other columns are not read.
     """
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -236,20 +237,21 @@ def encode_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays([b.column("id").slice(k, 1)] * len(x)), pa.array([f"{part}-{row}"] * len(x)), *(pa.array(v, pa.int32()) for v in (s, n, i)), pa.array(x, pa.string())], [f.name for f in leaf])
                 row += 1
 
-    coded = T.StructType([*leaf.fields, T.StructField("leaf_ids", T.BinaryType())])
+    coded = T.StructType([*leaf.fields[:4], T.StructField("leaf_ids", T.BinaryType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(vocabulary)
         for b in batches:
-            ids = [np.array([i], "<u4") if i is not None else code.encode(t.decode()).astype("<u4") for t, i in zip(texts(b), b.column("special").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x.tobytes() for x in ids], pa.binary())], [f.name for f in coded])
+            ids = [np.array([i]) if i is not None else code.encode(t.decode()) for t, i in zip(texts(b), b.column("special").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in coded.fields[:-1]), pa.array([x.astype(code.dtype).tobytes() for x in ids], pa.binary())], [f.name for f in coded])
 
     def joined(table: pa.Table) -> pa.Table:
         code = codec(vocabulary)
         table = table.sort_by([("segment", "ascending"), ("leaf", "ascending")])
         parts: dict[int, list[Piece]] = {}
-        for s, t, raw in zip(table.column("segment").to_pylist(), table.column("text").to_pylist(), table.column("leaf_ids").to_pylist(), strict=True):
-            parts.setdefault(s, []).append(Piece(t, np.frombuffer(raw, "<u4")))
+        for s, raw in zip(table.column("segment").to_pylist(), table.column("leaf_ids").to_pylist(), strict=True):
+            ids = np.frombuffer(raw, code.dtype).astype(np.uint32)
+            parts.setdefault(s, []).append(Piece(code.decode(ids).decode(), ids))
         ids = np.concatenate([fold(code, p) for p in parts.values()])
         return pa.Table.from_batches([pack(table.column("id").combine_chunks().slice(0, 1) if table.column("id").num_chunks else table.column("id"), [ids], code)])
 
