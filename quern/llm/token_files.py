@@ -16,6 +16,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from pyspark.sql import types as T
 from quern.llm.common import open_fs, partitions, schema_of, shared_dir, texts, written
 
 SEQUENCE, BATCH = 2048, 256
-#: Words whose ids a worker remembers, and words that are given to the tokenizer as one text.
-MEMO, JOINED = 1_000_000, 256
+#: Words whose ids a worker remembers, words that are given to the tokenizer as one text, and texts whose new words are learned at once.
+MEMO, JOINED, TEXTS = 1_000_000, 256, 128
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_sequences long"
 
 
@@ -60,16 +61,23 @@ class WordEncoder:
 
     def encode(self, batch: list[bytes]) -> Iterator[bytes]:
         """The ids of each text, as bytes."""
-        for text in batch:
-            w = text.split()
-            memo = self.memo
-            new = {x for x in w if x not in memo}
+        memo = self.memo
+        for i in range(0, len(batch), TEXTS):
+            texts_words = [t.split() for t in batch[i : i + TEXTS]]
+            new = set().union(*texts_words).difference(memo)
+            if len(memo) + len(new) > MEMO:
+                memo.clear()
+                new = set().union(*texts_words)
             if new:
-                if len(memo) + len(new) > MEMO:
-                    memo.clear()
-                    new = set(w)
                 self.learn(list(new))
-            yield b"".join([memo[x] for x in w])
+            for w in texts_words:
+                yield b"".join([memo[x] for x in w])
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str, dtype: str) -> WordEncoder:
+    """A worker keeps what it has learned from one task to the next."""
+    return WordEncoder(path, dtype)
 
 
 class _Writer:
@@ -135,7 +143,7 @@ def write_tokens(df: DataFrame, tokenizer: str, end_id: int, folder: str, id_col
         end, n_tokens, n_docs = np.array([end_id], dtype).tobytes(), 0, 0
         for b in batches:
             if writer is None:
-                encoder, part, name = WordEncoder(tokenizer, dtype), TaskContext.get().partitionId(), uuid.uuid4().hex
+                encoder, part, name = word_encoder(tokenizer, dtype), TaskContext.get().partitionId(), uuid.uuid4().hex
                 fs, at = open_fs(folder)
                 fs.create_dir(at, recursive=True)
                 path = f"{folder}/{part:06d}-{name}"
