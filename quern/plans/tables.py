@@ -400,7 +400,7 @@ def fn_progress(spark, d):
     return t.select("document_id", po.progress_percent(F.col("done"), F.col("total")).alias("percent"))
 
 
-@query("fn_18_format_bytes", "SELECT document_id, CASE WHEN byte_size < 1024 THEN format('{:d} B', byte_size) WHEN byte_size < 1048576 THEN format('{:.1f} KB', byte_size / 1024) ELSE format('{:.1f} MB', byte_size / 1048576) END AS size, format('{:.1f}%', (document_id % 7) * 12.5) AS share FROM kb_documents")
+@query("fn_18_format_bytes", "SELECT document_id, CASE WHEN byte_size < 1024 THEN format('{:d} B', byte_size) WHEN byte_size < 1048576 THEN format('{:.1f} KB', round(byte_size / 1024, 1)) ELSE format('{:.1f} MB', round(byte_size / 1048576, 1)) END AS size, format('{:.1f}%', (document_id % 7) * 12.5) AS share FROM kb_documents")
 def fn_bytes(spark, d):
     return v.kb_documents(spark, d).select("document_id", tx.format_bytes("byte_size").alias("size"), tx.percent(F.col("document_id") % 7 * 0.125).alias("share"))
 
