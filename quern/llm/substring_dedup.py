@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -192,7 +193,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, hashes, part, serial = _load(path, width), WordHashes(), TaskContext.get().partitionId(), 0
         digest = lambda x: hashlib.blake2b(x, digest_size=16).digest()
-        empty_id = None
+        empty_id, squeeze = None, zstandard.ZstdCompressor(level=3).compress
 
         def block(docs: list[tuple]) -> Iterator[pa.RecordBatch]:
             keys = np.frombuffer(b"".join(d[3] for d in docs), "<u8").reshape(-1, 2)
@@ -205,7 +206,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             name, at = f"{part}-{serial}", 0
             for id_, text, pos, raw in docs:
                 n = len(raw) // 16
-                yield row(1, name, id_, None, text, pos.astype("<u4").tobytes() + place[at : at + n].tobytes(), 0, None)
+                yield row(1, name, id_, None, squeeze(text), squeeze(np.diff(pos, prepend=0).astype("<u4").tobytes() + place[at : at + n].tobytes()), 0, None)
                 at += n
             bucket = ((distinct[:, 0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
@@ -285,6 +286,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, flags, twice = None, [], None
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             rows_of, counts, removed, shas = [], [], [], []
             for k, (block, kind, a, x) in enumerate(zip(*(b.column(c).to_pylist() for c in ("block", "kind", "a", "b")), strict=True)):
@@ -295,9 +297,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     continue
                 if twice is None:
                     twice = np.frombuffer(b"".join(flags), np.uint8).astype(bool)
-                w = a.split()
-                pos, place = np.frombuffer(x, "<u4").reshape(2, -1)
-                pos = pos[twice[place]].astype(np.int64)
+                w = unpack(a).split()
+                steps, place = np.frombuffer(unpack(x), "<u4").reshape(2, -1)
+                pos = np.cumsum(steps, dtype=np.int64)[twice[place]]
                 edges = np.zeros(len(w) + 1, np.int32)
                 edges[pos] += 1
                 edges[pos + size] -= 1
