@@ -1,15 +1,18 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
-Severity grades are ordered: 0 not toxic, 1 toxic, 2 toxic and of low quality (what the labels tell).
+Severity grades are ordered: 0 not toxic, 1 toxic, 2 severely toxic. The labels only tell toxic from
+other rows, so the sample's toxic rows are graded by how many of the chosen terms they have: 2 above
+their median.
 The model has one weight per term, shared by all thresholds: P(grade > k) = sigmoid(w . x - theta_k)
 with theta_0 <= theta_1. Its expected severity is the sum of these over k. Features are the
-presence of terms of a bounded vocabulary, those whose document frequencies differ most
-between toxic and other documents of a bounded labelled sample; the sample's counts are made by
+presence, once, twice or more often, of terms (words and their beginnings) of a bounded vocabulary, those that
+mark the toxic documents of a bounded labelled sample most clearly; their weights are never below zero; the sample's counts are made by
 grouped aggregation, and only the chosen terms and the sample's sparse rows reach the driver.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,20 +23,28 @@ from pyspark.sql import types as T
 
 from quern.llm.common import schema_of, texts, written
 
-#: Labelled rows the model is fitted on and terms it has, at most; documents a term needs.
-SAMPLE, TERMS, LEAST = 6000, 400, 5
+#: Labelled rows the model is fitted on and terms it has, at most; documents a term needs; terms that are taken whatever their strength.
+SAMPLE, TERMS, LEAST, FEWEST = 6000, 400, 5, 20
 #: Words: lower-cased (A-Z) runs of letters, digits, apostrophes and what is not ASCII.
 TABLE = bytes(c if c >= 0x80 or chr(c).isalnum() and not 0x41 <= c <= 0x5A or c == 0x27 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
 
 def terms_of(text: bytes) -> set[bytes]:
-    return set(text.translate(TABLE).split())
+    """A text's words and the first 6 bytes of longer ones (marked ^, for inflected forms); marked 2 or 3 once more if it has them as often."""
+    counts = Counter(text.translate(TABLE).split())
+    for word, n in list(counts.items()):
+        if len(word) > 6:
+            counts[b"^" + word[:6]] += n
+    out = set(counts)
+    for least, mark in ((2, b"2 "), (3, b"3 ")):
+        out.update([mark + t for t, n in counts.items() if n >= least])
+    return out
 
 
 class CumulativeLink:
-    """Proportional-odds model: weights shared over ordered thresholds."""
+    """Proportional-odds model: weights shared over ordered thresholds, with a normal prior on the weights."""
 
-    def __init__(self, rows: list[list[int]], grades: np.ndarray, n_terms: int, rounds: int = 300, ridge: float = 2e-3, rate: float = 0.1):
+    def __init__(self, rows: list[list[int]], grades: np.ndarray, n_terms: int, rounds: int = 400, variance: float = 10.0, rate: float = 0.1):
         k = max(1, int(grades.max()))
         at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         term = np.fromiter((t for r in rows for t in r), np.int64, len(at))
@@ -43,10 +54,10 @@ class CumulativeLink:
         for step in range(1, rounds + 1):
             score = np.bincount(at, self.w[term], len(rows))
             miss = 1 / (1 + np.exp(-np.clip(score[:, None] - self.theta, -30, 30))) - over
-            g = np.concatenate([np.bincount(term, miss.sum(axis=1)[at], n_terms) / len(rows) + ridge * self.w / 10, -miss.mean(axis=0)])
+            g = np.concatenate([np.bincount(term, miss.sum(axis=1)[at], n_terms) / len(rows) + self.w / (variance * len(rows)), -miss.mean(axis=0)])
             m[0], m[1] = 0.9 * m[0] + 0.1 * g, 0.999 * m[1] + 0.001 * g * g
             move = rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-9)
-            self.w -= move[:n_terms]
+            self.w = np.maximum(self.w - move[:n_terms], 0.0)
             self.theta = np.maximum.accumulate(self.theta - move[n_terms:])
 
     def over(self, score: np.ndarray) -> np.ndarray:
@@ -56,7 +67,7 @@ class CumulativeLink:
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[dict[bytes, int], CumulativeLink] | None:
     """The vocabulary and the model, from at most ``sample`` labelled rows, those of the smallest id hashes; None without toxic and other rows."""
-    grade = F.when(F.col("toxic") == 0, 0).when(F.col("quality") == 0, 2).otherwise(1)
+    grade = (F.col("toxic") > 0).cast("int")
     chosen = labels.filter("toxic IS NOT NULL").select(F.col("doc_id").alias("_id"), grade.alias("grade")).orderBy(F.xxhash64("_id"), "_id", "grade").limit(sample)
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "_id").select("grade", "text")
 
@@ -71,13 +82,17 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     by_term = seen.select((F.col("grade") > 0).alias("toxic"), F.explode("terms").alias("term")).groupBy("term").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b"))
     pull = F.log((F.col("a") + 0.5) / (n[True] - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (n[False] - F.col("b") + 0.5))
     z = pull / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    top = by_term.filter(F.col("a") + F.col("b") >= LEAST).orderBy(F.abs(z).desc(), "term").limit(TERMS)
-    vocabulary = {bytes(r.term): i for i, r in enumerate(top.collect())}
+    tested = written(by_term.filter(F.col("a") + F.col("b") >= LEAST).select("term", z.alias("z")))
+    bar = 0.75 * float(np.sqrt(2 * np.log(max(2, tested.count()))))  # three quarters of what the largest of so many chance differences reaches
+    top = tested.orderBy(F.col("z").desc(), "term").limit(TERMS).collect()
+    vocabulary = {bytes(r.term): i for i, r in enumerate(top) if r.z >= bar or i < FEWEST}
     if not vocabulary:
         return None
     chosen_terms = F.broadcast(df.sparkSession.createDataFrame([(t, i) for t, i in vocabulary.items()], "term binary, i int"))
     sparse = seen.withColumn("row", F.monotonically_increasing_id()).select("row", "grade", F.explode_outer("terms").alias("term")).join(chosen_terms, "term", "left").groupBy("row").agg(F.max("grade").alias("grade"), F.sort_array(F.collect_list("i")).alias("i")).collect()
-    return vocabulary, CumulativeLink([r.i for r in sparse], np.array([r.grade for r in sparse]), len(vocabulary))
+    grades, held = np.array([r.grade for r in sparse]), np.array([len(r.i) for r in sparse])
+    grades[(grades > 0) & (held > np.median(held[grades > 0]))] = 2
+    return vocabulary, CumulativeLink([r.i for r in sparse], grades, len(vocabulary))
 
 
 def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
