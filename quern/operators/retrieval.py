@@ -115,16 +115,24 @@ def cover_density(queries: DataFrame, chunks: DataFrame, text: str = "question")
 
     A cover is a shortest stretch that holds all words; it adds 0.1 / (1 + words in it that aren't
     asked for). For each place, the stretch that ends there starts at the least of the last places of all words;
-    it is a cover if no later end has the same start.
+    it is a cover if no earlier end has the same start. Only chunks that hold all words of a query
+    are looked at place by place; a word's last place is one running aggregate.
     """
-    asked = query_terms(queries, text).filter("kind = 'all'").select("query_id", "term").distinct()
-    need = asked.groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("all"))
-    hits = postings(chunks).join(asked, "term")
+    w = Window.partitionBy("query_id").orderBy("term")
+    asked = query_terms(queries, text).filter("kind = 'all'").select("query_id", "term").distinct().withColumn("j", F.row_number().over(w) - 1)
+    need = asked.groupBy("query_id").agg(F.count("*").alias("n"))
+    most = need.agg(F.max("n")).first()[0] or 0
+    words = F.filter(F.split(F.lower(F.col("content")), "[^a-z0-9]+"), lambda x: x != "")
+    held = chunks.select("chunk_id", "document_id", words.alias("words"))
+    by_term = held.select("chunk_id", F.explode(F.array_distinct("words")).alias("term")).join(asked, "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("met"))
+    all_met = by_term.join(need, "query_id").filter("met = n").select("query_id", "chunk_id", "n")
+    places = held.join(all_met, "chunk_id").select("query_id", "chunk_id", "document_id", "n", F.posexplode("words").alias("position", "term")).join(asked, ["query_id", "term"])
     w = Window.partitionBy("query_id", "chunk_id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    last = hits.withColumn("seen", F.collect_list(F.struct("term", "position")).over(w)).join(need, "query_id")
-    starts = F.transform("all", lambda t: F.array_max(F.transform(F.filter("seen", lambda s: s["term"] == t), lambda s: s["position"])))
-    ends = last.withColumn("starts", starts).filter(F.forall("starts", lambda s: s.isNotNull())).withColumn("start", F.array_min("starts"))
-    covers = ends.groupBy("query_id", "chunk_id", "document_id", "start").agg(F.min("position").alias("end"), F.first(F.size("all")).alias("n"))
+    last = [F.last(F.when(F.col("j") == t, F.col("position")), ignorenulls=True).over(w).alias(f"_{t}") for t in range(most)]
+    ends = places.select("query_id", "chunk_id", "document_id", "n", "position", *last)
+    seen = F.array(*(F.col(f"_{t}") for t in range(most))) if most else F.array().cast("array<int>")
+    ends = ends.withColumn("seen", F.array_compact(seen)).filter("size(seen) = n").withColumn("start", F.array_min("seen"))
+    covers = ends.groupBy("query_id", "chunk_id", "document_id", "n", "start").agg(F.min("position").alias("end"))
     score = 0.1 / (1 + F.greatest(F.col("end") - F.col("start") + 1 - F.col("n"), F.lit(0)))
     return covers.groupBy("query_id", "chunk_id", "document_id").agg(F.round(F.sum(score), 6).alias("lexical_rank"))
 
