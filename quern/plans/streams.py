@@ -39,6 +39,13 @@ def sweep(spark, d):
     return jobs.filter(gone).select("job_id", F.when(F.col("attempt_count") >= po.MAX_ATTEMPTS, "failed").otherwise("retrying").alias("status"))
 
 
+@query("str_06_pruned_windows", "SELECT floor(epoch(ts))::BIGINT - floor(epoch(ts))::BIGINT % 86400 AS start, count(*) AS n FROM events WHERE floor(epoch(ts))::BIGINT - floor(epoch(ts))::BIGINT % 86400 + 86400 <= (SELECT floor(epoch(max(ts))) - 3600 FROM events) GROUP BY 1")
+def pruned(spark, d):
+    """Windows that the watermark has closed; their state is gone."""
+    w = st.source(spark, d, "events").withWatermark("ts", st.RETENTION).groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
+    return st.drain(w.select(F.unix_seconds("window.start").alias("start"), "n"))
+
+
 @query("str_07_without_repeats", "SELECT DISTINCT sha256(text) AS content_hash FROM documents")
 def repeats(spark, d):
     docs = st.source(spark, d, "documents").select(F.sha2("text", 256).alias("content_hash"), F.lit("2024-01-01").cast("timestamp").alias("ts"))

@@ -11,7 +11,9 @@ from quern.functions import text as tx
 from quern.functions import vectors as vx
 from quern.operators import rollups as ro
 from quern.plans.registry import query
+from quern.sources import files
 from quern.sources import views as v
+from quern.streaming.streams import shared as new_folder
 
 _ext = lambda c: f"lower(list_last(string_split({c}, '.')))"
 _exts = "(" + ",".join(f"'{e}'" for e in tx.EXTENSIONS) + ")"
@@ -67,6 +69,47 @@ def uploads(spark, d):
     return u.select("document_id", po.validate_upload(F.col("size"), F.col("byte_size"), F.col("content_hash"), F.col("rh"), tx.extension_of("filename") != "html").alias("verdict"))
 
 
+@query("src_03_read_text_files")
+def text_files(spark, d):
+    """The documents' texts, written as text files and read back whole."""
+    path = new_folder(spark)
+    v.kb_documents(spark, d).select("text").write.text(path)
+    return files.read_text_files(spark, path).select(F.length("text").alias("n_chars"), "problem")
+
+
+@query("src_06_load_gold_manifest")
+def manifest(spark, d):
+    """A gold manifest of the benchmark's passages as questions, each supported by a document, written as JSON and loaded."""
+    path = new_folder(spark)
+    docs = v.kb_documents(spark, d).filter("document_id < 200").agg(F.collect_list(F.struct(F.col("document_id").cast("string").alias("id"), "filename", F.col("content_hash").alias("sha256"))).alias("documents"))
+    span = F.array(F.struct((F.col("item_id") % 210).cast("string").alias("documentId"), F.lit(1).alias("page"), F.lit(0).alias("start"), F.lit(9).alias("end"), F.substring("text", 1, 9).alias("quote")))
+    questions = v.read(spark, d, "benchmark").agg(F.collect_list(F.struct((F.col("item_id") % 39).cast("string").alias("id"), F.col("text").alias("question"), F.lit("exact").alias("category"), span.alias("supportingSpans"))).alias("questions"))
+    docs.withColumn("kind", F.lit("real")).join(F.broadcast(questions.withColumn("kind", F.lit("real"))), "kind").write.json(path)
+    return files.load_gold_manifest(spark, path)[1]
+
+
+@query("src_08_append_events", "SELECT event_id, event, status FROM kb_events")
+def appended(spark, d):
+    path = new_folder(spark)
+    e = v.kb_events(spark, d).select("event_id", "event", "status")
+    files.append_events(e.filter("event = 'error'"), path)
+    files.append_events(e.filter("event <> 'error'"), path)
+    return spark.read.parquet(path)
+
+
+@query("src_09_write_report", "SELECT event, count(*) AS n FROM kb_events GROUP BY 1")
+def reported(spark, d):
+    path = new_folder(spark)
+    files.write_report(v.kb_events(spark, d).groupBy("event").agg(F.count("*").alias("n")), path)
+    return spark.read.schema("event string, n long").json(path)
+
+
+@query("src_14_magic_bytes", "SELECT document_id, document_id % 3 = 0 AS is_pdf FROM kb_documents")
+def magic(spark, d):
+    content = F.encode(F.when(F.col("document_id") % 3 == 0, F.concat(F.lit("%PDF-1.7 "), "text")).otherwise(F.col("text")), "UTF-8")
+    return v.kb_documents(spark, d).select("document_id", files.has_pdf_magic(content).alias("is_pdf"))
+
+
 @query("src_15_clip_extraction", "t AS (SELECT document_id, page, least(sum(length(content)), 1500) AS n FROM kb_chunks GROUP BY 1, 2), b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY document_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t);; SELECT document_id, page, greatest(0, least(n, 6000 - before))::BIGINT AS kept FROM b")
 def clipped(spark, d):
     """Caps of 1,500 characters a page and 6,000 in all (smaller than in use, so that they bind here)."""

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MANIFEST = """kind string, status string, documents array<struct<id string, file string, sha256 string>>, questions array<struct<id string, question string, referenceAnswer string, category string, difficulty string, split string,
   leakageGroup string, answerable boolean, supportingSpans array<struct<documentId string, page int, start int, `end` int, quote string>>>>"""
 
 
+def has_pdf_magic(content: Column) -> Column:
+    """Whether bytes start as a PDF file does."""
+    return F.startswith(content, F.lit(b"%PDF-"))
+
+
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, text, problem) of text files: strict UTF-8, no NUL; a file with a problem has no text."""
     raw = spark.read.format("binaryFile").load(path)
-    problem = F.when(~F.expr("is_valid_utf8(CAST(content AS STRING))"), "INVALID_UTF8").when(F.expr("position(X'00' IN content) > 0"), "BINARY_CONTENT").when(F.expr("startswith(content, X'255044462D')"), "PDF")
+    problem = F.when(~F.expr("is_valid_utf8(CAST(content AS STRING))"), "INVALID_UTF8").when(F.expr("position(X'00' IN content) > 0"), "BINARY_CONTENT").when(has_pdf_magic(F.col("content")), "PDF")
     return raw.select("path", problem.alias("problem"), "content").select("path", F.when(F.col("problem").isNull(), F.decode("content", "UTF-8")).alias("text"), "problem")
 
 
