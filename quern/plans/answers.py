@@ -173,13 +173,13 @@ def page_cap(spark, d):
 
 
 _SH = "list_distinct(CASE WHEN len(w) > 2 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) ELSE [array_to_string(w, ' ')] END)"
-SHINGLES = rf"sh0 AS (SELECT chunk_id, string_split(trim(regexp_replace(lower(content), '\s+', ' ', 'g')), ' ') AS w FROM kb_chunks WHERE chunk_index = 0), sh AS (SELECT chunk_id, {_SH} AS s FROM sh0)"
+SHINGLES = rf"sh0 AS (SELECT chunk_id, string_split(trim(regexp_replace(lower(content), '\s+', ' ', 'g')), ' ') AS w FROM kb_chunks), sh AS (SELECT chunk_id, {_SH} AS s FROM sh0)"
 
 
-@query("ev_05_shingles_jaccard", SHINGLES + ";; SELECT a.chunk_id AS a, len(a.s) AS n, round(len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS jaccard FROM sh a JOIN sh b ON b.chunk_id = a.chunk_id + 1000")
+@query("ev_05_shingles_jaccard", SHINGLES + ";; SELECT a.chunk_id AS a, len(a.s) AS n, round(len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS jaccard FROM sh a JOIN sh b ON b.chunk_id = a.chunk_id + 1")
 def shingles(spark, d):
-    s = v.kb_chunks(spark, d).filter("chunk_index = 0").select(F.col("chunk_id").alias("a"), tx.shingles3("content").alias("sa"))
-    return s.join(s.select((F.col("a") - 1000).alias("a"), F.col("sa").alias("sb")), "a").select("a", F.size("sa").alias("n"), F.round(tx.jaccard(F.col("sa"), F.col("sb")), 6).alias("jaccard"))
+    s = v.kb_chunks(spark, d).select(F.col("chunk_id").alias("a"), tx.shingles3("content").alias("sa"))
+    return s.join(s.select((F.col("a") - 1).alias("a"), F.col("sa").alias("sb")), "a").select("a", F.size("sa").alias("n"), F.round(tx.jaccard(F.col("sa"), F.col("sb")), 6).alias("jaccard"))
 
 
 @query("ev_06_dynamic_threshold", "s AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN NULL ELSE least(greatest(latency_ms / 100, 0), 1) END AS s FROM kb_events);; SELECT event_id, round(CASE WHEN s IS NULL THEN 0.82 WHEN s >= 0.75 THEN least(0.92, 0.82 + (s - 0.75) / 0.25 * 0.1) WHEN s < 0.5 THEN greatest(0.7, 0.82 - (0.5 - s) / 0.5 * 0.12) ELSE 0.82 END, 6) AS threshold FROM s")
@@ -190,7 +190,7 @@ def threshold(spark, d):
 
 @query("ev_07_near_duplicate_pairs", SHINGLES + ", one AS (SELECT list_sort(s) AS s, min(chunk_id) AS id FROM sh GROUP BY 1), e AS (SELECT id, len(s) AS n, unnest(s) AS t FROM one), p AS (SELECT a.id AS a, b.id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.t = b.t AND a.id < b.id GROUP BY 1, 2);; SELECT a, b, round(c::DOUBLE / (na + nb - c), 6) AS similarity FROM p WHERE c::DOUBLE / (na + nb - c) >= 0.82")
 def near_pairs(spark, d):
-    return cx.near_duplicate_pairs(v.kb_chunks(spark, d).filter("chunk_index = 0"))
+    return cx.near_duplicate_pairs(v.kb_chunks(spark, d))
 
 
 @query("ev_08_merge_adjoining", "g AS (SELECT document_id, page, chunk_index, content, chunk_index - row_number() OVER (PARTITION BY document_id, page ORDER BY chunk_index) AS island FROM kb_chunks);; SELECT document_id, page, min(chunk_index) AS first, count(*) AS n, string_agg(content, '' ORDER BY chunk_index) AS content FROM g GROUP BY document_id, page, island")
