@@ -73,13 +73,11 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]
         tree = tree.withColumn("child", F.when(F.size("segments") >= k, F.element_at("segments", k)))
         child = tree.filter("child IS NOT NULL").groupBy("host", "template", "child").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
         node = child.groupBy("host", "template").agg(F.count("*").alias("children"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad")))
-
         a, b, m, o = (F.col(c).cast("double") for c in ("bad", "all_bad", "labelled", "all_labelled"))
         pooled = (b + 0.5) / (o + 1)
         z = F.abs((a + 0.5) / (m + 1) - (b - a + 0.5) / (o - m + 1)) / F.sqrt(pooled * (1 - pooled) * (1 / (m + 1) + 1 / (o - m + 1)))
         joins = (F.col("children") > 1) & (((F.col("children") > MANY) & (F.col("all_n") < FEW * F.col("children"))) | (F.col("labelled") == 0) | (z <= Z))
         name = child.join(node, ["host", "template"]).select("host", "template", "child", F.when(joins, F.lit("*")).otherwise(F.col("child")).alias("name"))
-
         tree = tree.join(name, ["host", "template", "child"], "left").select("host", "segments", "n", "labelled", "bad", F.concat("template", F.coalesce(F.concat(F.lit("/"), "name"), F.lit(""))).alias("template"))
     tree = written(tree)
     total = tree.agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).first()
