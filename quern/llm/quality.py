@@ -39,7 +39,7 @@ def features(text: bytes) -> list[float]:
     n, lines = len(text), [x for x in text.split(b"\n") if x]
     return [
         len(text.translate(None, LETTERS_AND_SPACE)) / n, len(text.translate(None, NOT_CAPITALS)) / n, len(text.translate(None, NOT_DIGITS)) / n,
-        text.count(b"|") / len(w), text.count(b"!!") / len(w), min(len(text) / len(w), 40.0), 1 - len(set(w)) / len(w) if len(w) < 2000 else 1 - len(set(w[:: len(w) // 1000])) / len(w[:: len(w) // 1000]),
+        text.count(b"|") / len(w), text.count(b"!!") / len(w), min(len(text) / len(w), 40.0), 1 - len(set(w)) / len(w),
         1 - len(set(lines)) / max(1, len(lines)), float(np.log1p(len(w))), 0.0,
     ]
 
