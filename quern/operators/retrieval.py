@@ -61,7 +61,7 @@ def merge_variants(candidates: DataFrame, score: str = "similarity") -> DataFram
     return top(candidates.groupBy("query_id", "chunk_id").agg(F.max(score).alias(score)), score, POOL)
 
 
-def ann_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, cells: int = 16, probes: int = 6, sample: int = 4096, seed: int = 7) -> DataFrame:
+def ann_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, cells: int = 64, probes: int = 40, sample: int = 4096, seed: int = 7) -> DataFrame:
     """Approximate dense search: k-means cells fitted on a bounded sample of vectors, every vector assigned once, ``probes`` cells asked by an equi-join."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
