@@ -6,22 +6,21 @@ ties have one order. Fixed sizes: 60 candidates a list, 32 fused, floor 0.25, 8
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions.text import coverage
 from quern.functions.vectors import cosine, dot, normalised
 
 POOL, FUSED, FLOOR, PER_DOCUMENT, RRF_K, W_DENSE, W_LEXICAL = 60, 32, 0.25, 8, 60, 1.0, 0.8
-#: Bytes of the question side up to which it is broadcast; a larger one is dealt in blocks of this size.
-BROADCAST_BYTES = 64 << 20
-
-
-def _question_blocks(queries: DataFrame, width: int) -> list[DataFrame]:
-    """The question table in blocks that are small enough to be broadcast."""
-    n = queries.count()
-    blocks = max(1, -(-n * width // BROADCAST_BYTES))
-    return [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries for b in range(blocks)]
+#: Bytes of question vectors that a task holds, and pairs that are scored at once.
+BLOCK_BYTES, PAIRS = 64 << 20, 4_000_000
 
 
 def top(df: DataFrame, score: str, k: int | Column, name: str = "position", by: str = "query_id") -> DataFrame:
@@ -30,18 +29,48 @@ def top(df: DataFrame, score: str, k: int | Column, name: str = "position", by:
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
 
 
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Unit rows of a list column; null and shorter vectors are padded with zeros, a zero vector stays zero."""
+    lengths = np.array([x or 0 for x in column.value_lengths().to_pylist()])
+    flat = np.nan_to_num(column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False))
+    if (lengths == dim).all():
+        m = flat.reshape(-1, dim).copy()
+    else:
+        m = np.zeros((len(lengths), dim))
+        for row, end, n in zip(m, np.cumsum(lengths), lengths, strict=True):
+            row[: min(n, dim)] = flat[end - n : end][:dim]
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(size == 0, 1, size)
+
+
 def similarities(queries: DataFrame, chunks: DataFrame, floor: float = FLOOR) -> DataFrame:
-    """(query_id, chunk columns, similarity) of all pairs at or above the floor.
+    """(chunk columns, query_id, similarity) of all pairs at or above the floor.
 
-    The questions are the stated query set; each block of them is broadcast to the chunks, which are
-    read once per block and never shuffled.
+    The questions are the stated query set. They go to the tasks in blocks of BLOCK_BYTES at most,
+    whose size is counted first; chunks are read once per block and never shuffled. A batch of
+    chunks is one matrix product with the block, a few million pairs at a time.
     """
-    unit = chunks.withColumn("_v", normalised(F.col("embedding")))
-    parts = [unit.crossJoin(F.broadcast(q.select("query_id", normalised(F.col("query_embedding")).alias("_q")))) for q in _question_blocks(queries, 8192)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("similarity", F.round(dot(F.col("_v"), F.col("_q")), 6)).filter(F.col("similarity") >= floor).drop("_v", "_q", "embedding")
+    n = queries.count()
+    dim = queries.agg(F.max(F.size("query_embedding"))).first()[0] or 1
+    n_blocks = max(1, -(-n * dim * 8 // BLOCK_BYTES))
+    kept = [f for f in chunks.schema.fields if f.name != "embedding"]
+    out = T.StructType([*kept, queries.schema["query_id"], T.StructField("similarity", T.DoubleType())])
+    parts = []
+    for block in range(n_blocks):
+        rows = queries.select("query_id", "query_embedding").filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block).toArrow()
+        ids, asked = rows.column("query_id").combine_chunks(), _matrix(rows.column("query_embedding").combine_chunks(), dim)
+
+        def score(batches: Iterator[pa.RecordBatch], ids: pa.Array = ids, asked: np.ndarray = asked) -> Iterator[pa.RecordBatch]:
+            step = max(1, PAIRS // max(1, len(ids)))
+            for b in batches:
+                vectors = _matrix(b.column("embedding"), asked.shape[1])
+                for i in range(0, len(vectors), step):
+                    s = np.round(vectors[i : i + step] @ asked.T, 6)
+                    at, q = np.nonzero(s >= floor)
+                    yield pa.RecordBatch.from_arrays([*(b.column(f.name).take(pa.array(at + i)) for f in kept), ids.take(pa.array(q)), pa.array(s[at, q])], [f.name for f in out])
+
+        parts.append(chunks.mapInArrow(score, out))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = POOL, floor: float = FLOOR) -> DataFrame:
