@@ -79,7 +79,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]
         joins = (F.col("children") > 1) & (((F.col("children") > MANY) & (F.col("all_n") < FEW * F.col("children"))) | (F.col("labelled") == 0) | (z <= Z))
         name = child.join(node, ["host", "template"]).select("host", "template", "child", F.when(joins, F.lit("*")).otherwise(F.col("child")).alias("name"))
         tree = tree.join(name, ["host", "template", "child"], "left").select("host", "segments", "n", "labelled", "bad", F.concat("template", F.coalesce(F.concat(F.lit("/"), "name"), F.lit(""))).alias("template"))
-    tree = written(tree)
+        tree = written(tree)  # each level reads its tree twice
     total = tree.agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).first()
     prior = 1 - (total.bad / total.labelled) if total.labelled else 1.0
     purity = tree.groupBy("host", "template").agg(F.sum("labelled").alias("n_labelled"), F.sum("bad").alias("bad")).withColumn("purity", F.round((F.col("n_labelled") - F.col("bad") + WEIGHT * prior) / (F.col("n_labelled") + WEIGHT), 6))
