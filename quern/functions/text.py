@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with ``value`` computed once, where ``use`` names it within a lambda (which would compute it again for each element)."""
+    return F.transform(F.array(value), lambda x: use(x))[0]
+
+
 def strip(c) -> Column:
     """Without white space of any script at both ends."""
     return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
@@ -51,7 +58,8 @@ def terms(c) -> Column:
 def overlap_score(question, content) -> Column:
     """Share of the question's terms that the content has; 0 without terms."""
     q, body = terms(question), terms(content)
-    return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.filter(q, lambda t: F.array_contains(body, t))) / F.size(q))
+    met = _once(body, lambda b: F.size(F.filter(q, lambda t: F.array_contains(b, t))))
+    return F.when(F.size(q) == 0, 0.0).otherwise(met / F.size(q))
 
 
 def coverage(question, content) -> Column:
@@ -76,9 +84,11 @@ def usable(c) -> Column:
 
 def shingles3(c) -> Column:
     """Distinct lower-case word 3-grams; a shorter text is one shingle."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(_c(c)), r"\s+", " ")), " ")
-    grams = F.when(F.size(words) > 2, F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.array_join(F.slice(words, i, 3), " "))).otherwise(F.array(F.array_join(words, " ")))
-    return F.array_distinct(grams)
+
+    def grams(words: Column) -> Column:
+        return F.when(F.size(words) > 2, F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.array_join(F.slice(words, i, 3), " "))).otherwise(F.array(F.array_join(words, " ")))
+
+    return F.array_distinct(_once(F.split(F.trim(F.regexp_replace(F.lower(_c(c)), r"\s+", " ")), " "), grams))
 
 
 def jaccard(a: Column, b: Column) -> Column:
