@@ -14,6 +14,7 @@ phrases; with slop s each term may lie up to s words from its place (proximity m
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -146,24 +147,26 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     document clean; an empty table gives an empty result. Other columns are not read.
 
     The benchmark is the stated query set. It goes to the executors in blocks of about BLOCK_BYTES
-    of passages, each answered in one pass over the index of its terms.
+    of passages, each answered in one pass over the index of its terms. With several blocks the rows
+    are first written with a key, by which the blocks' results are grouped.
     """
     q = written(benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).cast("string").alias("text")))
     blocks = ceil_div(q.agg(F.sum(F.octet_length("text"))).first()[0] or 0, BLOCK_BYTES)
-    parts = []
+    rows, parts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), []
+    if blocks > 1:  # each row's key is written once, since no other order or number of rows holds from block to block
+        rows = written(rows.select(F.struct(F.monotonically_increasing_id().alias("row"), "id").alias("id"), "text"))
     for k in range(blocks):
         asked = [(r.item, windows(words((r.text or "").encode()))) for r in q.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).toLocalIterator()]
         terms = sorted({t for _, ws in asked for w in ws for t in w})
-        index = written(build_index(df, terms, id_col, text_col))
+        index = written(build_index(rows, terms, "id", "text"))
         freq = np.zeros(len(terms), np.int64)
         for r in index.select(F.explode(F.arrays_zip("terms", "freqs")).alias("p")).groupBy("p.terms").agg(F.sum("p.freqs").alias("n")).toLocalIterator():
             freq[r.terms] = r.n
         rank = np.argsort(np.argsort(freq, kind="stable"))
         number = {t: i for i, t in enumerate(terms)}
-        parts.append(matches(index, [(i, [[number[t] for t in w] for w in ws]) for i, ws in asked], rank, slop))
-    found = parts[0]
-    if blocks > 1:
-        found = _union(parts)
+        part = matches(index, [(i, [[number[t] for t in w] for w in ws]) for i, ws in asked], rank, slop)
+        parts.append(written(part.filter((F.size("spans") > 0) | (F.size("near_items") > 0) | F.lit(k == 0))) if blocks > 1 else part)
+    found = parts[0] if blocks == 1 else _union(parts)
     found = found.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0]))
     return found.select(
         F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), "n_hit", F.size("items").cast("long").alias("n_items"), "items",
@@ -172,15 +175,11 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
-    """Results of several blocks as one row per document row; each block gives a document's rows in the same order."""
-    numbered = [p.withColumn("row", F.monotonically_increasing_id()) for p in parts]
-    found = written(numbered[0])
-    for p in numbered[1:]:
-        p = written(p).select("row", *(F.col(c).alias(f"{c}_more") for c in ("spans", "items", "near_items")))
-        joined = found.join(p, "row", "left")
-        both = lambda c: F.array_sort(F.array_union(c, F.coalesce(f"{c}_more", F.array().cast(found.schema[c].dataType))))
-        found = written(joined.select("row", "id", "n_words", _merged(F.concat("spans", "spans_more")).alias("spans"), both("items").alias("items"), both("near_items").alias("near_items")))
-    return found.drop("row")
+    """Results of several blocks, whose ids are (row, id), as one row per document row; the first block has all rows."""
+    both = functools.reduce(DataFrame.unionAll, parts)
+    one = lambda c: F.flatten(F.collect_list(c))
+    found = both.groupBy("id.row").agg(F.first("id.id").alias("id"), F.first("n_words").alias("n_words"), one("spans").alias("spans"), *(F.array_sort(F.array_distinct(one(c))).alias(c) for c in ("items", "near_items")))
+    return found.select("id", "n_words", _merged("spans").alias("spans"), "items", "near_items")
 
 
 def _merged(spans):

@@ -142,6 +142,19 @@ def test_decontam_in_blocks_and_near(spark, odd, monkeypatch):
     assert r[14].n_items == 0 and r[len(odd)].n_items == 1
 
 
+def test_decontam_in_blocks_of_unequal_files(spark, monkeypatch):
+    rng = random.Random(7)
+    texts = [" ".join(f"d{i}x{rng.randrange(10 ** 6)}" for _ in range(900)) for i in range(24)]
+    items = [(f"{i}-{k}", " ".join(t.split()[30 * k : 30 * k + 20])) for i, t in enumerate(texts) for k in range(1 + i)]
+    docs, bench = docs_of(spark, [*texts, texts[0], None], [*range(24), None, None]), spark.createDataFrame(items, "item_id string, text string")
+    want = sorted(str(r) for r in decontam.decontaminate(docs, bench).collect())
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 8000)
+    got = decontam.decontaminate(docs, bench).collect()
+    assert sorted(str(r) for r in got) == want
+    for r in got:
+        assert r.doc_id is None or (r.n_words, r.n_hit, r["items"]) == (900, 20 * (1 + r.doc_id), sorted(f"{r.doc_id}-{k}" for k in range(1 + r.doc_id)))
+
+
 def test_token_files(spark, odd):
     from tokenizers import Tokenizer
 
