@@ -1,14 +1,18 @@
 """Licence scans by sentence rules, with built-in functions only.
 
-A text is cut into sentences (at line ends, and at . ; : ! ? before white space), each normalised: lower
-case, runs of anything but letters and digits as one space. A sentence of the table SENTENCES becomes its identifier, any run
-of other sentences becomes one gap. The text's sequence of identifiers is matched against RULES in
+A text is normalised: lower case, runs of anything but letters and digits as one space. Sentences end
+at blank lines and at . ; : ! ? before white space. A sentence of the table SENTENCES is known where
+all its words stand between ends of sentences or lines, wrapped over lines or not, after a list number
+or not; it becomes its identifier. What lies between known sentences becomes one gap, but for a lone
+list number, which is dropped. The text's sequence of identifiers is matched against RULES in
 order: a rule fits where its identifiers stand next to each other, and what it fits is taken out, so
 that a full licence text isn't reported again by a shorter rule.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,11 +69,12 @@ RULES = [
 ]
 #: Patterns that Java and RE2 read alike.
 ENDS, OTHER = r"[.;:!?](\s|$)", "[^a-z0-9\\x{80}-\\x{10FFFF}\n]+"
+#: Marks the end of a sentence in normalised text, where a line end is the end of a line alone.
+END = "\x02"
 
 
 def known() -> dict[str, str]:
-    """Normalised sentence: identifier."""
-    import re
+    """Last piece of a sentence: identifier, as the SQL looks up lines."""
 
     def one(s: str) -> str:
         return re.sub("[^a-z0-9\n]+", " ", re.sub(r"[.;:!?](\s|$)", "\n", s.lower())).strip()
@@ -85,19 +90,37 @@ def known() -> dict[str, str]:
     return {k: v for k, v in out.items() if v}
 
 
+def whole() -> dict[str, str]:
+    """Normalised sentence, its inner ends as END: identifier."""
+    one = lambda s: re.sub(f" *{END} *", END, re.sub(f"[^a-z0-9{END}]+", " ", re.sub(r"[.;:!?]\s", END, s.lower())).strip())
+    return {one(s): name for name, sentences in SENTENCES.items() for s in sentences}
+
+
+def normalised(text):
+    """Normalised text between two ENDs, with lines and sentences apart by one line end or END."""
+    out = F.translate(F.lower(F.coalesce(text.cast("string"), F.lit(""))), END, " ")
+    out = F.regexp_replace(F.regexp_replace(out, ENDS, f"{END}\n"), OTHER.replace("\n", f"\n{END}"), " ")
+    out = F.regexp_replace(F.concat(F.lit(END), out, F.lit(END)), " *\n *", "\n")
+    return F.regexp_replace(F.regexp_replace(out, "\n\n+", END), f"[ \n]*{END}[ \n{END}]*", END)
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id_col, n_sentences, n_known, sequence (identifiers in <>, ? for a gap), rules and licenses (comma-joined, in rule order).
 
-    Null and empty texts have no sentences, an empty sequence and no licence; repeated rows get equal
-    results; an empty table gives an empty result. Other columns are not read.
+    n_sentences counts the pieces between ends of sentences or lines. Null and empty texts have no
+    sentences, an empty sequence and no licence; repeated rows get equal results; an empty table gives
+    an empty result. Other columns are not read.
     """
-    table = known()
+    table = whole()
     lookup = F.map_from_arrays(F.array(*(F.lit(k) for k in table)), F.array(*(F.lit(f"<{v}>") for v in table.values())))
-    lines = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), ENDS, "\n"), OTHER, " ")
-    sentences = F.filter(F.transform(F.split(lines, "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    edge = f"[\n{END}]"
+    found = f"{edge}(?:[0-9]{{1,2}}[ {END}])?({'|'.join(k.replace(' ', '[ \n]') for k in sorted(table, key=len, reverse=True))})(?={edge})"
+    lines = df.select(F.col(id_col), normalised(F.col(text_col)).alias("lines"))
+    cut = lines.select(id_col, F.size(F.filter(F.split("lines", edge), lambda s: s != "")).cast("long").alias("n_sentences"), F.split("lines", found).alias("gaps"), F.regexp_extract_all("lines", F.lit(found), F.lit(1)).alias("held"))
+    gap = F.transform("gaps", lambda s: F.when(F.translate(s, f" \n{END}", "") == "", "").otherwise("?"))
+    codes = F.zip_with(gap, F.transform("held", lambda s: F.element_at(lookup, F.translate(s, "\n", " "))), lambda g, h: F.concat(g, F.coalesce(h, F.lit(""))))
+    coded = cut.select(id_col, "n_sentences", F.array_join(codes, "").alias("sequence"))
     rules = F.array(*(F.struct(F.lit(n).alias("rule"), F.lit(lic).alias("license"), F.lit("".join(f"<{x}>" for x in ids)).alias("ids")) for n, lic, ids in RULES))
-    coded = df.select(F.col(id_col), F.transform(sentences, lambda s: F.coalesce(F.element_at(lookup, s), F.lit("?"))).alias("codes"))
-    coded = coded.select(id_col, F.size("codes").cast("long").alias("n_sentences"), F.regexp_replace(F.array_join("codes", ""), r"\?+", "?").alias("sequence"))
 
     def step(acc, r):
         fits = F.contains(acc["left"], r["ids"])

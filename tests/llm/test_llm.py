@@ -272,6 +272,25 @@ def test_license_rules(spark, odd):
     assert license_rules.scan(docs_of(spark, odd).limit(0)).count() == 0
 
 
+def test_license_rules_over_lines(spark):
+    import textwrap
+
+    s = {k: v[0] for k, v in license_rules.SENTENCES.items()}
+    wrap = lambda t, first="", rest="": textwrap.fill(t, 76, initial_indent=first, subsequent_indent=rest)
+    bsd = ["bsd-source", "bsd-binary", "bsd-name"]
+    numbered = lambda n, mark: "\n".join([wrap(s["bsd-grant"] + ":"), "", *(wrap(s[k] + ".", mark.format(i + 1), "   ") for i, k in enumerate(bsd[:n]))])
+    gpl = "\n *\n".join(wrap(t, " * ", " * ") for t in (f"{s['gpl-free']}: {s['gpl3-modify']}.", f"{s['gpl-hope']}; without even the implied warranty."))
+    texts = [
+        "MIT License\n\nCopyright (c) 2020 A\n\n" + "\n\n".join(wrap(s[k] + e) for k, e in (("mit-grant", ":"), ("mit-notice", "."), ("mit-warranty", "."))), wrap(s["isc-grant"] + ".") + "\n\n" + wrap(s["isc-warranty"] + ". IN NO EVENT"),
+        numbered(2, "1. ".replace("1", "{}")), numbered(3, "{}) "), numbered(3, "* "), f"/*\n{gpl}\n */", "Title\nReleased under the MIT License\nmore words\n", "Foo\r\nReleased under the MIT License\r\n\r\nBar",
+        "2.0", "Version: 2.0", "X: MIT", "This Source Code Form is subject to the terms of the Mozilla Public License, v.\n2.0.", "# SPDX-License-Identifier: MIT\nimport x", "Released under the MIT\n\nLicense",
+        "Licensed under the GNU General Public License, version\n3. Other words.", "Released under the MIT License of sorts.", "x\x02MIT\x02y",
+    ]
+    got = rows(license_rules.scan(docs_of(spark, texts)))
+    assert [got[i].licenses for i in range(len(texts))] == ["MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "BSD-3-Clause", "GPL-3.0-or-later", "MIT", "MIT", "", "", "", "MPL-2.0", "MIT", "", "GPL-3.0-only", "", ""]
+    assert [got[i].rules for i in range(6)] == ["mit-full,mit", "isc-full", "bsd-2-full", "bsd-3-full", "bsd-3-full", "gpl-3-header"] and got[2].n_known == 3 and got[8].sequence == "?"
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://Example.NET/en/1", "http://a.example.net/de/2", "https://x.example.com/de/3?x", "http://y.org/fr/4#a", "http://y.org", "http://z.com/a/b/c/d/e/f/99999", "http://net/1", "http://xnet/1"]
     pages = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(urls)] + [(100 + i, f"http://bad.com/spam/{i}.html", "x", 1) for i in range(40)] + [(200 + i, f"http://bad.com/good/{i + 100}.html", "x", 1) for i in range(40)], "page_id long, url string, host string, n int")
