@@ -51,7 +51,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), depth=None)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

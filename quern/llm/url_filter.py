@@ -2,9 +2,9 @@
 
 Pages are first grouped by host and generalised path: numbers, long hexadecimal runs and digit runs inside
 segments become placeholders. The groups of a host form a tree of segments. Level by level, from
-the top, a node's children become one wildcard branch where there are many of them with few pages
-each, and a child whose rate of bad labelled pages does not differ from its siblings' (two-proportion z test)
-joins the wildcard branch too; a child that differs keeps its name. Segments below DEPTH are one ``**``.
+the top, a node's children without labelled pages become one wildcard branch, and a child whose rate of
+bad labelled pages does not differ from its siblings' (two-proportion z test) joins it too; a child that
+differs keeps its name, however few or many siblings it has. Levels go on until no segments are left.
 A template is rejected when its smoothed purity, the share of good labelled pages drawn toward the share
 of all, is below the threshold. Explicit rules come first: the longest that fits decides.
 
@@ -14,6 +14,8 @@ rows; pages meet their template in one join, whose large keys the engine may spl
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,35 +53,44 @@ def _general(segment):
     return out
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", depth: int = DEPTH) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", depth: int | None = DEPTH) -> DataFrame:
     """One row per page: id_col, host, path, rule, verdict, template, n_labelled, purity.
 
     A page's label is that of the document its path's last number names; it is bad if of
     low quality or toxic. A null or malformed url has empty host and path, no segments and the template ``/``. Pages
     without labels have the purity of all; with no labels at all purity is 1 and nothing is rejected. Repeated rows get equal
-    results; an empty table gives an empty result. Other columns are not read.
+    results; an empty table gives an empty result. Other columns are not read. With a ``depth`` the
+    segments from that one on are one ``**`` in longer paths; with None, as the query asks, none are.
     """
     host, path = parts(F.col(url_col))
     rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"), F.regexp_extract(path, "([0-9]{1,18})[^0-9]*$", 1).try_cast("long").alias("doc"))
     segments = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), _general)
     rows = rows.withColumn("all", segments)
-    rows = rows.withColumn("segments", F.when(F.size("all") > depth, F.concat(F.slice("all", 1, depth - 1), F.array(F.lit("**")))).otherwise(F.col("all"))).drop("all")
+    rows = rows.withColumn("segments", F.col("all") if depth is None else F.when(F.size("all") > depth, F.concat(F.slice("all", 1, depth - 1), F.array(F.lit("**")))).otherwise(F.col("all"))).drop("all")
     marks = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("doc")).agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad"))
     counted = rows.groupBy("host", "segments", "doc").agg(F.count("*").alias("n")).join(marks, "doc", "left")
     groups = written(counted.groupBy("host", "segments").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("bad").isNotNull(), F.col("n")).otherwise(0)).alias("labelled"), F.sum(F.coalesce(F.col("bad") * F.col("n"), F.lit(0))).alias("bad")))
 
-    tree = groups.withColumn("template", F.lit(""))
-    for k in range(1, depth + 1):
-        tree = tree.withColumn("child", F.when(F.size("segments") >= k, F.element_at("segments", k)))
-        child = tree.filter("child IS NOT NULL").groupBy("host", "template", "child").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
-        node = child.groupBy("host", "template").agg(F.count("*").alias("children"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad")))
+    tree, done, k = groups.select("*", F.lit("").alias("template"), (F.size("segments") == 0).alias("ended")), [], 0
+    while True:
+        done.append(tree.filter("ended"))
+        tree = tree.filter("NOT ended")
+        if tree.isEmpty():
+            break
+        k += 1
+        tree = tree.withColumn("child", F.element_at("segments", k))
+        child = tree.groupBy("host", "template", "child").agg(F.count("*").alias("groups"), *(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
+        node = child.groupBy("host", "template").agg(F.count("*").alias("children"), *(F.sum(c).alias(f"all_{c}") for c in ("groups", "labelled", "bad")))
         a, b, m, o = (F.col(c).cast("double") for c in ("bad", "all_bad", "labelled", "all_labelled"))
         pooled = (b + 0.5) / (o + 1)
         z = F.abs((a + 0.5) / (m + 1) - (b - a + 0.5) / (o - m + 1)) / F.sqrt(pooled * (1 - pooled) * (1 / (m + 1) + 1 / (o - m + 1)))
-        joins = (F.col("children") > 1) & (((F.col("children") > MANY) & (F.col("all_n") < FEW * F.col("children"))) | (F.col("labelled") == 0) | (z <= Z))
-        name = child.join(node, ["host", "template"]).select("host", "template", "child", F.when(joins, F.lit("*")).otherwise(F.col("child")).alias("name"))
-        tree = tree.join(name, ["host", "template", "child"], "left").select("host", "segments", "n", "labelled", "bad", F.concat("template", F.coalesce(F.concat(F.lit("/"), "name"), F.lit(""))).alias("template"))
+        joins = (F.col("children") > 1) & ((F.col("labelled") == 0) | (z <= Z))
+        name = child.join(node, ["host", "template"]).select("host", "template", "child", F.when(joins, F.lit("*")).otherwise(F.col("child")).alias("name"), (F.col("all_groups") == 1).alias("alone"))
+        # a group alone in its node has no siblings further down and keeps all its names
+        names = F.when(F.col("alone"), F.array_join(F.slice("segments", k, F.size("segments")), "/")).otherwise(F.col("name"))
+        tree = tree.join(name, ["host", "template", "child"]).select("host", "segments", "n", "labelled", "bad", F.concat("template", F.lit("/"), names).alias("template"), (F.col("alone") | (F.size("segments") == k)).alias("ended"))
         tree = written(tree)  # each level reads its tree twice
+    tree = functools.reduce(DataFrame.unionAll, done)
     total = tree.agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).first()
     prior = 1 - (total.bad / total.labelled) if total.labelled else 1.0
     purity = tree.groupBy("host", "template").agg(F.sum("labelled").alias("n_labelled"), F.sum("bad").alias("bad")).withColumn("purity", F.round((F.col("n_labelled") - F.col("bad") + WEIGHT * prior) / (F.col("n_labelled") + WEIGHT), 6))

@@ -304,6 +304,19 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.limit(0), labels).count() == 0
 
 
+def test_url_filter_keeps_branches_that_differ(spark, tmp_path):
+    from quern.llm.queries import op8_url_filter
+
+    word = lambda i: "w" + "".join("ghijklmnop"[int(c)] for c in str(i))
+    urls = [f"http://h.com/{word(i)}/{i}" for i in range(1000)] + [f"http://h.com/spam/{i}" for i in range(1000, 1500)]
+    urls += [f"http://deep.com/a/b/c/d/{'bad' if i % 2 else 'good'}/x/{i}" for i in range(1500, 1700)] + ["http://deep.com/a" + "/s" * 300]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, int(i < 1000 or (i >= 1500 and i % 2 == 0)), 0) for i in range(1700)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = rows(op8_url_filter(spark, str(tmp_path)), "page_id")
+    assert {i for i, r in got.items() if r.verdict == "block"} == {*range(1000, 1500), *range(1501, 1700, 2)}
+    assert (got[1000].template, got[1000].n_labelled) == ("/spam/{n}", 500) and got[1501].template.endswith("/bad/x/{n}") and got[1700].template == "/a/*/*/*/*" + "/s" * 296
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
