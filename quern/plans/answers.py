@@ -193,6 +193,11 @@ def near_pairs(spark, d):
     return cx.near_duplicate_pairs(v.kb_chunks(spark, d))
 
 
+@query("ev_07_near_duplicate_classes", SHINGLES + ", k AS (SELECT chunk_id, list_sort(s) AS s FROM sh), m AS (SELECT chunk_id, min(chunk_id) OVER w AS representative, count(*) OVER w AS class_size FROM k WINDOW w AS (PARTITION BY s)), e AS (SELECT k.chunk_id AS id, len(s) AS n, unnest(s) AS t FROM k JOIN m ON m.representative = k.chunk_id AND m.chunk_id = k.chunk_id), p AS (SELECT a.id AS a, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.t = b.t AND a.id <> b.id GROUP BY a.id, b.id), l AS (SELECT a, count(*) AS n FROM p WHERE c::DOUBLE / (na + nb - c) >= 0.82 GROUP BY 1);; SELECT chunk_id, representative, class_size, coalesce(n, 0) AS n_links FROM m LEFT JOIN l ON a = representative")
+def near_classes(spark, d):
+    return cx.near_duplicate_classes(v.kb_chunks(spark, d))
+
+
 @query("ev_08_merge_adjoining", "g AS (SELECT document_id, page, chunk_index, content, chunk_index - row_number() OVER (PARTITION BY document_id, page ORDER BY chunk_index) AS island FROM kb_chunks);; SELECT document_id, page, min(chunk_index) AS first, count(*) AS n, string_agg(content, '' ORDER BY chunk_index) AS content FROM g GROUP BY document_id, page, island")
 def adjoining(spark, d):
     w = Window.partitionBy("document_id", "page").orderBy("chunk_index")

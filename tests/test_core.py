@@ -192,6 +192,14 @@ def test_text_files_and_manifest(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "e")).count() == 5 and spark.read.json(str(tmp_path / "r")).count() == 2
 
 
+def test_near_duplicate_classes_have_all_members(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:59], "changed"])
+    df = spark.createDataFrame(enumerate([" ".join(base), near, " ".join(base).upper(), "  ".join(base), near, "alone words here", "copy of a copy", "copy of a copy", None, None]), "chunk_id long, content string")
+    got = {r.chunk_id: (r.representative, r.class_size, r.n_links) for r in cx.near_duplicate_classes(df).collect()}
+    assert got == {0: (0, 3, 1), 1: (1, 2, 1), 2: (0, 3, 1), 3: (0, 3, 1), 4: (1, 2, 1), 5: (5, 1, 0), 6: (6, 2, 0), 7: (6, 2, 0), 8: (8, 2, 0), 9: (8, 2, 0)}
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rng = random.Random(9)
     base = [f"w{rng.randrange(60)}" for _ in range(60)]
