@@ -8,23 +8,28 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes of text for a task of a shuffle; rows of a table that is broadcast; rows above which a join key is hot.
+TASK_BYTES, BROADCAST_ROWS, HOT_ROWS = 128 << 20, 100_000, 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below the folder that driver and executors share.
 
-    The place is the session's ``spark.checkpoint.dir``; only where that is unset (tests, local
-    mode) a temporary folder is taken and set as the checkpoint folder.
+    The place is the session's ``spark.checkpoint.dir``; only where that is unset in local mode (tests)
+    a temporary folder is taken and set as the checkpoint folder. On a cluster its lack is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
@@ -64,3 +69,36 @@ def partitions(spark: SparkSession) -> int:
 
 def ceil_div(a: int, b: int) -> int:
     return max(1, math.ceil(a / b))
+
+
+def text_bytes(df: DataFrame, text_col: str = "text") -> int:
+    """Bytes of all texts of a column."""
+    return df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+
+
+def tasks_for(df: DataFrame, n_bytes: int) -> int:
+    """Partitions for a shuffle of ``n_bytes`` of text: at least the session's number, and one for each TASK_BYTES."""
+    return max(partitions(df.sparkSession), ceil_div(n_bytes, TASK_BYTES))
+
+
+def join_counted(rows: DataFrame, side: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """``rows`` joined with ``side``, which has one row per key and says in ``count`` how many rows have it.
+
+    A side of at most BROADCAST_ROWS goes to the tasks whole. Of a larger one only the keys of
+    more than HOT_ROWS rows do, of which there are at most one for each HOT_ROWS rows, as long as they too are at most
+    BROADCAST_ROWS; all other keys are joined by a shuffle in which no key has more than HOT_ROWS rows.
+    """
+    if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(side), keys)
+    hot = side.filter(F.col(count) > HOT_ROWS)
+    if hot.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return rows.join(side, keys)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(side.filter(F.col(count) <= HOT_ROWS), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
+
+
+def labelled(df: DataFrame, labels: DataFrame, mark: Column, id_col: str, text_col: str, sample: int) -> DataFrame:
+    """(mark, text) of at most ``sample`` labelled rows, those of the smallest id hashes; of rows that share a labelled id, the one of the smallest text hash."""
+    chosen = labels.select(F.col("doc_id").alias("_id"), mark.alias("mark")).filter("_id IS NOT NULL AND mark IS NOT NULL").groupBy("_id").agg(F.min("mark").alias("mark")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    rows = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
+    return rows.groupBy("_id").agg(F.min("mark").alias("mark"), F.min_by("text", F.xxhash64("text")).alias("text")).select("mark", "text")

@@ -7,6 +7,10 @@ winner's locator and the count. A lookup computes the slot and compares all 32 b
 that is not in history can never be taken for one that is. Members are repeats of the winner;
 nonmembers are grouped among themselves.
 
+Without an earlier history a table is taken in two parts: one part's digests are the history in which the other
+part is looked up. Members and nonmembers are counted apart, the winners are brought up to date, and all rows
+find their winner in the history of the whole table.
+
 Rows reach a shard as (id, digest) only, never as texts. A shard with many rows (a hot text) is
 dealt over several salts, each of which gets a copy of the shard's hash; rows stream through a task,
 so a hot text needs no memory.
@@ -22,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import LOWER, UPPER, ceil_div, partitions, schema_of, written
+from quern.llm.common import LOWER, UPPER, ceil_div, join_counted, partitions, schema_of, written
 
-#: Distinct digests of a shard's hash, on average, and rows of a shard that one task looks up.
-SHARD_DIGESTS, SALT_ROWS = 65_536, 262_144
+#: Distinct digests of a shard's hash, on average: at most, and as many as make a shard worth a task; rows of a shard that one task looks up.
+SHARD_DIGESTS, LEAST_DIGESTS, SALT_ROWS = 65_536, 256, 65_536
 DIGEST = 32
 
 
@@ -111,12 +115,20 @@ def build_index(history: DataFrame, shards: int) -> DataFrame:
     return history.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards))).groupBy("shard").applyInArrow(make, out)
 
 
-def lookup(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """(id, digest) with keep and n of the slot that holds the digest; null for nonmembers."""
+def shards_for(history: DataFrame) -> int:
+    """Shards of a history: small enough for a task, and as many as there are tasks where that leaves them LEAST_DIGESTS."""
+    n = history.count()
+    return max(ceil_div(n, SHARD_DIGESTS), min(partitions(history.sparkSession), ceil_div(n, LEAST_DIGESTS)))
+
+
+def lookup(rows: DataFrame, history: DataFrame) -> DataFrame:
+    """(id, digest) of rows (place, id, digest) with keep and n of the slot that holds the digest; null for nonmembers."""
+    shards = shards_for(history)
+    index = build_index(history, shards)
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)))
     salts = rows.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(SALT_ROWS)).cast("int").alias("salts"))
     parts = ["sizes", "bits", "digests", "keeps", "counts"]
-    dealt = rows.join(salts, "shard").select("shard", F.pmod(F.xxhash64("id", "digest"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), "id", "digest", *(F.lit(None).cast(index.schema[c].dataType).alias(c) for c in parts))
+    dealt = rows.join(salts, "shard").select("shard", F.pmod(F.xxhash64("place"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), "id", "digest", *(F.lit(None).cast(index.schema[c].dataType).alias(c) for c in parts))
     hashes = index.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast(rows.schema["id"].dataType).alias("id"), F.lit(None).cast("binary").alias("digest"), *parts)
     out = T.StructType([schema_of(rows, "id"), schema_of(rows, "digest"), T.StructField("keep", index.schema["keeps"].dataType.elementType), T.StructField("n", T.LongType())])
 
@@ -145,25 +157,27 @@ def lookup(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", history: DataFrame | None = None) -> DataFrame:
     """One row per input row: id_col, keep_id, group_size, kept, text_sha256.
 
-    history: distinct (digest binary, keep, n) of earlier tables, as ``distinct_digests`` makes; by
-    default the history of ``df`` itself, so that each group keeps its row with the largest id. With
-    an earlier history, its members are repeats (not kept) and the others are grouped separately.
+    history: distinct (digest binary, keep, n) of earlier tables, as ``distinct_digests`` makes; its
+    members are repeats (not kept) and the others are grouped separately. By default half of ``df``'s
+    rows, by the hash of their place, are the history of the other half, whose members may win over the history's
+    rows, so that each group keeps its row with the largest id.
 
     Null and empty texts are equal. Of rows with one text the largest id stays; rows that repeat
     both id and text count in group_size and are marked alike (``drop_repeats`` leaves one). A null
     id loses to any other; a group with null ids only has keep_id null and each row kept. An empty
     table gives an empty result. Other columns are not read, so their names can't clash.
     """
-    rows = written(df.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest")))
-    own = history is None
-    known = written(distinct_digests(rows) if own else history.select("digest", "keep", "n"))
-    shards = ceil_div(known.count(), SHARD_DIGESTS)
-    found = written(lookup(rows, build_index(known, shards), shards))
-    new = found.filter(F.col("n").isNull())
-    groups = new.groupBy("digest").agg(F.max("id").alias("keep"), F.count("*").alias("n"))
-    members = found.filter(F.col("n").isNotNull()).select("id", "digest", "keep", "n", F.lit(own).alias("open"))
-    others = new.select("id", "digest").join(groups, "digest").select("id", "digest", "keep", "n", F.lit(True).alias("open"))
-    return members.unionByName(others).select(
+    rows = written(df.select(F.monotonically_increasing_id().alias("place"), F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest")))
+    if history is None:
+        past = F.pmod(F.xxhash64("place"), F.lit(2)) == 0
+        updated = written(update_history(written(distinct_digests(rows.filter(past))), rows.filter(~past)))
+        marked = lookup(rows, updated).withColumn("open", F.lit(True))
+    else:
+        found = written(lookup(rows, written(history.select("digest", "keep", "n"))))
+        new = found.filter(F.col("n").isNull()).select("id", "digest")
+        own = join_counted(new, written(distinct_digests(new)), ["digest"], "n").select("id", "digest", "keep", "n")
+        marked = found.filter(F.col("n").isNotNull()).withColumn("open", F.lit(False)).unionByName(own.withColumn("open", F.lit(True)))
+    return marked.select(
         F.col("id").alias(id_col), F.col("keep").alias("keep_id"), F.col("n").alias("group_size"),
         (F.col("open") & F.col("id").eqNullSafe(F.col("keep"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
     )
@@ -174,12 +188,26 @@ def distinct_digests(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.max("id").alias("keep"), F.count("*").alias("n"))
 
 
+def update_history(history: DataFrame, rows: DataFrame) -> DataFrame:
+    """``history`` with the rows (place, id, digest) that come after it: members add to their slot's winner and count, nonmembers are grouped separately."""
+    found = written(lookup(rows, history))
+    member = F.col("n").isNotNull()
+    more = distinct_digests(found.filter(member).select("id", "digest")).select("digest", F.col("keep").alias("later"), F.col("n").alias("times"))
+    held = history.join(more, "digest", "left").select("digest", F.greatest("keep", "later").alias("keep"), (F.col("n") + F.coalesce("times", F.lit(0))).alias("n"))
+    return held.unionByName(distinct_digests(found.filter(~member).select("id", "digest")))
+
+
 def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns; of rows that repeat id and text, one."""
-    result = written(exact_dedup(df, id_col, text_col))
-    kept = result.filter("kept").select(F.col(id_col).alias("_kept_id"), F.unhex("text_sha256").alias("_kept_digest")).distinct()
-    marked = df.withColumn("_row_digest", text_digest(F.col(text_col)))
-    stay = marked.join(kept, (F.col("_row_digest") == F.col("_kept_digest")) & F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
-    if result.filter("kept").groupBy(id_col, "text_sha256").count().filter("count > 1").limit(1).count():
-        stay = stay.dropDuplicates([id_col, "_row_digest"])
-    return stay.select(*df.columns)
+    """The rows of ``df`` that stay, with all their columns, whatever their names.
+
+    Of rows that repeat an id and, but for the case of A-Z, a text, the one whose JSON is the greatest stays, so one of
+    them that does not depend on their order. Rows without any id stay as one per text.
+    """
+    kept = written(exact_dedup(df, id_col, text_col).filter("kept").groupBy(F.col(id_col).alias("id"), F.unhex("text_sha256").alias("digest")).agg(F.count("*").alias("n")))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).alias("row_id"), text_digest(F.col(text_col)).alias("row_digest"))
+    same = (F.col("row_digest") == F.col("digest")) & F.col("row_id").eqNullSafe(F.col("id"))
+    stay = rows.join(kept.filter("n = 1"), same, "left_semi").select("row")
+    if not kept.filter("n > 1").isEmpty():
+        several = rows.join(kept.filter("n > 1"), same).groupBy("id", "digest").agg(F.max_by("row", F.to_json("row")).alias("row"))
+        stay = stay.unionByName(several.select("row"))
+    return stay.select("row.*")
