@@ -1,15 +1,17 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is a table of segments. A segment covers the documents of one Arrow batch: their ids and
-word counts, and for each indexed term its postings, the sorted (document, position) pairs. Segments
-are split by document, as a search engine's are, so a phrase is intersected inside one segment, no
-postings are shuffled, and a word that every document holds fills no single task. Only terms of the
-asked passages are stored, since no others can take part in a match.
-
-A passage is cut into windows. For each window the terms are taken from the rarest in the whole
-index: its list, less its offset in the window, gives the possible starts, and each further
-list, less its own offset, is intersected with what is left. With slop 0 the result is the exact
-phrases; with slop s each term may lie up to s words from its place (proximity matches).
+The index is a table of segments. A segment covers some documents of one Arrow batch, of a bounded
+number of bytes where no single text is larger: their ids and word counts, and for each indexed term its
+postings, the sorted (document, position) pairs. Segments are split by document, as a search engine's
+are, so a phrase is intersected inside one segment, no postings are shuffled, and a word that every
+document holds fills no single task. Only terms of the asked passages are stored, since no others can
+take part in a match.
+
+A passage is cut into windows, which are listed under their rarest term in the whole index. A segment
+looks at the windows of its own terms only. For each of these the rarest term's list, less its offset in the
+window, gives the possible starts, and each further list, from the next rarest term on and less its own
+offset, is intersected with what is left. With slop 0 the result is the exact phrases; with slop s a start
+is a match where each term of the window lies in the document up to s words from its place (proximity).
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from pyspark.sql import types as T
 from quern.llm.common import ceil_div, schema_of, texts, written
 
 WINDOW, SLOP = 13, 2
-#: Bytes of passages that are asked at once; larger benchmarks go in blocks.
-BLOCK_BYTES = 32 << 20
+#: Bytes of passages that are asked at once (larger benchmarks go in blocks), and of texts in a segment.
+BLOCK_BYTES, SEGMENT_BYTES = 16 << 20, 16 << 20
 #: Words: what is left of lower-cased text without the ASCII characters other than letters and digits.
 TABLE = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
@@ -37,32 +39,33 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(TABLE).split()
 
 
-def windows(passage: list[bytes], size: int = WINDOW) -> list[list[bytes]]:
-    """Each run of ``size`` words; all words where there are fewer; none without words."""
-    return [passage[i : i + size] for i in range(max(1, len(passage) - size + 1))] if passage else []
-
-
 def build_index(df: DataFrame, terms: list[bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Segments: ids, n_words, terms (numbers in ``terms``), freqs, postings (sorted 64-bit document << 32 | position, by term)."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     number = {t: i for i, t in enumerate(terms)}
 
+    def segment(ids: pa.Array, docs: list[bytes]) -> pa.RecordBatch:
+        get, counts, term, post = number.get, [], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for d, text in enumerate(docs):
+            w = words(text)
+            counts.append(len(w))
+            t = np.fromiter((get(x, -1) for x in w), np.int32, len(w))
+            at = np.flatnonzero(t >= 0)
+            term.append(t[at])
+            post.append(at + (d << 32))
+        term, post = np.concatenate(term), np.concatenate(post)
+        order = np.argsort(term, kind="stable")
+        has, n = np.unique(term, return_counts=True)
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        return pa.RecordBatch.from_arrays([one(ids), one(pa.array(counts, pa.int32())), one(pa.array(has.astype(np.int32))), one(pa.array(n.astype(np.int32))), pa.array([post[order].astype("<i8").tobytes()], pa.binary())], ["ids", "n_words", "terms", "freqs", "postings"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = number.get
         for b in batches:
-            counts, term, post = [], [], []
-            for d, text in enumerate(texts(b)):
-                w = words(text)
-                counts.append(len(w))
-                t = np.fromiter((get(x, -1) for x in w), np.int32, len(w))
-                at = np.flatnonzero(t >= 0)
-                term.append(t[at])
-                post.append(at + (d << 32))
-            term, post = np.concatenate(term or [np.zeros(0, np.int32)]), np.concatenate(post or [np.zeros(0, np.int64)])
-            order = np.argsort(term, kind="stable")
-            has, n = np.unique(term, return_counts=True)
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            yield pa.RecordBatch.from_arrays([one(b.column("id")), one(pa.array(counts, pa.int32())), one(pa.array(has.astype(np.int32))), one(pa.array(n.astype(np.int32))), pa.array([post[order].astype("<i8").tobytes()], pa.binary())], ["ids", "n_words", "terms", "freqs", "postings"])
+            docs = texts(b)
+            part = np.cumsum([len(t) for t in docs]) // SEGMENT_BYTES
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), len(docs)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                yield segment(b.column("id").slice(x, y - x), docs[x:y])
 
     ints = T.ArrayType(T.IntegerType())
     out = T.StructType([T.StructField("ids", T.ArrayType(rows.schema["id"].dataType)), T.StructField("n_words", ints), T.StructField("terms", ints), T.StructField("freqs", ints), T.StructField("postings", T.BinaryType())])
@@ -77,49 +80,91 @@ class Segment:
         keys = np.frombuffer(postings, "<i8")
         self.lists = {int(t): keys[e - n : e] for t, n, e in zip(terms, freqs, ends, strict=True)}
 
-    def starts(self, window: list[tuple[int, int]], slop: int = 0) -> np.ndarray:
-        """Where the window, (term, offset) from the rarest term on, occurs: document << 32 | position."""
+    def starts(self, window: list[tuple[int, int]], slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Where the window, (term, offset) from the rarest term on, occurs: documents, and document << 32 plus position.
+
+        The document is that of the rarest term's place. With slop a start may lie before it or near its end.
+        """
         term, offset = window[0]
-        left = self.lists[term] - offset
+        keys = self.lists[term]
+        left = (keys[:, None] - offset + np.arange(-slop, slop + 1)).ravel()
+        doc = np.repeat(keys >> 32, 2 * slop + 1)
+        if slop:
+            doc, left = np.unique(np.stack([doc, left]), axis=1)
         for term, offset in window[1:]:
             if not len(left):
                 break
             keys = self.lists[term]
-            at = np.searchsorted(keys, left + (offset - slop))
+            at = np.searchsorted(keys, np.maximum(left + (offset - slop), doc << 32))
             near = keys[np.minimum(at, len(keys) - 1)]
-            left = left[(at < len(keys)) & (near <= left + (offset + slop))]
-        return left
-
-
-def matches(index: DataFrame, asked: list[tuple[str, list[list[int]]]], rank: np.ndarray, slop: int = 0) -> DataFrame:
-    """Per document: id, n_words, spans (start, end; merged, of exact phrases), items and near_items (ids, sorted as strings).
-
-    asked: item id and its windows as term numbers; rank: place of each term by frequency in the
-    whole index, the rarest first.
-    """
-    flat = [(i, w, sorted(((t, o) for o, t in enumerate(w)), key=lambda x: rank[x[0]])) for i, ws in asked for w in ws]
+            stay = (at < len(keys)) & (near <= left + (offset + slop)) & (near >> 32 == doc)
+            left, doc = left[stay], doc[stay]
+        return doc, left
+
+
+class Windows:
+    """The windows of asked passages, as places in one array of their term numbers, listed by their rarest term."""
+
+    def __init__(self, asked: list[list[int]], rank: np.ndarray, size: int = WINDOW):
+        """asked: each passage's term numbers; rank: place of each term by frequency in the whole index, the rarest first."""
+        self.terms = np.array([t for p in asked for t in p], np.int32)
+        base, starts, lengths, items, rarest = 0, [], [], [], []
+        for i, p in enumerate(asked):
+            if p:
+                n, m = min(size, len(p)), max(1, len(p) - size + 1)
+                runs = np.lib.stride_tricks.sliding_window_view(np.array(p, np.int32), n)
+                rarest.append(runs[np.arange(m), rank[runs].argmin(axis=1)])
+                starts.append(base + np.arange(m))
+                lengths.append(np.full(m, n))
+                items.append(np.full(m, i))
+            base += len(p)
+        flat = lambda x: np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32)
+        rarest = flat(rarest)
+        order = np.argsort(rarest, kind="stable")
+        self.start, self.length, self.item, self.rank = flat(starts)[order], flat(lengths)[order], flat(items)[order], rank
+        self.of_term = np.searchsorted(rarest[order], np.arange(len(rank) + 1))
+
+    def of(self, term: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(item, terms) of the windows whose rarest term this is."""
+        for k in range(self.of_term[term], self.of_term[term + 1]):
+            yield int(self.item[k]), self.terms[self.start[k] : self.start[k] + self.length[k]]
+
+    def by_rank(self, window: np.ndarray) -> list[tuple[int, int]]:
+        """(term, offset) of a window, the rarest term first."""
+        return [(int(window[o]), int(o)) for o in np.argsort(self.rank[window], kind="stable")]
+
+
+def matches(index: DataFrame, items: list[str], windows: Windows, slop: int = 0) -> DataFrame:
+    """Per document: id, n_words, spans (start, end; merged, of exact phrases), items and near_items (ids, sorted as strings)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(len(b)):
                 ids, counts = b.column("ids")[r].values, b.column("n_words")[r].values
-                seg = Segment(b.column("terms")[r].values.to_numpy(), b.column("freqs")[r].values.to_numpy(), b.column("postings")[r].as_py())
-                spans, items, near = ([{} for _ in range(3)])
-                held = seg.lists.keys()
-                for item, w, by_rank in flat:
-                    if not all(t in held for t in w):
-                        continue
-                    loose = seg.starts(by_rank, slop)
-                    for s in loose if slop else ():
-                        near.setdefault(int(max(s, 0)) >> 32, set()).add(item)
-                    for s in (seg.starts(by_rank) if slop and len(loose) else loose):
-                        d = int(s) >> 32
-                        spans.setdefault(d, []).append((int(s) & 0xFFFFFFFF, (int(s) & 0xFFFFFFFF) + len(w)))
-                        items.setdefault(d, set()).add(item)
+                terms = b.column("terms")[r].values.to_numpy()
+                seg = Segment(terms, b.column("freqs")[r].values.to_numpy(), b.column("postings")[r].as_py())
+                held = np.zeros(len(windows.rank), bool)
+                held[terms] = True
+                spans, found, near = ([{} for _ in range(3)])
+                for term in terms.tolist():
+                    for item, window in windows.of(term):
+                        if not held[window].all():
+                            continue
+                        by_rank = windows.by_rank(window)
+                        if slop:
+                            docs, _ = seg.starts(by_rank, slop)
+                            for d in np.unique(docs).tolist():
+                                near.setdefault(d, set()).add(items[item])
+                            if not len(docs):
+                                continue
+                        docs, starts = seg.starts(by_rank)
+                        for d, s in zip(docs.tolist(), (starts & 0xFFFFFFFF).tolist(), strict=True):
+                            spans.setdefault(d, []).append((s, s + len(window)))
+                            found.setdefault(d, set()).add(items[item])
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([
                     ids, counts, pa.array([merge_spans(spans.get(d, [])) for d in range(n)], pa.list_(pa.list_(pa.int32()))),
-                    *(pa.array([sorted(x.get(d, ())) for d in range(n)], pa.list_(pa.string())) for x in (items, near)),
+                    *(pa.array([sorted(x.get(d, ())) for d in range(n)], pa.list_(pa.string())) for x in (found, near)),
                 ], ["id", "n_words", "spans", "items", "near_items"])
 
     names = T.ArrayType(T.StringType())
@@ -148,7 +193,8 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
     The benchmark is the stated query set. It goes to the executors in blocks of about BLOCK_BYTES
     of passages, each answered in one pass over the index of its terms. With several blocks the rows
-    are first written with a key, by which the blocks' results are grouped.
+    are first written with a key, by which the blocks' results are grouped. n_near_items counts the items of
+    which some window has all its words in the document up to ``slop`` words from their places.
     """
     q = written(benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).cast("string").alias("text")))
     blocks = ceil_div(q.agg(F.sum(F.octet_length("text"))).first()[0] or 0, BLOCK_BYTES)
@@ -156,15 +202,15 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     if blocks > 1:  # each row's key is written once, since no other order or number of rows holds from block to block
         rows = written(rows.select(F.struct(F.monotonically_increasing_id().alias("row"), "id").alias("id"), "text"))
     for k in range(blocks):
-        asked = [(r.item, windows(words((r.text or "").encode()))) for r in q.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).toLocalIterator()]
-        terms = sorted({t for _, ws in asked for w in ws for t in w})
+        asked = [(r.item, words((r.text or "").encode())) for r in q.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).toLocalIterator()]
+        terms = sorted({t for _, w in asked for t in w})
         index = written(build_index(rows, terms, "id", "text"))
         freq = np.zeros(len(terms), np.int64)
         for r in index.select(F.explode(F.arrays_zip("terms", "freqs")).alias("p")).groupBy("p.terms").agg(F.sum("p.freqs").alias("n")).toLocalIterator():
             freq[r.terms] = r.n
         rank = np.argsort(np.argsort(freq, kind="stable"))
         number = {t: i for i, t in enumerate(terms)}
-        part = matches(index, [(i, [[number[t] for t in w] for w in ws]) for i, ws in asked], rank, slop)
+        part = matches(index, [i for i, _ in asked], Windows([[number[t] for t in w] for _, w in asked], rank), slop)
         parts.append(written(part.filter((F.size("spans") > 0) | (F.size("near_items") > 0) | F.lit(k == 0))) if blocks > 1 else part)
     found = parts[0] if blocks == 1 else _union(parts)
     found = found.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0]))
@@ -188,16 +234,18 @@ def _merged(spans):
     return F.aggregate(F.array_sort(spans), F.array().cast("array<array<int>>"), step)
 
 
-def brute_force(text: str | None, items: list[tuple[str, str | None]]) -> tuple[int, int, list[str]]:
-    """n_words, n_hit, items of one text, from the definition, for tests."""
+def brute_force(text: str | None, items: list[tuple[str, str | None]], slop: int = SLOP) -> tuple[int, int, list[str], list[str]]:
+    """n_words, n_hit, items and near items of one text, from the definition, for tests."""
     cut = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    w, hit, found = cut(text), set(), set()
+    w, hit, found, near = cut(text), set(), set(), set()
     for item, passage in items:
         p = cut(passage)
         for i in range(max(1, len(p) - 12) if p else 0):
             x = p[i : i + 13]
-            for s in range(len(w) - len(x) + 1):
-                if w[s : s + len(x)] == x:
+            for s in range(-slop - len(x), len(w) + slop + 1):
+                if s >= 0 and w[s : s + len(x)] == x:
                     hit.update(range(s, s + len(x)))
                     found.add(item)
-    return len(w), len(hit), sorted(found)
+                if all(t in w[max(0, s + o - slop) : max(0, s + o + slop + 1)] for o, t in enumerate(x)):
+                    near.add(item)
+    return len(w), len(hit), sorted(found), sorted(near)

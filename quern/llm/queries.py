@@ -35,7 +35,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near_items")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +76,17 @@ bw AS (SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[k:k + lea
 dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS x FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
 o AS (SELECT doc_id, i, n, item FROM dw JOIN bw USING (n, x)),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM o) GROUP BY 1),
-m AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM o GROUP BY 1)
-SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN m USING (doc_id)""",
+m AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM o GROUP BY 1),
+lw AS (SELECT DISTINCT item, w[k:k + least(len(w), 13) - 1] AS t FROM (SELECT *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM b WHERE len(w) > 0)),
+wn AS (SELECT row_number() OVER (ORDER BY t) AS wid, t FROM (SELECT DISTINCT t FROM lw)),
+pw AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d), fr AS (SELECT x, count(*) AS f FROM pw GROUP BY 1),
+wo AS (SELECT wid, unnest(t) AS x, generate_subscripts(t, 1) AS o FROM wn),
+ra AS (SELECT wid, arg_min(x, f) AS x, arg_min(o, f) AS o FROM (SELECT wid, o, wo.x, coalesce(f, 0) AS f FROM wo LEFT JOIN fr ON fr.x = wo.x) GROUP BY 1),
+ca AS (SELECT DISTINCT doc_id, wid, p - o + e AS s FROM ra JOIN pw ON pw.x = ra.x, (SELECT unnest([-2, -1, 0, 1, 2]) AS e)),
+nr AS (SELECT DISTINCT doc_id, wid FROM ca JOIN d USING (doc_id) JOIN wn USING (wid) WHERE list_bool_and(list_transform(range(1, len(t) + 1), lambda o: list_contains(w[greatest(1, s + o - 2):greatest(0, s + o + 2)], t[o])))),
+ni AS (SELECT doc_id, count(DISTINCT item) AS n_near_items FROM nr JOIN wn USING (wid) JOIN lw ON lw.t = wn.t GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated, coalesce(n_near_items, 0) AS n_near_items
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN ni USING (doc_id)""",
     "op7_exact_dedup": f"""
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)

@@ -1,6 +1,7 @@
 """Operators against brute-force versions, exact round trips and held-out accuracy, and their edge cases."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -60,6 +61,29 @@ def test_exact_dedup_ties_history_and_empty(spark):
     assert exact_dedup.exact_dedup(df.limit(0)).count() == 0
 
 
+def test_drop_repeats_with_clashing_columns(spark):
+    rows = [(1, "Same", "a", 1, {"k": 1}), (1, "same", "b", 2, {"k": 2}), (2, "same", "c", 3, None), (2, "SAME", "d", 4, None), (3, "other", "e", 5, {}), (None, "none", "f", 6, None), (None, "none", "g", 7, None), (None, None, "h", 8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row_digest string, _kept_id long, digest map<string,int>").withColumns({c: F.lit(c) for c in ("id", "keep", "n", "row", "open", "kept", "place", "row_id", "_kept_digest")}).repartition(4)
+    left = exact_dedup.drop_repeats(df)
+    assert left.dtypes == df.dtypes
+    assert {(r.doc_id, r.text, r._row_digest, r._kept_id) for r in left.collect()} == {(2, "same", "c", 3), (3, "other", "e", 5), (None, "none", "g", 7), (None, None, "h", 8)}
+
+
+def test_exact_dedup_in_two_parts(spark, monkeypatch):
+    rng, seen = random.Random(8), []
+    monkeypatch.setattr(exact_dedup, "partitions", lambda spark: 7)
+    monkeypatch.setattr(exact_dedup, "LEAST_DIGESTS", 4)
+    monkeypatch.setattr(exact_dedup, "SALT_ROWS", 10)
+    looked = exact_dedup.lookup
+    monkeypatch.setattr(exact_dedup, "lookup", lambda rows, history: seen.append((rows.count(), history.count())) or looked(rows, history))
+    texts = [f"t{rng.randrange(60)}" if i % 3 else "HOT" for i in range(300)]
+    got = rows(exact_dedup.exact_dedup(docs_of(spark, texts)))
+    for i, t in enumerate(texts):
+        same = [j for j, u in enumerate(texts) if u == t]
+        assert (got[i].keep_id, got[i].group_size, got[i].kept) == (max(same), len(same), i == max(same))
+    assert 100 < seen[0][0] < 200 and seen[0][1] < seen[1][1] == len(set(texts)) and seen[1][0] == 300
+
+
 def test_perfect_hash_is_minimal_and_rejects_others():
     keys = np.frombuffer(b"".join(hashlib.sha256(str(i).encode()).digest() for i in range(5000)), "V32")
     sizes, bits, slots = exact_dedup.PerfectHash.build(keys)
@@ -120,9 +144,9 @@ def test_decontam(spark, odd):
     bench = spark.createDataFrame(items, "item_id string, text string")
     got = rows(decontam.decontaminate(docs_of(spark, odd), bench))
     for i, t in enumerate(odd):
-        n, hit, found = decontam.brute_force(t, items)
+        n, hit, found, near = decontam.brute_force(t, items)
         r = got[i]
-        assert (r.n_words, r.n_hit, r.n_items, r["items"]) == (n, hit, len(found), found)
+        assert (r.n_words, r.n_hit, r.n_items, r["items"], r.n_near_items) == (n, hit, len(found), found, len(near))
         assert r.items_sha256 == hashlib.sha256(",".join(found).encode()).hexdigest() and r.contaminated == (hit > 0 and 20 * hit >= n)
     assert not any(r.contaminated for r in decontam.decontaminate(docs_of(spark, odd), bench.limit(0)).collect())
     assert decontam.decontaminate(docs_of(spark, odd).limit(0), bench).count() == 0
@@ -133,6 +157,7 @@ def test_decontam_in_blocks_and_near(spark, odd, monkeypatch):
     bench = spark.createDataFrame(items, "item_id int, text string")
     want = rows(decontam.decontaminate(docs_of(spark, odd), bench))
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 1500)
+    monkeypatch.setattr(decontam, "SEGMENT_BYTES", 600)
     got = rows(decontam.decontaminate(docs_of(spark, odd), bench))
     assert got == want and got[14].n_hit > 300
     w = odd[14].split()[50:70]
@@ -142,6 +167,17 @@ def test_decontam_in_blocks_and_near(spark, odd, monkeypatch):
     assert r[14].n_items == 0 and r[len(odd)].n_items == 1
 
 
+def test_decontam_proximity_equals_brute_force(spark):
+    rng, pick = random.Random(12), lambda n: " ".join(rng.choice("abcdefg") for _ in range(n))
+    texts = ["zzz", "a c b", None, "", "b c", *(pick(rng.randrange(1, 25)) for _ in range(60))]
+    items = [("1", "a b c"), ("2", "g g a"), *((str(k), pick(rng.choice([1, 4, 6, 15]))) for k in range(3, 14))]
+    got = rows(decontam.decontaminate(docs_of(spark, texts), spark.createDataFrame(items, "item_id string, text string")))
+    for i, t in enumerate(texts):
+        n, hit, found, near = decontam.brute_force(t, items)
+        assert (got[i].n_words, got[i].n_hit, got[i]["items"], got[i].n_near_items) == (n, hit, found, len(near)), t
+    assert sum(r.n_near_items > r.n_items for r in got.values()) > 10
+
+
 def test_decontam_in_blocks_of_unequal_files(spark, monkeypatch):
     rng = random.Random(7)
     texts = [" ".join(f"d{i}x{rng.randrange(10 ** 6)}" for _ in range(900)) for i in range(24)]
@@ -250,6 +286,59 @@ def test_quality_shrinks_and_edges(spark, odd):
     assert len({r.path_rate for r in rate.values()}) > 5
 
 
+def test_quality_posterior_equals_brute_force(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet").withColumn("source", F.expr("CASE WHEN doc_id % 3 = 0 THEN 'hot/a' WHEN doc_id % 7 = 0 THEN NULL ELSE concat(source, '/p', doc_id % 11) END"))
+    got = quality.classify(df, spark.read.parquet(f"{SF}/labels.parquet"), carry=["source", "lang"]).collect()
+    site = lambda r: ((r.source or "").split("/")[0], ((r.source or "").split("/")[1:], r.lang))
+    of, mean = {}, sum(r.evidence for r in got) / len(got)
+    for r in got:
+        for k in (site(r)[0], str(site(r))):
+            of.setdefault(k, []).append(r.evidence)
+
+    def strength(sites):
+        sites = [(sum(e), len(e), prior) for e, prior in sites if len(e) >= 2]
+        n = sum(m for _, m, _ in sites)
+        tau2 = max((sum(m * (g / m - p) ** 2 for g, m, p in sites) - sum(p * (1 - p) for *_, p in sites)) / n, 1e-6)
+        return min(max(sum(p * (1 - p) * m for _, m, p in sites) / n / tau2 - 1, 1), 1e6)
+
+    hosts = {site(r)[0] for r in got}
+    a = strength([(of[h], mean) for h in hosts])
+    rate = {h: (sum(of[h]) + a * mean) / (len(of[h]) + a) for h in hosts}
+    b = strength([(of[k], rate[h]) for h, k in {(site(r)[0], str(site(r))) for r in got}])
+    logit = lambda p: math.log(min(max(p, 1e-9), 1 - 1e-9) / (1 - min(max(p, 1e-9), 1 - 1e-9)))
+    for r in got:
+        h, p = of[site(r)[0]], of[str(site(r))]
+        host = (sum(h) - r.evidence + a * mean) / (len(h) - 1 + a)
+        path = (sum(p) - r.evidence + b * host) / (len(p) - 1 + b)
+        want = 1 / (1 + math.exp(logit(mean) - logit(r.evidence) - logit(path)))
+        assert (r.host_rate, r.path_rate) == pytest.approx((host, path), abs=1e-4) and r.p_quality == pytest.approx(want, abs=2e-3)
+
+
+def test_cumulative_link_reaches_the_least_loss():
+    rng = np.random.default_rng(3)
+    rows = [sorted(rng.choice(6, rng.integers(0, 5), replace=False).tolist()) for _ in range(300)]
+    grades = np.array([min(2, sum(i < 2 for i in r)) if rng.random() < 0.9 else int(rng.integers(3)) for r in rows])
+    model = toxicity.CumulativeLink(rows, grades, 6, rounds=4000, rate=0.02)
+
+    def loss(w, theta):
+        p = 1 / (1 + np.exp(-(np.array([w[r].sum() for r in rows])[:, None] - theta)))
+        over = grades[:, None] > np.arange(2)
+        return -np.where(over, np.log(p), np.log(1 - p)).sum() / len(rows) + (w**2).sum() / (20 * len(rows))
+
+    best = loss(model.w, model.theta)
+    assert (model.w >= 0).all() and model.theta[0] <= model.theta[1] and model.w[:2].min() > model.w[2:].max()
+    for _ in range(300):
+        assert loss(np.maximum(model.w + rng.normal(0, 0.05, 6), 0), np.maximum.accumulate(model.theta + rng.normal(0, 0.05, 2))) > best - 1e-5
+
+
+def test_severity_comes_from_other_folds():
+    rng = np.random.default_rng(5)
+    rows = [[0, 1] if i % 4 == 0 else [0] if i % 4 == 1 else [2] if rng.random() < 0.5 else [] for i in range(400)]
+    toxic = np.array([int(i % 4 < 2 and i % 40 != 1) for i in range(400)])
+    grades = toxicity.severity(rows, toxic, 3)
+    assert (grades[toxic == 0] == 0).all() and set(grades[toxic == 1]) == {1, 2} and (grades[::4] == 2).mean() > 0.8
+
+
 def test_toxicity_held_out(spark, odd):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     truth = labels.filter("doc_id % 2 = 1")
