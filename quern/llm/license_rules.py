@@ -35,14 +35,40 @@ SENTENCES = {
     "gpl3-ref": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3", "SPDX-License-Identifier: GPL-3.0-only"],
     "gpl-free": ["This program is free software"],
     "gpl3-modify": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
-    "gpl2-modify": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version"],
+    "gpl2-modify": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version"],
     "gpl-hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
     "mpl2-ref": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0"],
     "cc-by-ref": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "cc-by-sa-ref": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "cc-by-nc-ref": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "cc0-ref": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "Licensed under CC0 1.0"],
+    "cc-by3-ref": ["This work is licensed under a Creative Commons Attribution 3.0 Unported License"],
     "all-rights": ["All rights reserved"],
+    "lgpl-free": ["This library is free software"],
+    "lgpl21-modify": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"],
+    "lgpl3-modify": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "agpl3-modify": ["you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "lgpl3-ref": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "SPDX-License-Identifier: LGPL-3.0-only"],
+    "lgpl21-ref": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "SPDX-License-Identifier: LGPL-2.1-only"],
+    "agpl3-ref": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "gpl3-title": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "gpl2-title": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "gpl2-ref": ["This work is licensed under the GNU General Public License, version 2", "Licensed under the GNU General Public License, version 2", "SPDX-License-Identifier: GPL-2.0-only"],
+    "gpl3-later-ref": ["SPDX-License-Identifier: GPL-3.0-or-later"],
+    "gpl2-later-ref": ["SPDX-License-Identifier: GPL-2.0-or-later"],
+    "apache-title": ["Apache License Version 2.0, January 2004"],
+    "apache-terms": ["TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"],
+    "mpl2-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"],
+    "mpl2-title": ["Mozilla Public License Version 2.0"],
+    "epl2-ref": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "Eclipse Public License - v 2.0", "SPDX-License-Identifier: EPL-2.0"],
+    "artistic2-ref": ["The Artistic License 2.0", "Licensed under the Artistic License 2.0", "SPDX-License-Identifier: Artistic-2.0"],
+    "unlicense-free": ["This is free and unencumbered software released into the public domain"],
+    "unlicense-use": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"],
+    "zlib-warranty": ["This software is provided 'as-is', without any express or implied warranty"],
+    "zlib-liable": ["In no event will the authors be held liable for any damages arising from the use of this software"],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+    "bsl-title": ["Boost Software License - Version 1.0 - August 17th, 2003", "Distributed under the Boost Software License, Version 1.0"],
+    "bsl-grant": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following"],
 }
 #: Rules in order of their trial: name, licence, identifiers that stand next to each other.
 RULES = [
@@ -56,38 +82,43 @@ RULES = [
     ("gpl-3-short", "GPL-3.0-or-later", ["gpl-free", "gpl3-modify"]),
     ("gpl-2-header", "GPL-2.0-or-later", ["gpl-free", "gpl2-modify", "gpl-hope"]),
     ("gpl-2-short", "GPL-2.0-or-later", ["gpl-free", "gpl2-modify"]),
+    ("lgpl-2.1-header", "LGPL-2.1-or-later", ["lgpl-free", "lgpl21-modify"]),
+    ("lgpl-3-header", "LGPL-3.0-or-later", ["gpl-free", "lgpl3-modify"]),
+    ("agpl-3-header", "AGPL-3.0-or-later", ["gpl-free", "agpl3-modify"]),
+    ("mpl-2-header", "MPL-2.0", ["mpl2-ref", "mpl2-copy"]),
+    ("unlicense", "Unlicense", ["unlicense-free", "unlicense-use"]),
+    ("zlib", "Zlib", ["zlib-warranty", "zlib-liable", "zlib-grant"]),
+    ("bsl", "BSL-1.0", ["bsl-grant"]),
+    ("bsl-title", "BSL-1.0", ["bsl-title"]),
+    ("apache-title", "Apache-2.0", ["apache-title"]),
+    ("gpl-3-title", "GPL-3.0-only", ["gpl3-title"]),
+    ("gpl-2-title", "GPL-2.0-only", ["gpl2-title"]),
+    ("lgpl-3-title", "LGPL-3.0-only", ["lgpl3-ref"]),
+    ("lgpl-2.1-title", "LGPL-2.1-only", ["lgpl21-ref"]),
+    ("agpl-3-title", "AGPL-3.0-only", ["agpl3-ref"]),
+    ("mpl-2-title", "MPL-2.0", ["mpl2-title"]),
     ("mit", "MIT", ["mit-ref"]),
     ("bsd", "BSD-3-Clause", ["bsd-ref"]),
     ("apache", "Apache-2.0", ["apache-ref"]),
     ("gpl-3", "GPL-3.0-only", ["gpl3-ref"]),
+    ("gpl-3-later", "GPL-3.0-or-later", ["gpl3-later-ref"]),
+    ("gpl-2", "GPL-2.0-only", ["gpl2-ref"]),
+    ("gpl-2-later", "GPL-2.0-or-later", ["gpl2-later-ref"]),
     ("mpl-2", "MPL-2.0", ["mpl2-ref"]),
+    ("epl-2", "EPL-2.0", ["epl2-ref"]),
+    ("artistic-2", "Artistic-2.0", ["artistic2-ref"]),
+    ("unlicense-short", "Unlicense", ["unlicense-free"]),
     ("cc-by", "CC-BY-4.0", ["cc-by-ref"]),
     ("cc-by-sa", "CC-BY-SA-4.0", ["cc-by-sa-ref"]),
     ("cc-by-nc", "CC-BY-NC-4.0", ["cc-by-nc-ref"]),
     ("cc0", "CC0-1.0", ["cc0-ref"]),
+    ("cc-by-3", "CC-BY-3.0", ["cc-by3-ref"]),
     ("reserved", "LicenseRef-all-rights-reserved", ["all-rights"]),
 ]
 #: Patterns that Java and RE2 read alike.
 ENDS, OTHER = r"[.;:!?](\s|$)", "[^a-z0-9\\x{80}-\\x{10FFFF}\n]+"
-#: Marks the end of a sentence in normalised text, where a line end is the end of a line alone.
-END = "\x02"
-
-
-def known() -> dict[str, str]:
-    """Last piece of a sentence: identifier, as the SQL looks up lines."""
-
-    def one(s: str) -> str:
-        return re.sub("[^a-z0-9\n]+", " ", re.sub(r"[.;:!?](\s|$)", "\n", s.lower())).strip()
-
-    out = {}
-    for name, sentences in SENTENCES.items():
-        for s in sentences:
-            # a sentence that is itself cut (such as "v. 2.0" or "Identifier: MIT") is known by its pieces, the last of which names it
-            *head, last = [p.strip() for p in one(s).split("\n")]
-            out[last] = name
-            for h in head:
-                out.setdefault(h, "")
-    return {k: v for k, v in out.items() if v}
+#: Marks the end of a sentence in normalised text, where a line end is the end of a line alone; encloses what the SQL has replaced.
+END, CODE = "\x02", "\x03"
 
 
 def whole() -> dict[str, str]:
@@ -136,21 +167,30 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 
 def scan_sql() -> str:
-    """The same in DuckDB SQL over ``documents``."""
+    """The same in DuckDB SQL over ``documents``.
+
+    Known sentences are replaced one after the other, the longest first, in a text whose ends of lines and
+    sentences are doubled, so that neighbours share none; what is left between them makes the gaps.
+    """
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    table = known()
-    steps, at = [], "sequence AS s0"
+    table, end = whole(), END
+    inner = lambda k: k.replace(end, end * 2).replace(" ", "(?: |\n\n)")
+    marked = f"replace(replace(lines, chr(10), chr(10) || chr(10)), chr({ord(end)}), chr({ord(end)}) || chr({ord(end)}))"
+    for k in sorted(table, key=len, reverse=True):
+        marked = f"regexp_replace({marked}, {quoted(f'[\n{end}](?:[0-9]{{1,2}}(?: |{end}{end}))?{inner(k)}[\n{end}]')}, {quoted(f'{CODE}<{table[k]}>{CODE}')}, 'g')"
+    steps = []
     for k, (_, _, ids) in enumerate(RULES):
         steps.append(f"t{k + 1} AS (SELECT *, replace(s{k}, {quoted(''.join(f'<{x}>' for x in ids))}, '#') AS s{k + 1} FROM t{k})")
     changed = lambda what: f"list_filter([{', '.join(f'CASE WHEN s{k} <> s{k + 1} THEN {quoted(r[what])} END' for k, r in enumerate(RULES))}], lambda x: x IS NOT NULL)"
     order = f"[{', '.join(dict.fromkeys(quoted(r[1]) for r in RULES))}]"
     return f"""
-WITH codes AS (
-  SELECT doc_id, list_transform(list_filter(list_transform(string_split(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[.;:!?](\\s|$)', chr(10), 'g'), '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}\\n]+', ' ', 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> ''),
-    lambda s: CASE s {' '.join(f"WHEN {quoted(k)} THEN '<{v}>'" for k, v in table.items())} ELSE '?' END) AS codes FROM documents),
-c AS (SELECT doc_id, len(codes)::BIGINT AS n_sentences, regexp_replace(coalesce(array_to_string(codes, ''), ''), '\\?+', '?', 'g') AS sequence FROM codes),
-t0 AS (SELECT *, {at} FROM c), {', '.join(steps)}
-SELECT doc_id, n_sentences, length(regexp_replace(sequence, '[^<]', '', 'g'))::BIGINT AS n_known, sequence,
+WITH n0 AS (SELECT doc_id, regexp_replace(translate(lower(coalesce(text, '')), chr({ord(end)}), ' '), '[.;:!?](\\s|$)', chr({ord(end)}) || chr(10), 'g') AS t FROM documents),
+n1 AS (SELECT doc_id, regexp_replace(chr({ord(end)}) || regexp_replace(t, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}\\n\\x02]+', ' ', 'g') || chr({ord(end)}), ' *\\n *', chr(10), 'g') AS t FROM n0),
+n2 AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\\n\\n+', chr({ord(end)}), 'g'), '[ \\n]*\\x02[ \\n\\x02]*', chr({ord(end)}), 'g') AS lines FROM n1),
+m AS (SELECT doc_id, len(list_filter(regexp_split_to_array(lines, '[\\n\\x02]'), lambda s: s <> ''))::BIGINT AS n_sentences, string_split({marked}, {quoted(CODE)}) AS parts FROM n2),
+t0 AS (SELECT doc_id, n_sentences, array_to_string(list_transform(parts, lambda p: CASE WHEN prefix(p, '<') THEN p WHEN translate(p, ' ' || chr(10) || chr({ord(end)}), '') = '' THEN '' ELSE '?' END), '') AS s0 FROM m),
+{', '.join(steps)}
+SELECT doc_id, n_sentences, length(regexp_replace(s0, '[^<]', '', 'g'))::BIGINT AS n_known, s0 AS sequence,
   coalesce(array_to_string({changed(0)}, ','), '') AS rules,
   coalesce(array_to_string(list_filter({order}, lambda l: list_contains({changed(1)}, l)), ','), '') AS licenses
 FROM t{len(RULES)}"""
