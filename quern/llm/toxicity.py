@@ -1,13 +1,15 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 Severity grades are ordered: 0 not toxic, 1 toxic, 2 severely toxic. The labels only tell toxic from
-other rows, so the sample's toxic rows are graded by how many of the chosen terms they have: 2 above
-their median.
+other rows, so a toxic row of the sample is graded by models that have not seen it: the sample is cut in folds,
+each fold is scored by a model of the others, and the toxic rows that are scored above the median of
+their kind are of grade 2. So the second threshold says how sure held-out models are, no more than that.
 The model has one weight per term, shared by all thresholds: P(grade > k) = sigmoid(w . x - theta_k)
 with theta_0 <= theta_1. Its expected severity is the sum of these over k. Features are the
-presence, once, twice or more often, of terms (words and their beginnings) of a bounded vocabulary, those that
-mark the toxic documents of a bounded labelled sample most clearly; their weights are never below zero; the sample's counts are made by
-grouped aggregation, and only the chosen terms and the sample's sparse rows reach the driver.
+presence, once, twice or more often, of terms (words and their beginnings), those that mark the toxic
+documents of a bounded labelled sample more clearly than chance; their weights are never below
+zero; the sample's counts are made by grouped aggregation, and only the chosen terms and the sample's sparse rows
+reach the driver.
 """
 
 from __future__ import annotations
@@ -21,20 +23,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import schema_of, texts, written
+from quern.llm.common import labelled, schema_of, texts, written
 
-#: Labelled rows the model is fitted on and terms it has, at most; documents a term needs; terms that are taken whatever their strength.
-SAMPLE, TERMS, LEAST, FEWEST = 6000, 400, 5, 20
-#: Words: lower-cased (A-Z) runs of letters, digits, apostrophes and what is not ASCII.
+#: Labelled rows the model is fitted on, at most; folds of the sample; bytes of a word's beginning.
+SAMPLE, FOLDS, BEGINNING = 6000, 5, 6
+#: Words: lower-cased (A-Z) runs of letters and digits (of Latin-1, the first 128 of which are ASCII's), apostrophes and what is not ASCII.
 TABLE = bytes(c if c >= 0x80 or chr(c).isalnum() and not 0x41 <= c <= 0x5A or c == 0x27 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
 
 def terms_of(text: bytes) -> set[bytes]:
-    """A text's words and the first 6 bytes of longer ones (marked ^, for inflected forms); marked 2 or 3 once more if it has them as often."""
+    """A text's words and the first six bytes of longer ones, whole characters (marked ^, for inflected forms); marked 2 or 3 once more if it has them as often."""
     counts = Counter(text.translate(TABLE).split())
     for word, n in list(counts.items()):
-        if len(word) > 6:
-            counts[b"^" + word[:6]] += n
+        if len(word) > BEGINNING:
+            counts[b"^" + word[:BEGINNING].decode(errors="ignore").encode()] += n
     out = set(counts)
     for least, mark in ((2, b"2 "), (3, b"3 ")):
         out.update([mark + t for t, n in counts.items() if n >= least])
@@ -65,37 +67,52 @@ class CumulativeLink:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.theta, -30, 30)))
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[dict[bytes, int], CumulativeLink] | None:
-    """The vocabulary and the model, from at most ``sample`` labelled rows, those of the smallest id hashes; None without toxic and other rows."""
-    grade = (F.col("toxic") > 0).cast("int")
-    chosen = labels.filter("toxic IS NOT NULL").select(F.col("doc_id").alias("_id"), grade.alias("grade")).orderBy(F.xxhash64("_id"), "_id", "grade").limit(sample)
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "_id").select("grade", "text")
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, terms: int | None = None, least: int = 5, fewest: int = 20) -> tuple[dict[bytes, int], CumulativeLink] | None:
+    """The vocabulary and the model, from at most ``sample`` labelled rows; None without toxic and other rows.
+
+    terms: the clearest so many terms, or None for all that are clearer than chance; least: rows of the sample that
+    a term needs; fewest: terms that are taken however clear they are.
+    """
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array([list(terms_of(t)) for t in texts(b)], pa.list_(pa.binary()))], ["grade", "terms"])
+            yield pa.RecordBatch.from_arrays([b.column("mark"), pa.array([list(terms_of(t)) for t in texts(b)], pa.list_(pa.binary()))], ["toxic", "terms"])
 
-    seen = written(rows.mapInArrow(words, "grade int, terms array<binary>"))
-    n = {bool(r.toxic): r.n for r in seen.groupBy((F.col("grade") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    rows = labelled(df, labels, (F.col("toxic") > 0).cast("int"), id_col, text_col, sample)
+    seen = written(rows.mapInArrow(words, "toxic int, terms array<binary>").withColumn("row", F.monotonically_increasing_id()))
+    n = {r.toxic: r.n for r in seen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return None
-    by_term = seen.select((F.col("grade") > 0).alias("toxic"), F.explode("terms").alias("term")).groupBy("term").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b"))
-    pull = F.log((F.col("a") + 0.5) / (n[True] - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (n[False] - F.col("b") + 0.5))
+    by_term = seen.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
+    pull = F.log((F.col("a") + 0.5) / (n[1] - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (n[0] - F.col("b") + 0.5))
     z = pull / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    tested = written(by_term.filter(F.col("a") + F.col("b") >= LEAST).select("term", z.alias("z")))
+    tested = written(by_term.filter(F.col("a") + F.col("b") >= least).select("term", z.alias("z")))
     bar = 0.75 * float(np.sqrt(2 * np.log(max(2, tested.count()))))  # three quarters of what the largest of so many chance differences reaches
-    top = tested.orderBy(F.col("z").desc(), "term").limit(TERMS).collect()
-    vocabulary = {bytes(r.term): i for i, r in enumerate(top) if r.z >= bar or i < FEWEST}
+    clear = tested.filter(F.col("z") >= bar).unionByName(tested.orderBy(F.col("z").desc(), "term").limit(fewest)).distinct()
+    top = (clear if terms is None else clear.orderBy(F.col("z").desc(), "term").limit(terms)).collect()
+    vocabulary = {t: i for i, t in enumerate(sorted(bytes(r.term) for r in top))}
     if not vocabulary:
         return None
-    chosen_terms = F.broadcast(df.sparkSession.createDataFrame([(t, i) for t, i in vocabulary.items()], "term binary, i int"))
-    sparse = seen.withColumn("row", F.monotonically_increasing_id()).select("row", "grade", F.explode_outer("terms").alias("term")).join(chosen_terms, "term", "left").groupBy("row").agg(F.max("grade").alias("grade"), F.sort_array(F.collect_list("i")).alias("i")).collect()
-    grades, held = np.array([r.grade for r in sparse]), np.array([len(r.i) for r in sparse])
-    grades[(grades > 0) & (held > np.median(held[grades > 0]))] = 2
-    return vocabulary, CumulativeLink([r.i for r in sparse], grades, len(vocabulary))
-
-
-def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    chosen = F.broadcast(df.sparkSession.createDataFrame(list(vocabulary.items()), "term binary, i int"))
+    sparse = seen.select("row", "toxic", F.explode_outer("terms").alias("term")).join(chosen, "term", "left").groupBy("row").agg(F.max("toxic").alias("toxic"), F.sort_array(F.collect_list("i")).alias("i")).orderBy("row").collect()
+    held, toxic = [r.i for r in sparse], np.array([r.toxic for r in sparse])
+    grades = severity(held, toxic, len(vocabulary))
+    return vocabulary, CumulativeLink(held, grades, len(vocabulary))
+
+
+def severity(rows: list[list[int]], toxic: np.ndarray, n_terms: int, folds: int = FOLDS) -> np.ndarray:
+    """Grades of a sample: 0 for rows that are not toxic, 2 for toxic ones that models of the other folds score above their median, else 1."""
+    scored, fold = np.zeros(len(rows)), np.arange(len(rows)) % folds
+    for k in range(folds):
+        rest = np.flatnonzero(fold != k)
+        if toxic[rest].min(initial=1) == toxic[rest].max(initial=0):
+            continue
+        model = CumulativeLink([rows[i] for i in rest], toxic[rest], n_terms)
+        scored[fold == k] = [model.over(np.array([model.w[rows[i]].sum()]))[0, 0] for i in np.flatnonzero(fold == k)]
+    return toxic + ((toxic > 0) & (scored > np.median(scored[toxic > 0])))
+
+
+def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, sample: int = SAMPLE, terms: int | None = None, least: int = 5, fewest: int = 20) -> DataFrame:
     """One row per row: id_col, p_over_0, p_over_1, expected_severity, grade, toxic.
 
     grade is the number of k with P(grade > k) >= threshold; toxic: grade above 0. Null, empty and
@@ -103,7 +120,7 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     kind, or none that name a row) all probabilities are null and nothing is toxic. Repeated rows
     get equal results; an empty table gives an empty result. Other columns are not read.
     """
-    model = fit(df, labels, id_col, text_col, sample)
+    model = fit(df, labels, id_col, text_col, sample, terms, least, fewest)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     names = ["p_over_0", "p_over_1"]
 
