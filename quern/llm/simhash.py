@@ -30,8 +30,8 @@ from quern.llm.common import partitions, schema_of, texts, written
 RADIUS = 3
 #: Fingerprints of a shard above which it is dealt again on its other bits.
 SHARD = 2048
-#: Hashes that are held at once.
-BLOCK = 1 << 18
+#: Hashes that are held at once, and linked fingerprints of a task.
+BLOCK, LINKED = 1 << 18, 1 << 18
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
@@ -106,9 +106,14 @@ class BKTree:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (c, k, fp) sorted by shard (c, k) -> links (u, v): a forest of what this task links."""
+    """Rows (c, k, fp) sorted by shard (c, k) -> links (u, v): forests of what this task links, LINKED fingerprints at a time."""
     up: dict[int, int] = {}
 
+    def links() -> pa.RecordBatch:
+        pairs = [(x, root(x)) for x in list(up)]
+        up.clear()
+        return pa.RecordBatch.from_arrays([pa.array(np.array([p[i] for p in pairs], np.uint64).view(np.int64)) for i in (0, 1)], ["u", "v"])
+
     def root(x: int) -> int:
         while (p := up.get(x, x)) != x:
             up[x] = up.get(p, p)
@@ -129,9 +134,9 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 p, q = root(x), root(y)
                 if p != q:
                     up[max(p, q)] = min(p, q)
-    links = [(x, root(x)) for x in list(up)]
-    u, v = (np.array([p[i] for p in links], np.uint64).view(np.int64) for i in (0, 1))
-    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            if len(up) >= LINKED:
+                yield links()
+    yield links()
 
 
 def links(nodes: DataFrame) -> DataFrame:
