@@ -26,16 +26,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import open_fs, partitions, schema_of, shared_dir, texts, written
+from quern.llm.common import open_fs, schema_of, shared_dir, tasks_for, text_bytes, texts, written
 
 SEQUENCE, BATCH = 2048, 256
-#: Words whose ids a worker remembers, words that are given to the tokenizer as one text, and texts whose new words are learned at once.
-MEMO, JOINED, TEXTS = 1_000_000, 256, 128
+#: Words whose ids a worker remembers and the bytes of such a word, at most; words that are given to the tokenizer as one text, and texts whose new words are learned at once.
+MEMO, REMEMBERED, JOINED, TEXTS = 1_000_000, 64, 256, 128
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_sequences long"
 
 
 class WordEncoder:
-    """Ids of texts for a tokenizer that drops white space: each word between ASCII white space is encoded once and remembered.
+    """Ids of texts for a tokenizer that drops white space: each word between ASCII white space is encoded once and remembered, but for long ones.
 
     New words are given to the tokenizer many at a time, joined by spaces, and its offsets tell
     whose ids are whose. Texts need not fit: white space of other kinds stays inside a word and is
@@ -50,14 +50,15 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
-    def learn(self, new: list[bytes]) -> None:
+    def learn(self, new: list[bytes], known: dict[bytes, bytes]) -> None:
+        """Puts the ids of new words in ``known``."""
         groups = [[w.decode() for w in new[i : i + JOINED]] for i in range(0, len(new), JOINED)]
         for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, self.dtype)
             starts = np.cumsum([0] + [len(w) + 1 for w in group])
             cuts = np.searchsorted(np.array([a for a, _ in e.offsets], np.int64), starts)
             for w, a, b in zip(group, cuts, cuts[1:], strict=False):
-                self.memo[w.encode()] = ids[a:b].tobytes()
+                known[w.encode()] = ids[a:b].tobytes()
 
     def encode(self, batch: list[bytes]) -> Iterator[bytes]:
         """The ids of each text, as bytes."""
@@ -68,10 +69,15 @@ class WordEncoder:
             if len(memo) + len(new) > MEMO:
                 memo.clear()
                 new = set().union(*texts_words)
-            if new:
-                self.learn(list(new))
+            long = {w for w in new if len(w) > REMEMBERED}
+            self.learn(list(new - long), memo)
             for w in texts_words:
-                yield b"".join([memo[x] for x in w])
+                if long.isdisjoint(w):
+                    yield b"".join([memo[x] for x in w])
+                else:
+                    here: dict[bytes, bytes] = {}
+                    self.learn(list(long.intersection(w)), here)
+                    yield b"".join([here[x] if x in here else memo[x] for x in w])
 
 
 @lru_cache(maxsize=2)
@@ -131,12 +137,11 @@ class TokenFile:
 def write_tokens(df: DataFrame, tokenizer: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE, vocabulary: int = 49_408) -> DataFrame:
     """Writes the files and returns their manifest: part, path, n_docs, n_tokens, n_sequences; parts are in id order.
 
-    Null texts count as empty; null ids come first; equal ids are ordered by their texts' hash.
+    A file takes about TASK_BYTES of text, or less where the session has more shuffle partitions. Null texts count as empty; null ids come first; equal ids are ordered by their texts' hash.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = encoder = None
         places: list[pa.RecordBatch] = []
@@ -164,7 +169,7 @@ def write_tokens(df: DataFrame, tokenizer: str, end_id: int, folder: str, id_col
                     out.write_batch(p)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([path]), *(pa.array([x], pa.int64()) for x in (n_docs, n_tokens, n_sequences))], ["part", "path", "n_docs", "n_tokens", "n_sequences"])
 
-    ranges = rows.repartitionByRange(partitions(df.sparkSession), F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    ranges = rows.repartitionByRange(tasks_for(rows, text_bytes(rows)), F.col("id").asc_nulls_first(), F.xxhash64("text"))
     return written(ranges.sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text")).mapInArrow(run, MANIFEST))
 
 
