@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import partitions, schema_of, texts
+from quern.llm.common import schema_of, tasks_for, text_bytes, texts
 
 LEAF, WINDOW = 8192, 48
 #: The words in front of byte-level BPE: a fixed pattern of this kind of tokenizer.
@@ -53,6 +54,7 @@ class Codec:
         spec = json.loads(open(path, encoding="utf-8").read())
         alphabet = byte_alphabet()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
+        self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))))
         ranks = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         self.dtype = "<u2" if self.bpe.n_vocab <= 1 << 16 else "<u4"
@@ -70,15 +72,12 @@ class Codec:
         return raw.decode("utf-8", "replace").encode()
 
     def segments(self, text: str) -> list[tuple[str, int | None]]:
-        """(text, None) between special tokens and ("", id) for them, in order."""
+        """(text, None) between special tokens and ("", id) for them, in order; of tokens that begin at one place the longest counts."""
         out, at = [], 0
-        while at < len(text):
-            first = min(((p, -len(s), s) for s in self.special if (p := text.find(s, at)) >= 0), default=None)
-            if first is None:
-                break
-            out += [(text[at : first[0]], None)] if first[0] > at else []
-            out.append(("", self.special[first[2]]))
-            at = first[0] + len(first[2])
+        for m in self.marks.finditer(text) if self.special else ():
+            out += [(text[at : m.start()], None)] if m.start() > at else []
+            out.append(("", self.special[m[0]]))
+            at = m.end()
         return [*out, (text[at:], None)] if at < len(text) else out
 
 
@@ -255,7 +254,7 @@ def encode_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
         ids = np.concatenate([fold(code, p) for p in parts.values()])
         return pa.Table.from_batches([pack(table.column("id").combine_chunks().slice(0, 1) if table.column("id").num_chunks else table.column("id"), [ids], code)])
 
-    n = partitions(df.sparkSession)
+    n = tasks_for(rows, text_bytes(rows))
     leaves = rows.filter(long).mapInArrow(cut, leaf).repartition(n, "doc", "segment", "leaf").mapInArrow(encode, coded)
     both = rows.filter(~long).mapInArrow(short, out).unionByName(leaves.groupBy("doc").applyInArrow(joined, out))
     return both.withColumnRenamed("id", id_col)
