@@ -19,9 +19,10 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import LOWER, UPPER, written
+from quern.llm.common import LOWER, UPPER, join_counted, written
 
-DEPTH, MANY, FEW, Z, WEIGHT, PURITY = 4, 20, 3.0, 1.96, 10.0, 0.5
+#: Level of the tree's wildcards' test (two-sided, one in twenty), weight of the prior purity, purity below which a template is rejected.
+Z, WEIGHT, PURITY = 1.96, 10.0, 0.5
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 #: Patterns that Java and RE2 read alike, with what replaces them.
 PLACEHOLDERS = [(r"^[0-9]+(\.[A-Za-z0-9]{1,5})?$", "{n}", 1), (r"^[0-9a-fA-F-]{8,}(\.[A-Za-z0-9]{1,5})?$", "{h}", 1), (r"[0-9]{3,}", "{n}", 0)]
@@ -53,14 +54,14 @@ def _general(segment):
     return out
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", depth: int | None = DEPTH) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", depth: int | None = None) -> DataFrame:
     """One row per page: id_col, host, path, rule, verdict, template, n_labelled, purity.
 
     A page's label is that of the document its path's last number names; it is bad if of
     low quality or toxic. A null or malformed url has empty host and path, no segments and the template ``/``. Pages
     without labels have the purity of all; with no labels at all purity is 1 and nothing is rejected. Repeated rows get equal
-    results; an empty table gives an empty result. Other columns are not read. With a ``depth`` the
-    segments from that one on are one ``**`` in longer paths; with None, as the query asks, none are.
+    results; an empty table gives an empty result. Other columns are not read. By default no level is
+    left out; with a ``depth`` the segments from that one on are one ``**`` in longer paths.
     """
     host, path = parts(F.col(url_col))
     rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"), F.regexp_extract(path, "([0-9]{1,18})[^0-9]*$", 1).try_cast("long").alias("doc"))
@@ -94,40 +95,44 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]
     total = tree.agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).first()
     prior = 1 - (total.bad / total.labelled) if total.labelled else 1.0
     purity = tree.groupBy("host", "template").agg(F.sum("labelled").alias("n_labelled"), F.sum("bad").alias("bad")).withColumn("purity", F.round((F.col("n_labelled") - F.col("bad") + WEIGHT * prior) / (F.col("n_labelled") + WEIGHT), 6))
-    judged = tree.select("host", "segments", "template").join(purity, ["host", "template"])
+    judged = written(tree.select("host", "segments", "n", "template").join(purity, ["host", "template"]))
     rule = rule_of(F.col("host"), F.col("path"), rules)
-    return rows.join(judged, ["host", "segments"]).select(
+    return join_counted(rows, judged, ["host", "segments"], "n").select(
         id_col, "host", "path", rule["rule"].alias("rule"), F.coalesce(rule["verdict"], F.when(F.col("purity") < PURITY, "block").otherwise("allow")).alias("verdict"),
         F.when(F.col("template") == "", "/").otherwise(F.col("template")).alias("template"), "n_labelled", "purity",
     )
 
 
-def filter_urls_sql(rules: list[tuple[str, str]] = RULES, depth: int = DEPTH) -> str:
-    """The same in DuckDB SQL over ``pages`` and ``labels``."""
+def filter_urls_sql(rules: list[tuple[str, str]] = RULES, levels: int = 16) -> str:
+    """The same in DuckDB SQL over ``pages`` and ``labels``, for trees that have ended after so many levels.
+
+    Paths of more segments whose group is not yet alone by then make the SQL fail rather than differ.
+    """
     general = "s"
     for pattern, to, group in PLACEHOLDERS:
         general = f"CASE WHEN contains({general}, '{{') THEN {general} ELSE regexp_replace({general}, '{pattern}', '{to}{chr(92) + str(group) if group else ''}', 'g') END"
     cases = lambda k: " ".join(f"WHEN (host = '{r[1].partition('/')[0]}' OR suffix(host, '.{r[1].partition('/')[0]}')) AND prefix(path, '/{r[1].partition('/')[2]}') THEN '{r[k]}'" for r in sorted(rules, key=lambda r: (-len(r[1]), r[1])))
-    levels = []
-    for k in range(1, depth + 1):
-        levels.append(f"""
-l{k} AS (SELECT *, CASE WHEN len(segments) >= {k} THEN segments[{k}] END AS child FROM tree{k - 1}),
-c{k} AS (SELECT host, template, child, sum(n) n, sum(labelled) labelled, sum(bad) bad FROM l{k} WHERE child IS NOT NULL GROUP BY ALL),
-n{k} AS (SELECT *, count(*) OVER w children, sum(n) OVER w all_n, sum(labelled) OVER w o, sum(bad) OVER w b FROM c{k} WINDOW w AS (PARTITION BY host, template)),
-z{k} AS (SELECT *, (b + 0.5::DOUBLE) / (o + 1) p FROM n{k}),
-m{k} AS (SELECT host, template, child, CASE WHEN children > 1 AND ((children > {MANY} AND all_n < {FEW} * children) OR labelled = 0 OR
+    steps = []
+    for k in range(1, levels + 1):
+        steps.append(f"""
+c{k} AS MATERIALIZED (SELECT host, template, segments[{k}] AS child, count(*) AS m, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad FROM tree{k - 1} WHERE NOT ended GROUP BY ALL),
+n{k} AS (SELECT *, count(*) OVER w AS children, sum(m) OVER w AS all_m, sum(labelled) OVER w AS o, sum(bad) OVER w AS b FROM c{k} WINDOW w AS (PARTITION BY host, template)),
+z{k} AS (SELECT *, (b + 0.5::DOUBLE) / (o + 1) AS p FROM n{k}),
+m{k} AS MATERIALIZED (SELECT host, template, child, all_m = 1 AS alone, CASE WHEN children > 1 AND (labelled = 0 OR
   abs((bad + 0.5::DOUBLE) / (labelled + 1) - (b - bad + 0.5::DOUBLE) / (o - labelled + 1)) / sqrt(p * (1 - p) * (1.0::DOUBLE / (labelled + 1) + 1.0::DOUBLE / (o - labelled + 1))) <= {Z}) THEN '*' ELSE child END AS name FROM z{k}),
-tree{k} AS (SELECT l.host, l.segments, l.n, l.labelled, l.bad, l.template || coalesce('/' || m.name, '') AS template FROM l{k} l LEFT JOIN m{k} m ON l.host = m.host AND l.template = m.template AND l.child = m.child)""")
+tree{k} AS MATERIALIZED (SELECT * FROM tree{k - 1} WHERE ended UNION ALL
+  SELECT l.host, l.segments, l.n, l.labelled, l.bad, l.template || '/' || CASE WHEN alone THEN array_to_string(l.segments[{k}:], '/') ELSE m.name END, alone OR len(l.segments) = {k}
+  FROM tree{k - 1} l JOIN m{k} m ON NOT l.ended AND l.host = m.host AND l.template = m.template AND l.segments[{k}] = m.child)""")
     return f"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 hp AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-r0 AS (SELECT *, try_cast(nullif(regexp_extract(path, '([0-9]{{1,18}})[^0-9]*$', 1), '') AS BIGINT) AS doc, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {general}) AS a FROM hp),
-r AS (SELECT page_id, host, path, doc, CASE WHEN len(a) > {depth} THEN list_append(a[1:{depth - 1}], '**') ELSE a END AS segments FROM r0),
+r AS MATERIALIZED (SELECT *, try_cast(nullif(regexp_extract(path, '([0-9]{{1,18}})[^0-9]*$', 1), '') AS BIGINT) AS doc, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {general}) AS segments FROM hp),
 marks AS (SELECT doc_id AS doc, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
-tree0 AS (SELECT host, segments, count(*) AS n, count(m.bad) AS labelled, coalesce(sum(m.bad), 0) AS bad, '' AS template FROM r LEFT JOIN marks m USING (doc) GROUP BY host, segments),
-{','.join(levels)},
-total AS (SELECT CASE WHEN sum(labelled) > 0 THEN 1 - sum(bad)::DOUBLE / sum(labelled) ELSE 1 END AS prior FROM tree{depth}),
-purity AS (SELECT host, template, sum(labelled)::BIGINT AS n_labelled, round((sum(labelled) - sum(bad) + {WEIGHT}::DOUBLE * any_value(prior)) / (sum(labelled) + {WEIGHT}), 6) AS purity FROM tree{depth}, total GROUP BY host, template)
+tree0 AS MATERIALIZED (SELECT host, segments, count(*) AS n, count(m.bad) AS labelled, coalesce(sum(m.bad), 0) AS bad, '' AS template, len(segments) = 0 AS ended FROM r LEFT JOIN marks m USING (doc) GROUP BY host, segments),
+{','.join(steps)},
+tree AS (SELECT * REPLACE (CASE WHEN ended THEN template ELSE error('more levels') END AS template) FROM tree{levels}),
+total AS (SELECT CASE WHEN sum(labelled) > 0 THEN 1 - sum(bad)::DOUBLE / sum(labelled) ELSE 1 END AS prior FROM tree),
+purity AS (SELECT host, template, sum(labelled)::BIGINT AS n_labelled, round((sum(labelled) - sum(bad) + {WEIGHT}::DOUBLE * any_value(prior)) / (sum(labelled) + {WEIGHT}), 6) AS purity FROM tree, total GROUP BY host, template)
 SELECT r.page_id, r.host, r.path, rule, coalesce(ruled, CASE WHEN purity < {PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
   CASE WHEN t.template = '' THEN '/' ELSE t.template END AS template, p.n_labelled, p.purity
-FROM (SELECT *, CASE {cases(1)} END AS rule, CASE {cases(0)} END AS ruled FROM r) r JOIN tree{depth} t ON r.host = t.host AND r.segments = t.segments JOIN purity p ON p.host = t.host AND p.template = t.template"""
+FROM (SELECT *, CASE {cases(1)} END AS rule, CASE {cases(0)} END AS ruled FROM r) r JOIN tree t ON r.host = t.host AND r.segments = t.segments JOIN purity p ON p.host = t.host AND p.template = t.template"""

@@ -333,10 +333,10 @@ def test_cumulative_link_reaches_the_least_loss():
 
 def test_severity_comes_from_other_folds():
     rng = np.random.default_rng(5)
-    rows = [[0, 1] if i % 4 == 0 else [0] if i % 4 == 1 else [2] if rng.random() < 0.5 else [] for i in range(400)]
-    toxic = np.array([int(i % 4 < 2 and i % 40 != 1) for i in range(400)])
+    rows = [[0, 1] if i % 7 == 0 else [0] if i % 7 in (1, 2) else [2] if rng.random() < 0.5 else [] for i in range(700)]
+    toxic = np.array([int(i % 7 < 3 and i % 35 != 1) for i in range(700)])
     grades = toxicity.severity(rows, toxic, 3)
-    assert (grades[toxic == 0] == 0).all() and set(grades[toxic == 1]) == {1, 2} and (grades[::4] == 2).mean() > 0.8
+    assert (grades[toxic == 0] == 0).all() and set(grades[toxic == 1]) == {1, 2} and (grades[::7] == 2).all()
 
 
 def test_toxicity_held_out(spark, odd):
@@ -361,7 +361,7 @@ def test_license_rules(spark, odd):
     assert license_rules.scan(docs_of(spark, odd).limit(0)).count() == 0
 
 
-def test_license_rules_over_lines(spark):
+def licences_over_lines():
     import textwrap
 
     s = {k: v[0] for k, v in license_rules.SENTENCES.items()}
@@ -375,11 +375,55 @@ def test_license_rules_over_lines(spark):
         "2.0", "Version: 2.0", "X: MIT", "This Source Code Form is subject to the terms of the Mozilla Public License, v.\n2.0.", "# SPDX-License-Identifier: MIT\nimport x", "Released under the MIT\n\nLicense",
         "Licensed under the GNU General Public License, version\n3. Other words.", "Released under the MIT License of sorts.", "x\x02MIT\x02y",
     ]
+    return texts
+
+
+def test_license_rules_over_lines(spark):
+    texts = licences_over_lines()
     got = rows(license_rules.scan(docs_of(spark, texts)))
     assert [got[i].licenses for i in range(len(texts))] == ["MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "BSD-3-Clause", "GPL-3.0-or-later", "MIT", "MIT", "", "", "", "MPL-2.0", "MIT", "", "GPL-3.0-only", "", ""]
     assert [got[i].rules for i in range(6)] == ["mit-full,mit", "isc-full", "bsd-2-full", "bsd-3-full", "bsd-3-full", "gpl-3-header"] and got[2].n_known == 3 and got[8].sequence == "?"
 
 
+#: Texts as they stand in well-known files, typed here independently of the table, with the licence of each.
+TYPED = [
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS BE LIABLE.", "MIT"),
+    ("   Licensed under the Apache License, Version 2.0 (the \"License\");\n   you may not use this file except in compliance with the License.\n   You may obtain a copy of the License at\n\n       http://www.apache.org/licenses/LICENSE-2.0\n", "Apache-2.0"),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n", "Apache-2.0"),
+    ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\n# This program is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY; without even the implied warranty of\n", "GPL-3.0-or-later"),
+    (" * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version 2 of the License, or\n * (at your option) any later version.\n", "GPL-2.0-or-later"),
+    ("// This library is free software; you can redistribute it and/or\n// modify it under the terms of the GNU Lesser General Public\n// License as published by the Free Software Foundation; either\n// version 2.1 of the License, or (at your option) any later version.\n", "LGPL-2.1-or-later"),
+    ("    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU Affero General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.\n", "AGPL-3.0-or-later"),
+    ("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */", "MPL-2.0"),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007", "GPL-3.0-only"),
+    ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.\n", "Unlicense"),
+    ("  This software is provided 'as-is', without any express or implied\n  warranty.  In no event will the authors be held liable for any damages\n  arising from the use of this software.\n\n  Permission is granted to anyone to use this software for any purpose,\n  including commercial applications, and to alter it and redistribute it\n  freely, subject to the following restrictions:\n", "Zlib"),
+    ("//          Distributed under the Boost Software License, Version 1.0.\n//    (See accompanying file LICENSE_1_0.txt)", "BSL-1.0"),
+    ("/* SPDX-License-Identifier: GPL-2.0-or-later */\n", "GPL-2.0-or-later"),
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\nTHIS SOFTWARE", "BSD-2-Clause"),
+    ("changes\n2.0\n1.9\nMIT\nGrades: MIT.\nmit.", ""), ("We talked about the MIT License of sorts and the GNU project", ""),
+]
+
+
+def test_license_texts_typed_by_hand(spark):
+    got = rows(license_rules.scan(docs_of(spark, [t for t, _ in TYPED])))
+    assert [got[i].licenses for i in range(len(TYPED))] == [x for _, x in TYPED]
+
+
+def test_license_sql_equals_query(spark, odd):
+    import duckdb
+
+    texts = [*licences_over_lines(), *(t for t, _ in TYPED), *odd]
+    got = rows(license_rules.scan(docs_of(spark, texts)))
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", [list(x) for x in enumerate(texts)])
+    found = c.execute(license_rules.scan_sql())
+    names = [d[0] for d in found.description]
+    for r in map(lambda x: dict(zip(names, x, strict=True)), found.fetchall()):
+        assert got[r["doc_id"]].asDict() == r
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://Example.NET/en/1", "http://a.example.net/de/2", "https://x.example.com/de/3?x", "http://y.org/fr/4#a", "http://y.org", "http://z.com/a/b/c/d/e/f/99999", "http://net/1", "http://xnet/1"]
     pages = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(urls)] + [(100 + i, f"http://bad.com/spam/{i}.html", "x", 1) for i in range(40)] + [(200 + i, f"http://bad.com/good/{i + 100}.html", "x", 1) for i in range(40)], "page_id long, url string, host string, n int")
@@ -388,11 +432,32 @@ def test_url_filter(spark):
     assert [(got[i].host, got[i].path, got[i].rule) for i in range(11)] == [("", "", None), ("", "", None), ("", "", None), ("example.net", "/en/1", "example.net/en/"), ("a.example.net", "/de/2", "net/"), ("x.example.com", "/de/3", "example.com/de/"), ("y.org", "/fr/4", "org/fr/"), ("y.org", "", None), ("z.com", "/a/b/c/d/e/f/99999", None), ("net", "/1", "net/"), ("xnet", "/1", None)]
     assert [got[i].verdict for i in range(3, 7)] == ["allow", "block", "block", "allow"]
     assert {got[100 + i].verdict for i in range(40)} == {"block"} and {got[200 + i].verdict for i in range(40)} == {"allow"}
-    assert got[100].template == "/spam/{n}.html" and got[8].template.endswith("/**")
+    assert got[100].template == "/spam/{n}.html" and got[8].template == "/a/b/c/d/e/f/{n}"
+    assert rows(url_filter.filter_urls(pages, labels, depth=4), "page_id")[8].template == "/a/b/c/**"
     assert all(r.verdict == "allow" for r in url_filter.filter_urls(pages, labels.limit(0)).filter("rule is null").collect())
     assert url_filter.filter_urls(pages.limit(0), labels).count() == 0
 
 
+def test_url_filter_sql_equals_query(spark):
+    import duckdb
+
+    rng = random.Random(21)
+    urls = [f"http://{rng.choice(['a.com', 'b.org', 'c.de'])}" + "".join("/" + rng.choice(["x", "y", "news", str(rng.randrange(99)), "deadbeef01", "p12345q"]) for _ in range(rng.randrange(9))) + f"/{i}" for i in range(600)]
+    marks = [(i, int(("x/y" in u) == (rng.random() < 0.1)), rng.randrange(2) if i % 50 == 0 else 0) for i, u in enumerate(urls) if i % 3]
+    pages, labels = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    c = duckdb.connect()
+    c.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    c.execute("CREATE TABLE labels (doc_id BIGINT, quality INT, toxic INT)")
+    c.executemany("INSERT INTO pages VALUES (?, ?)", [list(x) for x in enumerate(urls)])
+    c.executemany("INSERT INTO labels VALUES (?, ?, ?)", [list(x) for x in marks])
+    found = c.execute(url_filter.filter_urls_sql())
+    names = [d[0] for d in found.description]
+    got = rows(url_filter.filter_urls(pages, labels), "page_id")
+    for r in map(lambda x: dict(zip(names, x, strict=True)), found.fetchall()):
+        assert got[r["page_id"]].asDict() == r
+    assert len({r.template for r in got.values()}) > 20
+
+
 def test_url_filter_keeps_branches_that_differ(spark, tmp_path):
     from quern.llm.queries import op8_url_filter
 
