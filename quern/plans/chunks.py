@@ -90,7 +90,15 @@ def replaced(spark, d):
     return ro.upsert(c, new, ["document_id"])
 
 
-@query("chk_05_split_table")
+HEADER = "'| text |' || chr(10) || '|---|'"
+FILL = f"""WITH RECURSIVE d AS (SELECT document_id, list_transform(string_split(text, chr(10)), lambda t: '| ' || substr(t, 1, 150) || ' |') AS w FROM ({v.SQL['kb_documents']})), t AS (SELECT document_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+ r AS (SELECT document_id, 0::BIGINT AS i, 0 AS piece, -1::BIGINT AS room FROM d UNION ALL
+ SELECT r.document_id, t.i, CASE WHEN t.i = 1 THEN 0 WHEN length(t.x) + 1 <= room THEN piece ELSE piece + 1 END, CASE WHEN t.i > 1 AND length(t.x) + 1 <= room THEN room ELSE 500 - 14 END - length(t.x) - 1 FROM r JOIN t ON t.document_id = r.document_id AND t.i = r.i + 1),
+ n AS (SELECT document_id, sum(length(x) + 1) + 14 AS n FROM t GROUP BY 1)
+SELECT r.document_id, CASE WHEN n <= 500 THEN 0 ELSE piece END AS i, {HEADER} || chr(10) || string_agg(x, chr(10) ORDER BY r.i) AS chunk FROM r JOIN t USING (document_id, i) JOIN n USING (document_id) GROUP BY r.document_id, 2"""
+
+
+@query("chk_05_split_table", FILL)
 def tables(spark, d):
     """Tables of a document's words, split by whole rows."""
     rows = v.kb_documents(spark, d).select("document_id", F.transform(F.split("text", "\n"), lambda t: F.concat(F.lit("| "), F.substring(t, 1, 150), F.lit(" |"))).alias("rows"))
@@ -102,7 +110,17 @@ def tables(spark, d):
     return rows.select("document_id", F.posexplode(cut("rows")).alias("i", "chunk"))
 
 
-@query("chk_07_boundary_overlap")
+#: Places behind white space in the last 320 characters, rated by kind and distance.
+BOUNDARY = r"""c AS (SELECT chunk_id, content, right(content, 320) AS tail FROM kb_chunks), w AS (SELECT chunk_id, tail, regexp_extract_all(tail, '\s+|\S+') AS w FROM c), k AS (SELECT chunk_id, length(tail) AS n, w, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+ p AS (SELECT *, sum(length(x)) OVER (PARTITION BY chunk_id ORDER BY i) AS e, lag(x) OVER (PARTITION BY chunk_id ORDER BY i) AS before FROM k),
+ q AS (SELECT chunk_id, n, e, x, before FROM p WHERE regexp_matches(x, '^\s') AND i < len(w)),
+ f AS (SELECT chunk_id, 0 AS kind, n - e AS far, n - e AS cost FROM q WHERE right(before, 1) IN ('.', '!', '?') AND n - e BETWEEN 80 AND 320
+  UNION ALL SELECT chunk_id, 1, z, z FROM (SELECT chunk_id, n - e + length(list_last(string_split(x, chr(10)))) AS z FROM q WHERE contains(x, chr(10))) WHERE z BETWEEN 80 AND 320
+  UNION ALL SELECT chunk_id, 2, n - e, abs(n - e - least(200, n)) FROM q WHERE n - e BETWEEN 1 AND 320),
+ b AS (SELECT chunk_id, arg_min(far, kind * 1000000 + cost * 1000 - far) AS far FROM f GROUP BY 1)"""
+
+
+@query("chk_07_boundary_overlap", BOUNDARY + r""";; SELECT chunk_id, CASE WHEN length(content) <= 10 THEN '' ELSE regexp_replace(right(content, coalesce(far, 200)::BIGINT), '^\s+|\s+$', '', 'g') END AS overlap FROM c LEFT JOIN b USING (chunk_id)""")
 def boundary(spark, d):
     @F.pandas_udf("string")
     def tail(t: pd.Series) -> pd.Series:
