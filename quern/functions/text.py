@@ -147,12 +147,21 @@ def route_format(filename, mime) -> Column:
     return out
 
 
-def extract_html(c, cap: int = 200_000) -> Column:
-    """Text of a page: no scripts, styles or tags, two entities, white space collapsed, at most ``cap`` characters."""
-    x = F.substring(_c(c), 1, cap)
+def extract_html(c, cap: int | None = 200_000) -> Column:
+    """Text of a page: no scripts, styles or tags, two entities, white space collapsed.
+
+    What stands beyond the first ``cap`` characters of the page is lost; with None nothing is.
+    """
+    x = F.substring(_c(c), 1, cap) if cap else _c(c)
     x = F.regexp_replace(x, r"(?is)<script.*?</script>|<style.*?</style>", " ")
     x = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", " "), "(?i)&nbsp;", " "), "(?i)&amp;", "&")
-    return F.substring(F.trim(F.regexp_replace(x, r"\s{2,}", " ")), 1, cap)
+    return F.trim(F.regexp_replace(x, r"\s{2,}", " "))
+
+
+def preview(c, size: int = 320) -> Column:
+    """The stripped text with line ends as spaces, cut to ``size`` characters and three dots."""
+    x = F.replace(strip(c), F.lit("\n"), F.lit(" "))
+    return F.when(F.length(x) > size, F.concat(F.substring(x, 1, size), F.lit("..."))).otherwise(x)
 
 
 def split_breadcrumb(c) -> tuple[Column, Column]:

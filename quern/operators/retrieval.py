@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.functions.english import stems
 from quern.functions.text import coverage
-from quern.functions.vectors import cosine, dot, normalised
+from quern.functions.vectors import normalised
 
 POOL, FUSED, FLOOR, PER_DOCUMENT, RRF_K, W_DENSE, W_LEXICAL = 60, 32, 0.25, 8, 60, 1.0, 0.8
 #: Bytes of question vectors that a task holds, and pairs that are scored at once.
@@ -43,12 +44,19 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return m / np.where(size == 0, 1, size)
 
 
-def similarities(queries: DataFrame, chunks: DataFrame, floor: float = FLOOR) -> DataFrame:
+def _block(queries: DataFrame, block: int, n_blocks: int, dim: int) -> tuple[pa.Array, np.ndarray]:
+    """Ids and unit vectors of one block of questions."""
+    rows = queries.select("query_id", "query_embedding").filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block).toArrow()
+    return rows.column("query_id").combine_chunks(), _matrix(rows.column("query_embedding").combine_chunks(), dim)
+
+
+def similarities(queries: DataFrame, chunks: DataFrame, floor: float = FLOOR, best: int | None = None) -> DataFrame:
     """(chunk columns, query_id, similarity) of all pairs at or above the floor.
 
     The questions are the stated query set. They go to the tasks in blocks of BLOCK_BYTES at most,
     whose size is counted first; chunks are read once per block and never shuffled. A batch of
-    chunks is one matrix product with the block, a few million pairs at a time.
+    chunks is one matrix product with the block, a few million pairs at a time. With ``best`` only the pairs leave
+    a batch that can be among the best so many of their question: those not below its best-th similarity there.
     """
     n = queries.count()
     dim = queries.agg(F.max(F.size("query_embedding"))).first()[0] or 1
@@ -57,8 +65,7 @@ def similarities(queries: DataFrame, chunks: DataFrame, floor: float = FLOOR) ->
     out = T.StructType([*kept, queries.schema["query_id"], T.StructField("similarity", T.DoubleType())])
     parts = []
     for block in range(n_blocks):
-        rows = queries.select("query_id", "query_embedding").filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block).toArrow()
-        ids, asked = rows.column("query_id").combine_chunks(), _matrix(rows.column("query_embedding").combine_chunks(), dim)
+        ids, asked = _block(queries, block, n_blocks, dim)
 
         def score(batches: Iterator[pa.RecordBatch], ids: pa.Array = ids, asked: np.ndarray = asked) -> Iterator[pa.RecordBatch]:
             step = max(1, PAIRS // max(1, len(ids)))
@@ -66,23 +73,55 @@ def similarities(queries: DataFrame, chunks: DataFrame, floor: float = FLOOR) ->
                 vectors = _matrix(b.column("embedding"), asked.shape[1])
                 for i in range(0, len(vectors), step):
                     s = np.round(vectors[i : i + step] @ asked.T, 6)
-                    at, q = np.nonzero(s >= floor)
+                    least = np.partition(s, -best, axis=0)[-best] if best and len(s) > best else floor
+                    at, q = np.nonzero((s >= floor) & (s >= least))
                     yield pa.RecordBatch.from_arrays([*(b.column(f.name).take(pa.array(at + i)) for f in kept), ids.take(pa.array(q)), pa.array(s[at, q])], [f.name for f in out])
 
         parts.append(chunks.mapInArrow(score, out))
     return reduce(DataFrame.unionByName, parts)
 
 
+def similarity_summary(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Per question, how many chunks it was compared with and the best similarity; each batch leaves one row per question."""
+    chunk = chunks.select("embedding")
+    n = queries.count()
+    dim = queries.agg(F.max(F.size("query_embedding"))).first()[0] or 1
+    n_blocks = max(1, -(-n * dim * 8 // BLOCK_BYTES))
+    out = T.StructType([queries.schema["query_id"], T.StructField("n", T.LongType()), T.StructField("best", T.DoubleType())])
+    parts = []
+    for block in range(n_blocks):
+        ids, asked = _block(queries, block, n_blocks, dim)
+
+        def score(batches: Iterator[pa.RecordBatch], ids: pa.Array = ids, asked: np.ndarray = asked) -> Iterator[pa.RecordBatch]:
+            step = max(1, PAIRS // max(1, len(ids)))
+            for b in batches:
+                vectors = _matrix(b.column("embedding"), asked.shape[1])
+                for i in range(0, len(vectors) if len(ids) else 0, step):
+                    s = np.round(vectors[i : i + step] @ asked.T, 6)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(ids), len(s))), pa.array(s.max(axis=0))], ["query_id", "n", "best"])
+
+        parts.append(chunk.mapInArrow(score, out))
+    return reduce(DataFrame.unionByName, parts).groupBy("query_id").agg(F.sum("n").alias("n"), F.max("best").alias("best"))
+
+
 def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = POOL, floor: float = FLOOR) -> DataFrame:
-    return top(similarities(queries, chunks, floor), "similarity", min(max(k, 1), POOL))
+    k = min(max(k, 1), POOL)
+    return top(similarities(queries, chunks, floor, k), "similarity", k)
 
 
 def per_document_cap(candidates: DataFrame, score: str = "similarity", cap: int = PER_DOCUMENT, pool: int = POOL) -> DataFrame:
-    """At most ``cap`` rows of a document where a query has several documents, else the pool; then the pool's best."""
-    many = candidates.groupBy("query_id").agg((F.min("document_id") < F.max("document_id")).alias("_many"))
+    """At most ``cap`` rows of a document where a query has several documents, else the pool; then the pool's best.
+
+    The candidates are read once. Each query keeps the pool's best of the rows within the cap and of those beyond it;
+    the former have at least two documents if the query has, so that is seen in these few rows.
+    """
     w = Window.partitionBy("query_id", "document_id").orderBy(F.col(score).desc(), "chunk_id")
-    capped = candidates.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= pool).join(many, "query_id").filter(F.col("_r") <= F.when(F.col("_many"), cap).otherwise(pool))
-    return top(capped.drop("_r", "_many"), score, pool)
+    ranked = candidates.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= pool).withColumn("_over", F.col("_r") > cap)
+    w = Window.partitionBy("query_id", "_over").orderBy(F.col(score).desc(), "chunk_id")
+    few = ranked.withColumn("_p", F.row_number().over(w)).filter(F.col("_p") <= pool)
+    of = Window.partitionBy("query_id")
+    several = F.min("document_id").over(of) < F.max("document_id").over(of)
+    return top(few.withColumn("_several", several).filter("NOT (_over AND _several)").drop("_r", "_over", "_p", "_several"), score, pool)
 
 
 def merge_variants(candidates: DataFrame, score: str = "similarity") -> DataFrame:
@@ -90,48 +129,83 @@ def merge_variants(candidates: DataFrame, score: str = "similarity") -> DataFram
     return top(candidates.groupBy("query_id", "chunk_id").agg(F.max(score).alias(score)), score, POOL)
 
 
-def ann_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, cells: int = 64, probes: int = 40, sample: int = 4096, seed: int = 7) -> DataFrame:
-    """Approximate dense search: k-means cells fitted on a bounded sample of vectors, every vector assigned once, ``probes`` cells asked by an equi-join."""
+def ann_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, share: float = 0.7, sample: int = 4096, seed: int = 7, cells: int | None = None) -> DataFrame:
+    """(query_id, chunk_id, similarity, position): approximate dense search in the cells nearest to each question.
+
+    Cells are the k-means centres of at most ``sample`` vectors, as many as the square root of the number of
+    vectors unless given, but no more than the sample has room for. Every vector belongs to its nearest cell. A question asks the nearest cells that
+    hold ``share`` of the sample. A batch of chunks is scored cell by cell, one matrix product with the questions
+    that ask it, so nothing is joined and no cell is a hot key.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    unit = lambda df, c: df.withColumn("features", array_to_vector(normalised(F.col(c))))
-    some = unit(chunks, "embedding").orderBy(F.xxhash64("chunk_id")).limit(sample)
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(some)
-    centers = [[float(x) for x in c] for c in model.clusterCenters()]
-    held = model.transform(unit(chunks, "embedding")).withColumnRenamed("prediction", "cell").drop("features")
-    near = lambda q: F.slice(F.reverse(F.array_sort(F.array(*(F.struct(dot(q, F.array(*map(F.lit, c))).alias("s"), F.lit(i).alias("cell")) for i, c in enumerate(centers))))), 1, probes)
-    asked = queries.select("query_id", "query_embedding", F.explode(near(normalised(F.col("query_embedding")))).alias("n")).select("query_id", "query_embedding", "n.cell")
-    found = held.join(asked, "cell").withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("query_embedding")), 6)).select("query_id", "chunk_id", "similarity")
-    return top(found, "similarity", k)
+    n_chunks, n = chunks.count(), queries.count()
+    dim = queries.agg(F.max(F.size("query_embedding"))).first()[0] or 1
+    cells = cells or max(2, min(int(n_chunks**0.5), sample // 16))
+    some = chunks.orderBy(F.xxhash64("chunk_id")).limit(sample).select(array_to_vector(normalised(F.col("embedding"))).alias("features"))
+    centres = np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(some).clusterCenters())
+    centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+    held = np.array([v.toArray() for (v,) in some.collect()])
+    full = np.bincount((held @ centres.T).argmax(axis=1), minlength=len(centres)) / max(1, len(held))
+    out = T.StructType([queries.schema["query_id"], chunks.schema["chunk_id"], T.StructField("similarity", T.DoubleType())])
+    n_blocks, parts = max(1, -(-n * dim * 8 // BLOCK_BYTES)), []
+    for block in range(n_blocks):
+        ids, asked = _block(queries, block, n_blocks, dim)
+        order = np.argsort(-(asked @ centres.T), axis=1)
+        before = np.cumsum(full[order], axis=1) - full[order]
+        asks = np.zeros((len(ids), len(centres)), bool)
+        np.put_along_axis(asks, order, before < share, axis=1)
+
+        def score(batches: Iterator[pa.RecordBatch], ids: pa.Array = ids, asked: np.ndarray = asked, asks: np.ndarray = asks) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                vectors = _matrix(b.column("embedding"), asked.shape[1])
+                cell = (vectors @ centres.T).argmax(axis=1)
+                for c in np.unique(cell):
+                    mine, who = np.flatnonzero(cell == c), np.flatnonzero(asks[:, c])
+                    if len(who):
+                        s = np.round(vectors[mine] @ asked[who].T, 6)
+                        least = np.partition(s, -k, axis=0)[-k] if len(s) > k else -np.inf
+                        at, q = np.nonzero(s >= least)
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(who[q])), b.column("chunk_id").take(pa.array(mine[at])), pa.array(s[at, q])], [f.name for f in out])
+
+        parts.append(chunks.select("chunk_id", "embedding").mapInArrow(score, out))
+    return top(reduce(DataFrame.unionByName, parts), "similarity", k)
+
 
+def _words(text: Column, english: bool) -> Column:
+    """Words of [a-z0-9] of a text in order; with ``english`` their stems, empty for stop words, which keep their places."""
+    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    return stems(words) if english else words
 
-def postings(chunks: DataFrame, content: str = "content") -> DataFrame:
-    """(chunk_id, document_id, term, position) of the words of [a-z0-9] of a chunk; positions from 1."""
-    words = F.filter(F.split(F.lower(F.col(content)), "[^a-z0-9]+"), lambda w: w != "")
-    return chunks.select("chunk_id", "document_id", F.posexplode(words).alias("position", "term")).withColumn("position", F.col("position") + 1)
 
+def postings(chunks: DataFrame, content: str = "content", english: bool = False) -> DataFrame:
+    """(chunk_id, document_id, term, position) of the words of a chunk; positions from 1."""
+    placed = chunks.select("chunk_id", "document_id", F.posexplode(_words(F.col(content), english)).alias("position", "term"))
+    return placed.filter("term <> ''").withColumn("position", F.col("position") + 1)
 
-def query_terms(queries: DataFrame, text: str = "question") -> DataFrame:
+
+def query_terms(queries: DataFrame, text: str = "question", english: bool = False) -> DataFrame:
     """(query_id, kind, group, offset, term) of a web-search query: words must occur, ``or`` joins, "..." is a phrase, - excludes.
 
     A group is met by any of its alternatives; an alternative is one word (offset 0) or a phrase's words in
-    place; kind is ``all`` or ``not``.
+    place; kind is ``all`` or ``not``. With ``english`` stop words ask for nothing.
     """
     tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r'(-?"[^"]*"|[^\s"]+)'), 1)
     rows = queries.select("query_id", F.posexplode(tokens).alias("i", "token"))
     w = Window.partitionBy("query_id").orderBy("i")
     rows = rows.withColumn("before", F.lag("token").over(w)).filter("token <> 'or'")
     rows = rows.withColumn("new", F.when(F.coalesce(F.col("before") == "or", F.lit(False)), 0).otherwise(1)).withColumn("group", F.sum("new").over(w))
-    words = F.filter(F.split(F.col("token"), "[^a-z0-9]+"), lambda x: x != "")
     kind = F.when(F.startswith("token", F.lit("-")), "not").otherwise("all")
-    return rows.select("query_id", kind.alias("kind"), "group", F.col("i").alias("alternative"), F.size(words).alias("n"), F.posexplode(words).alias("offset", "term"))
+    rows = rows.select("query_id", kind.alias("kind"), "group", F.col("i").alias("alternative"), _words(F.col("token"), english).alias("words"))
+    asked = F.size(F.filter("words", lambda x: x != ""))
+    return rows.select("query_id", "kind", "group", "alternative", asked.alias("n"), F.posexplode("words").alias("offset", "term")).filter("term <> ''")
 
 
-def lexical_match(queries: DataFrame, chunks: DataFrame, text: str = "question") -> DataFrame:
+def lexical_match(queries: DataFrame, chunks: DataFrame, text: str = "question", english: bool = False) -> DataFrame:
     """(query_id, chunk_id, document_id) of the chunks that meet every group and no excluded alternative; a query without terms gives no rows."""
-    wanted = query_terms(queries, text)
-    hits = postings(chunks).join(wanted, "term").select("query_id", "chunk_id", "document_id", "kind", "group", "alternative", "n", "offset", (F.col("position") - F.col("offset")).alias("at"))
+    wanted = query_terms(queries, text, english)
+    hits = postings(chunks, english=english).join(wanted, "term").select("query_id", "chunk_id", "document_id", "kind", "group", "alternative", "n", "offset", (F.col("position") - F.col("offset")).alias("at"))
     whole = hits.groupBy("query_id", "chunk_id", "document_id", "kind", "group", "alternative", "n", "at").agg(F.count_distinct("offset").alias("m")).filter("m = n")
     met = whole.filter("kind = 'all'").groupBy("query_id", "chunk_id", "document_id").agg(F.count_distinct("group").alias("met"))
     need = wanted.filter("kind = 'all'").groupBy("query_id").agg(F.count_distinct("group").alias("need"))
@@ -139,7 +213,7 @@ def lexical_match(queries: DataFrame, chunks: DataFrame, text: str = "question")
     return met.join(need, "query_id").filter("met = need").join(out, ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id", "document_id")
 
 
-def cover_density(queries: DataFrame, chunks: DataFrame, text: str = "question") -> DataFrame:
+def cover_density(queries: DataFrame, chunks: DataFrame, text: str = "question", english: bool = False) -> DataFrame:
     """(query_id, chunk_id, document_id, lexical_rank) by cover density over the plain words of a query, all of which must occur.
 
     A cover is a shortest stretch that holds all words; it adds 0.1 / (1 + words in it that aren't
@@ -148,11 +222,10 @@ def cover_density(queries: DataFrame, chunks: DataFrame, text: str = "question")
     are looked at place by place; a word's last place is one running aggregate.
     """
     w = Window.partitionBy("query_id").orderBy("term")
-    asked = query_terms(queries, text).filter("kind = 'all'").select("query_id", "term").distinct().withColumn("j", F.row_number().over(w) - 1)
+    asked = query_terms(queries, text, english).filter("kind = 'all'").select("query_id", "term").distinct().withColumn("j", F.row_number().over(w) - 1)
     need = asked.groupBy("query_id").agg(F.count("*").alias("n"))
     most = need.agg(F.max("n")).first()[0] or 0
-    words = F.filter(F.split(F.lower(F.col("content")), "[^a-z0-9]+"), lambda x: x != "")
-    held = chunks.select("chunk_id", "document_id", words.alias("words"))
+    held = chunks.select("chunk_id", "document_id", _words(F.col("content"), english).alias("words"))
     by_term = held.select("chunk_id", F.explode(F.array_distinct("words")).alias("term")).join(asked, "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("met"))
     all_met = by_term.join(need, "query_id").filter("met = n").select("query_id", "chunk_id", "n")
     places = held.join(all_met, "chunk_id").select("query_id", "chunk_id", "document_id", "n", F.posexplode("words").alias("position", "term")).join(asked, ["query_id", "term"])
@@ -177,7 +250,7 @@ def rrf_fuse(dense: DataFrame, lexical: DataFrame, k: int = RRF_K, w_dense: floa
     return both.withColumn("fused_position", F.row_number().over(w)).filter(F.col("fused_position") <= limit)
 
 
-def heuristic_rerank(fused: DataFrame, queries: DataFrame, chunks: DataFrame, k: int = 12, question: str = "question", content: str = "content") -> DataFrame:
+def heuristic_rerank(fused: DataFrame, queries: DataFrame, chunks: DataFrame, k: int = FUSED, question: str = "question", content: str = "content") -> DataFrame:
     """0.6 of the question's terms that the content has plus 0.4 of the similarity; ties by fusion score, then chunk."""
     rows = fused.join(queries.select("query_id", F.col(question).alias("_q")), "query_id").join(chunks.select("chunk_id", "document_id", F.col(content).alias("_c")), "chunk_id")
     rows = rows.withColumn("rerank_score", F.round(0.6 * coverage("_q", "_c") + 0.4 * F.coalesce("similarity", F.lit(0.0)), 4)).drop("_q", "_c")
@@ -185,19 +258,36 @@ def heuristic_rerank(fused: DataFrame, queries: DataFrame, chunks: DataFrame, k:
     return rows.withColumn("final_position", F.row_number().over(w)).filter(F.col("final_position") <= k)
 
 
+def _reason(n: Column, support: Column, similarity: Column, rerank: Column, min_rerank: float, min_similarity: float, min_chunks: int) -> Column:
+    weak = ~(rerank.isNull() | (rerank >= min_rerank)) | ~(similarity.isNull() | (similarity >= min_similarity))
+    return F.when(n.isNull(), "no_candidates").when(weak, "weak_top_score").when(support < min_chunks, "insufficient_support").otherwise("ok")
+
+
+def _supports(supporting: float, min_similarity: float) -> Column:
+    return F.when(F.col("rerank_score").isNotNull(), F.col("rerank_score") >= supporting).otherwise(F.coalesce("similarity", F.lit(0.0)) >= min_similarity)
+
+
 def evidence_gate(queries: DataFrame, ranked: DataFrame, min_rerank: float = 0.35, min_similarity: float = 0.30, min_chunks: int = 1, supporting: float = 0.30) -> DataFrame:
     """One verdict per query: no_candidates, weak_top_score, insufficient_support or ok."""
-    supports = F.when(F.col("rerank_score").isNotNull(), F.col("rerank_score") >= supporting).otherwise(F.coalesce("similarity", F.lit(0.0)) >= min_similarity)
+    supports = _supports(supporting, min_similarity)
     seen = ranked.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(supports).alias("supporting_chunks"), F.count_distinct(F.when(supports, F.col("document_id"))).alias("distinct_documents"), F.max("similarity").alias("best_similarity"), F.max("rerank_score").alias("best_rerank_score"))
+    reason = _reason(F.col("n"), F.col("supporting_chunks"), F.col("best_similarity"), F.col("best_rerank_score"), min_rerank, min_similarity, min_chunks)
     rows = queries.select("query_id").join(seen, "query_id", "left")
-    weak = ~(F.col("best_rerank_score").isNull() | (F.col("best_rerank_score") >= min_rerank)) | ~(F.col("best_similarity").isNull() | (F.col("best_similarity") >= min_similarity))
-    reason = F.when(F.col("n").isNull(), "no_candidates").when(weak, "weak_top_score").when(F.col("supporting_chunks") < min_chunks, "insufficient_support").otherwise("ok")
     return rows.select("query_id", (reason == "ok").alias("grounded"), reason.alias("reason"), F.coalesce("supporting_chunks", F.lit(0)).alias("supporting_chunks"), F.coalesce("distinct_documents", F.lit(0)).alias("distinct_documents"), "best_similarity", "best_rerank_score")
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 12) -> tuple[DataFrame, DataFrame]:
-    """Dense and lexical lists, fused and reranked: (ranked passages, verdicts)."""
-    dense = per_document_cap(similarities(queries, chunks))
-    lexical = top(cover_density(queries, chunks), "lexical_rank", POOL)
-    ranked = heuristic_rerank(rrf_fuse(dense, lexical), queries, chunks, k)
-    return ranked, evidence_gate(queries, ranked)
+def with_reason(ranked: DataFrame, min_rerank: float = 0.35, min_similarity: float = 0.30, min_chunks: int = 1, supporting: float = 0.30) -> DataFrame:
+    """The ranked passages with their query's verdict in ``reason``, found over the query's rows without reading them twice."""
+    w = Window.partitionBy("query_id")
+    seen = ranked.withColumn("_n", F.count_if(_supports(supporting, min_similarity)).over(w)).withColumn("_s", F.max("similarity").over(w)).withColumn("_b", F.max("rerank_score").over(w))
+    return seen.withColumn("reason", _reason(F.lit(1), F.col("_n"), F.col("_s"), F.col("_b"), min_rerank, min_similarity, min_chunks)).drop("_n", "_s", "_b")
+
+
+def retrieve(queries: DataFrame, vectors: DataFrame, passages: DataFrame) -> DataFrame:
+    """Dense and lexical lists, fused and reranked: at most FUSED ranked passages a query.
+
+    vectors: the chunks that have an embedding, for dense search; passages: all chunks with their content, for full-text search.
+    """
+    dense = per_document_cap(similarities(queries, vectors))
+    lexical = top(cover_density(queries, passages), "lexical_rank", POOL)
+    return heuristic_rerank(rrf_fuse(dense, lexical), queries, passages)

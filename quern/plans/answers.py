@@ -10,7 +10,8 @@ from quern.operators import citations as ct
 from quern.operators import context as cx
 from quern.operators import retrieval as rt
 from quern.plans.registry import query
-from quern.plans.retrieval import RANKED
+from quern.plans.retrieval import GATE, RANKED, ranked_passages
+from quern.sources import files
 from quern.sources import views as v
 
 KNOWN = [f"source_{i:02d}" for i in range(1, 8)]
@@ -96,7 +97,11 @@ def delivery(spark, d):
     return ct.plan_delivery(_validated(spark, d), v.kb_answers(spark, d))
 
 
-@query("cit_09_emission_chunks")
+@query("cit_09_emission_chunks", r"""WITH RECURSIVE k AS (SELECT answer_id, regexp_extract_all(answer, '\s+|\S+') AS w FROM (KB)), t AS (SELECT answer_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM k),
+ r AS (SELECT answer_id, 0::BIGINT AS i, 0 AS at, 0::BIGINT AS size, 0 AS piece FROM k UNION ALL
+ SELECT answer_id, i, CASE WHEN size + n >= 240 AND NOT cut OR cut AND n >= 240 THEN piece + 1 ELSE piece END, CASE WHEN cut THEN CASE WHEN n >= 240 THEN 0 ELSE n END WHEN size + n >= 240 THEN 0 ELSE size + n END, piece
+ FROM (SELECT r.answer_id, t.i, r.size, length(t.x) AS n, r.size > 0 AND r.size + length(t.x) > 240 AS cut, CASE WHEN r.size > 0 AND r.size + length(t.x) > 240 THEN r.at + 1 ELSE r.at END AS piece FROM r JOIN t ON t.answer_id = r.answer_id AND t.i = r.i + 1))
+SELECT answer_id, piece AS i, string_agg(x, '' ORDER BY r.i) AS piece FROM r JOIN t USING (answer_id, i) GROUP BY 1, 2""".replace("(KB)", f"({v.SQL['kb_answers']})"))
 def emission(spark, d):
     return v.kb_answers(spark, d).select("answer_id", F.posexplode(ct.emission_chunks(F.col("answer"))).alias("i", "piece"))
 
@@ -145,12 +150,12 @@ def cited_sources(spark, d):
 
 
 # Evidence packing over the flagship's ranked passages.
-PACK = RANKED + ", pk AS (SELECT r.query_id, r.chunk_id, r.document_id, c.page, c.filename, r.rerank_score, r.final_position, c.content, substr(c.content, 1, 1800) AS snippet FROM ranked r JOIN kb_corpus c USING (chunk_id))"
+PACK = RANKED + ", pk AS (SELECT r.query_id, r.chunk_id, r.document_id, c.page, c.filename, r.rerank_score, r.final_position, c.content, substr(c.content, 1, 1800) AS snippet FROM ranked r JOIN kb_passages c USING (chunk_id))"
 
 
 def _ranked(spark, d):
-    q, c = v.kb_questions(spark, d), v.kb_corpus(spark, d)
-    return rt.retrieve(q, c)[0].drop("document_id").join(c.select("chunk_id", "document_id", "page", "chunk_index", "filename", "content"), "chunk_id").withColumn("snippet", F.substring("content", 1, cx.SNIPPET))
+    c = v.kb_passages(spark, d)
+    return ranked_passages(spark, d).drop("document_id").join(c.select("chunk_id", "document_id", "page", "chunk_index", "filename", "content"), "chunk_id").withColumn("snippet", F.substring("content", 1, cx.SNIPPET))
 
 
 @query("ev_02_comparison_coverage", PACK + r", rep AS (SELECT query_id, count(DISTINCT document_id % 3) AS got FROM pk GROUP BY 1);; SELECT q.query_id, NOT regexp_matches(question || CASE WHEN q.query_id % 100 = 0 THEN ' versus' ELSE '' END, '(?i)\b(compar\w*|contrast\w*|versus|vs|each document)\b') OR coalesce(got, 0) = 3 AS covered FROM kb_questions q LEFT JOIN rep USING (query_id)")
@@ -278,3 +283,20 @@ def containment(spark, d):
     return c.select("query_id", (~F.contains(F.regexp_replace("c", r"(?s)<evidence.*?</evidence>", ""), F.lit("the"))).alias("contained"))
 
 
+@query("ev_20_evidence_ids_valid", RANKED + ", " + GATE + r""", ev AS (SELECT query_id, (query_id // 50) % 5 AS k, final_position AS p, document_id, chunk_id FROM ranked WHERE final_position <= 12),
+ e AS (SELECT query_id, CASE WHEN k = 1 THEN 'source_01' WHEN k = 2 AND p = 1 THEN 'source_1' ELSE 'source_' || lpad(p::VARCHAR, 2, '0') END AS source_id, CASE WHEN k = 3 AND p = 1 THEN -1 ELSE chunk_id END AS chunk_id, document_id FROM ev),
+ t AS (SELECT query_id, count(*) AS n, count(DISTINCT source_id) AS ids, count(DISTINCT e.chunk_id) AS chunks, bool_and(regexp_full_match(source_id, 'source_\d{2}')) AS formed, bool_and(EXISTS (SELECT 1 FROM ranked r WHERE r.query_id = e.query_id AND r.chunk_id = e.chunk_id AND r.document_id = e.document_id)) AS member FROM e GROUP BY 1)
+;; SELECT v.query_id, CASE WHEN n IS NULL THEN reason <> 'ok' ELSE ids = n AND chunks = n AND formed AND member END AS valid FROM verdict v LEFT JOIN t USING (query_id)""")
+def evidence_valid(spark, d):
+    """The first twelve passages as evidence, made wrong for three questions in five: one id for all, an id without its zero, a chunk that isn't ranked."""
+    ranked = files.written(ranked_passages(spark, d))
+    k, first = F.expr("query_id DIV 50 % 5"), F.col("final_position") == 1
+    name = F.when(k == 1, "source_01").when((k == 2) & first, "source_1").otherwise(cx.source_id(F.col("final_position")))
+    evidence = ranked.filter("final_position <= 12").select("query_id", name.alias("source_id"), F.when((k == 3) & first, -1).otherwise(F.col("chunk_id")).alias("chunk_id"), "document_id")
+    return cx.evidence_ids_valid(evidence, ranked, rt.evidence_gate(v.kb_questions(spark, d), ranked))
+
+
+@query("ev_21_source_preview", r"t AS (SELECT chunk_id, document_id, filename, page, chunk_index / 7 AS score, replace(regexp_replace(content, '^\s+|\s+$', '', 'g'), chr(10), ' ') AS t FROM kb_chunks);; SELECT chunk_id, document_id, filename, page, round(score, 4) AS relevance_score, CASE WHEN length(t) > 320 THEN substr(t, 1, 320) || '...' ELSE t END AS snippet FROM t")
+def previews(spark, d):
+    c = v.kb_chunks(spark, d)
+    return c.select("chunk_id", "document_id", "filename", "page", F.round(F.col("chunk_index") / 7, 4).alias("relevance_score"), tx.preview("content").alias("snippet"))

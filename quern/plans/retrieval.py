@@ -11,12 +11,8 @@ from quern.operators import retrieval as rt
 from quern.plans.registry import query
 from quern.sources import views as v
 
-# The topics' words.
-TOPICS = [
-    "revenue,fiscal,employees,expenses,headcount,salary".split(","), "encrypt,security,backup,retained,retention,policy".split(","),
-    "churn,leaving,cancel,incident,production,availability,team,owns,slo,target".split(","), "price,pricing,tier,enterprise,order form,cost".split(","),
-    "contract,agreement,warrants,legal,promises".split(","), "onboarding,api access,appendix,summarise,summarize,guide".split(","),
-]
+#: Words of the topics that messages are held against; any lists will do.
+TOPICS = [["price", "cost", "pay"], ["the", "and", "of"], ["time", "day", "week"], ["in", "on", "at"]]
 
 _stop = lambda words: "[" + ",".join(f"'{w}'" for w in words) + "]"
 
@@ -28,7 +24,7 @@ def _terms(col: str, keep: str, stop: list[str]) -> str:
 CONTENT, TERMS = (lambda c: _terms(c, ".-", tx.CONTENT_STOP)), (lambda c: _terms(c, "-", tx.TERM_STOP))
 SIM = "sim AS (SELECT query_id, chunk_id, document_id, round(list_cosine_similarity(embedding::DOUBLE[], query_embedding::DOUBLE[]), 6) AS similarity FROM kb_corpus, kb_questions), elig AS (SELECT * FROM sim WHERE similarity >= 0.25)"
 CAPPED = SIM + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY similarity DESC, chunk_id) AS dr FROM elig), m AS (SELECT query_id, count(DISTINCT document_id) AS docs FROM elig GROUP BY 1), dense AS (SELECT * FROM (SELECT r.query_id, r.chunk_id, r.document_id, similarity, row_number() OVER (PARTITION BY r.query_id ORDER BY similarity DESC, chunk_id) AS position FROM r JOIN m USING (query_id) WHERE dr <= CASE WHEN docs > 1 THEN 8 ELSE 60 END) WHERE position <= 60)"
-POST = "post AS (SELECT chunk_id, document_id, unnest(w) AS term, generate_subscripts(w, 1) AS position FROM (SELECT chunk_id, document_id, list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM kb_corpus))"
+POST = "post AS (SELECT chunk_id, document_id, unnest(w) AS term, generate_subscripts(w, 1) AS position FROM (SELECT chunk_id, document_id, list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM kb_passages))"
 ASKED = "asked AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(lower(question), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM kb_questions)"
 COVER = POST + ", " + ASKED + """, need AS (SELECT query_id, count(*) AS n FROM asked GROUP BY 1), hits AS (SELECT query_id, chunk_id, document_id, term, position FROM post JOIN asked USING (term)),
  ends AS (SELECT h.query_id, h.chunk_id, h.document_id, h.position AS e, g.term, max(g.position) AS lastp FROM hits h JOIN hits g ON h.query_id = g.query_id AND h.chunk_id = g.chunk_id AND g.position <= h.position GROUP BY 1, 2, 3, 4, 5),
@@ -38,13 +34,24 @@ COVER = POST + ", " + ASKED + """, need AS (SELECT query_id, count(*) AS n FROM
  lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lexical_rank DESC, chunk_id) AS position FROM lexr) WHERE position <= 60)"""
 FUSED = CAPPED + ", " + COVER + """, f0 AS (SELECT query_id, chunk_id, d.position AS dense_position, d.similarity, l.position AS lexical_position, l.lexical_rank, round(coalesce(1.0::DOUBLE / (60 + d.position), 0) + coalesce(0.8::DOUBLE / (60 + l.position), 0), 8) AS fusion_score FROM dense d FULL JOIN lexical l USING (query_id, chunk_id)),
  fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fusion_score DESC, similarity DESC NULLS LAST, chunk_id) AS fused_position FROM f0) WHERE fused_position <= 32)"""
-RANKED = FUSED + f""", tq AS (SELECT query_id, list_distinct({CONTENT('question')}) AS q FROM kb_questions), tc AS (SELECT chunk_id, document_id, list_distinct({CONTENT('content')}) AS c FROM kb_corpus),
+RANKED = FUSED + f""", tq AS (SELECT query_id, list_distinct({CONTENT('question')}) AS q FROM kb_questions), tc AS (SELECT chunk_id, document_id, list_distinct({CONTENT('content')}) AS c FROM kb_passages),
  rr AS (SELECT fused.*, document_id, round(0.6::DOUBLE * CASE WHEN len(q) = 0 THEN 0 ELSE len(list_filter(q, lambda t: list_contains(c, t)))::DOUBLE / len(q) END + 0.4::DOUBLE * coalesce(similarity, 0), 4) AS rerank_score FROM fused JOIN tq USING (query_id) JOIN tc USING (chunk_id)),
- ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fusion_score DESC, chunk_id) AS final_position FROM rr) WHERE final_position <= 12)"""
+ ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fusion_score DESC, chunk_id) AS final_position FROM rr) WHERE final_position <= 32)"""
 GATE = """seen AS (SELECT query_id, count(*) AS n, count(*) FILTER (rerank_score >= 0.30) AS supporting_chunks, count(DISTINCT document_id) FILTER (rerank_score >= 0.30) AS distinct_documents, max(similarity) AS best_similarity, max(rerank_score) AS best_rerank_score FROM ranked GROUP BY 1),
  verdict AS (SELECT q.query_id, CASE WHEN n IS NULL THEN 'no_candidates' WHEN best_rerank_score < 0.35 OR best_similarity < 0.30 THEN 'weak_top_score' WHEN supporting_chunks < 1 THEN 'insufficient_support' ELSE 'ok' END AS reason, coalesce(supporting_chunks, 0) AS supporting_chunks, coalesce(distinct_documents, 0) AS distinct_documents, best_similarity, best_rerank_score FROM kb_questions q LEFT JOIN seen USING (query_id))"""
 
 
+def ranked_passages(spark, d):
+    """The flagship's ranked passages: dense search over the vectors, full-text search over all documents."""
+    return rt.retrieve(v.kb_questions(spark, d), v.kb_corpus(spark, d), v.kb_passages(spark, d))
+
+
+def _lists(spark, d):
+    """The dense and the lexical list that are fused."""
+    q = v.kb_questions(spark, d)
+    return rt.per_document_cap(rt.similarities(q, v.kb_corpus(spark, d))), rt.top(rt.cover_density(q, v.kb_passages(spark, d)), "lexical_rank", rt.POOL)
+
+
 @query("ret_01_dense_topk", SIM + ";; SELECT query_id, chunk_id, similarity, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS position FROM elig) WHERE position <= 20")
 def dense(spark, d):
     return rt.dense_topk(v.kb_questions(spark, d), v.kb_corpus(spark, d), 20).select("query_id", "chunk_id", "similarity", "position")
@@ -73,17 +80,29 @@ def matched(spark, d):
     """Asks: first word or second, the phrase of the third and fourth, and not the fifth (spelt wrong)."""
     w = F.filter(F.split(F.lower("question"), "[^a-z0-9]+"), lambda x: x != "")
     q = v.kb_questions(spark, d).withColumn("w", w).filter("size(w) >= 5").selectExpr("query_id", "concat(w[0], ' or ', w[1], ' \"', w[2], ' ', w[3], '\" -', w[4], 'zz') AS question")
-    return rt.lexical_match(q, v.kb_corpus(spark, d))
+    return rt.lexical_match(q, v.kb_passages(spark, d))
 
 
 @query("ret_06_cover_density", COVER + ";; SELECT query_id, chunk_id, document_id, lexical_rank FROM lexr")
 def cover(spark, d):
-    return rt.cover_density(v.kb_questions(spark, d), v.kb_corpus(spark, d))
+    return rt.cover_density(v.kb_questions(spark, d), v.kb_passages(spark, d))
 
 
 @query("ret_07_lexical_topk", COVER + ";; SELECT query_id, chunk_id, lexical_rank, position FROM lexical")
 def lexical(spark, d):
-    return rt.top(rt.cover_density(v.kb_questions(spark, d), v.kb_corpus(spark, d)), "lexical_rank", rt.POOL).select("query_id", "chunk_id", "lexical_rank", "position")
+    return rt.top(rt.cover_density(v.kb_questions(spark, d), v.kb_passages(spark, d)), "lexical_rank", rt.POOL).select("query_id", "chunk_id", "lexical_rank", "position")
+
+
+@query("ret_05_lexical_match_english")
+def matched_english(spark, d):
+    """Whole questions of eight words in web-search form, by their stems."""
+    q = v.kb_questions(spark, d).selectExpr("query_id", "array_join(slice(split(question, ' '), 1, 8), ' ') AS question")
+    return rt.lexical_match(q, v.kb_passages(spark, d), english=True)
+
+
+@query("ret_06_cover_density_english")
+def cover_english(spark, d):
+    return rt.cover_density(v.kb_questions(spark, d), v.kb_passages(spark, d), english=True)
 
 
 @query("ret_08_overlap_score", f"t AS (SELECT document_id, chunk_index, {TERMS('substr(content, 1, 80)')} AS q, {TERMS('content')} AS c FROM kb_chunks);; SELECT document_id, chunk_index, round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_filter(q, lambda t: list_contains(c, t)))::DOUBLE / len(q) END, 6) AS score FROM t")
@@ -106,32 +125,54 @@ def cosines(spark, d):
 
 @query("ret_11_rrf_fuse", FUSED + ";; SELECT query_id, chunk_id, dense_position, lexical_position, similarity, lexical_rank, fusion_score, fused_position FROM fused")
 def fuse(spark, d):
-    q, c = v.kb_questions(spark, d), v.kb_corpus(spark, d)
-    return rt.rrf_fuse(rt.per_document_cap(rt.similarities(q, c)), rt.top(rt.cover_density(q, c), "lexical_rank", rt.POOL)).select("query_id", "chunk_id", "dense_position", "lexical_position", "similarity", "lexical_rank", "fusion_score", "fused_position")
+    dense, lexical = _lists(spark, d)
+    return rt.rrf_fuse(dense, lexical).select("query_id", "chunk_id", "dense_position", "lexical_position", "similarity", "lexical_rank", "fusion_score", "fused_position")
 
 
 @query("ret_12_heuristic_rerank", RANKED + ";; SELECT query_id, chunk_id, document_id, fusion_score, rerank_score, final_position FROM ranked")
 def rerank(spark, d):
-    return rt.retrieve(v.kb_questions(spark, d), v.kb_corpus(spark, d))[0].select("query_id", "chunk_id", "document_id", "fusion_score", "rerank_score", "final_position")
+    return ranked_passages(spark, d).select("query_id", "chunk_id", "document_id", "fusion_score", "rerank_score", "final_position")
+
 
+_CLAMP = lambda x: f"least(1, greatest(0, CASE WHEN {x} > 1 THEN {x} / 10 ELSE {x} END))"
 
-@query("ret_13_parse_listwise_scores")
+
+@query("ret_13_parse_listwise_scores", f"""e AS (SELECT event_id AS query_id, event_id % 6 AS kind, latency_ms AS x FROM kb_events), s AS (SELECT query_id, CASE kind WHEN 0 THEN [0.5, {_CLAMP('x')}, 0] WHEN 1 THEN [{_CLAMP('x')}, 0.25, 0] WHEN 2 THEN NULL WHEN 3 THEN [1, 0.7, {_CLAMP('x')}] WHEN 4 THEN NULL ELSE [0.1, 0.3, 0] END AS scores FROM e)
+;; SELECT query_id, k - 1 AS target, round(scores[k], 6) AS score FROM (SELECT query_id, scores, unnest([1, 2, 3]) AS k FROM s WHERE scores IS NOT NULL)""")
 def listwise(spark, d):
-    """Stored replies, made of the events' attributes: an object with scores, or a bare list."""
-    e = v.kb_events(spark, d).selectExpr("event_id AS query_id", "CASE WHEN event_id % 3 = 0 THEN concat('Here: {\"scores\":[{\"index\":1,\"score\":', latency_ms, '},{\"index\":0,\"score\":0.5}]} done') WHEN event_id % 3 = 1 THEN concat('[', latency_ms, ', 0.25]') ELSE 'no json' END AS reply")
-    return parse_listwise_scores(e, 2)
+    """Stored replies about three passages, made of the events' attributes: objects, bare lists, a mixture, none that can be used."""
+    e = v.kb_events(spark, d).selectExpr("event_id AS query_id", """CASE event_id % 6
+      WHEN 0 THEN concat('Here: {"scores":[{"index":1,"score":', latency_ms, '},{"index":0,"score":0.5},{"index":7,"score":0.9}]} done')
+      WHEN 1 THEN concat('```json\n[', latency_ms, ', 0.25]\n```') WHEN 2 THEN 'no json' WHEN 3 THEN concat('[{"index":1,"score":"0.7"}, "none", {"score":', latency_ms, ', "index":2}, {"index":0,"score":1}]')
+      WHEN 4 THEN '{"scores":[{"index":5,"score":1},{"index":0}]}' ELSE '{"scores":[{"index":1,"score":0.9},{"score":0.3},{"index":0,"score":0.1},{"score":2}]}' END AS reply""")
+    return parse_listwise_scores(e, 3)
 
 
 def parse_listwise_scores(replies, n: int):
-    """(query_id, target, score) of stored reranker replies: the first JSON block, scores over 1 divided by ten, clamped to 0..1."""
+    """(query_id, target, score) for every target below ``n`` of the stored reranker replies that have a usable entry.
+
+    The first JSON block counts, an object's ``scores`` or a list. An entry has a score and an index, or is a number;
+    without an index it is for the target that comes after as many entries as were usable before. A later entry for a target wins.
+    Scores over 1 are divided by ten and held within 0 and 1; targets without an entry have 0.
+    """
     block = F.regexp_extract("reply", r"(?s)(\{.*\}|\[.*\])", 1)
-    rows = replies.select("query_id", F.when(F.startswith(block, F.lit("{")), F.get_json_object(block, "$.scores")).otherwise(block).alias("list"))
-    rows = rows.select("query_id", F.posexplode(F.from_json("list", "array<string>")).alias("i", "entry"))
-    value = F.coalesce(F.get_json_object("entry", "$.score").try_cast("double"), F.col("entry").try_cast("double"))
-    target = F.coalesce(F.get_json_object("entry", "$.index").try_cast("int"), F.col("i"))
-    rows = rows.select("query_id", target.alias("target"), value.alias("v"), "i").filter(F.col("v").isNotNull() & F.col("target").between(0, n - 1))
-    last = rows.groupBy("query_id", "target").agg(F.max_by("v", "i").alias("v"))
-    return last.select("query_id", "target", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(F.col("v") > 1, F.col("v") / 10).otherwise(F.col("v")))).alias("score"))
+    entries = F.from_json(F.when(F.startswith(block, F.lit("{")), F.get_json_object(block, "$.scores")).otherwise(block), "array<string>")
+    number = lambda x: F.when(F.abs(x.try_cast("double")) < float("inf"), x.try_cast("double"))
+
+    def parsed(entry):
+        place = number(F.get_json_object(entry, "$.index"))
+        return F.struct(F.coalesce(number(F.get_json_object(entry, "$.score")), number(entry)).alias("score"), place.isNotNull().alias("placed"), F.coalesce(place, F.lit(-1)).cast("int").alias("index"))
+
+    def take(state, entry):
+        target = F.when(entry["placed"], entry["index"]).otherwise(state["seen"])
+        score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(entry["score"] > 1, entry["score"] / 10).otherwise(entry["score"])))
+        scores = F.transform(state["scores"], lambda s, i: F.when(i == target, score).otherwise(s))
+        usable = entry["score"].isNotNull() & target.between(0, n - 1)
+        return F.when(usable, F.struct((state["seen"] + 1).alias("seen"), scores.alias("scores"))).otherwise(state)
+
+    start = F.struct(F.lit(0).alias("seen"), F.array_repeat(F.lit(0.0), n).alias("scores"))
+    state = F.aggregate(F.transform(F.coalesce(entries, F.array().cast("array<string>")), parsed), start, take)
+    return replies.select("query_id", state.alias("state")).filter("state.seen > 0").select("query_id", F.posexplode("state.scores").alias("target", "score")).withColumn("score", F.round("score", 6))
 
 
 @query("ret_14_needs_expansion", f"t AS (SELECT query_id, len({CONTENT('question')}) AS n, question FROM kb_questions);; SELECT query_id, n <= 6 OR (n <= 9 AND regexp_matches(question, '(?i)\\b(this|that|these|those|it)\\b')) AS expand FROM t")
@@ -162,45 +203,42 @@ def embedded(spark, d):
 
 @query("ret_17_retrieve", RANKED + ", " + GATE + ";; SELECT r.query_id, chunk_id, final_position, rerank_score, v.reason FROM ranked r JOIN verdict v USING (query_id)")
 def flagship(spark, d):
-    ranked, gate = rt.retrieve(v.kb_questions(spark, d), v.kb_corpus(spark, d))
-    return ranked.join(gate.select("query_id", "reason"), "query_id").select("query_id", "chunk_id", "final_position", "rerank_score", "reason")
+    return rt.with_reason(ranked_passages(spark, d)).select("query_id", "chunk_id", "final_position", "rerank_score", "reason")
 
 
 @query("ret_18_retrieval_telemetry", RANKED + ";; SELECT query_id, count(*) AS final_evidence, count(dense_position) AS dense_hits, count(lexical_position) AS lexical_hits, max(similarity) AS best_similarity, max(rerank_score) AS best_rerank FROM ranked GROUP BY 1")
 def telemetry(spark, d):
-    ranked, _ = rt.retrieve(v.kb_questions(spark, d), v.kb_corpus(spark, d))
-    return ranked.groupBy("query_id").agg(F.count("*").alias("final_evidence"), F.count("dense_position").alias("dense_hits"), F.count("lexical_position").alias("lexical_hits"), F.max("similarity").alias("best_similarity"), F.max("rerank_score").alias("best_rerank"))
+    return ranked_passages(spark, d).groupBy("query_id").agg(F.count("*").alias("final_evidence"), F.count("dense_position").alias("dense_hits"), F.count("lexical_position").alias("lexical_hits"), F.max("similarity").alias("best_similarity"), F.max("rerank_score").alias("best_rerank"))
 
 
 @query("ret_19_filtered_vector_search", "sim AS (SELECT query_id, chunk_id, document_id, round(list_cosine_similarity(embedding::DOUBLE[], query_embedding::DOUBLE[]), 6) AS similarity FROM kb_corpus, kb_questions WHERE document_id % 2 = 0);; SELECT query_id, chunk_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS r FROM sim) WHERE r <= 5")
 def scoped(spark, d):
     c = v.kb_corpus(spark, d)
     scope = c.select("document_id").distinct().filter("document_id % 2 = 0")
-    return rt.top(rt.similarities(v.kb_questions(spark, d), c.join(scope, "document_id", "left_semi"), -1.0), "similarity", 5).select("query_id", "chunk_id", "similarity")
+    return rt.top(rt.similarities(v.kb_questions(spark, d), c.join(scope, "document_id", "left_semi"), -1.0, 5), "similarity", 5).select("query_id", "chunk_id", "similarity")
 
 
 @query("ev_01_evidence_gate", RANKED + ", " + GATE + ";; SELECT query_id, reason = 'ok' AS grounded, reason, supporting_chunks, distinct_documents, best_similarity, best_rerank_score FROM verdict")
 def gate(spark, d):
-    return rt.retrieve(v.kb_questions(spark, d), v.kb_corpus(spark, d))[1]
+    return rt.evidence_gate(v.kb_questions(spark, d), ranked_passages(spark, d))
 
 
 @query("jn_03_dense_lexical_merge", CAPPED + ", " + COVER + ";; SELECT query_id, chunk_id, coalesce(d.document_id, l.document_id) AS document_id, d.position AS dense_position, l.position AS lexical_position FROM dense d FULL JOIN lexical l USING (query_id, chunk_id)")
 def merged(spark, d):
-    q, c = v.kb_questions(spark, d), v.kb_corpus(spark, d)
-    a = rt.per_document_cap(rt.similarities(q, c)).select("query_id", "chunk_id", F.col("document_id").alias("da"), F.col("position").alias("dense_position"))
-    b = rt.top(rt.cover_density(q, c), "lexical_rank", rt.POOL).select("query_id", "chunk_id", F.col("document_id").alias("db"), F.col("position").alias("lexical_position"))
+    dense, lexical = _lists(spark, d)
+    a = dense.select("query_id", "chunk_id", F.col("document_id").alias("da"), F.col("position").alias("dense_position"))
+    b = lexical.select("query_id", "chunk_id", F.col("document_id").alias("db"), F.col("position").alias("lexical_position"))
     return a.join(b, ["query_id", "chunk_id"], "full_outer").select("query_id", "chunk_id", F.coalesce("da", "db").alias("document_id"), "dense_position", "lexical_position")
 
 
 @query("set_01_list_union", CAPPED + ", " + COVER + ", u AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + position) AS c FROM dense UNION ALL SELECT query_id, chunk_id, 0.8::DOUBLE / (60 + position) FROM lexical);; SELECT query_id, chunk_id, round(sum(c), 8) AS fusion_score, count(*) AS lists FROM u GROUP BY 1, 2")
 def union(spark, d):
-    q, c = v.kb_questions(spark, d), v.kb_corpus(spark, d)
+    dense, lexical = _lists(spark, d)
     part = lambda df, w: df.select("query_id", "chunk_id", (F.lit(w) / (60 + F.col("position"))).alias("c"))
-    both = part(rt.per_document_cap(rt.similarities(q, c)), 1.0).unionByName(part(rt.top(rt.cover_density(q, c), "lexical_rank", rt.POOL), 0.8))
+    both = part(dense, 1.0).unionByName(part(lexical, 0.8))
     return both.groupBy("query_id", "chunk_id").agg(F.round(F.sum("c"), 8).alias("fusion_score"), F.count("*").alias("lists"))
 
 
 @query("win_09_rank_shift", RANKED + ";; SELECT query_id, chunk_id, least(dense_position, lexical_position) - final_position AS shift FROM ranked")
 def shift(spark, d):
-    ranked, _ = rt.retrieve(v.kb_questions(spark, d), v.kb_corpus(spark, d))
-    return ranked.select("query_id", "chunk_id", (F.least("dense_position", "lexical_position") - F.col("final_position")).alias("shift"))
+    return ranked_passages(spark, d).select("query_id", "chunk_id", (F.least("dense_position", "lexical_position") - F.col("final_position")).alias("shift"))

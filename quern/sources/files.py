@@ -1,7 +1,10 @@
-"""Text files, gold manifests and reports."""
+"""The shared folder, text files, gold manifests and reports."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,27 @@ MANIFEST = """kind string, status string, documents array<struct<id string, file
   leakageGroup string, answerable boolean, supportingSpans array<struct<documentId string, page int, start int, `end` int, quote string>>>>"""
 
 
+def new_folder(spark: SparkSession, kind: str = "table") -> str:
+    """A new folder name below the checkpoint folder, which driver and executors share; in local mode a temporary folder will do."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = held.get() if held.isDefined() else None
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` from a new table in the shared folder, so that it is computed once however often it is read."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def has_pdf_magic(content: Column) -> Column:
     """Whether bytes start as a PDF file does."""
     return F.startswith(content, F.lit(b"%PDF-"))
@@ -22,7 +46,7 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_gold_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(questions with their spans exploded, violations) of a nested JSON manifest."""
+    """(questions with their spans exploded, violations) of nested JSON manifests, one to a file."""
     m = spark.read.schema(MANIFEST).option("multiLine", True).json(path)
     q = m.select(F.explode("questions").alias("q")).select("q.*")
     spans = q.select("id", "question", "category", "difficulty", "split", F.explode_outer("supportingSpans").alias("s")).select("id", "question", "category", "difficulty", "split", "s.*")

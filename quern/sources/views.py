@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Room for the chunks of a document in chunk ids: more than the longest string a column can hold has windows of 1,000 characters.
+CHUNK_IDS = 1 << 22
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -16,25 +18,25 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.select(*(F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else c for c, t in df.dtypes))
 
 
-def kb_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with tenant, hash, size, file name, state, versions, model and creation time."""
-    return read(spark, sf_dir, "documents").selectExpr(
+def kb_documents(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
+    """Documents with tenant, hash, size, file name, state, versions, model and creation time; of a stream of documents if one is given."""
+    return (read(spark, sf_dir, "documents") if documents is None else documents).selectExpr(
         "doc_id AS document_id", "source AS tenant", "sha2(text, 256) AS content_hash", "CAST(octet_length(text) AS BIGINT) AS byte_size",
         "concat('file_', doc_id, '.', element_at(array('pdf','docx','txt','md','csv','html','xlsx','pptx'), CAST(1 + doc_id % 8 AS INT))) AS filename",
         "CASE WHEN doc_id % 10 < 7 THEN 'ready' WHEN doc_id % 10 = 7 THEN 'processing' WHEN doc_id % 10 = 8 THEN 'failed' ELSE 'deleting' END AS status",
         "1 + doc_id % 2 AS version", "1 + doc_id % 3 AS parser_version", "CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN 'm1' ELSE 'm2' END AS model",
-        "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(doc_id AS INT), 0) AS created_at", "lang", "text",
+        "timestamp'2024-01-01 00:00:00' + doc_id * interval '1' minute AS created_at", "lang", "text",
     )
 
 
-def kb_chunks(spark: SparkSession, sf_dir: str, size: int = 1000) -> DataFrame:
+def kb_chunks(spark: SparkSession, sf_dir: str, size: int = 1000, documents: DataFrame | None = None) -> DataFrame:
     """Fixed windows of the documents' text, without overlap; one chunk in seven is of an older version."""
-    docs = kb_documents(spark, sf_dir)
-    return docs.filter("length(text) > 0").select(
-        "document_id", "tenant", "filename", "status", "version", "parser_version", "model", "text", F.explode(F.expr(f"sequence(0, CAST((length(text) - 1) DIV {size} AS INT))")).alias("chunk_index")
-    ).selectExpr(
-        "document_id * 1000 + chunk_index AS chunk_id", "document_id", "tenant", "filename", "status", "version", "parser_version", "model", "CAST(chunk_index AS BIGINT) AS chunk_index", "CAST(chunk_index DIV 2 + 1 AS BIGINT) AS page",
-        f"substring(text, chunk_index * {size} + 1, {size}) AS content", "CASE WHEN (document_id + chunk_index) % 7 = 0 THEN version - 1 ELSE version END AS chunk_version",
+    from quern.operators.chunking import windows
+
+    kept = ("document_id", "tenant", "filename", "status", "version", "parser_version", "model")
+    return kb_documents(spark, sf_dir, documents).select(*kept, F.posexplode(windows("text", size)).alias("i", "content")).selectExpr(
+        f"document_id * {CHUNK_IDS} + i AS chunk_id", *kept, "CAST(i AS BIGINT) AS chunk_index", "CAST(i DIV 2 + 1 AS BIGINT) AS page", "content",
+        "CASE WHEN (document_id + i) % 7 = 0 THEN version - 1 ELSE version END AS chunk_version",
     )
 
 
@@ -50,19 +52,24 @@ def kb_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def kb_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages for full-text search: every document is one; sixty parents hold them."""
+    return read(spark, sf_dir, "documents").selectExpr("doc_id AS chunk_id", "doc_id % 60 AS document_id", "doc_id % 3 + 1 AS page", "doc_id AS chunk_index", "concat('file_', doc_id % 60, '.pdf') AS filename", "text AS content", "source AS tenant")
+
+
 def kb_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages with both a text and a vector; sixty documents hold them."""
-    return read(spark, sf_dir, "embeddings").join(read(spark, sf_dir, "documents"), F.expr("doc_id = vec_id")).selectExpr("vec_id AS chunk_id", "vec_id % 60 AS document_id", "vec_id % 3 + 1 AS page", "vec_id AS chunk_index", "concat('file_', vec_id % 60, '.pdf') AS filename", "text AS content", "embedding", "label", "source AS tenant")
+    """The passages that have a vector, for dense search."""
+    return kb_passages(spark, sf_dir).join(read(spark, sf_dir, "embeddings").selectExpr("vec_id AS chunk_id", "embedding", "label"), "chunk_id")
 
 
 def kb_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").selectExpr("event_id", "ts", "user_id", "event_type AS event", "value AS latency_ms", "props AS attributes", "CASE WHEN event_type = 'error' THEN 'error' WHEN event_id % 11 = 0 THEN 'refused' ELSE 'ok' END AS status")
 
 
-def kb_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ingestion jobs: an order is a job, its lines are attempts."""
+def kb_jobs(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """Ingestion jobs: an order is a job, its lines are attempts; of a stream of orders if one is given."""
     lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("attempts"), F.min("l_shipdate").alias("started_at"), F.max("l_shipdate").alias("ended_at"))
-    return read(spark, sf_dir, "orders").join(lines, F.expr("o_orderkey = l_orderkey"), "left").selectExpr(
+    return (read(spark, sf_dir, "orders") if orders is None else orders).join(lines, F.expr("o_orderkey = l_orderkey"), "left").selectExpr(
         "o_orderkey AS job_id", "o_custkey AS owner", "o_orderkey % 1000 AS document_id", "CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'P' THEN 'retrying' ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'running' WHEN o_orderkey % 3 = 1 THEN 'queued' ELSE 'failed' END END AS status",
         "coalesce(attempts, 0) AS attempt_count", "o_orderdate AS available_at", "started_at", "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE started_at END AS locked_at", "CASE WHEN o_orderstatus = 'F' THEN ended_at END AS completed_at", "o_totalprice AS size_kb",
     )
@@ -85,10 +92,11 @@ SQL = {
       CASE WHEN doc_id % 10 < 7 THEN 'ready' WHEN doc_id % 10 = 7 THEN 'processing' WHEN doc_id % 10 = 8 THEN 'failed' ELSE 'deleting' END AS status,
       1 + doc_id % 2 AS version, 1 + doc_id % 3 AS parser_version, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN 'm1' ELSE 'm2' END AS model,
       TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS created_at, lang, text FROM documents""",
-    "kb_chunks": """SELECT document_id * 1000 + i AS chunk_id, document_id, tenant, filename, status, version, parser_version, model, i AS chunk_index, i // 2 + 1 AS page, substr(text, i * 1000 + 1, 1000) AS content,
+    "kb_chunks": f"""SELECT document_id * {CHUNK_IDS} + i AS chunk_id, document_id, tenant, filename, status, version, parser_version, model, i AS chunk_index, i // 2 + 1 AS page, substr(text, i * 1000 + 1, 1000) AS content,
       CASE WHEN (document_id + i) % 7 = 0 THEN version - 1 ELSE version END AS chunk_version FROM (SELECT *, unnest(range(0, (length(text) - 1) // 1000 + 1)) AS i FROM kb_documents WHERE length(text) > 0)""",
     "kb_questions": """SELECT vec_id AS query_id, embedding AS query_embedding, array_to_string((regexp_split_to_array(text, '\\s+'))[1:12], ' ') AS question, label AS query_label FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 50 = 0""",
-    "kb_corpus": """SELECT vec_id AS chunk_id, vec_id % 60 AS document_id, vec_id % 3 + 1 AS page, vec_id AS chunk_index, 'file_' || vec_id % 60 || '.pdf' AS filename, text AS content, embedding, label, source AS tenant FROM embeddings JOIN documents ON doc_id = vec_id""",
+    "kb_passages": """SELECT doc_id AS chunk_id, doc_id % 60 AS document_id, doc_id % 3 + 1 AS page, doc_id AS chunk_index, 'file_' || doc_id % 60 || '.pdf' AS filename, text AS content, source AS tenant FROM documents""",
+    "kb_corpus": """SELECT kb_passages.*, embedding, label FROM kb_passages JOIN embeddings ON chunk_id = vec_id""",
     "kb_events": """SELECT event_id, ts, user_id, event_type AS event, value AS latency_ms, props AS attributes, CASE WHEN event_type = 'error' THEN 'error' WHEN event_id % 11 = 0 THEN 'refused' ELSE 'ok' END AS status FROM events""",
     "kb_jobs": """SELECT o_orderkey AS job_id, o_custkey AS owner, o_orderkey % 1000 AS document_id, CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'P' THEN 'retrying' ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'running' WHEN o_orderkey % 3 = 1 THEN 'queued' ELSE 'failed' END END AS status,
       coalesce(attempts, 0) AS attempt_count, o_orderdate AS available_at, started_at, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE started_at END AS locked_at, CASE WHEN o_orderstatus = 'F' THEN ended_at END AS completed_at, o_totalprice AS size_kb
@@ -97,7 +105,7 @@ SQL = {
     "kb_answers": """SELECT conv_id * 100 + turn AS answer_id, text || CASE (conv_id + turn) % 8 WHEN 0 THEN '' WHEN 1 THEN ' [source_1]' WHEN 2 THEN ' [source_02]\n\n- item [source_01]\n- more [source_3]' WHEN 3 THEN ' [source_123]' WHEN 4 THEN ' [ source_ 3x ]'
       WHEN 5 THEN ' [source_02]\n```\ncode [source_77]\n```\n# Head\n| a | b |\n|---|---|\n| c [source_1] | d |' WHEN 6 THEN ' [source_07] "quoted words"' ELSE ' [source_03]\n> quote [source_02]\n> more\n\n---\n[source_01]' END AS answer FROM conversations WHERE role = 'assistant'""",
 }
-NEEDS = {"kb_chunks": ["kb_documents"]}
+NEEDS = {"kb_chunks": ["kb_documents"], "kb_corpus": ["kb_passages"]}
 
 
 def with_views(sql: str) -> str:
