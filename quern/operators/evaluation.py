@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import normal_question
@@ -69,3 +69,27 @@ def split_leakage(questions: DataFrame, least: float = 0.8) -> DataFrame:
     w = lambda n: words.select(F.col("id").alias(n), F.col("w").alias(f"w{n}"))
     scored = pairs.join(w("a"), "a").join(w("b"), "b").withColumn("similarity", F.round(F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb")), 6))
     return scored.filter(F.col("similarity") >= least).select("a", "b", "similarity")
+
+
+def leakage_checks(questions: DataFrame) -> DataFrame:
+    """(violation, key, questions) of (id, split, text, leakage_group, document_id, page, start, end), one row per question and span.
+
+    DUPLICATE_QUESTION_TEXT: questions of one normal text, by the smallest of their ids. CROSS_SPLIT_LEAKAGE_GROUP: a group with
+    questions of several splits. CROSS_SPLIT_SUPPORT_OVERLAP: a document with spans of a page that overlap across
+    splits, and how many questions have such a span. Each is a count by key; a span looks at the farthest end and the nearest
+    start of other splits' spans in order of place, not at each of them.
+    """
+    each = questions.select("id", "split", "leakage_group", normal_question("text").alias("n")).distinct()
+    same = each.groupBy("n").agg(F.min("id").cast("string").alias("key"), F.count_distinct("id").alias("questions")).filter("questions > 1").select(F.lit("DUPLICATE_QUESTION_TEXT").alias("violation"), "key", "questions")
+    group = each.groupBy(F.col("leakage_group").alias("key")).agg(F.count_distinct("id").alias("questions"), (F.min("split") < F.max("split")).alias("both")).filter("both").select(F.lit("CROSS_SPLIT_LEAKAGE_GROUP").alias("violation"), "key", "questions")
+    spans = questions.filter("start < end").select("id", "split", "document_id", "page", "start", "end")
+    splits = [r.split for r in questions.select("split").distinct().limit(100).collect()]
+    before, after = (Window.partitionBy("document_id", "page").orderBy(*o) for o in (("start", "end", "id"), (F.col("start").desc(), F.col("end").desc(), F.col("id").desc())))
+    hits = F.lit(False)
+    for s in splits:
+        other = F.col("split") != s
+        far = F.max(F.when(F.col("split") == s, F.col("end"))).over(before.rowsBetween(Window.unboundedPreceding, -1))
+        near = F.min(F.when(F.col("split") == s, F.col("start"))).over(after.rowsBetween(Window.unboundedPreceding, -1))
+        hits = hits | (other & (F.coalesce(far > F.col("start"), F.lit(False)) | F.coalesce(near < F.col("end"), F.lit(False))))
+    over = spans.withColumn("hit", hits).filter("hit").groupBy(F.col("document_id").cast("string").alias("key")).agg(F.count_distinct("id").alias("questions"))
+    return same.unionByName(group).unionByName(over.select(F.lit("CROSS_SPLIT_SUPPORT_OVERLAP").alias("violation"), "key", "questions"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import policy as po
+from quern.sources.files import written
 
 
 def disc(p: float, c: str) -> Column:
@@ -24,13 +25,13 @@ def since(events: DataFrame, minutes: int, ts: str = "ts") -> DataFrame:
     return events.filter(F.col(ts) >= F.lit(last) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(window_start(minutes)), F.lit(0)))
 
 
-def api_rollup(events: DataFrame, names: list[str], by: list[str] | None = None) -> DataFrame:
+def api_rollup(events: DataFrame, names: list[str]) -> DataFrame:
     """Requests, errors, error rate and latency percentiles of some events."""
-    n, bad = F.count("*"), F.count_if(F.col("status") == "error")
-    return events.filter(F.col("event").isin(names)).groupBy(*(by or [])).agg(
-        n.alias("requests"), bad.alias("errors"), F.round(F.when(n == 0, 0.0).otherwise(bad / n), 4).alias("error_rate"),
-        *(F.coalesce(disc(p, "latency_ms"), F.lit(0.0)).alias(f"p{int(p * 100)}_ms") for p in (0.5, 0.95, 0.99)),
-    )
+    chosen, n, bad = events.filter(F.col("event").isin(names)), F.count("*"), F.count_if(F.col("status") == "error")
+    sums = chosen.agg(n.alias("requests"), bad.alias("errors"), F.round(F.when(n == 0, 0.0).otherwise(bad / n), 4).alias("error_rate"))
+    ps = {f"p{p}_ms": p / 100 for p in (50, 95, 99)}
+    ranked = exact_percentiles(chosen, "latency_ms", ps)
+    return sums.join(ranked, F.lit(True), "left").select("requests", "errors", "error_rate", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ps))
 
 
 def ingestion_rollup(jobs: DataFrame) -> DataFrame:
@@ -42,7 +43,9 @@ def ingestion_rollup(jobs: DataFrame) -> DataFrame:
 def latency_summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Count, p50, p95, p99, largest and mean of the finite values."""
     ok = df.filter(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
-    return ok.groupBy(*by).agg(F.count("*").alias("n"), *(disc(p, value).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)), F.max(value).alias("max"), F.round(F.avg(value), 4).alias("mean"))
+    ranked = exact_percentiles(ok, value, {f"p{p}": p / 100 for p in (50, 95, 99)}, by)
+    sums = ok.groupBy(*by).agg(F.count("*").alias("n"), F.max(value).alias("max"), F.round(F.avg(value), 4).alias("mean"))
+    return sums.join(ranked, by).select(*by, "n", "p50", "p95", "p99", "max", "mean")
 
 
 def score_histogram(df: DataFrame, score: str) -> DataFrame:
@@ -112,11 +115,40 @@ def adjoining_runs(rows: DataFrame, keys: list[str], index: str) -> DataFrame:
     return rows.withColumn("island", F.col(index) - F.row_number().over(w)).groupBy(*keys, "island").agg(F.min(index).alias("first"), F.max(index).alias("last"), F.count("*").alias("n")).drop("island")
 
 
-def fingerprint(df: DataFrame, order: str, by: Column, parts: int = 16) -> DataFrame:
-    """A hash of all rows as key-sorted JSON: one hash per part, then the hash of these."""
-    row = F.to_json(F.struct(*sorted(df.columns)))
-    per = df.select(F.pmod(by, F.lit(parts)).alias("part"), F.col(order).alias("o"), F.sha2(row, 256).alias("h")).groupBy("part").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
-    return per.groupBy().agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), ""), 256).alias("fingerprint"), F.count("*").alias("parts"))
+def fingerprint(df: DataFrame, order: str, fan: int = 4096, levels: int = 3) -> DataFrame:
+    """(fingerprint, n): a hash of all rows as key-sorted JSON, and their number.
+
+    order: an integer key, unique in use. Rows of a range of ``fan`` keys are hashed in order, then so many ranges, and so on;
+    the last of the ``levels`` takes all that is left. So no array is longer than the rows of ``fan`` keys, for keys
+    below fan ** levels. Rows of equal keys are in order of their hashes.
+    """
+    k = F.col(order).cast("long")
+    rows = df.select(k.alias("k"), F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256).alias("h"), F.lit(1).cast("long").alias("n"))
+    for level in range(levels):
+        folded = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "")
+        by = [F.floor(F.col("k") / F.lit(fan)).cast("long").alias("_k")] if level < levels - 1 else []
+        rows = rows.groupBy(*by).agg(F.sha2(folded, 256).alias("h"), F.sum("n").alias("n")).withColumnsRenamed({"_k": "k"})
+    return rows.select(F.col("h").alias("fingerprint"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def exact_percentiles(df: DataFrame, value: str, ps: dict[str, float], by: list[str] | None = None, ranges: int = 200) -> DataFrame:
+    """Exact nearest-rank percentiles (as ``disc``) of the values that aren't null, without a group's values in one task.
+
+    Equal values are counted before anything else. Approximate percentiles cut each group's distinct values into ranges;
+    the ranges' counts tell which range holds each rank, and only that range's values are put in order.
+    """
+    by = by or []
+    keys = [*by, "_all"]
+    counts = written(df.filter(F.col(value).isNotNull()).withColumn("_all", F.lit(1)).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n")))
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 10_000).alias("_cuts"), F.sum("_n").alias("_total"))
+    placed = written(counts.join(cuts, keys).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts"))
+    sums = placed.groupBy(*keys, "_total", "_range").agg(F.sum("_n").alias("_here"))
+    w = Window.partitionBy(*keys).orderBy("_range")
+    sums = sums.withColumn("_before", F.sum("_here").over(w) - F.col("_here")).withColumn("_p", F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.greatest(F.ceil(F.lit(p) * F.col("_total")), F.lit(1)).alias("rank")) for name, p in ps.items()))))
+    wanted = sums.filter("_before < _p.rank AND _p.rank <= _before + _here").select(*keys, "_range", F.col("_p.name").alias("_name"), (F.col("_p.rank") - F.col("_before")).alias("_left"))
+    w = Window.partitionBy(*keys, "_name").orderBy("_v")
+    found = placed.join(wanted, [*keys, "_range"]).withColumn("_sum", F.sum("_n").over(w)).filter("_sum >= _left")
+    return found.groupBy(*keys).agg(*(F.min(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ps)).drop("_all")
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:

@@ -23,8 +23,9 @@ def api(spark, d):
 @query("agg_02_rag_rollup", """e AS (SELECT *, (attributes->>'$.k')::BIGINT AS k FROM kb_events WHERE event IN ('view', 'purchase', 'error'));; SELECT coalesce(quantile_disc(k, 0.5) FILTER (event = 'view'), 0) AS retrieval_p50, coalesce(quantile_disc(k, 0.95) FILTER (event = 'view'), 0) AS retrieval_p95, count(*) FILTER (event = 'purchase') AS answers, count(*) FILTER (k > 40) AS grounded, count(*) FILTER (status = 'refused') AS refusals, round(avg(k), 2) AS avg_hits FROM e""")
 def rag(spark, d):
     e = v.kb_events(spark, d).filter("event IN ('view', 'purchase', 'error')").withColumn("k", F.get_json_object("attributes", "$.k").cast("long"))
-    p = lambda q: F.coalesce(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY CASE WHEN event = 'view' THEN k END)").cast("long"), F.lit(0))
-    return e.agg(p(0.5).alias("retrieval_p50"), p(0.95).alias("retrieval_p95"), F.count_if(F.col("event") == "purchase").alias("answers"), F.count_if(F.col("k") > 40).alias("grounded"), F.count_if(F.col("status") == "refused").alias("refusals"), F.round(F.avg("k"), 2).alias("avg_hits"))
+    sums = e.agg(F.count_if(F.col("event") == "purchase").alias("answers"), F.count_if(F.col("k") > 40).alias("grounded"), F.count_if(F.col("status") == "refused").alias("refusals"), F.round(F.avg("k"), 2).alias("avg_hits"))
+    ranked = ro.exact_percentiles(e.filter("event = 'view'"), "k", {"retrieval_p50": 0.5, "retrieval_p95": 0.95})
+    return sums.join(ranked, F.lit(True), "left").select(*(F.coalesce(c, F.lit(0)).alias(c) for c in ("retrieval_p50", "retrieval_p95")), "answers", "grounded", "refusals", "avg_hits")
 
 
 @query("agg_03_ingestion_rollup", "SELECT count(*) FILTER (status = 'queued') AS queued, count(*) FILTER (status = 'running') AS running, count(*) FILTER (status = 'retrying') AS retrying, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'succeeded') AS succeeded, sum(greatest(attempt_count - 1, 0))::BIGINT AS retries, round(avg((epoch(completed_at) - epoch(started_at)) * 1000), 0) AS avg_duration_ms FROM kb_jobs")
@@ -165,18 +166,18 @@ def latest(spark, d):
     return v.kb_jobs(spark, d).groupBy("document_id").agg(F.max("job_id").alias("job_id"), F.max_by("status", "job_id").alias("status"))
 
 
-SLIDE = "s AS (SELECT event_id, user_id, ts, count(*) OVER w AS n_recent, min(ts) OVER w AS oldest FROM kb_events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 21600 SECOND PRECEDING AND CURRENT ROW))"
+SLIDE = "s AS (SELECT event_id, user_id, ts, count(*) OVER w AS n_recent, min(ts) OVER w AS oldest FROM kb_events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 172800 SECOND PRECEDING AND CURRENT ROW))"
 
 
 @query("win_04_sliding_rate", SLIDE + ";; SELECT event_id, user_id, n_recent, n_recent > 5 AS over_limit FROM s")
 def sliding(spark, d):
-    """Six hours and five events, as these events are sparse."""
-    return ro.sliding_rate(v.kb_events(spark, d), 21600, ["user_id"]).select("event_id", "user_id", "n_recent", (F.col("n_recent") > 5).alias("over_limit"))
+    """Two days and five events, as these events are sparse."""
+    return ro.sliding_rate(v.kb_events(spark, d), 172800, ["user_id"]).select("event_id", "user_id", "n_recent", (F.col("n_recent") > 5).alias("over_limit"))
 
 
-@query("win_05_retry_after", SLIDE + ";; SELECT event_id, greatest(1, ceil(21600 - (epoch_us(ts) - epoch_us(oldest)) / 1000000))::BIGINT AS retry_after FROM s WHERE n_recent > 5")
+@query("win_05_retry_after", SLIDE + ";; SELECT event_id, greatest(1, ceil(172800 - (epoch_us(ts) - epoch_us(oldest)) / 1000000))::BIGINT AS retry_after FROM s WHERE n_recent > 5")
 def retry(spark, d):
-    return ro.sliding_rate(v.kb_events(spark, d), 21600, ["user_id"]).filter("n_recent > 5").select("event_id", ro.retry_after(21600).alias("retry_after"))
+    return ro.sliding_rate(v.kb_events(spark, d), 172800, ["user_id"]).filter("n_recent > 5").select("event_id", ro.retry_after(172800).alias("retry_after"))
 
 
 @query("win_06_fixed_window_rate", "s AS (SELECT event_id, user_id, ts, floor(epoch(ts))::BIGINT - floor(epoch(ts))::BIGINT % 86400 AS window_start FROM kb_events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, window_start ORDER BY ts, event_id) AS request_count FROM s);; SELECT event_id, window_start, request_count, request_count <= 2 AS allowed, CASE WHEN request_count <= 2 THEN 0 ELSE window_start + 86400 - floor(epoch(ts))::BIGINT END AS retry_after FROM r")
@@ -279,7 +280,7 @@ RUN = "sim AS (SELECT q.query_id, c.vec_id AS chunk_id, round(list_cosine_simila
 def _run(spark, d):
     q, e = v.kb_questions(spark, d), v.kb_vectors(spark, d)
     c = e.selectExpr("vec_id AS chunk_id", "embedding", "label")
-    run = rt.top(rt.similarities(q, c, -1.0).filter("chunk_id <> query_id"), "similarity", 20).select("query_id", "chunk_id", "position", "similarity")
+    run = rt.top(rt.similarities(q, c, -1.0, 21).filter("chunk_id <> query_id"), "similarity", 20).select("query_id", "chunk_id", "position", "similarity")
     relevant = q.select("query_id", "query_label").join(c.select("chunk_id", "label"), F.expr("label = query_label AND chunk_id <> query_id")).select("query_id", "chunk_id")
     return q, run, relevant
 
@@ -388,7 +389,8 @@ def threshold(spark, d):
     return ev.threshold_gate(metrics, THRESHOLDS).select("metric", F.round("value", 5).alias("value"), "threshold")
 
 
-LEAK = r"q AS (SELECT thread_id * 100 + turn AS id, CASE WHEN (thread_id + turn) % 3 = 0 THEN 'held-out' ELSE 'development' END AS split, list_distinct(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')) AS w FROM kb_messages), e AS (SELECT id, split, len(w) AS n, unnest(w) AS t FROM q WHERE w[1] <> ''), p AS (SELECT a.id AS a, b.id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.t = b.t AND a.split < b.split GROUP BY 1, 2)"
+ASKED = "qs AS (SELECT thread_id * 100 + turn AS id, CASE WHEN (thread_id + turn) % 3 = 0 THEN 'held-out' ELSE 'development' END AS split, text FROM kb_messages UNION ALL SELECT thread_id * 100 + turn + 50, CASE WHEN (thread_id + turn) % 3 = 0 THEN 'development' ELSE 'held-out' END, CASE WHEN thread_id % 10 = 0 THEN upper(text) ELSE text || ' please' END FROM kb_messages WHERE thread_id % 5 = 0)"
+LEAK = ASKED + r", q AS (SELECT id, split, list_distinct(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')) AS w FROM qs), e AS (SELECT id, split, len(w) AS n, unnest(w) AS t FROM q WHERE w[1] <> ''), p AS (SELECT a.id AS a, b.id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.t = b.t AND a.split < b.split GROUP BY 1, 2)"
 
 
 @query("evl_16_split_leakage", LEAK + ";; SELECT a, b, round(c::DOUBLE / (na + nb - c), 6) AS similarity FROM p WHERE c::DOUBLE / (na + nb - c) >= 0.8")
@@ -397,7 +399,19 @@ def leakage(spark, d):
 
 
 def _split(spark, d):
-    return v.kb_messages(spark, d).selectExpr("thread_id * 100 + turn AS id", "CASE WHEN (thread_id + turn) % 3 = 0 THEN 'held-out' ELSE 'development' END AS split", "text")
+    """Questions of two splits: the messages, and for one thread in five each message once more in the other split, in capitals or with a word more."""
+    m = v.kb_messages(spark, d)
+    more = m.filter("thread_id % 5 = 0").selectExpr("thread_id * 100 + turn + 50 AS id", "CASE WHEN (thread_id + turn) % 3 = 0 THEN 'development' ELSE 'held-out' END AS split", "CASE WHEN thread_id % 10 = 0 THEN upper(text) ELSE concat(text, ' please') END AS text")
+    return m.selectExpr("thread_id * 100 + turn AS id", "CASE WHEN (thread_id + turn) % 3 = 0 THEN 'held-out' ELSE 'development' END AS split", "text").unionByName(more)
+
+
+@query("evl_16_leakage_checks", ASKED + r""", t AS (SELECT id, split, 'g' || (id // 100) % 40 AS grp, id // 100 AS document_id, id % 50 * 10 AS s, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS n FROM qs)
+;; SELECT 'DUPLICATE_QUESTION_TEXT' AS violation, min(id)::VARCHAR AS key, count(*) AS questions FROM t GROUP BY n HAVING count(*) > 1 UNION ALL SELECT 'CROSS_SPLIT_LEAKAGE_GROUP', grp, count(*) FROM t GROUP BY grp HAVING count(DISTINCT split) > 1
+ UNION ALL SELECT 'CROSS_SPLIT_SUPPORT_OVERLAP', a.document_id::VARCHAR, count(DISTINCT a.id) FROM t a JOIN t b ON a.document_id = b.document_id AND a.split <> b.split AND greatest(a.s, b.s) < least(a.s + 15, b.s + 15) GROUP BY a.document_id""")
+def leakage_checks(spark, d):
+    """A thread stands for a document, and forty groups of threads for leakage groups; each question has a span of fifteen characters."""
+    q = _split(spark, d).selectExpr("id", "split", "text", "concat('g', id DIV 100 % 40) AS leakage_group", "id DIV 100 AS document_id", "1 AS page", "id % 50 * 10 AS start", "id % 50 * 10 + 15 AS end")
+    return ev.leakage_checks(q)
 
 
 @query("jn_08_cross_split_pairs", LEAK + ";; SELECT a, b FROM p WHERE c::DOUBLE / (na + nb - c) >= 0.6")

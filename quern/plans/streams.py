@@ -22,7 +22,10 @@ def rollup(spark, d):
     return st.drain(st.telemetry_rollup(st.source(spark, d, "events")), "update", ["start", "event_type"])
 
 
-@query("str_03_exact_limiter")
+@query("str_03_exact_limiter", """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+ r AS (SELECT DISTINCT user_id, 0::BIGINT AS k, []::BIGINT[] AS held, NULL::BIGINT AS event_id, false AS admitted FROM e UNION ALL
+ SELECT user_id, k, CASE WHEN len(held) < 5 THEN list_append(held, us) ELSE held END, event_id, len(held) < 5 FROM (SELECT e.user_id, e.k, e.us, e.event_id, list_filter(r.held, lambda t: t > e.us - 86400000000) AS held FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))
+SELECT event_id, user_id, admitted FROM r WHERE k > 0""")
 def limiter(spark, d):
     return st.drain(st.exact_limiter(st.source(spark, d, "events"), 5, 86400))
 
@@ -34,9 +37,10 @@ def fixed(spark, d):
 
 @query("str_05_lease_sweep", "SELECT job_id, CASE WHEN attempt_count >= 4 THEN 'failed' ELSE 'retrying' END AS status FROM kb_jobs WHERE status = 'running' AND (locked_at IS NULL OR locked_at <= TIMESTAMP '1996-06-01' - INTERVAL 300 SECOND)")
 def sweep(spark, d):
-    jobs = v.kb_jobs(spark, d)
+    """A stream of jobs, joined with their attempts."""
+    jobs = v.kb_jobs(spark, d, st.source(spark, d, "orders"))
     gone = po.lease_state(F.col("status"), F.col("locked_at"), F.lit("1996-06-01")) == "expired"
-    return jobs.filter(gone).select("job_id", F.when(F.col("attempt_count") >= po.MAX_ATTEMPTS, "failed").otherwise("retrying").alias("status"))
+    return st.drain(st.lease_sweep(jobs, gone, F.when(F.col("attempt_count") >= po.MAX_ATTEMPTS, "failed").otherwise("retrying")))
 
 
 @query("str_06_pruned_windows", "SELECT floor(epoch(ts))::BIGINT - floor(epoch(ts))::BIGINT % 86400 AS start, count(*) AS n FROM events WHERE floor(epoch(ts))::BIGINT - floor(epoch(ts))::BIGINT % 86400 + 86400 <= (SELECT floor(epoch(max(ts))) - 3600 FROM events) GROUP BY 1")
@@ -48,11 +52,15 @@ def pruned(spark, d):
 
 @query("str_07_without_repeats", "SELECT DISTINCT sha256(text) AS content_hash FROM documents")
 def repeats(spark, d):
-    docs = st.source(spark, d, "documents").select(F.sha2("text", 256).alias("content_hash"), F.lit("2024-01-01").cast("timestamp").alias("ts"))
-    return st.drain(st.without_repeats(docs, "content_hash", "ts")).select("content_hash")
+    """Documents come a second apart; repeats are looked for within thirty days, which holds all of the smaller tables."""
+    docs = st.source(spark, d, "documents").select(F.sha2("text", 256).alias("content_hash"), F.timestamp_seconds(F.col("doc_id") + 1704067200).alias("ts"))
+    return st.drain(st.without_repeats(docs, "content_hash", "ts", "30 days")).select("content_hash")
 
 
 @query("str_08_published_view", "p AS (SELECT document_id, count(*) FILTER (chunk_version = version AND model IS NOT NULL) = max(chunk_index) + 1 AS complete FROM kb_chunks GROUP BY 1), l AS (SELECT document_id, arg_max(status, job_id) AS s FROM kb_jobs GROUP BY 1);; SELECT document_id, complete AND coalesce(s, 'succeeded') = 'succeeded' AS published FROM p LEFT JOIN l USING (document_id)")
 def published(spark, d):
+    """Counts by document over a stream of chunks, joined with each document's last job."""
     latest = v.kb_jobs(spark, d).groupBy("document_id").agg(F.max_by("status", "job_id").alias("s"))
-    return ro.publication_check(v.kb_chunks(spark, d)).join(latest, "document_id", "left").select("document_id", (F.col("complete") & (F.coalesce("s", F.lit("succeeded")) == "succeeded")).alias("published"))
+    chunks = v.kb_chunks(spark, d, documents=st.source(spark, d, "documents", files=3))
+    counted = st.drain(ro.publication_check(chunks), "update", ["document_id"])
+    return counted.join(latest, "document_id", "left").select("document_id", (F.col("complete") & (F.coalesce("s", F.lit("succeeded")) == "succeeded")).alias("published"))

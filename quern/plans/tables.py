@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -13,7 +16,7 @@ from quern.operators import rollups as ro
 from quern.plans.registry import query
 from quern.sources import files
 from quern.sources import views as v
-from quern.streaming.streams import shared as new_folder
+from quern.sources.files import new_folder
 
 _ext = lambda c: f"lower(list_last(string_split({c}, '.')))"
 _exts = "(" + ",".join(f"'{e}'" for e in tx.EXTENSIONS) + ")"
@@ -58,9 +61,12 @@ def hashes(spark, d):
     return v.kb_documents(spark, d).select("document_id", "content_hash")
 
 
-@query("src_12_vector_literal")
+@query("src_12_vector_literal", "SELECT vec_id, len(embedding) AS dim, round(list_sum(embedding::DOUBLE[]), 4) AS total, embedding[64]::DOUBLE AS last FROM embeddings")
 def literals(spark, d):
-    return v.kb_vectors(spark, d).select("vec_id", vx.literal(F.col("embedding")).alias("literal"))
+    """Vectors written as literals and read from them again."""
+    back = F.from_json(vx.literal(F.col("embedding")), "array<float>")
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return v.kb_vectors(spark, d).select("vec_id", back.alias("v")).select("vec_id", F.size("v").alias("dim"), F.round(total, 4).alias("total"), F.element_at("v", 64).cast("double").alias("last"))
 
 
 @query("src_13_validate_upload", f"u AS (SELECT document_id, CASE WHEN document_id % 17 = 0 THEN 0 WHEN document_id % 19 = 0 THEN 30000000 ELSE byte_size END AS size, byte_size AS reserved, content_hash AS h, CASE WHEN document_id % 13 = 0 THEN 'x' ELSE content_hash END AS rh, {_ext('filename')} <> 'html' AS typed FROM kb_documents);; SELECT document_id, CASE WHEN size < 1 THEN 'EMPTY_FILE' WHEN size > 26214400 THEN 'TOO_LARGE' WHEN NOT typed THEN 'BAD_CONTENT_TYPE' WHEN size <> reserved THEN 'SIZE_MISMATCH' WHEN h <> rh THEN 'HASH_MISMATCH' ELSE 'ok' END AS verdict FROM u")
@@ -69,24 +75,27 @@ def uploads(spark, d):
     return u.select("document_id", po.validate_upload(F.col("size"), F.col("byte_size"), F.col("content_hash"), F.col("rh"), tx.extension_of("filename") != "html").alias("verdict"))
 
 
-@query("src_03_read_text_files")
+@query("src_03_read_text_files", "SELECT doc_id // 100 AS part, sum(length(text) + 1)::BIGINT AS n_chars, NULL::VARCHAR AS problem FROM documents GROUP BY 1")
 def text_files(spark, d):
-    """The documents' texts, written as text files and read back whole."""
+    """The documents' texts, written as text files of a hundred each and read back whole."""
     path = new_folder(spark)
-    v.kb_documents(spark, d).select("text").write.text(path)
-    return files.read_text_files(spark, path).select(F.length("text").alias("n_chars"), "problem")
+    v.kb_documents(spark, d).selectExpr("document_id DIV 100 AS part", "text").repartition("part").write.partitionBy("part").text(path)
+    return files.read_text_files(spark, f"{path}/*/*").select(F.regexp_extract("path", "part=([0-9]+)", 1).cast("long").alias("part"), F.length("text").cast("long").alias("n_chars"), "problem")
 
 
-@query("src_06_load_gold_manifest")
+@query("src_06_load_gold_manifest", """q AS (SELECT item_id // 10 AS part, item_id % 39 AS id, item_id * 53 % 1500 AS document_id FROM benchmark), a AS (SELECT DISTINCT part, document_id, content_hash FROM q JOIN kb_documents USING (document_id))
+;; SELECT 'DUPLICATE_QUESTION_ID' AS violation, id::VARCHAR AS id FROM q GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'DUPLICATE_DOCUMENT_ID', document_id::VARCHAR FROM a GROUP BY 2 HAVING count(*) > 1
+ UNION ALL SELECT 'DUPLICATE_DOCUMENT_CONTENT', content_hash FROM a GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'UNKNOWN_DOCUMENT', q.id::VARCHAR FROM q ANTI JOIN a USING (document_id)""")
 def manifest(spark, d):
-    """A gold manifest of the benchmark's passages as questions, each supported by a document, written as JSON and loaded."""
+    """Gold manifests of ten of the benchmark's passages each as questions, supported by a document each, written as JSON and loaded."""
     path = new_folder(spark)
-    asked = v.read(spark, d, "benchmark").selectExpr("item_id % 210 AS document_id").distinct()
-    docs = v.kb_documents(spark, d).join(asked, "document_id", "left_semi").agg(F.collect_list(F.struct(F.col("document_id").cast("string").alias("id"), "filename", F.col("content_hash").alias("sha256"))).alias("documents"))
-    span = F.array(F.struct((F.col("item_id") % 210).cast("string").alias("documentId"), F.lit(1).alias("page"), F.lit(0).alias("start"), F.lit(9).alias("end"), F.substring("text", 1, 9).alias("quote")))
-    questions = v.read(spark, d, "benchmark").agg(F.collect_list(F.struct((F.col("item_id") % 39).cast("string").alias("id"), F.col("text").alias("question"), F.lit("exact").alias("category"), span.alias("supportingSpans"))).alias("questions"))
-    docs.withColumn("kind", F.lit("real")).join(F.broadcast(questions.withColumn("kind", F.lit("real"))), "kind").write.json(path)
-    return files.load_gold_manifest(spark, path)[1]
+    asked = v.read(spark, d, "benchmark").selectExpr("item_id DIV 10 AS part", "item_id % 39 AS id", "item_id * 53 % 1500 AS document_id", "text")
+    held = asked.select("part", "document_id").distinct().join(v.kb_documents(spark, d).select("document_id", "filename", "content_hash"), "document_id")
+    docs = held.groupBy("part").agg(F.collect_list(F.struct(F.col("document_id").cast("string").alias("id"), F.col("filename").alias("file"), F.col("content_hash").alias("sha256"))).alias("documents"))
+    span = F.array(F.struct(F.col("document_id").cast("string").alias("documentId"), F.lit(1).alias("page"), F.lit(0).alias("start"), F.lit(9).alias("end"), F.substring("text", 1, 9).alias("quote")))
+    questions = asked.groupBy("part").agg(F.collect_list(F.struct(F.col("id").cast("string").alias("id"), F.col("text").alias("question"), F.lit("exact").alias("category"), span.alias("supportingSpans"))).alias("questions"))
+    questions.join(docs, "part", "left").withColumn("kind", F.lit("real")).write.partitionBy("part").json(path)
+    return files.load_gold_manifest(spark, f"{path}/*")[1]
 
 
 @query("src_08_append_events", "SELECT event_id, event, status FROM kb_events")
@@ -119,9 +128,10 @@ def clipped(spark, d):
     return t.select("document_id", "page", F.greatest(F.lit(0), F.least(F.col("n"), 6000 - F.coalesce(F.sum("n").over(w), F.lit(0)))).cast("long").alias("kept"))
 
 
-@query("src_16_dataset_fingerprint", """r AS (SELECT doc_id, sha256('{"doc_id":' || doc_id || ',"quality":' || quality || ',"toxic":' || toxic || '}') AS h FROM labels), p AS (SELECT doc_id % 16 AS part, sha256(string_agg(h, '' ORDER BY doc_id, h)) AS h FROM r GROUP BY 1);; SELECT sha256(string_agg(h, '' ORDER BY part)) AS fingerprint, count(*) AS parts FROM p""")
+@query("src_16_dataset_fingerprint", """r AS (SELECT doc_id AS k, sha256('{"doc_id":' || doc_id || ',"quality":' || quality || ',"toxic":' || toxic || '}') AS h FROM labels), a AS (SELECT k // 4096 AS k, sha256(string_agg(h, '' ORDER BY k, h)) AS h FROM r GROUP BY 1), b AS (SELECT k // 4096 AS k, sha256(string_agg(h, '' ORDER BY k, h)) AS h FROM a GROUP BY 1)
+;; SELECT sha256(string_agg(h, '' ORDER BY k, h)) AS fingerprint, (SELECT count(*) FROM labels) AS n FROM b""")
 def dataset_hash(spark, d):
-    return ro.fingerprint(v.read(spark, d, "labels"), "doc_id", F.col("doc_id"))
+    return ro.fingerprint(v.read(spark, d, "labels"), "doc_id")
 
 
 @query("flt_01_tenant_scope", "SELECT tenant, count(*) AS n FROM kb_chunks WHERE tenant IN ('src1', 'src2') GROUP BY 1")
@@ -144,12 +154,12 @@ def scope(spark, d):
     return v.kb_chunks(spark, d).join(v.read(spark, d, "labels").filter("quality = 1").selectExpr("doc_id AS document_id"), "document_id", "left_semi").select("chunk_id")
 
 
-@query("flt_04_similarity_floor", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id = 0) b WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.25")
+@query("flt_04_similarity_floor", "SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q WHERE round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) >= 0.25")
 def floor(spark, d):
     from quern.operators.retrieval import similarities
 
     e = v.kb_vectors(spark, d)
-    return similarities(e.filter("vec_id = 0").selectExpr("vec_id AS query_id", "embedding AS query_embedding"), e.selectExpr("vec_id", "embedding")).select("vec_id", "similarity")
+    return similarities(e.filter("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "embedding AS query_embedding"), e.selectExpr("vec_id", "embedding")).select("query_id", "vec_id", "similarity")
 
 
 @query("flt_05_list_traces", "t AS (SELECT event_id, ts, (attributes->>'$.k')::BIGINT AS k FROM kb_events ORDER BY ts DESC, event_id LIMIT 100);; SELECT event_id, k FROM t WHERE k > 50")
@@ -162,9 +172,10 @@ def events(spark, d):
     return v.kb_events(spark, d).filter("event = 'error'").orderBy(F.col("ts").desc(), "event_id").limit(200).select("event_id", "event", "status")
 
 
-@query("flt_07_reindex_candidates", "SELECT document_id FROM kb_documents WHERE status <> 'deleting' AND model IS DISTINCT FROM 'm2' AND document_id NOT IN (SELECT document_id FROM kb_jobs WHERE status IN ('queued', 'running', 'retrying'))")
+@query("flt_07_reindex_candidates", "SELECT document_id FROM kb_documents WHERE status <> 'deleting' AND model IS DISTINCT FROM 'm2' AND document_id NOT IN (SELECT document_id FROM kb_jobs WHERE status IN ('queued', 'running', 'retrying') AND available_at >= TIMESTAMP '1998-01-01')")
 def reindex(spark, d):
-    live = v.kb_jobs(spark, d).filter("status IN ('queued', 'running', 'retrying')").select("document_id").distinct()
+    """Jobs that have waited since before 1998 are taken as given up."""
+    live = v.kb_jobs(spark, d).filter("status IN ('queued', 'running', 'retrying') AND available_at >= timestamp'1998-01-01'").select("document_id").distinct()
     return v.kb_documents(spark, d).filter("status <> 'deleting' AND NOT model <=> 'm2'").join(live, "document_id", "left_anti").select("document_id")
 
 
@@ -194,33 +205,36 @@ def sanitize(attributes, cut: int = 120):
     return F.transform_values(kept, lambda _, x: F.when(x.isin("NaN", "Infinity", "-Infinity"), F.lit(None).cast("string")).otherwise(F.substring(x, 1, cut)))
 
 
-@query("flt_11_sanitize_attributes")
+@query("flt_11_sanitize_attributes", "SELECT event_id, ['k', 'note', 'rate'] AS keys, least(60 * length(event), 120) AS note_length, CASE WHEN event_id % 5 <> 0 THEN '1' END AS rate FROM kb_events")
 def sanitized(spark, d):
     m = F.create_map(F.lit("k"), F.get_json_object("attributes", "$.k"), F.lit("prompt"), F.lit("secret words"), F.lit("user_text"), F.col("event"), F.lit("note"), F.repeat("event", F.lit(60)), F.lit("rate"), F.when(F.col("event_id") % 5 == 0, "NaN").otherwise("1"))
     return v.kb_events(spark, d).select("event_id", sanitize(m).alias("m")).selectExpr("event_id", "map_keys(m) AS keys", "length(m['note']) AS note_length", "m['rate'] AS rate")
 
 
-@query("flt_12_redact_trace")
+@query("flt_12_redact_trace", """SELECT event_id, '{"event":"' || event || '","stage":{"ms":1,"items":[{"score":"' || status || '"}]}}' AS trace FROM kb_events""")
 def redacted(spark, d):
     trace = F.to_json(F.struct("event", F.struct(F.lit(1).alias("ms"), F.col("attributes").alias("content"), F.array(F.struct(F.col("status").alias("score"), F.col("event").alias("snippet"))).alias("items")).alias("stage"), F.col("attributes").alias("question")))
     return v.kb_events(spark, d).select("event_id", redact_json(trace).alias("trace"))
 
 
 def redact_json(c):
-    """JSON text without the keys that name content, at any depth."""
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        import json
-        import re
+    """JSON text without the keys that name content, at any depth; null where the text is no JSON."""
+    bad = re.compile(REDACTED)
 
-        bad = re.compile(REDACTED)
+    def clean(x):
+        if isinstance(x, list):
+            return [clean(y) for y in x]
+        return {k: clean(y) for k, y in x.items() if not bad.search(k)} if isinstance(x, dict) else x
 
-        def clean(x):
-            if isinstance(x, list):
-                return [clean(y) for y in x]
-            return {k: clean(y) for k, y in x.items() if not bad.search(k)} if isinstance(x, dict) else x
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(clean(json.loads(text)), separators=(",", ":"), ensure_ascii=False)
+        except ValueError:
+            return None
 
-        return texts.map(lambda t: None if t is None else json.dumps(clean(json.loads(t)), separators=(",", ":")))
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
 
     return run(c)
 
@@ -244,9 +258,9 @@ def chunk_document(spark, d):
 
 @query("jn_02_query_chunks", "SELECT query_id, count(*) AS n, round(max(list_cosine_similarity(embedding::DOUBLE[], query_embedding::DOUBLE[])), 6) AS best FROM kb_corpus, kb_questions GROUP BY 1")
 def query_chunks(spark, d):
-    from quern.operators.retrieval import similarities
+    from quern.operators.retrieval import similarity_summary
 
-    return similarities(v.kb_questions(spark, d), v.kb_corpus(spark, d), -2.0).groupBy("query_id").agg(F.count("*").alias("n"), F.max("similarity").alias("best"))
+    return similarity_summary(v.kb_questions(spark, d), v.kb_corpus(spark, d))
 
 
 @query("jn_04_documents_running_job", "SELECT document_id, j.job_id FROM kb_documents LEFT JOIN (SELECT document_id, max(job_id) AS job_id FROM kb_jobs WHERE status = 'running' GROUP BY 1) j USING (document_id)")
@@ -260,9 +274,9 @@ def roles(spark, d):
     return v.kb_jobs(spark, d).select("job_id", "owner").join(v.read(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").selectExpr("c_custkey AS owner"), "owner", "left_semi").select("job_id", "owner")
 
 
-@query("jn_06_no_live_job", "SELECT document_id FROM kb_documents ANTI JOIN (SELECT document_id FROM kb_jobs WHERE status IN ('queued', 'running', 'retrying')) USING (document_id)")
+@query("jn_06_no_live_job", "SELECT document_id FROM kb_documents ANTI JOIN (SELECT document_id FROM kb_jobs WHERE status IN ('queued', 'running', 'retrying') AND available_at >= TIMESTAMP '1998-01-01') USING (document_id)")
 def idle(spark, d):
-    return v.kb_documents(spark, d).select("document_id").join(v.kb_jobs(spark, d).filter("status IN ('queued', 'running', 'retrying')").select("document_id"), "document_id", "left_anti")
+    return v.kb_documents(spark, d).select("document_id").join(v.kb_jobs(spark, d).filter("status IN ('queued', 'running', 'retrying') AND available_at >= timestamp'1998-01-01'").select("document_id"), "document_id", "left_anti")
 
 
 SPANS = "a AS (SELECT l_orderkey AS doc, l_linenumber AS id, l_partkey % 100 AS s, l_partkey % 100 + l_quantity::BIGINT AS e FROM lineitem WHERE l_linenumber % 2 = 0), b AS (SELECT l_orderkey AS doc, l_linenumber AS id, l_suppkey % 100 AS s, l_suppkey % 100 + l_quantity::BIGINT AS e FROM lineitem WHERE l_linenumber % 2 = 1)"

@@ -1,29 +1,24 @@
 """Continuous forms: telemetry rollups, limiters, expiry, duplicate suppression, document ingest.
 
-A stream reads a table's files as they come. State is bounded by a watermark of one hour on event
-time. ``drain`` runs a stream over what is there and returns its result, from a table in the shared
-folder.
+A stream reads a table's files as they come. State goes when the watermark, an hour behind event time unless
+said otherwise, has passed it; a limiter's goes when its window has. ``drain`` runs a stream over what is there
+and returns its result, from a table in the shared folder. A batch that is run again after a failure
+overwrites what it wrote before.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-RETENTION = "1 hour"
-
+from quern.sources.files import new_folder
 
-def shared(spark: SparkSession) -> str:
-    """A new folder below the session's checkpoint folder, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+RETENTION = "1 hour"
 
 
 def source(spark: SparkSession, sf_dir: str, name: str, files: int | None = None) -> DataFrame:
@@ -35,20 +30,26 @@ def source(spark: SparkSession, sf_dir: str, name: str, files: int | None = None
     return df.select(*(F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else c for c, t in df.dtypes))
 
 
-def drain(df: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
-    """Runs a stream over all there is. In update mode the last row of each key stays."""
-    spark, at = df.sparkSession, shared(df.sparkSession)
+def _put(batch: DataFrame, number: int, path: str) -> None:
+    """Writes a batch to the folder of its number."""
+    batch.write.mode("overwrite").parquet(f"{path}/_batch={number}")
 
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(f"{at}/out")
 
-    df.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    out = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_batch", T.IntegerType())])).parquet(f"{at}/out")
-    if mode == "update":
+def _latest(spark: SparkSession, schema: T.StructType, path: str, keys: list[str] | None) -> DataFrame:
+    """What batches have written; with keys the row of each key's last batch."""
+    out = spark.read.schema(T.StructType([*schema.fields, T.StructField("_batch", T.LongType())])).parquet(path)
+    if keys:
         out = out.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_batch").desc()))).filter("_r = 1").drop("_r")
     return out.drop("_batch")
 
 
+def drain(df: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream over all there is. In update mode the last row of each key stays."""
+    at = new_folder(df.sparkSession, "stream")
+    df.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).foreachBatch(lambda batch, number: _put(batch, number, f"{at}/out")).start().awaitTermination()
+    return _latest(df.sparkSession, df.schema, f"{at}/out", keys if mode == "update" else None)
+
+
 def telemetry_rollup(events: DataFrame, width: str = "1 day") -> DataFrame:
     """Requests, errors and mean latency by tumbling window and event."""
     seen = events.withWatermark("ts", RETENTION).groupBy(F.window("ts", width), "event_type")
@@ -73,31 +74,40 @@ def admit(times: list[int], accepted: list[int], limit: int, window: int) -> tup
 
 
 def exact_limiter(events: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """Each event with whether it is admitted; the state is the times of the admitted ones in the window."""
+    """Each event with whether it is admitted.
+
+    The state of a key is the times of its admitted events in the window, at most ``limit`` of them; it goes when
+    the watermark has passed the last of them by the window. Events of a batch are judged in order of time,
+    and those of a later batch after them; events behind the watermark are left out.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         accepted = list(state.get[0]) if state.exists else []
         frame = pd.concat(list(frames)).sort_values(["us", "event_id"])
         admitted, accepted = admit(frame["us"].tolist(), accepted, limit, seconds * 1_000_000)
         state.update((accepted,))
+        state.setTimeoutTimestamp(max(max(accepted) // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"event_id": frame["event_id"], "user_id": key[0], "admitted": admitted})
 
-    rows = events.select("event_id", "user_id", F.unix_micros("ts").alias("us"))
-    return rows.groupBy("user_id").applyInPandasWithState(run, "event_id long, user_id long, admitted boolean", "accepted array<long>", "append", GroupStateTimeout.NoTimeout)
+    rows = events.withWatermark("ts", RETENTION).select("event_id", "user_id", "ts", F.unix_micros("ts").alias("us"))
+    return rows.groupBy("user_id").applyInPandasWithState(run, "event_id long, user_id long, admitted boolean", "accepted array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def without_repeats(df: DataFrame, key: str, ts: str) -> DataFrame:
-    """The first row of each key within the watermark."""
-    return df.withWatermark(ts, RETENTION).dropDuplicatesWithinWatermark([key])
+def without_repeats(df: DataFrame, key: str, ts: str, within: str = RETENTION) -> DataFrame:
+    """The first row of each key; a repeat after more than ``within`` is a first row again, as the state is gone by then."""
+    return df.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
 
 
-def ingest(docs: DataFrame, chunk: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
-    """Chunks of a stream of documents, upserted into a table by ``keys``; later batches win."""
-    spark, at = docs.sparkSession, shared(docs.sparkSession)
+def lease_sweep(jobs: DataFrame, gone: Column, after: Column) -> DataFrame:
+    """(job_id, status) of each job of the stream whose lease is ``gone``, with the state it goes to; no state is held."""
+    return jobs.filter(gone).select("job_id", after.alias("status"))
 
-    def put(batch: DataFrame, number: int) -> None:
-        chunk(batch).withColumn("_batch", F.lit(number)).write.mode("append").parquet(f"{at}/chunks")
 
-    docs.writeStream.option("checkpointLocation", f"{at}/log").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    w = Window.partitionBy(*keys).orderBy(F.col("_batch").desc())
-    return spark.read.parquet(f"{at}/chunks").withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_batch")
+def ingest(docs: DataFrame, chunk: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+    """Chunks of a stream of documents, upserted into a table by ``keys``; later batches win."""
+    at, schema = new_folder(docs.sparkSession, "stream"), chunk(docs).schema
+    docs.writeStream.option("checkpointLocation", f"{at}/log").trigger(availableNow=True).foreachBatch(lambda batch, number: _put(chunk(batch), number, f"{at}/chunks")).start().awaitTermination()
+    return _latest(docs.sparkSession, schema, f"{at}/chunks", keys)

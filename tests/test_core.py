@@ -1,18 +1,22 @@
 """Registered queries against their SQL on the smallest tables, and what SQL can't express against brute force."""
 
 import datetime as dt
+import math
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quern.functions import english
 from quern.functions import text as tx
 from quern.operators import chunking as ch
 from quern.operators import citations as ct
 from quern.operators import context as cx
 from quern.operators import evaluation as ev
 from quern.operators import retrieval as rt
+from quern.operators import rollups as ro
 from quern.plans.all import QUERIES, SQL
 from quern.sources import files
 from quern.sources.views import TABLES
@@ -66,6 +70,98 @@ def test_ann_recall(spark):
     assert len(exact & near) / len(exact) >= 0.9
 
 
+def test_ann_recall_on_clustered_vectors(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 16))
+    chunks = spark.createDataFrame([(i, (centres[i % 30] + 0.3 * rng.normal(size=16)).tolist()) for i in range(2400)], "chunk_id long, embedding array<double>")
+    asked = spark.createDataFrame([(i, (centres[i] + 0.3 * rng.normal(size=16)).tolist()) for i in range(30)], "query_id long, query_embedding array<double>")
+    exact = {(r.query_id, r.chunk_id) for r in rt.dense_topk(asked, chunks, 10, -1.0).collect()}
+    near = {(r.query_id, r.chunk_id) for r in rt.ann_topk(asked, chunks, 10, share=0.1).collect()}
+    assert len(exact) == len(near) == 300 and len(exact & near) >= 0.95 * 300
+
+
+def test_best_of_a_batch_loses_nothing(spark):
+    rng = np.random.default_rng(9)
+    chunks = spark.createDataFrame([(i, i % 3, [float(x) for x in rng.integers(-1, 2, 3)]) for i in range(300)], "chunk_id long, document_id long, embedding array<double>").repartition(5)
+    asked = spark.createDataFrame([(i, [float(x) for x in rng.integers(-1, 2, 3)]) for i in range(5)], "query_id long, query_embedding array<double>")
+    rows = lambda df: sorted(tuple(r) for r in df.select("query_id", "chunk_id", "similarity", "position").collect())
+    assert rows(rt.top(rt.similarities(asked, chunks, -1.0, 7), "similarity", 7)) == rows(rt.top(rt.similarities(asked, chunks, -1.0), "similarity", 7))
+    every = {(r.query_id): (r.n, r.best) for r in rt.similarity_summary(asked, chunks).collect()}
+    assert every == {r.query_id: (r.n, r.best) for r in rt.similarities(asked, chunks, -2.0).groupBy("query_id").agg(F.count("*").alias("n"), F.max("similarity").alias("best")).collect()}
+    pairs = rt.similarities(asked, chunks, 0.0)
+    one = pairs.filter("query_id > 1 OR document_id = 0")
+    got = {}
+    for r in rt.per_document_cap(one, cap=2, pool=5).collect():
+        got.setdefault(r.query_id, []).append((r.position, r.chunk_id, r.document_id))
+    for q in range(5):
+        held = sorted(((-r.similarity, r.chunk_id, r.document_id) for r in one.filter(f"query_id = {q}").collect()))
+        docs, n, want = {d for *_, d in held}, {}, []
+        for _, c, d in held:
+            n[d] = n.get(d, 0) + 1
+            if n[d] <= (2 if len(docs) > 1 else 5) and len(want) < 5:
+                want.append((len(want) + 1, c, d))
+        assert sorted(got.get(q, [])) == want
+
+
+def test_stems():
+    words = "consign consigned consigning consignment consist consistency consistent knack knackeries knavish knife kneel knights knots generously generate communities arsenal skies dying running hopping hoping happiness relational conditional rationally triplicate electricity hopefulness adjustment replacement adoption controlling rolled by say cries ties agreed feed national sensibility absolutely analogies flyer yes boy".split()
+    want = "consign consign consign consign consist consist consist knack knackeri knavish knife kneel knight knot generous generat communiti arsenal sky die run hop hope happi relat condit ration triplic electr hope adjust replac adopt control roll by say cri tie agre feed nation sensibl absolut analog flyer yes boy".split()
+    assert [english.stem(w) for w in words] == want
+
+
+def test_english_search(spark):
+    chunks = spark.createDataFrame([(1, 1, "The cats were running to the houses"), (2, 1, "a cat runs"), (3, 2, "house of a cat"), (4, 2, "the of and"), (5, 3, "running the cat")], "chunk_id int, document_id int, content string")
+    ask = lambda q: sorted(r.chunk_id for r in rt.lexical_match(spark.createDataFrame([(1, q)], "query_id int, question string"), chunks, english=True).collect())
+    assert ask("which cats are running") == [1, 2, 5] and ask('"running cats"') == [] and ask('"running the cats"') == [5] and ask("house -run") == [3] and ask("the of") == []
+    rank = {r.chunk_id: r.lexical_rank for r in rt.cover_density(spark.createDataFrame([(1, "the running of cats")], "query_id int, question string"), chunks, english=True).collect()}
+    assert rank == {1: 0.05, 2: 0.1, 5: 0.05}
+
+
+def test_listwise_replies(spark):
+    from quern.plans.retrieval import parse_listwise_scores
+
+    cases = {1: '{"scores":[{"index":0,"score":8},{"index":1,"score":2}]}', 2: "not json", 3: "[0.5, 7]", 4: '{"scores":[]}', 5: '{"scores":[{"index":9,"score":1}]}', 6: '[{"score":0.2},{"index":0,"score":0.4},{"score":0.6}]', 7: "{broken", 8: "[-3, 99]", 9: None}
+    got = {}
+    for r in parse_listwise_scores(spark.createDataFrame(list(cases.items()), "query_id int, reply string"), 2).collect():
+        got.setdefault(r.query_id, {})[r.target] = r.score
+    assert got == {1: {0: 0.8, 1: 0.2}, 3: {0: 0.5, 1: 0.7}, 6: {0: 0.4, 1: 0.0}, 8: {0: 0.0, 1: 1.0}}
+
+
+def test_exact_percentiles_equal_sorted_values(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.choice([None, float(rng.randrange(40)), rng.random() * 1000])) for _ in range(3000)] + [("c", 5.0), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    ps = {"p1": 0.01, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    got = {r.k: tuple(r[p] for p in ps) for r in ro.exact_percentiles(df, "x", ps, ["k"], ranges=7).collect()}
+    for k in "abc":
+        xs = sorted(x for g, x in rows if g == k and x is not None)
+        assert got[k] == tuple(xs[max(1, math.ceil(p * len(xs))) - 1] for p in ps.values())
+    assert set(got) == {"a", "b", "c"} and ro.exact_percentiles(df.filter("k = 'd'"), "x", ps).count() == 0
+
+
+def test_fingerprint_sees_every_row(spark):
+    base = [(i, i * 7 % 5) for i in range(9000)]
+    of = lambda rows, n: ro.fingerprint(spark.createDataFrame(rows, "k long, x int").repartition(n), "k").first()
+    a = of(base, 3)
+    assert a == of(base[::-1], 5) and a.n == 9000 and a.fingerprint != of([*base[:-1], (8999, 77)], 3).fingerprint and a.fingerprint != of(base[1:], 3).fingerprint
+
+
+def test_a_batch_run_again_leaves_its_rows_once(spark, tmp_path):
+    for _ in range(2):
+        st._put(spark.range(5), 0, str(tmp_path))
+    st._put(spark.range(3), 1, str(tmp_path))
+    assert st._latest(spark, spark.range(1).schema, str(tmp_path), None).count() == 8 and st._latest(spark, spark.range(1).schema, str(tmp_path), ["id"]).count() == 5
+
+
+def test_evidence_checks(spark):
+    ranked = spark.createDataFrame([(q, c, 1) for q in range(1, 8) for c in (10, 11)], "query_id int, chunk_id int, document_id int")
+    cases = {1: [("source_01", 10, 1), ("source_02", 11, 1)], 2: [("source_01", 10, 1), ("source_01", 11, 1)], 3: [("source_1", 10, 1)], 4: [("source_01", 12, 1)], 5: [("source_01", 10, 2)], 6: [("source_01", 10, 1), ("source_02", 10, 1)]}
+    evidence = spark.createDataFrame([(q, *x) for q, xs in cases.items() for x in xs], "query_id int, source_id string, chunk_id int, document_id int")
+    verdicts = spark.createDataFrame([*((q, True) for q in range(1, 8)), (8, False)], "query_id int, grounded boolean")
+    assert {r.query_id: r.valid for r in cx.evidence_ids_valid(evidence, ranked, verdicts).collect()} == {1: True, 2: False, 3: False, 4: False, 5: False, 6: False, 7: False, 8: True}
+    assert spark.range(1).select(tx.preview(F.lit("  a\nb" + "c" * 400 + " \n"))).first()[0] == "a b" + "c" * 317 + "..."
+
+
 def test_exact_limiter_equals_brute_force(spark):
     got = {r.event_id: r.admitted for r in QUERIES["str_03_exact_limiter"](spark, SF).collect()}
     held, want = {}, {}
@@ -106,15 +202,49 @@ def test_gate_reasons(spark):
 
 def test_recursive_split_invariants():
     rng = random.Random(2)
-    for _ in range(60):
-        text = "".join(rng.choice(["word ", "longerword ", ". ", "\n", "\n\n", "x" * 50]) for _ in range(rng.randrange(1, 200)))
-        out = ch.recursive_split(text, 300, 60)
-        assert all(0 < len(c) <= 300 and c == c.strip() for c in out)
-        kept = set("".join(out))
-        assert set(text) - set(" \n.") <= kept
+    for _ in range(200):
+        text = "".join(rng.choice(["word ", "longerword ", ". ", "\n", "\n\n", "x" * 50, "y" * 400, "Fin. "]) for _ in range(rng.randrange(1, 200)))
+        size, overlap = rng.choice([(300, 60), (100, 0), (250, 200), (1000, 200), (200, 300)])
+        end = 0
+        for a, b in ch.spans(text, size, overlap):
+            assert a <= end < b and b - a <= size
+            end = b
+        assert end == len(text)
+        assert all(0 < len(c) <= size and c == c.strip() and c in text for c in ch.recursive_split(text, size, overlap))
     long = ch.recursive_split("a" * 2500, 1000, 0)
     assert [c.count("a") for c in long] == [1000, 1000, 500] and ch.recursive_split(" .. ", 100) == []
-    assert ch.recursive_split("SKU-1") == ["SKU-1"]
+    assert ch.recursive_split("SKU-1") == ["SKU-1"] and ch.recursive_split("A" * 96 + "\n\nSKU: AB-1234", 100, 0) == ["A" * 96, "SKU: AB-1234"]
+    assert ch.recursive_split("one two. three four\nfive", 12, 0) == ["one two.", "three four", "five"] and ch.recursive_split("保留35天。") == ["保留35天。"]
+
+
+def test_cut_places_equal_brute_force():
+    """A place is one of the coarsest kind that makes its stretch short enough."""
+    rng = random.Random(6)
+    for _ in range(100):
+        text = "".join(rng.choice(["ab", "cdefg", " ", ". ", "\n", "\n\n"]) for _ in range(rng.randrange(60)))
+
+        def pieces(t, kinds, size=12):
+            if len(t) <= size or not kinds:
+                return [t[i : i + size] for i in range(0, len(t), size)]
+            parts = [x + kinds[0] for x in t.split(kinds[0])]
+            return [y for x in [*parts[:-1], parts[-1][: -len(kinds[0])]] for y in pieces(x, kinds[1:]) if y]
+
+        at, want = 0, [0]
+        for x in pieces(text, ["\n\n", "\n", ". ", " "]):
+            at += len(x)
+            want.append(at)
+        assert ch.cut_places(text, 12) == sorted({*want, len(text)})
+
+
+def test_windows_of_a_long_text(spark):
+    text = "abé😀" * 250_500
+    df = spark.createDataFrame([(7, text), (8, "x" * 2500), (9, ""), (10, None)], "k long, t string")
+    got = {}
+    for r in ch.window_chunks(df, "k", "t").collect():
+        got.setdefault(r.k, {})[r.chunk_index] = r.content
+    assert set(got) == {7, 8} and "".join(got[7][i] for i in range(len(got[7]))) == text and len(got[7]) == 1002
+    assert [len(got[8][i]) for i in range(3)] == [1000, 1000, 500]
+    assert [r.content for r in ch.window_chunks(spark.createDataFrame([(1, "abcdefghij")], "k int, t string"), "k", "t", 4, 1).orderBy("chunk_index").collect()] == ["abcd", "defg", "ghij", "j"]
 
 
 def test_chunk_pages():
@@ -133,6 +263,8 @@ def test_split_table():
 
 def test_boundary_overlap():
     text = "First sentence here. Second one follows now. Third is last."
+    assert ch.boundary_overlap("First sentence about infrastructure. Second sentence detailing service reliability. Third sentence on incident response.", 55) == "Third sentence on incident response."
+    assert ch.boundary_overlap("Continuous integration and delivery automation across cloud platforms", 25) == "across cloud platforms" and ch.boundary_overlap("Short text", 0) == ""
     assert ch.boundary_overlap(text, 20) == "Third is last." and ch.boundary_overlap("short", 5) == "" and ch.boundary_overlap("x" * 50, 10) == "x" * 10
 
 
