@@ -89,8 +89,6 @@ class Segment:
         keys = self.lists[term]
         left = (keys[:, None] - offset + np.arange(-slop, slop + 1)).ravel()
         doc = np.repeat(keys >> 32, 2 * slop + 1)
-        if slop:
-            doc, left = np.unique(np.stack([doc, left]), axis=1)
         for term, offset in window[1:]:
             if not len(left):
                 break
