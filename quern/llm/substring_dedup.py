@@ -1,16 +1,23 @@
 """Substring dedup: repeated windows of words, found with a count-min prefilter and an exact second pass.
 
-A window is SIZE consecutive words of one document. Every copy of a window holds the same smallest
-hash of its runs of GRAM words (its anchor), at the same place, so the anchor occurs at least as often
-as the window. The first pass counts the anchors (about one word in twelve is one) in count-min
-sketches, one per task, which are merged cell by cell; a cell need only tell none, one, or more. The
-merged sketch overestimates an anchor, and so each of its windows, and never underestimates.
-
-The second pass computes a 128-bit BLAKE2 digest of each window whose estimate is two or more. Digests go in
-blocks: a task sends each distinct digest of a block once, with a mark if the block has it more than
-once, to the bucket of its leading bits. A bucket tells each block which of its digests occur
-elsewhere, and the block's documents, kept beside with the places of their windows, are then cut. So a passage in a
-third of all documents is one digest per block, and nothing lists pairs of occurrences.
+A window is SIZE consecutive words of one document. Its anchor is the smallest hash of its runs of GRAM
+words. Two copies of a window have the same runs, so the same smallest hash, at the same places in the window; copies
+that start at different places therefore have it at different places of the corpus, and an anchor
+occurs at least as often as any of its windows. So the count of its anchor overestimates a window, and leaving out
+windows whose anchor occurs once loses none. Anchors are about one word in twelve, which is why they are counted in
+the windows' stead.
+
+First pass. A task packs its documents in units of UNIT_BYTES. A unit's distinct anchors, with a mark for those it has
+more than once, are its partial sketch, cut by the anchors' leading bits into shards. A shard, whose number
+grows with the corpus, merges its parts of all units in one count-min sketch of its own, sized by what it holds, and tells
+each unit which of its anchors are estimated to occur twice or more. So no task holds more than a shard.
+
+Second pass. The windows with such an anchor get a 128-bit BLAKE2 digest. Digests go in blocks: a task sends each
+distinct digest of a block once, with a mark if the block has it more than once, to the bucket of
+its leading bits. A bucket, of which there are more the larger the corpus is, tells each block which of its
+digests occur elsewhere, and the block's documents, kept beside with the places of their windows, are then cut. So
+a passage in a third of all documents is one anchor per unit and one digest per block, and nothing lists pairs
+of occurrences.
 """
 
 from __future__ import annotations
@@ -22,7 +29,6 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as ds
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -30,22 +36,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import ceil_div, open_fs, partitions, schema_of, shared_dir, texts
+from quern.llm.common import ceil_div, partitions, schema_of, shared_dir, tasks_for, text_bytes, texts
 
 SIZE, GRAM, DEPTH = 35, 12, 3
-#: Cells of a sketch row for each byte of text, and at most; bits of a piece of the sketch.
-CELLS_PER_BYTE, MAX_WIDTH, PIECE = 1 / 32, 1 << 30, 20
-#: Windows of a block, windows of a bucket on average, and words whose hash a worker remembers.
-BLOCK, BUCKET, MEMO = 500_000, 2_000_000, 1_000_000
+#: Cells of a sketch row for each anchor of a shard, and anchors that are put in or asked at once.
+CELLS, STEP = 4, 1 << 20
+#: Bytes of text of a unit, of a page of one, of a block, of a shard's share and of a bucket's share; windows of a block.
+UNIT_BYTES, PAGE_BYTES, BLOCK_BYTES, SHARD_BYTES, BUCKET_BYTES, BLOCK = 32 << 20, 4 << 20, 8 << 20, 512 << 20, 64 << 20, 1_000_000
+#: Words whose hash a worker remembers, and the bytes of such a word, at most.
+MEMO, REMEMBERED = 1_000_000, 64
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= REMEMBERED:
+            if len(self) > MEMO:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -88,74 +98,27 @@ def anchors(words: list[bytes], hashes: WordHashes, size: int = SIZE, gram: int
 
 
 def _cells(h: np.ndarray, width: int) -> np.ndarray:
-    """Cell numbers of hashes in each row of the sketch: (DEPTH, len(h)); width is a power of two."""
+    """Cell numbers of hashes in each row of a sketch: (DEPTH, len(h)); width is a power of two."""
     return np.stack([(_mix(h + np.uint64(MULTIPLIER * (r + 1) % (1 << 64))) & np.uint64(width - 1)) + np.uint64(r * width) for r in range(DEPTH)])
 
 
-def sketch(rows: DataFrame, width: int, size: int = SIZE) -> str:
-    """Folder of the merged sketch: (piece, bits), a bit for each cell counted twice or more."""
+class Sketch:
+    """A count-min sketch whose cells tell none, one, or more."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, n = WordHashes(), [], 0
+    def __init__(self, entries: int):
+        self.width = 1 << max(6, (CELLS * entries - 1).bit_length())
+        self.cells = np.zeros(DEPTH * self.width, np.uint8)
 
-        def flush() -> pa.RecordBatch:
-            cells, counts = np.unique(_cells(np.concatenate(held), width), return_counts=True)
-            piece = (cells >> np.uint64(PIECE)).astype(np.int64)
-            cut = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
-            ends = [*cut[1:], len(piece)]
-            low = (cells & np.uint64((1 << PIECE) - 1)).astype("<u4")
-            return pa.RecordBatch.from_arrays([pa.array(piece[cut]), *(pa.array([low[a:b][keep[a:b]].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()) for keep in (counts == 1, counts > 1))], ["piece", "once", "more"])
+    def add(self, h: np.ndarray, more: np.ndarray) -> None:
+        """Counts hashes once, and those marked in ``more`` twice."""
+        for i in range(0, len(h), STEP):
+            at = _cells(h[i : i + STEP], self.width)
+            at, n = np.unique(np.concatenate([at, at[:, more[i : i + STEP] > 0]], axis=1), return_counts=True)
+            self.cells[at] = np.minimum(self.cells[at] + np.minimum(n, 2), 2)
 
-        for b in batches:
-            for text in texts(b):
-                w = text.split()
-                if len(w) >= size:
-                    chosen = anchors(w, hashes, size)[1]
-                    held.append(chosen)
-                    n += len(chosen)
-                    if n > 1 << 21:
-                        yield flush()
-                        held, n = [], 0
-        if held:
-            yield flush()
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, cells = None, np.zeros(1 << PIECE, np.uint8)
-        done = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.packbits(cells > 1).tobytes()], pa.binary())], ["piece", "bits"])
-        for b in batches:
-            for piece, once, more in zip(*(b.column(c).to_pylist() for c in ("piece", "once", "more")), strict=True):
-                if piece != at:
-                    if at is not None:
-                        yield done()
-                    at = piece
-                    cells[:] = 0
-                i = np.frombuffer(once, "<u4")
-                cells[i] = np.minimum(cells[i] + 1, 2)
-                cells[np.frombuffer(more, "<u4")] = 2
-        if at is not None:
-            yield done()
-
-    path = shared_dir(rows.sparkSession)
-    partial = rows.select("text").mapInArrow(count, "piece long, once binary, more binary")
-    partial.repartition(partitions(rows.sparkSession), "piece").sortWithinPartitions("piece").mapInArrow(merge, "piece long, bits binary").write.parquet(path)
-    return path
-
-
-@lru_cache(maxsize=1)
-def _load(path: str, width: int) -> np.ndarray:
-    """The merged sketch's bits; a worker reads them once from the shared folder."""
-    fs, at = open_fs(path)
-    bits = np.zeros(max(1 << PIECE, DEPTH * width) // 8, np.uint8)
-    for b in ds.dataset(at, filesystem=fs, format="parquet").to_batches(batch_size=64):
-        for piece, x in zip(b.column("piece").to_pylist(), b.column("bits").to_pylist(), strict=True):
-            bits[piece << PIECE - 3 : (piece << PIECE - 3) + len(x)] = np.frombuffer(x, np.uint8)[: len(bits) - (piece << PIECE - 3)]
-    return bits
-
-
-def _repeated(h: np.ndarray, bits: np.ndarray, width: int) -> np.ndarray:
-    """Whether the estimate of each hash is two or more."""
-    cells = _cells(h, width)
-    return ((bits[cells >> np.uint64(3)] >> (np.uint64(7) - (cells & np.uint64(7))).astype(np.uint8)) & 1).astype(bool).all(axis=0)
+    def repeated(self, h: np.ndarray) -> np.ndarray:
+        """Whether the estimate of each hash is two or more."""
+        return np.concatenate([np.zeros(0, bool), *((self.cells[_cells(h[i : i + STEP], self.width)] > 1).all(axis=0) for i in range(0, len(h), STEP))])
 
 
 def _sha(words) -> str:
@@ -169,6 +132,50 @@ def _order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.r_[True, (s[1:] != s[:-1]).any(axis=1)] if len(s) else np.zeros(0, bool)
 
 
+def _cut(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ascending 64-bit hashes: the numbers of the equal ranges that they fall in, and where each range starts, and the end."""
+    part = (h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(h) else np.zeros(0, np.int64)
+    return part[starts].astype(np.int32), np.r_[starts, len(h)]
+
+
+def _by(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[str | int, list[dict]]]:
+    """Rows in groups of one key, from batches sorted by it."""
+    at, held = None, []
+    for b in batches:
+        for r in b.to_pylist():
+            if r[key] != at:
+                if held:
+                    yield at, held
+                at, held = r[key], []
+            held.append(r)
+    if held:
+        yield at, held
+
+
+class Rows:
+    """Makes record batches of one schema from columns; the columns that are not given are null."""
+
+    def __init__(self, schema: T.StructType):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        self.schema = to_arrow_schema(schema)
+
+    def __call__(self, n: int, **columns) -> pa.RecordBatch:
+        one = lambda f: pa.nulls(n, f.type) if f.name not in columns else columns[f.name].cast(f.type) if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type)
+        return pa.RecordBatch.from_arrays([one(f) for f in self.schema], schema=self.schema)
+
+
+def _lists(arrays: list[pa.Array]) -> pa.Array:
+    """One list column of one row."""
+    flat = pa.concat_arrays(arrays)
+    return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
+
+
+def _digest(x: bytes) -> bytes:
+    return hashlib.blake2b(x, digest_size=16).digest()
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """One row per row: id_col, n_words, n_removed, kept_sha256.
 
@@ -179,138 +186,165 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    width = 1 << max(10, min(MAX_WIDTH, int(n_bytes * CELLS_PER_BYTE)).bit_length())
-    buckets = max(partitions(spark), ceil_div(n_bytes, 6 * BUCKET))
-    path = sketch(rows, width, size)
+    n_bytes = text_bytes(rows)
+    n, shards, buckets = tasks_for(rows, n_bytes), *(max(partitions(spark), ceil_div(n_bytes, x)) for x in (SHARD_BYTES, BUCKET_BYTES))
     kind_id = schema_of(rows, "id")
-    out = T.StructType([
-        T.StructField("kind", T.IntegerType()), T.StructField("block", T.StringType()), kind_id, T.StructField("bucket", T.IntegerType()),
-        T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("n_words", T.LongType()), T.StructField("kept", T.StringType()),
+    field = lambda name, kind: T.StructField(name, kind)
+    # kind 0: a document that is done; 1: a page of a unit, or a block, with its documents' ids and texts; 2: a unit's anchors or a block's digests in one shard or bucket
+    state = T.StructType([
+        field("of", T.StringType()), field("at", T.IntegerType()), field("a", T.BinaryType()), field("b", T.BinaryType()), field("ids", T.ArrayType(kind_id.dataType)), field("sizes", T.ArrayType(T.IntegerType())),
+        kind_id, field("n_words", T.LongType()), field("n_removed", T.LongType()), field("kept_sha256", T.StringType()), field("kind", T.IntegerType()),
     ])
-    names = [f.name for f in out]
+    out, done_names = Rows(state), ["id", "n_words", "n_removed", "kept_sha256"]
+
+    def done(ids: list[pa.Array], words: list[list[bytes]], kept: list | None = None) -> pa.RecordBatch:
+        """Documents of which the words marked in ``kept`` stay, or all."""
+        left = words if kept is None else [list(compress(w, k)) for w, k in zip(words, kept, strict=True)]
+        return out(len(words), id=pa.concat_arrays(ids), n_words=[len(w) for w in words], n_removed=[len(w) - len(x) for w, x in zip(words, left, strict=True)], kept_sha256=[_sha(x) for x in left], kind=[0] * len(words))
+
+    def parts(of: str, keys: np.ndarray, head: np.ndarray, more: np.ndarray, ranges: int) -> pa.RecordBatch:
+        """Distinct keys, in the order of their leading 64 bits, as one row per range of these."""
+        at, cuts = _cut(head, ranges)
+        cut = lambda x: [x[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
+        return out(len(at), of=[of] * len(at), at=at, a=cut(keys), b=cut(more.astype(np.uint8)), kind=[2] * len(at))
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, part, serial, squeeze = WordHashes(), TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3).compress
+        ids, packed, held, in_page, in_unit, page = [], [], [], 0, 0, 0
+
+        def put_page() -> pa.RecordBatch:
+            return out(1, of=[f"{part}-{serial}"], at=[page], a=[squeeze(b"\n".join(packed))], ids=_lists(ids), kind=[1])
+
+        def put_anchors() -> pa.RecordBatch:
+            h, times = np.unique(np.concatenate(held), return_counts=True)
+            return parts(f"{part}-{serial}", h, h, times > 1, shards)
+
+        for b in batches:
+            short, short_words = [], []
+            for k, text in enumerate(texts(b)):
+                w = text.split()
+                if len(w) < size:
+                    short.append(b.column("id").slice(k, 1))
+                    short_words.append(w)
+                    continue
+                held.append(anchors(w, hashes, size)[1])
+                ids.append(b.column("id").slice(k, 1))
+                packed.append(b" ".join(w))
+                in_page, in_unit = in_page + len(packed[-1]), in_unit + len(packed[-1])
+                if in_page >= PAGE_BYTES or in_unit >= UNIT_BYTES:
+                    yield put_page()
+                    ids, packed, in_page, page = [], [], 0, page + 1
+                if in_unit >= UNIT_BYTES:
+                    yield put_anchors()
+                    held, in_unit, page, serial = [], 0, 0, serial + 1
+            if short:
+                yield done(short, short_words)
+        if ids:
+            yield put_page()
+        if held:
+            yield put_anchors()
+
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, units in _by(batches, "at"):
+            h, more = np.frombuffer(b"".join(u["a"] for u in units), np.uint64), np.frombuffer(b"".join(u["b"] for u in units), np.uint8)
+            sketch = Sketch(len(h))
+            sketch.add(h, more)
+            again, ends = sketch.repeated(h), np.cumsum([len(u["b"]) for u in units])
+            told = [h[e - len(u["b"]) : e][again[e - len(u["b"]) : e]].tobytes() for u, e in zip(units, ends, strict=True)]
+            yield out(len(units), of=[u["of"] for u in units], at=[shard] * len(units), a=told, kind=[0] * len(units))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, hashes, part, serial = _load(path, width), WordHashes(), TaskContext.get().partitionId(), 0
-        digest = lambda x: hashlib.blake2b(x, digest_size=16).digest()
-        empty_id, squeeze = None, zstandard.ZstdCompressor(level=3).compress
+        hashes, unpack, squeeze = WordHashes(), zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
+        unit, flagged, serial, held, n_held, in_block = None, [], 0, [], 0, 0
 
-        def block(docs: list[tuple]) -> Iterator[pa.RecordBatch]:
-            keys = np.frombuffer(b"".join(d[3] for d in docs), "<u8").reshape(-1, 2)
+        def block() -> Iterator[pa.RecordBatch]:
+            name, keys = f"{unit}-{serial}", np.frombuffer(b"".join(raw for *_, raw in held), np.uint64).reshape(-1, 2)
             order, first = _order(keys)
             number = np.cumsum(first) - 1
-            place = np.empty(len(keys), "<u4")
+            place = np.empty(len(keys), np.uint32)
             place[order] = number
+            steps = np.concatenate([np.diff(pos, prepend=0) for _, _, pos, _ in held]).astype(np.uint32)
+            yield out(1, of=[name], a=[squeeze(b"\n".join(t for _, t, *_ in held))], b=[squeeze(steps.tobytes() + place.tobytes())], ids=_lists([i for i, *_ in held]), sizes=[[len(pos) for _, _, pos, _ in held]], kind=[1])
             distinct = keys[order][first]
-            more = (np.bincount(number) > 1).astype(np.uint8)
-            name, at = f"{part}-{serial}", 0
-            for id_, text, pos, raw in docs:
-                n = len(raw) // 16
-                yield row(1, name, id_, None, squeeze(text), squeeze(np.diff(pos, prepend=0).astype("<u4").tobytes() + place[at : at + n].tobytes()), 0, None)
-                at += n
-            bucket = ((distinct[:, 0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            for x, y in zip(cut, [*cut[1:], len(bucket)], strict=True):
-                yield row(2, name, empty_id, int(bucket[x]), distinct[x:y].tobytes(), more[x:y].tobytes(), 0, None)
-
-        def row(kind, name, id_, bucket, a, b, n, kept) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([name], pa.string()), id_, pa.array([bucket], pa.int32()), pa.array([a], pa.binary()), pa.array([b], pa.binary()), pa.array([n], pa.int64()), pa.array([kept], pa.string())], names)
-
-        held, n_held = [], 0
+            yield parts(name, distinct, distinct[:, 0], np.bincount(number) > 1, buckets)
+
         for b in batches:
-            empty_id = pa.nulls(1, b.column("id").type)
-            done, counts, shas = [], [], []
-            for k, text in enumerate(texts(b)):
-                w = text.split()
-                pos = np.zeros(0, np.int64)
-                if len(w) >= size:
-                    m = anchors(w, hashes, size)[0]
-                    distinct, inverse = np.unique(m, return_inverse=True)
-                    pos = np.flatnonzero(_repeated(distinct, bits, width)[inverse])
-                if not len(pos):
-                    done.append(k)
-                    counts.append(len(w))
-                    shas.append(_sha(w))
+            for r in range(len(b)):
+                if unit != b.column("of")[r].as_py():
+                    if held:
+                        yield from block()
+                    unit, flagged, serial, held, n_held, in_block = b.column("of")[r].as_py(), [], 0, [], 0, 0
+                if b.column("kind")[r].as_py() == 0:
+                    flagged.append(b.column("a")[r].as_py())
                     continue
-                joined = b" ".join(w)
-                ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
-                starts = (ends - np.fromiter(map(len, w), np.int64, len(w)) - 1)[pos].tolist()
-                raw = b"".join(digest(joined[x:y]) for x, y in zip(starts, (ends[pos + size - 1] - 1).tolist(), strict=True))
-                held.append((b.column("id").slice(k, 1), joined, pos, raw))
-                n_held += len(pos)
-                if n_held >= BLOCK:
-                    yield from block(held)
-                    held, n_held, serial = [], 0, serial + 1
-            if done:
-                n = len(done)
-                yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.nulls(n, pa.string()), b.column("id").take(pa.array(done)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(counts, pa.int64()), pa.array(shas, pa.string())], names)
+                if not isinstance(flagged, np.ndarray):
+                    flagged = np.frombuffer(b"".join(flagged), np.uint64)  # in ascending order, as shards are ranges
+                ids, clean, clean_words = b.column("ids")[r].values, [], []
+                for k, text in enumerate(unpack(b.column("a")[r].as_py()).split(b"\n")):
+                    w = text.split()
+                    anchor, inverse = np.unique(anchors(w, hashes, size)[0], return_inverse=True)
+                    near = np.searchsorted(flagged, anchor)
+                    pos = np.flatnonzero(((near < len(flagged)) & (flagged[np.minimum(near, len(flagged) - 1)] == anchor))[inverse]) if len(flagged) else np.zeros(0, np.int64)
+                    if not len(pos):
+                        clean.append(ids.slice(k, 1))
+                        clean_words.append(w)
+                        continue
+                    lengths = np.fromiter(map(len, w), np.int64, len(w))
+                    ends = np.cumsum(lengths + 1) - 1
+                    raw = b"".join([_digest(text[x:y]) for x, y in zip((ends - lengths)[pos].tolist(), ends[pos + size - 1].tolist(), strict=True)])
+                    held.append((ids.slice(k, 1), text, pos, raw))
+                    n_held, in_block = n_held + len(pos), in_block + len(text)
+                    if n_held >= BLOCK or in_block >= BLOCK_BYTES:
+                        yield from block()
+                        serial, held, n_held, in_block = serial + 1, [], 0, 0
+                if clean:
+                    yield done(clean, clean_words)
         if held:
-            yield from block(held)
+            yield from block()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, blocks, keys, more = None, [], [], []
-
-        def told() -> pa.RecordBatch:
-            lengths = np.array([len(x) // 16 for x in keys])
-            all_keys = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
-            order, first = _order(all_keys)
+        for bucket, blocks in _by(batches, "at"):
+            keys = np.frombuffer(b"".join(x["a"] for x in blocks), np.uint64).reshape(-1, 2)
+            order, first = _order(keys)
             group = np.cumsum(first) - 1
-            times = np.bincount(group, weights=1 + np.frombuffer(b"".join(more), np.uint8)[order])
-            twice = np.empty(len(all_keys), np.uint8)
+            times = np.bincount(group, weights=1 + np.frombuffer(b"".join(x["b"] for x in blocks), np.uint8)[order])
+            twice = np.empty(len(keys), np.uint8)
             twice[order] = (times > 1)[group]
-            cuts = np.cumsum(lengths)
-            return pa.RecordBatch.from_arrays([pa.array(blocks), pa.array([at] * len(blocks), pa.int32()), pa.array([twice[c - n : c].tobytes() for n, c in zip(lengths, cuts, strict=True)], pa.binary())], ["block", "bucket", "twice"])
-
-        for b in batches:
-            for name, bucket, k, m in zip(*(b.column(c).to_pylist() for c in ("block", "bucket", "a", "b")), strict=True):
-                if bucket != at:
-                    if blocks:
-                        yield told()
-                    at, blocks, keys, more = bucket, [], [], []
-                blocks.append(name)
-                keys.append(k)
-                more.append(m)
-        if blocks:
-            yield told()
-
-    state = shared_dir(spark)
-    rows.mapInArrow(candidates, out).write.partitionBy("kind").option("compression", "zstd").parquet(state)
-    state = spark.read.schema(T.StructType([*out.fields[1:], out.fields[0]])).parquet(state)
-    n = partitions(spark)
-    replies = state.filter("kind = 2").select("block", "bucket", "a", "b").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "block string, bucket int, twice binary")
-    both = (
-        state.filter("kind = 1").select("block", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("bucket"), "id", "a", "b")
-        .unionByName(replies.select("block", F.lit(0).alias("kind"), "bucket", F.lit(None).cast(kind_id.dataType).alias("id"), F.col("twice").alias("a"), F.lit(None).cast("binary").alias("b")))
-    )
-    done = T.StructType([kind_id, *(T.StructField(c, t) for c, t in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType())))])
+            ends = np.cumsum([len(x["b"]) for x in blocks])
+            yield out(len(blocks), of=[x["of"] for x in blocks], at=[bucket] * len(blocks), a=[twice[e - len(x["b"]) : e].tobytes() for x, e in zip(blocks, ends, strict=True)], kind=[0] * len(blocks))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, flags, twice = None, [], None
-        unpack = zstandard.ZstdDecompressor().decompress
+        unpack, name, flags = zstandard.ZstdDecompressor().decompress, None, []
         for b in batches:
-            rows_of, counts, removed, shas = [], [], [], []
-            for k, (block, kind, a, x) in enumerate(zip(*(b.column(c).to_pylist() for c in ("block", "kind", "a", "b")), strict=True)):
-                if block != name:
-                    name, flags, twice = block, [], None
-                if kind == 0:
-                    flags.append(a)
+            for r in range(len(b)):
+                if name != b.column("of")[r].as_py():
+                    name, flags = b.column("of")[r].as_py(), []
+                if b.column("kind")[r].as_py() == 0:
+                    flags.append(b.column("a")[r].as_py())
                     continue
-                if twice is None:
-                    twice = np.frombuffer(b"".join(flags), np.uint8).astype(bool)
-                w = unpack(a).split()
-                steps, place = np.frombuffer(unpack(x), "<u4").reshape(2, -1)
-                pos = np.cumsum(steps, dtype=np.int64)[twice[place]]
-                edges = np.zeros(len(w) + 1, np.int32)
-                edges[pos] += 1
-                edges[pos + size] -= 1
-                kept = np.cumsum(edges[:-1]) == 0
-                rows_of.append(k)
-                counts.append(len(w))
-                removed.append(int(len(w) - kept.sum()))
-                shas.append(_sha(compress(w, kept)))
-            if rows_of:
-                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(rows_of)), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas)], [f.name for f in done])
-
-    cut = both.repartition(n, "block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(finish, done)
-    clean = state.filter("kind = 0").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("kept").alias("kept_sha256"))
-    return clean.unionByName(cut).withColumnRenamed("id", id_col)
+                twice = np.frombuffer(b"".join(flags), np.uint8).astype(bool)
+                steps, place = np.frombuffer(unpack(b.column("b")[r].as_py()), np.uint32).reshape(2, -1)
+                words, kept, ids = [t.split() for t in unpack(b.column("a")[r].as_py()).split(b"\n")], [], b.column("ids")[r].values
+                ends = np.cumsum(b.column("sizes")[r].as_py())
+                for w, x, y in zip(words, [0, *ends], ends, strict=False):
+                    pos = np.cumsum(steps[x:y], dtype=np.int64)[twice[place[x:y]]]
+                    edges = np.zeros(len(w) + 1, np.int32)
+                    edges[pos] += 1
+                    edges[pos + size] -= 1
+                    kept.append(np.cumsum(edges[:-1]) == 0)
+                yield done([ids], words, kept)
+
+    def saved(made: DataFrame) -> DataFrame:
+        path = shared_dir(spark)
+        made.write.partitionBy("kind").option("compression", "zstd").parquet(path)
+        return spark.read.schema(state).parquet(path)
+
+    def told(held: DataFrame, answering, ranges: int) -> DataFrame:
+        """What the ranges' answers say to each unit or block, followed by its own rows."""
+        replies = held.filter("kind = 2").repartition(min(ranges, n), "at").sortWithinPartitions("at", "of").mapInArrow(answering, state)
+        return replies.unionByName(held.filter("kind = 1")).repartition(n, "of").sortWithinPartitions("of", "kind", "at")
+
+    first = saved(rows.mapInArrow(store, state))
+    second = saved(told(first, estimate, shards).mapInArrow(candidates, state))
+    cut = told(second, answer, buckets).mapInArrow(finish, state)
+    return first.filter("kind = 0").unionByName(second.filter("kind = 0")).unionByName(cut).select(F.col("id").alias(id_col), *done_names[1:])

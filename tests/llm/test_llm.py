@@ -260,13 +260,31 @@ def test_substring_dedup(spark, odd, monkeypatch):
                 gone[i].update(range(k, k + 35))
     want = {i: (len(w), len(gone[i]), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone[i])).hexdigest()) for i, w in enumerate(cut)}
     assert sum(x[1] for x in want.values()) > 400
-    for block in (500_000, 20):
-        monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    for unit, block in ((substring_dedup.UNIT_BYTES, substring_dedup.BLOCK), (900, 20)):
+        for name, x in (("UNIT_BYTES", unit), ("PAGE_BYTES", unit // 2), ("SHARD_BYTES", unit // 4), ("BUCKET_BYTES", unit // 3), ("BLOCK", block), ("REMEMBERED", 3)):
+            monkeypatch.setattr(substring_dedup, name, x)
         got = rows(substring_dedup.remove_repeats(docs_of(spark, odd)))
         assert {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in got.items()} == want
     assert substring_dedup.remove_repeats(docs_of(spark, odd).limit(0)).count() == 0
 
 
+def test_sketch_never_underestimates():
+    rng = np.random.default_rng(2)
+    h = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
+    parts = [rng.choice(h, n, replace=False) for n in (2000, 1500, 900)]
+    more = [(rng.random(len(p)) < 0.1).astype(np.uint8) for p in parts]
+    sketch = substring_dedup.Sketch(sum(map(len, parts)))
+    for p, m in zip(parts, more, strict=True):
+        sketch.add(p, m)
+    times = {}
+    for p, m in zip(parts, more, strict=True):
+        for x, twice in zip(p.tolist(), m.tolist(), strict=True):
+            times[x] = times.get(x, 0) + 1 + twice
+    said = dict(zip(h.tolist(), sketch.repeated(h).tolist(), strict=True))
+    assert all(said[x] for x, n in times.items() if n > 1)
+    assert sum(said[x] for x, n in times.items() if n == 1) < 0.03 * len(times)
+
+
 def test_quality_held_out(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     half = labels.filter("doc_id % 2 = 0")
