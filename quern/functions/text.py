@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,8 +70,19 @@ def coverage(question, content) -> Column:
     return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, content_terms(content))) / F.size(q))
 
 
+def nfkc(c) -> Column:
+    """Compatibility form NFKC, which no built-in function gives."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+    return run(_c(c))
+
+
 def normal_question(c) -> Column:
-    return F.trim(F.regexp_replace(F.lower(_c(c)), r"[^\p{L}\p{N}]+", " "))
+    """In compatibility form and lower case, with one space for whatever is no letter or digit."""
+    return F.trim(F.regexp_replace(F.lower(nfkc(c)), r"[^\p{L}\p{N}]+", " "))
 
 
 def normal_answer(c) -> Column:
@@ -189,9 +202,13 @@ def escape_xml(c) -> Column:
 
 def text_overlap(a, b, least: int = 16, most: int = 600) -> Column:
     """Length of the longest end of ``a`` that starts ``b``, between the two bounds; 0 if none."""
-    top = F.least(F.length(_c(a)), F.length(_c(b)), F.lit(most))
-    fits = F.filter(F.sequence(F.lit(least), top), lambda n: F.right(_c(a), n) == F.left(_c(b), n))
-    return F.when(top >= least, F.coalesce(F.array_max(fits), F.lit(0))).otherwise(0)
+
+    def longest(p: Column) -> Column:
+        top = F.least(F.length(p["a"]), F.length(p["b"]))
+        fits = F.filter(F.sequence(F.lit(least), top), lambda n: F.right(p["a"], n) == F.left(p["b"], n))
+        return F.when(top >= least, F.coalesce(F.array_max(fits), F.lit(0))).otherwise(0)
+
+    return _once(F.struct(F.right(_c(a), F.lit(most)).alias("a"), F.left(_c(b), F.lit(most)).alias("b")), longest)
 
 
 def dynamic_threshold(score, base: float = 0.82) -> Column:

@@ -210,9 +210,12 @@ def adjoining(spark, d):
     return g.select("document_id", "page", "first", "n", F.array_join(F.transform("x", lambda e: e["content"]), "").alias("content"))
 
 
-@query("ev_09_text_overlap", "o AS (SELECT chunk_id, substr(content, 1, 100) AS a, substr(content, 61 + chunk_id % 30, 100) AS b FROM kb_chunks);; SELECT chunk_id, coalesce(list_max(list_filter(range(16, least(length(a), length(b), 600) + 1), lambda n: right(a, n) = left(b, n))), 0)::BIGINT AS n FROM o")
+@query("ev_09_text_overlap", "o AS (SELECT a.chunk_id, a.content AS a, right(a.content, (10 + a.chunk_id % 500)::BIGINT) || b.content AS b FROM kb_chunks a JOIN kb_chunks b ON b.chunk_id = a.chunk_id + 1);; SELECT chunk_id, coalesce(list_max(list_filter(range(16, least(length(a), length(b), 600) + 1), lambda n: right(a, n) = left(b, n))), 0)::BIGINT AS n FROM o")
 def overlap(spark, d):
-    o = v.kb_chunks(spark, d).selectExpr("chunk_id", "substring(content, 1, 100) AS a", "substring(content, 61 + chunk_id % 30, 100) AS b")
+    """Each chunk against the next of its document with some of its own end in front."""
+    c = v.kb_chunks(spark, d).select("chunk_id", "content")
+    after = c.select((F.col("chunk_id") - 1).alias("chunk_id"), F.col("content").alias("next"))
+    o = c.join(after, "chunk_id").select("chunk_id", F.col("content").alias("a"), F.concat(F.right("content", (10 + F.col("chunk_id") % 500).cast("int")), "next").alias("b"))
     return o.select("chunk_id", tx.text_overlap("a", "b").cast("long").alias("n"))
 
 

@@ -91,7 +91,7 @@ def replaced(spark, d):
 
 
 HEADER = "'| text |' || chr(10) || '|---|'"
-FILL = f"""WITH RECURSIVE d AS (SELECT document_id, list_transform(string_split(text, chr(10)), lambda t: '| ' || substr(t, 1, 150) || ' |') AS w FROM ({v.SQL['kb_documents']})), t AS (SELECT document_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+FILL = f"""WITH RECURSIVE d AS (SELECT document_id, list_transform(string_split(text, chr(10)), lambda t: '| ' || t || ' |') AS w FROM ({v.SQL['kb_documents']})), t AS (SELECT document_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
  r AS (SELECT document_id, 0::BIGINT AS i, 0 AS piece, -1::BIGINT AS room FROM d UNION ALL
  SELECT r.document_id, t.i, CASE WHEN t.i = 1 THEN 0 WHEN length(t.x) + 1 <= room THEN piece ELSE piece + 1 END, CASE WHEN t.i > 1 AND length(t.x) + 1 <= room THEN room ELSE 500 - 14 END - length(t.x) - 1 FROM r JOIN t ON t.document_id = r.document_id AND t.i = r.i + 1),
  n AS (SELECT document_id, sum(length(x) + 1) + 14 AS n FROM t GROUP BY 1)
@@ -100,8 +100,8 @@ SELECT r.document_id, CASE WHEN n <= 500 THEN 0 ELSE piece END AS i, {HEADER} ||
 
 @query("chk_05_split_table", FILL)
 def tables(spark, d):
-    """Tables of a document's words, split by whole rows."""
-    rows = v.kb_documents(spark, d).select("document_id", F.transform(F.split("text", "\n"), lambda t: F.concat(F.lit("| "), F.substring(t, 1, 150), F.lit(" |"))).alias("rows"))
+    """Tables with a document's lines as rows, split by whole rows."""
+    rows = v.kb_documents(spark, d).select("document_id", F.transform(F.split("text", "\n"), lambda t: F.concat(F.lit("| "), t, F.lit(" |"))).alias("rows"))
 
     @F.pandas_udf("array<string>")
     def cut(r: pd.Series) -> pd.Series:

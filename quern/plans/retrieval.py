@@ -105,9 +105,12 @@ def cover_english(spark, d):
     return rt.cover_density(v.kb_questions(spark, d), v.kb_passages(spark, d), english=True)
 
 
-@query("ret_08_overlap_score", f"t AS (SELECT document_id, chunk_index, {TERMS('substr(content, 1, 80)')} AS q, {TERMS('content')} AS c FROM kb_chunks);; SELECT document_id, chunk_index, round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_filter(q, lambda t: list_contains(c, t)))::DOUBLE / len(q) END, 6) AS score FROM t")
+@query("ret_08_overlap_score", f"t AS (SELECT a.document_id, a.chunk_index, {TERMS('a.content')} AS q, {TERMS('b.content')} AS c FROM kb_chunks a JOIN kb_chunks b ON b.document_id = a.document_id AND b.chunk_index = a.chunk_index + 1);; SELECT document_id, chunk_index, round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_filter(q, lambda t: list_contains(c, t)))::DOUBLE / len(q) END, 6) AS score FROM t")
 def overlap(spark, d):
-    return v.kb_chunks(spark, d).select("document_id", "chunk_index", F.round(tx.overlap_score(F.substring("content", 1, 80), "content"), 6).alias("score"))
+    """Each chunk is the question, and the next chunk of its document the content."""
+    c = v.kb_chunks(spark, d).select("document_id", "chunk_index", "content")
+    after = c.select("document_id", (F.col("chunk_index") - 1).alias("chunk_index"), F.col("content").alias("next"))
+    return c.join(after, ["document_id", "chunk_index"]).select("document_id", "chunk_index", F.round(tx.overlap_score("content", "next"), 6).alias("score"))
 
 
 @query("ret_09_topic_vector", "t AS (SELECT thread_id, turn, [" + ", ".join(" + ".join(f"contains(lower(text), '{w}')::INT" for w in ws) for ws in TOPICS) + "]::DOUBLE[] AS t FROM kb_messages);; SELECT thread_id, turn, round(t[1] / greatest(sqrt(list_sum(list_transform(t, lambda x: x * x))), 1e-12), 6) AS t1, round(t[3] / greatest(sqrt(list_sum(list_transform(t, lambda x: x * x))), 1e-12), 6) AS t3 FROM t")

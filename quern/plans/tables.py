@@ -239,9 +239,10 @@ def redact_json(c):
     return run(c)
 
 
-@query("flt_13_usable_fragment", r"SELECT document_id, chunk_index, regexp_matches(substr(content, 1, 3), '[\p{L}\p{N}]') AS usable FROM kb_chunks")
+@query("flt_13_usable_fragment", r"SELECT document_id, chunk_index, regexp_matches(regexp_replace(content, '[a-z ]+', '', 'g'), '[\p{L}\p{N}]') AS usable FROM kb_chunks")
 def usable(spark, d):
-    return v.kb_chunks(spark, d).select("document_id", "chunk_index", tx.usable(F.substring("content", 1, 3)).alias("usable"))
+    """The fragments are what is left of chunks without the letters from a to z and spaces."""
+    return v.kb_chunks(spark, d).select("document_id", "chunk_index", tx.usable(F.regexp_replace("content", "[a-z ]+", "")).alias("usable"))
 
 
 @query("flt_14_ocr_suspect", "p AS (SELECT document_id, page, sum(length(content)) AS n FROM kb_chunks GROUP BY 1, 2), t AS (SELECT document_id, sum(n)::BIGINT AS total, count(*) AS pages FROM p GROUP BY 1);; SELECT document_id, CASE WHEN total = 0 THEN 'NO_TEXT' WHEN total / pages < 100 AND total < 500 THEN 'OCR_SUSPECT' ELSE 'ok' END AS verdict FROM t")

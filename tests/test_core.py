@@ -349,6 +349,11 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == want and want
 
 
+def test_compatibility_form(spark):
+    df = spark.createDataFrame([("Ｗhat ﬁts ① here?",), ("plain",), (None,)], "t string")
+    assert [r.n for r in df.select(tx.normal_question("t").alias("n")).collect()] == ["what fits 1 here", "plain", None]
+
+
 def test_text_functions(spark):
     r = spark.range(1).select(tx.strip(F.lit("  x  ")).alias("s"), tx.safe_filename(F.lit("a/b\\c d*.TXT")).alias("n"), tx.format_bytes(F.lit(2048)).alias("b"), F.size(tx.shingles3(F.lit("One two"))).alias("g")).first()
     assert (r.s, r.n, r.b, r.g) == ("x", "c d_.TXT", "2.0 KB", 1)
