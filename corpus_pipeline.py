@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet in the
 shared folder and reads it again as the next stage's docs. All stages but the last return the
 columns they were given; a stage's decision applies to the rows its predecessor kept.
+
+Of documents, doc_id, text, source and lang are read; other columns go through as they are, whatever their
+names. Null texts count as empty; a null doc_id is an id like any other; rows that repeat doc_id and text are
+judged alike, and the exact stage leaves one of them; an empty table gives an empty one at each stage.
 """
 
 from __future__ import annotations
@@ -49,7 +53,7 @@ def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes what is left: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """Encodes what is left: doc_id, n_tokens, ids_sha256, decoded_sha256, one row per row; null and empty texts have no tokens."""
     return bpe_tree.encode_documents(docs, vocabulary("byte_bpe_50k.json"))
 
 
