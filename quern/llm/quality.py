@@ -18,6 +18,7 @@ A host is the source up to its first slash, a path the rest and the language.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from pyspark.sql import types as T
 
 from quern.llm.common import join_counted, labelled, texts, written
 
-#: Labelled rows the model is fitted on, at most; cells of each kind of trigrams; bytes of a text that are counted at once.
-SAMPLE, CELLS, STEP = 4000, 512, 1 << 20
+#: Labelled rows the model is fitted on, at most; cells of each kind of trigrams; bytes of a text that are counted, and texts that are scored, at once.
+SAMPLE, CELLS, STEP, SCORED = 4000, 512, 1 << 20, 1024
 LOWER_CASED = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 #: Kinds of bytes, below any mark: digits, capitals, other letters and what is not ASCII, white space, line ends.
 SHAPES = np.array([1 if 0x30 <= b <= 0x39 else 2 if 0x41 <= b <= 0x5A else 3 if b >= 0x80 or 0x61 <= b <= 0x7A else 5 if b == 0x0A else 4 if b in b" \t\r\x0b\x0c" else b for b in range(256)], np.uint8)
@@ -105,25 +106,17 @@ def strength(sites: DataFrame, prior: str) -> float:
     return min(max(s["var"] / s.n / max((s.between - s.noise) / s.n, 1e-6) - 1, 1.0), 1e6)
 
 
-def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", threshold: float = 0.5, carry: list[str] | None = None) -> DataFrame:
-    """One row per row: id_col, evidence, host_rate, path_rate, p_quality, kept (p_quality >= threshold), and the ``carry`` columns.
-
-    Null and empty texts have the evidence of a wordless text; a null source or language is a site
-    of its own; host_rate and path_rate leave the row's own evidence out, so a site of one row has its
-    parent's rate. Repeated rows count as often as they stand. Labels that name no row, or one kind of
-    label only, give no model: evidence is then one half for all and every row is kept. An empty
-    table gives an empty result.
-    """
+def _posteriors(df: DataFrame, labels: DataFrame, columns: list[str], id_col: str, text_col: str, source_col: str, lang_col: str) -> DataFrame:
+    """One row per row: row (a struct of the ``columns`` as c0, c1, ...), evidence, host_rate, path_rate, p_quality."""
     model = fit(df, labels, id_col, text_col)
     host = F.regexp_extract(F.coalesce(F.col(source_col).cast("string"), F.lit("")), "^([^/]*)", 1)
     path = F.concat_ws("/", F.regexp_extract(F.coalesce(F.col(source_col).cast("string"), F.lit("")), "^[^/]*(/.*)?$", 1), F.coalesce(F.col(lang_col).cast("string"), F.lit("")))
-    rest = carry or []
-    rows = df.select(F.struct(F.col(id_col).alias("id"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(rest))).alias("row"), F.col(text_col).cast("string").alias("text"), host.alias("host"), path.alias("path"))
+    rows = df.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns))).alias("row"), F.col(text_col).cast("string").alias("text"), host.alias("host"), path.alias("path"))
     out = T.StructType([rows.schema["row"], rows.schema["host"], rows.schema["path"], T.StructField("evidence", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            logit = model.logit(np.stack([features(t) for t in texts(b)])) if model is not None and len(b) else np.zeros(len(b))
+            logit = np.concatenate([model.logit(np.stack([features(t) for t in part])) for part in batched(texts(b), SCORED)]) if model is not None and len(b) else np.zeros(len(b))
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("host"), b.column("path"), pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))))], ["row", "host", "path", "evidence"])
 
     scored = written(rows.mapInArrow(score, out))
@@ -138,7 +131,23 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     path_rate = (F.col("good") - F.col("evidence") + of_path * F.col("host_rate")) / (F.col("n") - 1 + of_path)
     got = join_counted(scored, sites, ["host", "path"], "n").withColumn("host_rate", host_rate).withColumn("path_rate", path_rate)
     got = got.withColumn("p_quality", F.round(1 / (1 + F.exp(_logit(F.lit(mean)) - _logit(F.col("evidence")) - _logit(F.col("path_rate")))), 6))
-    return got.select(
-        F.col("row.id").alias(id_col), F.round("evidence", 6).alias("evidence"), F.round("host_rate", 6).alias("host_rate"), F.round("path_rate", 6).alias("path_rate"),
-        "p_quality", (F.col("p_quality") >= threshold).alias("kept"), *(F.col(f"row.c{i}").alias(c) for i, c in enumerate(rest)),
-    )
+    return got.select("row", *(F.round(c, 6).alias(c) for c in ("evidence", "host_rate", "path_rate")), "p_quality")
+
+
+def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", threshold: float = 0.5) -> DataFrame:
+    """One row per row: id_col, evidence, host_rate, path_rate, p_quality, kept (p_quality >= threshold).
+
+    Null and empty texts have the evidence of a wordless text; a null source or language is a site
+    of its own; host_rate and path_rate leave the row's own evidence out, so a site of one row has its
+    parent's rate. Repeated rows count as often as they stand. Labels that name no row, or one kind of
+    label only, give no model: evidence is then one half for all and every row is kept. An empty
+    table gives an empty result. Other columns are not read.
+    """
+    got = _posteriors(df, labels, [id_col], id_col, text_col, source_col, lang_col)
+    return got.select(F.col("row.c0").alias(id_col), "evidence", "host_rate", "path_rate", "p_quality", (F.col("p_quality") >= threshold).alias("kept"))
+
+
+def drop_rejected(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``df`` that ``classify`` keeps, with all their columns, whatever their names."""
+    got = _posteriors(df, labels, df.columns, id_col, text_col, source_col, lang_col)
+    return got.filter(F.col("p_quality") >= threshold).select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(df.columns)))

@@ -306,7 +306,7 @@ def test_quality_shrinks_and_edges(spark, odd):
 
 def test_quality_posterior_equals_brute_force(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet").withColumn("source", F.expr("CASE WHEN doc_id % 3 = 0 THEN 'hot/a' WHEN doc_id % 7 = 0 THEN NULL ELSE concat(source, '/p', doc_id % 11) END"))
-    got = quality.classify(df, spark.read.parquet(f"{SF}/labels.parquet"), carry=["source", "lang"]).collect()
+    got = quality.classify(df, spark.read.parquet(f"{SF}/labels.parquet")).join(df.select("doc_id", "source", "lang"), "doc_id").collect()
     site = lambda r: ((r.source or "").split("/")[0], ((r.source or "").split("/")[1:], r.lang))
     of, mean = {}, sum(r.evidence for r in got) / len(got)
     for r in got:
@@ -510,5 +510,43 @@ def test_pipeline_stages_on_odd_rows(spark, odd):
     for _, stage in p.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
         assert stage(spark, docs.limit(0), SF).count() == 0
+    coded = p.bpe_stage(spark, docs, SF).collect()
+    assert len(coded) == docs.count() and sum(r.n_tokens == 0 for r in coded) == 2 and p.bpe_stage(spark, docs.limit(0), SF).count() == 0
+    clash = docs.withColumns({c: F.lit(1) for c in ("_id", "_h", "key", "h", "digest", "host", "path", "evidence", "good", "place")})
+    for _, stage in p.STAGES[:-1]:
+        assert stage(spark, clash, SF).columns == clash.columns
     near = {r.doc_id for r in p.near_stage(spark, docs, SF).collect()}
     assert len(near) == len({x for x in plain_components([plain_fingerprint(t) for t in [*odd, "x"]])})
+
+
+def test_pipeline_equals_brute_force(spark):
+    import corpus_pipeline as p
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = {r.doc_id for r in quality.classify(docs, spark.read.parquet(f"{SF}/labels.parquet")).filter("kept").collect()}
+    left = {r.doc_id: r.text for r in docs.collect() if r.doc_id in good}
+    low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+    last = {}
+    for i in sorted(left):
+        last[low(left[i])] = i
+    left = {i: left[i] for i in last.values()}
+    ids = sorted(left)
+    root = plain_components([plain_fingerprint(left[i]) for i in ids])
+    left = {i: left[i] for k, i in enumerate(ids) if root[k] == k}
+    windows = {}
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = decontam.words(r.text.encode())
+        for k in range(max(1, len(w) - 12)):
+            windows.setdefault(len(w[k : k + 13]), set()).add(tuple(w[k : k + 13]))
+    for i, t in list(left.items()):
+        w, hit = decontam.words(t.encode()), set()
+        for n, held in windows.items():
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in held:
+                    hit.update(range(k, k + n))
+        if hit and 20 * len(hit) >= len(w):
+            del left[i]
+    tok = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    want = {i: hashlib.sha256(np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest() for i, t in left.items()}
+    assert {r.doc_id: r.ids_sha256 for r in p.run(spark, SF).collect()} == want
