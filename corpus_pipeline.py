@@ -32,7 +32,7 @@ def _where(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the quality classifier rejects."""
-    return quality.classify(docs, table(spark, sf_dir, "labels"), carry=[c for c in docs.columns if c != "doc_id"]).filter("kept").select(*docs.columns)
+    return quality.drop_rejected(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
