@@ -13,9 +13,12 @@ def judged(run: DataFrame, relevant: DataFrame) -> DataFrame:
     return run.join(relevant.select("query_id", "chunk_id", F.lit(1).alias("_r")), ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", "position", F.coalesce("_r", F.lit(0)).alias("relevant"))
 
 
-def ranking_metrics(run: DataFrame, relevant: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Per query: recall, precision (by what was returned, and by k), reciprocal rank and nDCG at k; no labels count as recall 1."""
-    n = relevant.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
+def ranking_metrics(run: DataFrame, relevant: DataFrame, queries: DataFrame, k: int, totals: DataFrame | None = None) -> DataFrame:
+    """Per query: recall, precision (by what was returned, and by k), reciprocal rank and nDCG at k; no labels count as recall 1.
+
+    relevant: pairs (query_id, chunk_id); with totals (query_id, n_relevant) those of the run are enough.
+    """
+    n = relevant.groupBy("query_id").agg(F.count("*").alias("n_relevant")) if totals is None else totals
     hit = (F.col("relevant") == 1) & (F.col("position") <= k)
     by = judged(run, relevant).groupBy("query_id").agg(
         F.count_if(hit).alias("hits"), F.count_if(F.col("position") <= k).alias("returned"), F.min(F.when(F.col("relevant") == 1, F.col("position"))).alias("first_rank"),

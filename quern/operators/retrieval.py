@@ -44,10 +44,14 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return m / np.where(size == 0, 1, size)
 
 
-def _block(queries: DataFrame, block: int, n_blocks: int, dim: int) -> tuple[pa.Array, np.ndarray]:
-    """Ids and unit vectors of one block of questions."""
-    rows = queries.select("query_id", "query_embedding").filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block).toArrow()
-    return rows.column("query_id").combine_chunks(), _matrix(rows.column("query_embedding").combine_chunks(), dim)
+def _blocks(queries: DataFrame) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Ids and unit vectors of the questions, in blocks of BLOCK_BYTES of vectors at most; their size is counted first."""
+    asked = queries.select("query_id", "query_embedding")
+    n, dim = asked.agg(F.count("*"), F.coalesce(F.max(F.size("query_embedding")), F.lit(1))).first()
+    n_blocks = max(1, -(-n * dim * 8 // BLOCK_BYTES))
+    for block in range(n_blocks):
+        rows = (asked if n_blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block)).toArrow()
+        yield rows.column("query_id").combine_chunks(), _matrix(rows.column("query_embedding").combine_chunks(), dim)
 
 
 def similarities(queries: DataFrame, chunks: DataFrame, floor: float = FLOOR, best: int | None = None) -> DataFrame:
@@ -58,16 +62,12 @@ def similarities(queries: DataFrame, chunks: DataFrame, floor: float = FLOOR, be
     chunks is one matrix product with the block, a few million pairs at a time. With ``best`` only the pairs leave
     a batch that can be among the best so many of their question: those not below its best-th similarity there.
     """
-    n = queries.count()
-    dim = queries.agg(F.max(F.size("query_embedding"))).first()[0] or 1
-    n_blocks = max(1, -(-n * dim * 8 // BLOCK_BYTES))
     kept = [f for f in chunks.schema.fields if f.name != "embedding"]
     out = T.StructType([*kept, queries.schema["query_id"], T.StructField("similarity", T.DoubleType())])
     parts = []
-    for block in range(n_blocks):
-        ids, asked = _block(queries, block, n_blocks, dim)
+    for block, vectors_of in _blocks(queries):
 
-        def score(batches: Iterator[pa.RecordBatch], ids: pa.Array = ids, asked: np.ndarray = asked) -> Iterator[pa.RecordBatch]:
+        def score(batches: Iterator[pa.RecordBatch], ids: pa.Array = block, asked: np.ndarray = vectors_of) -> Iterator[pa.RecordBatch]:
             step = max(1, PAIRS // max(1, len(ids)))
             for b in batches:
                 vectors = _matrix(b.column("embedding"), asked.shape[1])
@@ -84,15 +84,11 @@ def similarities(queries: DataFrame, chunks: DataFrame, floor: float = FLOOR, be
 def similarity_summary(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """Per question, how many chunks it was compared with and the best similarity; each batch leaves one row per question."""
     chunk = chunks.select("embedding")
-    n = queries.count()
-    dim = queries.agg(F.max(F.size("query_embedding"))).first()[0] or 1
-    n_blocks = max(1, -(-n * dim * 8 // BLOCK_BYTES))
     out = T.StructType([queries.schema["query_id"], T.StructField("n", T.LongType()), T.StructField("best", T.DoubleType())])
     parts = []
-    for block in range(n_blocks):
-        ids, asked = _block(queries, block, n_blocks, dim)
+    for block, vectors_of in _blocks(queries):
 
-        def score(batches: Iterator[pa.RecordBatch], ids: pa.Array = ids, asked: np.ndarray = asked) -> Iterator[pa.RecordBatch]:
+        def score(batches: Iterator[pa.RecordBatch], ids: pa.Array = block, asked: np.ndarray = vectors_of) -> Iterator[pa.RecordBatch]:
             step = max(1, PAIRS // max(1, len(ids)))
             for b in batches:
                 vectors = _matrix(b.column("embedding"), asked.shape[1])
@@ -140,18 +136,15 @@ def ann_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, share: float =
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    n_chunks, n = chunks.count(), queries.count()
-    dim = queries.agg(F.max(F.size("query_embedding"))).first()[0] or 1
-    cells = cells or max(2, min(int(n_chunks**0.5), sample // 16))
+    cells = cells or max(2, min(int(chunks.count() ** 0.5), sample // 16))
     some = chunks.orderBy(F.xxhash64("chunk_id")).limit(sample).select(array_to_vector(normalised(F.col("embedding"))).alias("features"))
     centres = np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(some).clusterCenters())
     centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
     held = np.array([v.toArray() for (v,) in some.collect()])
     full = np.bincount((held @ centres.T).argmax(axis=1), minlength=len(centres)) / max(1, len(held))
     out = T.StructType([queries.schema["query_id"], chunks.schema["chunk_id"], T.StructField("similarity", T.DoubleType())])
-    n_blocks, parts = max(1, -(-n * dim * 8 // BLOCK_BYTES)), []
-    for block in range(n_blocks):
-        ids, asked = _block(queries, block, n_blocks, dim)
+    parts = []
+    for ids, asked in _blocks(queries):
         order = np.argsort(-(asked @ centres.T), axis=1)
         before = np.cumsum(full[order], axis=1) - full[order]
         asks = np.zeros((len(ids), len(centres)), bool)

@@ -10,6 +10,7 @@ from quern.operators import retrieval as rt
 from quern.operators import rollups as ro
 from quern.operators.chunking import windows
 from quern.plans.registry import query
+from quern.sources import files
 from quern.sources import views as v
 
 API = ("click", "view", "error")
@@ -279,18 +280,23 @@ RUN = "sim AS (SELECT q.query_id, c.vec_id AS chunk_id, round(list_cosine_simila
 
 
 def _run(spark, d):
+    """Questions, their twenty nearest vectors, those of these with the question's label, and how many vectors have it.
+
+    Labels are counted, not joined: a question's total is its label's count without itself.
+    """
     q, e = v.kb_questions(spark, d), v.kb_vectors(spark, d)
     c = e.selectExpr("vec_id AS chunk_id", "embedding", "label")
-    run = rt.top(rt.similarities(q, c, -1.0, 21).filter("chunk_id <> query_id"), "similarity", 20).select("query_id", "chunk_id", "position", "similarity")
-    relevant = q.select("query_id", "query_label").join(c.select("chunk_id", "label"), F.expr("label = query_label AND chunk_id <> query_id")).select("query_id", "chunk_id")
-    return q, run, relevant
+    found = rt.top(rt.similarities(q, c, -1.0, 21).filter("chunk_id <> query_id"), "similarity", 20)
+    run = files.written(found.join(q.select("query_id", "query_label"), "query_id").select("query_id", "chunk_id", "position", "similarity", (F.col("label") == F.col("query_label")).alias("rel")))
+    totals = q.select("query_id", F.col("query_label").alias("label")).join(e.groupBy("label").agg((F.count("*") - 1).alias("n_relevant")), "label").filter("n_relevant > 0").select("query_id", "n_relevant")
+    return q, run.drop("rel"), run.filter("rel").select("query_id", "chunk_id"), totals
 
 
 def _metric(name: str, column: str, k: int, sql: str):
     @query(name, RUN + f", m AS (SELECT query_id, count(*) FILTER (rel AND position <= {k}) AS hits, count(*) FILTER (position <= {k}) AS ret, min(position) FILTER (rel) AS fr, sum(CASE WHEN rel AND position <= {k} THEN 1 / log2(position + 1) ELSE 0 END) AS dcg FROM run GROUP BY 1);; SELECT query_id, round({sql}, 6) AS {column} FROM m JOIN nrel USING (query_id)")
     def f(spark, d):
-        q, run, relevant = _run(spark, d)
-        return ev.ranking_metrics(run, relevant, q, k).select("query_id", column)
+        q, run, relevant, totals = _run(spark, d)
+        return ev.ranking_metrics(run, relevant, q, k, totals).select("query_id", column)
 
     return f
 
@@ -304,20 +310,20 @@ _metric("evl_05_ndcg_at_k", "ndcg", 10, "CASE WHEN n = 0 THEN 0 ELSE dcg / list_
 
 @query("jn_10_ranked_labels", RUN + ";; SELECT query_id, chunk_id, position, rel::INT AS relevant FROM run")
 def labelled(spark, d):
-    _, run, relevant = _run(spark, d)
+    _, run, relevant, _ = _run(spark, d)
     return ev.judged(run, relevant)
 
 
 @query("win_12_first_relevant_rank", RUN + ";; SELECT query_id, min(position) AS first_rank FROM run WHERE rel GROUP BY 1")
 def first_rank(spark, d):
-    _, run, relevant = _run(spark, d)
+    _, run, relevant, _ = _run(spark, d)
     return ev.judged(run, relevant).filter("relevant = 1").groupBy("query_id").agg(F.min("position").alias("first_rank"))
 
 
 @query("evl_06_citation_precision", RUN + ";; SELECT query_id, round(count(*) FILTER (rel)::DOUBLE / count(*), 6) AS precision FROM run WHERE position % 2 = 1 AND position <= 12 GROUP BY 1")
 def citation_precision(spark, d):
     """The odd places of the first twelve are taken as cited."""
-    _, run, relevant = _run(spark, d)
+    _, run, relevant, _ = _run(spark, d)
     return ev.judged(run, relevant).filter("position % 2 = 1 AND position <= 12").groupBy("query_id").agg(F.round(F.avg("relevant"), 6).alias("precision"))
 
 
@@ -345,9 +351,8 @@ def coverage(spark, d):
 
 @query("evl_10_retrieval_metrics", RUN + ";; SELECT q.query_id, CASE WHEN n = 0 THEN 'skipped' ELSE 'measured' END AS status, CASE WHEN n > 0 THEN round(count(*) FILTER (rel AND position <= 10)::DOUBLE / n, 6) END AS value FROM kb_questions q JOIN nrel USING (query_id) LEFT JOIN run USING (query_id) GROUP BY q.query_id, n")
 def retrieval_metrics(spark, d):
-    q, run, relevant = _run(spark, d)
-    has = relevant.select("query_id").distinct().withColumn("has", F.lit(True))
-    m = ev.ranking_metrics(run, relevant, q, 10).join(has, "query_id", "left")
+    q, run, relevant, totals = _run(spark, d)
+    m = ev.ranking_metrics(run, relevant, q, 10, totals).join(totals.select("query_id", F.lit(True).alias("has")), "query_id", "left")
     return m.select("query_id", F.when(F.col("has"), "measured").otherwise("skipped").alias("status"), F.when(F.col("has"), F.col("recall")).alias("value"))
 
 
@@ -358,11 +363,14 @@ def answer_metrics(spark, d):
 
 @query("evl_12_supporting_documents", RUN + ";; SELECT query_id, count(DISTINCT chunk_id % 60) FILTER (rel AND position <= 10) AS found, (SELECT count(DISTINCT s.chunk_id % 60) FROM sim s WHERE s.query_id = run.query_id AND s.rel) AS needed FROM run GROUP BY 1")
 def supporting(spark, d):
-    _, run, relevant = _run(spark, d)
-    doc = F.col("chunk_id") % 60
-    needed = relevant.groupBy("query_id").agg(F.count_distinct(doc).alias("needed"))
-    found = ev.judged(run, relevant).groupBy("query_id").agg(F.count_distinct(F.when((F.col("relevant") == 1) & (F.col("position") <= 10), doc)).alias("found"))
-    return found.join(needed, "query_id", "left").select("query_id", "found", F.coalesce("needed", F.lit(0)).alias("needed"))
+    """Documents are counted by label; a question's own counts only if another vector of its label is in it."""
+    q, run, relevant, _ = _run(spark, d)
+    doc = lambda c: F.col(c) % 60
+    held = v.kb_vectors(spark, d).groupBy("label", doc("vec_id").alias("doc")).agg(F.count("*").alias("n"))
+    alone = q.select("query_id", F.col("query_label").alias("label"), doc("query_id").alias("doc")).join(held, ["label", "doc"]).select("query_id", "label", (F.col("n") == 1).cast("int").alias("alone"))
+    needed = alone.join(held.groupBy("label").agg(F.count("*").alias("docs")), "label").select("query_id", (F.col("docs") - F.col("alone")).alias("needed"))
+    found = ev.judged(run, relevant).groupBy("query_id").agg(F.count_distinct(F.when((F.col("relevant") == 1) & (F.col("position") <= 10), doc("chunk_id"))).alias("found"))
+    return found.join(needed, "query_id").select("query_id", "found", "needed")
 
 
 @query("evl_13_evaluation_report", _CASES + ";; SELECT category, count(*) AS n, round(avg(refused::INT), 6) AS refused, round(avg(score), 6) AS score FROM cases GROUP BY GROUPING SETS ((), (category))")
@@ -385,8 +393,8 @@ THRESHOLDS = [("recall_at_5", "min", 0.8), ("recall_at_10", "min", 0.9), ("mrr",
 
 @query("evl_15_threshold_gate", RUN + ", m AS (SELECT query_id, count(*) FILTER (rel AND position <= 5) AS h5, count(*) FILTER (rel AND position <= 10) AS h10, min(position) FILTER (rel) AS fr FROM run GROUP BY 1), a AS (SELECT avg(CASE WHEN n = 0 THEN 1 ELSE h5::DOUBLE / n END) AS r5, avg(CASE WHEN n = 0 THEN 1 ELSE h10::DOUBLE / n END) AS r10, avg(coalesce(1.0::DOUBLE / fr, 0)) AS mrr, count(*) AS cases FROM m JOIN nrel USING (query_id)), u AS (SELECT 'recall_at_5' AS metric, r5 AS value, 0.8 AS threshold FROM a UNION ALL SELECT 'recall_at_10', r10, 0.9 FROM a UNION ALL SELECT 'mrr', mrr, 0.7 FROM a UNION ALL SELECT 'cases', cases, 13 FROM a);; SELECT metric, round(value, 5) AS value, threshold::DOUBLE AS threshold FROM u WHERE value < threshold")
 def threshold(spark, d):
-    q, run, relevant = _run(spark, d)
-    m5, m10 = (ev.ranking_metrics(run, relevant, q, k) for k in (5, 10))
+    q, run, relevant, totals = _run(spark, d)
+    m5, m10 = (ev.ranking_metrics(run, relevant, q, k, totals) for k in (5, 10))
     a = m5.select("query_id", F.col("recall").alias("recall_at_5")).join(m10.select("query_id", F.col("recall").alias("recall_at_10"), F.col("reciprocal_rank").alias("mrr")), "query_id").agg(F.avg("recall_at_5").alias("recall_at_5"), F.avg("recall_at_10").alias("recall_at_10"), F.avg("mrr").alias("mrr"), F.count("*").cast("double").alias("cases"))
     metrics = a.unpivot([], ["recall_at_5", "recall_at_10", "mrr", "cases"], "metric", "value")
     return ev.threshold_gate(metrics, THRESHOLDS).select("metric", F.round("value", 5).alias("value"), "threshold")
