@@ -22,23 +22,47 @@ def _terms(col: str, keep: str, stop: list[str]) -> str:
 
 
 CONTENT, TERMS = (lambda c: _terms(c, ".-", tx.CONTENT_STOP)), (lambda c: _terms(c, "-", tx.TERM_STOP))
-SIM = "sim AS (SELECT query_id, chunk_id, document_id, round(list_cosine_similarity(embedding::DOUBLE[], query_embedding::DOUBLE[]), 6) AS similarity FROM kb_corpus, kb_questions), elig AS (SELECT * FROM sim WHERE similarity >= 0.25)"
-CAPPED = SIM + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY similarity DESC, chunk_id) AS dr FROM elig), m AS (SELECT query_id, count(DISTINCT document_id) AS docs FROM elig GROUP BY 1), dense AS (SELECT * FROM (SELECT r.query_id, r.chunk_id, r.document_id, similarity, row_number() OVER (PARTITION BY r.query_id ORDER BY similarity DESC, chunk_id) AS position FROM r JOIN m USING (query_id) WHERE dr <= CASE WHEN docs > 1 THEN 8 ELSE 60 END) WHERE position <= 60)"
-POST = "post AS (SELECT chunk_id, document_id, unnest(w) AS term, generate_subscripts(w, 1) AS position FROM (SELECT chunk_id, document_id, list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM kb_passages))"
-ASKED = "asked AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(lower(question), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM kb_questions)"
-COVER = POST + ", " + ASKED + """, need AS (SELECT query_id, count(*) AS n FROM asked GROUP BY 1), hits AS (SELECT query_id, chunk_id, document_id, term, position FROM post JOIN asked USING (term)),
- ends AS (SELECT h.query_id, h.chunk_id, h.document_id, h.position AS e, g.term, max(g.position) AS lastp FROM hits h JOIN hits g ON h.query_id = g.query_id AND h.chunk_id = g.chunk_id AND g.position <= h.position GROUP BY 1, 2, 3, 4, 5),
+SIM = """sim AS (SELECT query_id, chunk_id, document_id, round(list_cosine_similarity(embedding::DOUBLE[], query_embedding::DOUBLE[]), 6) AS similarity
+    FROM kb_corpus, kb_questions),
+  elig AS (SELECT * FROM sim WHERE similarity >= 0.25)"""
+CAPPED = SIM + """,
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY similarity DESC, chunk_id) AS dr FROM elig),
+  m AS (SELECT query_id, count(DISTINCT document_id) AS docs FROM elig GROUP BY 1),
+  dense AS (SELECT * FROM (SELECT r.query_id, r.chunk_id, r.document_id, similarity,
+    row_number() OVER (PARTITION BY r.query_id ORDER BY similarity DESC, chunk_id) AS position FROM r JOIN m USING (query_id) WHERE dr <= CASE
+    WHEN docs > 1 THEN 8 ELSE 60 END) WHERE position <= 60)"""
+POST = """post AS (SELECT chunk_id, document_id, unnest(w) AS term, generate_subscripts(w, 1) AS position
+    FROM (SELECT chunk_id, document_id, list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM kb_passages))"""
+ASKED = """asked AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(lower(question), '[^a-z0-9]+'), lambda x: x <> '')) AS term
+    FROM kb_questions)"""
+COVER = POST + ", " + ASKED + """,
+  need AS (SELECT query_id, count(*) AS n FROM asked GROUP BY 1),
+  hits AS (SELECT query_id, chunk_id, document_id, term, position FROM post JOIN asked USING (term)),
+ ends AS (SELECT h.query_id, h.chunk_id, h.document_id, h.position AS e, g.term, max(g.position) AS lastp FROM hits h
+    JOIN hits g ON h.query_id = g.query_id AND h.chunk_id = g.chunk_id AND g.position <= h.position GROUP BY 1, 2, 3, 4, 5),
  st AS (SELECT query_id, chunk_id, document_id, e, min(lastp) AS s, count(*) AS k FROM ends GROUP BY 1, 2, 3, 4),
- cov AS (SELECT st.query_id, chunk_id, document_id, s, min(e) AS e, any_value(n) AS n FROM st JOIN need USING (query_id) WHERE k = n GROUP BY 1, 2, 3, 4),
- lexr AS (SELECT query_id, chunk_id, document_id, round(sum(0.1::DOUBLE / (1 + greatest(e - s + 1 - n, 0))), 6) AS lexical_rank FROM cov GROUP BY 1, 2, 3),
- lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lexical_rank DESC, chunk_id) AS position FROM lexr) WHERE position <= 60)"""
-FUSED = CAPPED + ", " + COVER + """, f0 AS (SELECT query_id, chunk_id, d.position AS dense_position, d.similarity, l.position AS lexical_position, l.lexical_rank, round(coalesce(1.0::DOUBLE / (60 + d.position), 0) + coalesce(0.8::DOUBLE / (60 + l.position), 0), 8) AS fusion_score FROM dense d FULL JOIN lexical l USING (query_id, chunk_id)),
+ cov AS (SELECT st.query_id, chunk_id, document_id, s, min(e) AS e, any_value(n) AS n FROM st JOIN need USING (query_id) WHERE k = n
+    GROUP BY 1, 2, 3, 4),
+ lexr AS (SELECT query_id, chunk_id, document_id, round(sum(0.1::DOUBLE / (1 + greatest(e - s + 1 - n, 0))), 6) AS lexical_rank FROM cov
+    GROUP BY 1, 2, 3),
+ lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lexical_rank DESC, chunk_id) AS position FROM lexr)
+    WHERE position <= 60)"""
+FUSED = CAPPED + ", " + COVER + """,
+  f0 AS (SELECT query_id, chunk_id, d.position AS dense_position, d.similarity, l.position AS lexical_position, l.lexical_rank,
+    round(coalesce(1.0::DOUBLE / (60 + d.position), 0) + coalesce(0.8::DOUBLE / (60 + l.position), 0), 8) AS fusion_score FROM dense d
+    FULL JOIN lexical l USING (query_id, chunk_id)),
  fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fusion_score DESC, similarity DESC NULLS LAST, chunk_id) AS fused_position FROM f0) WHERE fused_position <= 32)"""
-RANKED = FUSED + f""", tq AS (SELECT query_id, list_distinct({CONTENT('question')}) AS q FROM kb_questions), tc AS (SELECT chunk_id, document_id, list_distinct({CONTENT('content')}) AS c FROM kb_passages),
- rr AS (SELECT fused.*, document_id, round(0.6::DOUBLE * CASE WHEN len(q) = 0 THEN 0 ELSE len(list_filter(q, lambda t: list_contains(c, t)))::DOUBLE / len(q) END + 0.4::DOUBLE * coalesce(similarity, 0), 4) AS rerank_score FROM fused JOIN tq USING (query_id) JOIN tc USING (chunk_id)),
+RANKED = FUSED + f""",
+  tq AS (SELECT query_id, list_distinct({CONTENT('question')}) AS q FROM kb_questions),
+  tc AS (SELECT chunk_id, document_id, list_distinct({CONTENT('content')}) AS c FROM kb_passages),
+ rr AS (SELECT fused.*, document_id, round(0.6::DOUBLE * CASE WHEN len(q) = 0 THEN 0
+    ELSE len(list_filter(q, lambda t: list_contains(c, t)))::DOUBLE / len(q) END + 0.4::DOUBLE * coalesce(similarity, 0), 4) AS rerank_score
+    FROM fused JOIN tq USING (query_id) JOIN tc USING (chunk_id)),
  ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fusion_score DESC, chunk_id) AS final_position FROM rr) WHERE final_position <= 32)"""
-GATE = """seen AS (SELECT query_id, count(*) AS n, count(*) FILTER (rerank_score >= 0.30) AS supporting_chunks, count(DISTINCT document_id) FILTER (rerank_score >= 0.30) AS distinct_documents, max(similarity) AS best_similarity, max(rerank_score) AS best_rerank_score FROM ranked GROUP BY 1),
- verdict AS (SELECT q.query_id, CASE WHEN n IS NULL THEN 'no_candidates' WHEN best_rerank_score < 0.35 OR best_similarity < 0.30 THEN 'weak_top_score' WHEN supporting_chunks < 1 THEN 'insufficient_support' ELSE 'ok' END AS reason, coalesce(supporting_chunks, 0) AS supporting_chunks, coalesce(distinct_documents, 0) AS distinct_documents, best_similarity, best_rerank_score FROM kb_questions q LEFT JOIN seen USING (query_id))"""
+GATE = """seen AS (SELECT query_id, count(*) AS n, count(*) FILTER (rerank_score >= 0.30) AS supporting_chunks,
+    count(DISTINCT document_id) FILTER (rerank_score >= 0.30) AS distinct_documents, max(similarity) AS best_similarity, max(rerank_score) AS best_rerank_score FROM ranked GROUP BY 1),
+ verdict AS (SELECT q.query_id, CASE WHEN n IS NULL THEN 'no_candidates' WHEN best_rerank_score < 0.35 OR best_similarity < 0.30 THEN 'weak_top_score'
+    WHEN supporting_chunks < 1 THEN 'insufficient_support' ELSE 'ok' END AS reason, coalesce(supporting_chunks, 0) AS supporting_chunks, coalesce(distinct_documents, 0) AS distinct_documents, best_similarity, best_rerank_score FROM kb_questions q LEFT JOIN seen USING (query_id))"""
 
 
 def ranked_passages(spark, d):
@@ -52,7 +76,9 @@ def _lists(spark, d):
     return rt.per_document_cap(rt.similarities(q, v.kb_corpus(spark, d))), rt.top(rt.cover_density(q, v.kb_passages(spark, d)), "lexical_rank", rt.POOL)
 
 
-@query("ret_01_dense_topk", SIM + ";; SELECT query_id, chunk_id, similarity, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS position FROM elig) WHERE position <= 20")
+@query("ret_01_dense_topk", SIM + """
+;; SELECT query_id, chunk_id, similarity, position FROM (SELECT *,
+    row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS position FROM elig) WHERE position <= 20""")
 def dense(spark, d):
     return rt.dense_topk(v.kb_questions(spark, d), v.kb_corpus(spark, d), 20).select("query_id", "chunk_id", "similarity", "position")
 
@@ -62,7 +88,9 @@ def ann(spark, d):
     return rt.ann_topk(v.kb_questions(spark, d), v.kb_corpus(spark, d), 10)
 
 
-@query("ret_03_merge_variants", SIM + ", vr AS (SELECT query_id % 100 AS query_id, chunk_id, max(similarity) AS similarity FROM elig GROUP BY ALL);; SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS position FROM vr) WHERE position <= 60")
+@query("ret_03_merge_variants", SIM + """,
+  vr AS (SELECT query_id % 100 AS query_id, chunk_id, max(similarity) AS similarity FROM elig GROUP BY ALL)
+;; SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS position FROM vr) WHERE position <= 60""")
 def variants(spark, d):
     """Questions whose ids agree modulo 100 are taken as variants of one."""
     return rt.merge_variants(rt.similarities(v.kb_questions(spark, d), v.kb_corpus(spark, d)).withColumn("query_id", F.expr("query_id % 100")))
@@ -73,9 +101,15 @@ def capped(spark, d):
     return rt.per_document_cap(rt.similarities(v.kb_questions(spark, d), v.kb_corpus(spark, d))).select("query_id", "chunk_id", "document_id", "similarity", "position")
 
 
-@query("ret_05_lexical_match", POST + """, q AS (SELECT query_id, list_filter(regexp_split_to_array(lower(question), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM kb_questions), q1 AS (SELECT query_id, w[1] AS a, w[2] AS b, w[3] AS c, w[4] AS e, w[5] AS x FROM q WHERE len(w) >= 5),
- t AS (SELECT DISTINCT chunk_id, document_id, term FROM post), ph AS (SELECT DISTINCT q1.query_id, p.chunk_id FROM q1 JOIN post p ON p.term = c JOIN post r ON r.chunk_id = p.chunk_id AND r.term = e AND r.position = p.position + 1)
-;; SELECT DISTINCT q1.query_id, t.chunk_id, t.document_id FROM q1 JOIN t ON t.term IN (a, b) JOIN ph ON ph.query_id = q1.query_id AND ph.chunk_id = t.chunk_id WHERE NOT EXISTS (SELECT 1 FROM t n WHERE n.chunk_id = t.chunk_id AND n.term = x || 'zz')""")
+@query("ret_05_lexical_match", POST + """,
+  q AS (SELECT query_id, list_filter(regexp_split_to_array(lower(question), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM kb_questions),
+  q1 AS (SELECT query_id, w[1] AS a, w[2] AS b, w[3] AS c, w[4] AS e, w[5] AS x FROM q WHERE len(w) >= 5),
+ t AS (SELECT DISTINCT chunk_id, document_id, term FROM post),
+  ph AS (SELECT DISTINCT q1.query_id, p.chunk_id FROM q1 JOIN post p ON p.term = c JOIN post r ON r.chunk_id = p.chunk_id AND r.term = e
+    AND r.position = p.position + 1)
+
+;; SELECT DISTINCT q1.query_id, t.chunk_id, t.document_id FROM q1 JOIN t ON t.term IN (a, b) JOIN ph ON ph.query_id = q1.query_id
+    AND ph.chunk_id = t.chunk_id WHERE NOT EXISTS (SELECT 1 FROM t n WHERE n.chunk_id = t.chunk_id AND n.term = x || 'zz')""")
 def matched(spark, d):
     """Asks: first word or second, the phrase of the third and fourth, and not the fifth (spelt wrong)."""
     w = F.filter(F.split(F.lower("question"), "[^a-z0-9]+"), lambda x: x != "")
@@ -105,7 +139,10 @@ def cover_english(spark, d):
     return rt.cover_density(v.kb_questions(spark, d), v.kb_passages(spark, d), english=True)
 
 
-@query("ret_08_overlap_score", f"t AS (SELECT a.document_id, a.chunk_index, {TERMS('a.content')} AS q, {TERMS('b.content')} AS c FROM kb_chunks a JOIN kb_chunks b ON b.document_id = a.document_id AND b.chunk_index = a.chunk_index + 1);; SELECT document_id, chunk_index, round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_filter(q, lambda t: list_contains(c, t)))::DOUBLE / len(q) END, 6) AS score FROM t")
+@query("ret_08_overlap_score", f"""t AS (SELECT a.document_id, a.chunk_index, {TERMS('a.content')} AS q, {TERMS('b.content')} AS c FROM kb_chunks a
+    JOIN kb_chunks b ON b.document_id = a.document_id AND b.chunk_index = a.chunk_index + 1)
+;; SELECT document_id, chunk_index, round(CASE WHEN len(q) = 0 THEN 0
+    ELSE len(list_filter(q, lambda t: list_contains(c, t)))::DOUBLE / len(q) END, 6) AS score FROM t""")
 def overlap(spark, d):
     """Each chunk is the question, and the next chunk of its document the content."""
     c = v.kb_chunks(spark, d).select("document_id", "chunk_index", "content")
@@ -113,13 +150,16 @@ def overlap(spark, d):
     return c.join(after, ["document_id", "chunk_index"]).select("document_id", "chunk_index", F.round(tx.overlap_score("content", "next"), 6).alias("score"))
 
 
-@query("ret_09_topic_vector", "t AS (SELECT thread_id, turn, [" + ", ".join(" + ".join(f"contains(lower(text), '{w}')::INT" for w in ws) for ws in TOPICS) + "]::DOUBLE[] AS t FROM kb_messages);; SELECT thread_id, turn, round(t[1] / greatest(sqrt(list_sum(list_transform(t, lambda x: x * x))), 1e-12), 6) AS t1, round(t[3] / greatest(sqrt(list_sum(list_transform(t, lambda x: x * x))), 1e-12), 6) AS t3 FROM t")
+@query("ret_09_topic_vector", "t AS (SELECT thread_id, turn, [" + ", ".join(" + ".join(f"contains(lower(text), '{w}')::INT" for w in ws) for ws in TOPICS) + """]::DOUBLE[] AS t FROM kb_messages)
+;; SELECT thread_id, turn, round(t[1] / greatest(sqrt(list_sum(list_transform(t, lambda x: x * x))), 1e-12), 6) AS t1,
+    round(t[3] / greatest(sqrt(list_sum(list_transform(t, lambda x: x * x))), 1e-12), 6) AS t3 FROM t""")
 def topics(spark, d):
     t = v.kb_messages(spark, d).withColumn("t", vx.topic_vector(F.col("text"), TOPICS))
     return t.select("thread_id", "turn", F.round(F.col("t")[0], 6).alias("t1"), F.round(F.col("t")[2], 6).alias("t3"))
 
 
-@query("ret_10_cosine", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+@query("ret_10_cosine", """SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a
+    JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 def cosines(spark, d):
     e = v.kb_vectors(spark, d)
     b = e.selectExpr("vec_id AS b", "vec_id - 1 AS a", "embedding AS eb")
@@ -140,8 +180,12 @@ def rerank(spark, d):
 _CLAMP = lambda x: f"least(1, greatest(0, CASE WHEN {x} > 1 THEN {x} / 10 ELSE {x} END))"
 
 
-@query("ret_13_parse_listwise_scores", f"""e AS (SELECT event_id AS query_id, event_id % 6 AS kind, latency_ms AS x FROM kb_events), s AS (SELECT query_id, CASE kind WHEN 0 THEN [0.5, {_CLAMP('x')}, 0] WHEN 1 THEN [{_CLAMP('x')}, 0.25, 0] WHEN 2 THEN NULL WHEN 3 THEN [1, 0.7, {_CLAMP('x')}] WHEN 4 THEN NULL ELSE [0.1, 0.3, 0] END AS scores FROM e)
-;; SELECT query_id, k - 1 AS target, round(scores[k], 6) AS score FROM (SELECT query_id, scores, unnest([1, 2, 3]) AS k FROM s WHERE scores IS NOT NULL)""")
+@query("ret_13_parse_listwise_scores", f"""e AS (SELECT event_id AS query_id, event_id % 6 AS kind, latency_ms AS x FROM kb_events),
+  s AS (SELECT query_id, CASE kind WHEN 0 THEN [0.5, {_CLAMP('x')}, 0] WHEN 1 THEN [{_CLAMP('x')}, 0.25, 0] WHEN 2 THEN NULL
+    WHEN 3 THEN [1, 0.7, {_CLAMP('x')}] WHEN 4 THEN NULL ELSE [0.1, 0.3, 0] END AS scores FROM e)
+
+;; SELECT query_id, k - 1 AS target, round(scores[k], 6) AS score FROM (SELECT query_id, scores, unnest([1, 2, 3]) AS k FROM s
+    WHERE scores IS NOT NULL)""")
 def listwise(spark, d):
     """Stored replies about three passages, made of the events' attributes: objects, bare lists, a mixture, none that can be used."""
     e = v.kb_events(spark, d).selectExpr("event_id AS query_id", """CASE event_id % 6
@@ -178,13 +222,17 @@ def parse_listwise_scores(replies, n: int):
     return replies.select("query_id", state.alias("state")).filter("state.seen > 0").select("query_id", F.posexplode("state.scores").alias("target", "score")).withColumn("score", F.round("score", 6))
 
 
-@query("ret_14_needs_expansion", f"t AS (SELECT query_id, len({CONTENT('question')}) AS n, question FROM kb_questions);; SELECT query_id, n <= 6 OR (n <= 9 AND regexp_matches(question, '(?i)\\b(this|that|these|those|it)\\b')) AS expand FROM t")
+@query("ret_14_needs_expansion", f"""t AS (SELECT query_id, len({CONTENT('question')}) AS n, question FROM kb_questions)
+;; SELECT query_id, n <= 6 OR (n <= 9 AND regexp_matches(question, '(?i)\\b(this|that|these|those|it)\\b')) AS expand FROM t""")
 def expansion(spark, d):
     n = F.size(tx.content_terms("question"))
     return v.kb_questions(spark, d).select("query_id", ((n <= 6) | (F.rlike("question", F.lit(r"(?i)\b(this|that|these|those|it)\b")) & (n <= 9))).alias("expand"))
 
 
-@query("ret_15_sanitize_variants", "m AS (SELECT thread_id, turn, trim(substr(trim(text), 1, 200)) AS t FROM kb_messages WHERE role = 'user' AND length(trim(text)) >= 3), f AS (SELECT thread_id, turn, t, row_number() OVER (PARTITION BY thread_id, lower(t) ORDER BY turn) AS r FROM m);; SELECT thread_id, t AS variant, k AS place FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY turn) AS k FROM f WHERE r = 1) WHERE k <= 3")
+@query("ret_15_sanitize_variants", """m AS (SELECT thread_id, turn, trim(substr(trim(text), 1, 200)) AS t FROM kb_messages WHERE role = 'user' AND length(trim(text)) >= 3),
+  f AS (SELECT thread_id, turn, t, row_number() OVER (PARTITION BY thread_id, lower(t) ORDER BY turn) AS r FROM m)
+;; SELECT thread_id, t AS variant, k AS place FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY turn) AS k FROM f WHERE r = 1)
+    WHERE k <= 3""")
 def sanitized(spark, d):
     """A thread's user turns are taken as its question (the first) and variants."""
     m = v.kb_messages(spark, d).filter("role = 'user'").select("thread_id", "turn", F.trim(F.substring(F.trim("text"), 1, 200)).alias("variant")).filter("length(variant) >= 3")
@@ -209,12 +257,17 @@ def flagship(spark, d):
     return rt.with_reason(ranked_passages(spark, d)).select("query_id", "chunk_id", "final_position", "rerank_score", "reason")
 
 
-@query("ret_18_retrieval_telemetry", RANKED + ";; SELECT query_id, count(*) AS final_evidence, count(dense_position) AS dense_hits, count(lexical_position) AS lexical_hits, max(similarity) AS best_similarity, max(rerank_score) AS best_rerank FROM ranked GROUP BY 1")
+@query("ret_18_retrieval_telemetry", RANKED + """
+;; SELECT query_id, count(*) AS final_evidence, count(dense_position) AS dense_hits,
+    count(lexical_position) AS lexical_hits, max(similarity) AS best_similarity, max(rerank_score) AS best_rerank FROM ranked GROUP BY 1""")
 def telemetry(spark, d):
     return ranked_passages(spark, d).groupBy("query_id").agg(F.count("*").alias("final_evidence"), F.count("dense_position").alias("dense_hits"), F.count("lexical_position").alias("lexical_hits"), F.max("similarity").alias("best_similarity"), F.max("rerank_score").alias("best_rerank"))
 
 
-@query("ret_19_filtered_vector_search", "sim AS (SELECT query_id, chunk_id, document_id, round(list_cosine_similarity(embedding::DOUBLE[], query_embedding::DOUBLE[]), 6) AS similarity FROM kb_corpus, kb_questions WHERE document_id % 2 = 0);; SELECT query_id, chunk_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS r FROM sim) WHERE r <= 5")
+@query("ret_19_filtered_vector_search", """sim AS (SELECT query_id, chunk_id, document_id, round(list_cosine_similarity(embedding::DOUBLE[], query_embedding::DOUBLE[]), 6) AS similarity
+    FROM kb_corpus, kb_questions WHERE document_id % 2 = 0)
+;; SELECT query_id, chunk_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS r FROM sim)
+    WHERE r <= 5""")
 def scoped(spark, d):
     c = v.kb_corpus(spark, d)
     scope = c.select("document_id").distinct().filter("document_id % 2 = 0")
@@ -226,7 +279,9 @@ def gate(spark, d):
     return rt.evidence_gate(v.kb_questions(spark, d), ranked_passages(spark, d))
 
 
-@query("jn_03_dense_lexical_merge", CAPPED + ", " + COVER + ";; SELECT query_id, chunk_id, coalesce(d.document_id, l.document_id) AS document_id, d.position AS dense_position, l.position AS lexical_position FROM dense d FULL JOIN lexical l USING (query_id, chunk_id)")
+@query("jn_03_dense_lexical_merge", CAPPED + ", " + COVER + """
+;; SELECT query_id, chunk_id, coalesce(d.document_id, l.document_id) AS document_id, d.position AS dense_position, l.position AS lexical_position
+    FROM dense d FULL JOIN lexical l USING (query_id, chunk_id)""")
 def merged(spark, d):
     dense, lexical = _lists(spark, d)
     a = dense.select("query_id", "chunk_id", F.col("document_id").alias("da"), F.col("position").alias("dense_position"))
@@ -234,7 +289,10 @@ def merged(spark, d):
     return a.join(b, ["query_id", "chunk_id"], "full_outer").select("query_id", "chunk_id", F.coalesce("da", "db").alias("document_id"), "dense_position", "lexical_position")
 
 
-@query("set_01_list_union", CAPPED + ", " + COVER + ", u AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + position) AS c FROM dense UNION ALL SELECT query_id, chunk_id, 0.8::DOUBLE / (60 + position) FROM lexical);; SELECT query_id, chunk_id, round(sum(c), 8) AS fusion_score, count(*) AS lists FROM u GROUP BY 1, 2")
+@query("set_01_list_union", CAPPED + ", " + COVER + """,
+  u AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + position) AS c FROM dense
+  UNION ALL SELECT query_id, chunk_id, 0.8::DOUBLE / (60 + position) FROM lexical)
+;; SELECT query_id, chunk_id, round(sum(c), 8) AS fusion_score, count(*) AS lists FROM u GROUP BY 1, 2""")
 def union(spark, d):
     dense, lexical = _lists(spark, d)
     part = lambda df, w: df.select("query_id", "chunk_id", (F.lit(w) / (60 + F.col("position"))).alias("c"))

@@ -12,19 +12,23 @@ from quern.sources import views as v
 from quern.streaming import streams as st
 
 
-@query("str_01_document_ingest", "SELECT doc_id, i AS chunk_index, substr(text, i * 1000 + 1, 1000) AS content FROM (SELECT *, unnest(range(0, (length(text) - 1) // 1000 + 1)) AS i FROM documents WHERE length(text) > 0)")
+@query("str_01_document_ingest", """SELECT doc_id, i AS chunk_index, substr(text, i * 1000 + 1, 1000) AS content FROM (SELECT *, unnest(range(0, (length(text) - 1) // 1000 + 1)) AS i
+    FROM documents WHERE length(text) > 0)""")
 def ingest(spark, d):
     return st.ingest(st.source(spark, d, "documents", files=3), lambda b: ch.window_chunks(b, "doc_id", "text"), ["doc_id", "chunk_index"])
 
 
-@query("str_02_telemetry_rollup", "SELECT floor(epoch(ts))::BIGINT - floor(epoch(ts))::BIGINT % 86400 AS start, event_type, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
+@query("str_02_telemetry_rollup", """SELECT floor(epoch(ts))::BIGINT - floor(epoch(ts))::BIGINT % 86400 AS start, event_type, count(*) AS requests,
+    count(*) FILTER (event_type = 'error') AS errors, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2""")
 def rollup(spark, d):
     return st.drain(st.telemetry_rollup(st.source(spark, d, "events")), "update", ["start", "event_type"])
 
 
 @query("str_03_exact_limiter", """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
  r AS (SELECT DISTINCT user_id, 0::BIGINT AS k, []::BIGINT[] AS held, NULL::BIGINT AS event_id, false AS admitted FROM e UNION ALL
- SELECT user_id, k, CASE WHEN len(held) < 5 THEN list_append(held, us) ELSE held END, event_id, len(held) < 5 FROM (SELECT e.user_id, e.k, e.us, e.event_id, list_filter(r.held, lambda t: t > e.us - 86400000000) AS held FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))
+ SELECT user_id, k, CASE WHEN len(held) < 5 THEN list_append(held, us) ELSE held END, event_id, len(held) < 5
+    FROM (SELECT e.user_id, e.k, e.us, e.event_id, list_filter(r.held, lambda t: t > e.us - 86400000000) AS held FROM r
+    JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))
 SELECT event_id, user_id, admitted FROM r WHERE k > 0""")
 def limiter(spark, d):
     return st.drain(st.exact_limiter(st.source(spark, d, "events"), 5, 86400))
@@ -35,7 +39,8 @@ def fixed(spark, d):
     return st.drain(st.fixed_window_counts(st.source(spark, d, "events"), 3600), "update", ["user_id", "window_start"])
 
 
-@query("str_05_lease_sweep", "SELECT job_id, CASE WHEN attempt_count >= 4 THEN 'failed' ELSE 'retrying' END AS status FROM kb_jobs WHERE status = 'running' AND (locked_at IS NULL OR locked_at <= TIMESTAMP '1996-06-01' - INTERVAL 300 SECOND)")
+@query("str_05_lease_sweep", """SELECT job_id, CASE WHEN attempt_count >= 4 THEN 'failed' ELSE 'retrying' END AS status FROM kb_jobs WHERE status = 'running'
+    AND (locked_at IS NULL OR locked_at <= TIMESTAMP '1996-06-01' - INTERVAL 300 SECOND)""")
 def sweep(spark, d):
     """A stream of jobs, joined with their attempts."""
     jobs = v.kb_jobs(spark, d, st.source(spark, d, "orders"))
@@ -43,7 +48,8 @@ def sweep(spark, d):
     return st.drain(st.lease_sweep(jobs, gone, F.when(F.col("attempt_count") >= po.MAX_ATTEMPTS, "failed").otherwise("retrying")))
 
 
-@query("str_06_pruned_windows", "SELECT floor(epoch(ts))::BIGINT - floor(epoch(ts))::BIGINT % 86400 AS start, count(*) AS n FROM events WHERE floor(epoch(ts))::BIGINT - floor(epoch(ts))::BIGINT % 86400 + 86400 <= (SELECT floor(epoch(max(ts))) - 3600 FROM events) GROUP BY 1")
+@query("str_06_pruned_windows", """SELECT floor(epoch(ts))::BIGINT - floor(epoch(ts))::BIGINT % 86400 AS start, count(*) AS n FROM events
+    WHERE floor(epoch(ts))::BIGINT - floor(epoch(ts))::BIGINT % 86400 + 86400 <= (SELECT floor(epoch(max(ts))) - 3600 FROM events) GROUP BY 1""")
 def pruned(spark, d):
     """Windows that the watermark has closed; their state is gone."""
     w = st.source(spark, d, "events").withWatermark("ts", st.RETENTION).groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
@@ -57,7 +63,10 @@ def repeats(spark, d):
     return st.drain(st.without_repeats(docs, "content_hash", "ts", "30 days")).select("content_hash")
 
 
-@query("str_08_published_view", "p AS (SELECT document_id, count(*) FILTER (chunk_version = version AND model IS NOT NULL) = max(chunk_index) + 1 AS complete FROM kb_chunks GROUP BY 1), l AS (SELECT document_id, arg_max(status, job_id) AS s FROM kb_jobs GROUP BY 1);; SELECT document_id, complete AND coalesce(s, 'succeeded') = 'succeeded' AS published FROM p LEFT JOIN l USING (document_id)")
+@query("str_08_published_view", """p AS (SELECT document_id, count(*) FILTER (chunk_version = version AND model IS NOT NULL) = max(chunk_index) + 1 AS complete FROM kb_chunks
+    GROUP BY 1),
+  l AS (SELECT document_id, arg_max(status, job_id) AS s FROM kb_jobs GROUP BY 1)
+;; SELECT document_id, complete AND coalesce(s, 'succeeded') = 'succeeded' AS published FROM p LEFT JOIN l USING (document_id)""")
 def published(spark, d):
     """Counts by document over a stream of chunks, joined with each document's last job."""
     latest = v.kb_jobs(spark, d).groupBy("document_id").agg(F.max_by("status", "job_id").alias("s"))

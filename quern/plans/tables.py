@@ -28,13 +28,14 @@ def chunks(spark, d):
     return v.kb_chunks(spark, d).selectExpr("chunk_id", "document_id", "chunk_index", "page", "length(content) AS n_chars", "chunk_version", "model")
 
 
-@query("src_02_scan_documents", "SELECT document_id, filename, status, r.job_id FROM kb_documents LEFT JOIN (SELECT document_id, max(job_id) AS job_id FROM kb_jobs WHERE status = 'running' GROUP BY 1) r USING (document_id) WHERE tenant = 'src1' ORDER BY created_at DESC LIMIT 50")
+@query("src_02_scan_documents", """SELECT document_id, filename, status, r.job_id FROM kb_documents LEFT JOIN (SELECT document_id, max(job_id) AS job_id FROM kb_jobs
+    WHERE status = 'running' GROUP BY 1) r USING (document_id) WHERE tenant = 'src1' ORDER BY created_at DESC LIMIT 50""")
 def listing(spark, d):
     running = v.kb_jobs(spark, d).filter("status = 'running'").groupBy("document_id").agg(F.max("job_id").alias("job_id"))
     return v.kb_documents(spark, d).filter("tenant = 'src1'").orderBy(F.col("created_at").desc()).limit(50).join(running, "document_id", "left").select("document_id", "filename", "status", "job_id")
 
 
-@query("src_04_extract_html", r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(substr(html, 1, 200000), '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '(?i)&nbsp;', ' ', 'g'), '(?i)&amp;', '&', 'g'), '\s{2,}', ' ', 'g')) AS text FROM pages")
+@query("src_04_extract_html", r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(substr(html, 1, 200000), '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '(?i)&nbsp;', ' ', 'g'), '(?i)&amp;', '&', 'g'), '\s{2,}', ' ', 'g')) AS text FROM pages""")
 def html(spark, d):
     return v.read(spark, d, "pages").select("page_id", tx.extract_html("html").alias("text"))
 
@@ -44,13 +45,18 @@ def attr(spark, d):
     return v.kb_events(spark, d).select("event_id", F.get_json_object("attributes", "$.k").cast("long").alias("k"), F.get_json_object("attributes", "$.none").alias("missing"))
 
 
-@query("src_07_upsert_chunks", "n AS (SELECT document_id, chunk_index, 'new ' || content AS content FROM kb_chunks WHERE document_id % 3 = 0), o AS (SELECT document_id, chunk_index, content FROM kb_chunks WHERE document_id % 2 = 0);; SELECT * FROM n UNION ALL SELECT * FROM o ANTI JOIN n USING (document_id, chunk_index)")
+@query("src_07_upsert_chunks", """n AS (SELECT document_id, chunk_index, 'new ' || content AS content FROM kb_chunks WHERE document_id % 3 = 0),
+  o AS (SELECT document_id, chunk_index, content FROM kb_chunks WHERE document_id % 2 = 0)
+;; SELECT * FROM n
+  UNION ALL SELECT * FROM o ANTI JOIN n USING (document_id, chunk_index)""")
 def upserted(spark, d):
     c = v.kb_chunks(spark, d).select("document_id", "chunk_index", "content")
     return ro.upsert(c.filter("document_id % 2 = 0"), c.filter("document_id % 3 = 0").withColumn("content", F.concat(F.lit("new "), "content")), ["document_id", "chunk_index"])
 
 
-@query("src_10_route_format", f"t AS (SELECT document_id, {_ext('filename')} AS ext, CASE document_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'application/octet-stream' WHEN 2 THEN 'text/plain' ELSE 'application/pdf' END AS mime FROM kb_documents);; SELECT document_id, CASE {_formats} END AS format FROM t")
+@query("src_10_route_format", f"""t AS (SELECT document_id, {_ext('filename')} AS ext, CASE document_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'application/octet-stream'
+    WHEN 2 THEN 'text/plain' ELSE 'application/pdf' END AS mime FROM kb_documents)
+;; SELECT document_id, CASE {_formats} END AS format FROM t""")
 def routed(spark, d):
     mime = F.expr("CASE document_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'application/octet-stream' WHEN 2 THEN ' Text/Plain; charset=utf-8' ELSE 'application/pdf' END")
     return v.kb_documents(spark, d).select("document_id", tx.route_format("filename", mime).alias("format"))
@@ -69,7 +75,11 @@ def literals(spark, d):
     return v.kb_vectors(spark, d).select("vec_id", back.alias("v")).select("vec_id", F.size("v").alias("dim"), F.round(total, 4).alias("total"), F.element_at("v", 64).cast("double").alias("last"))
 
 
-@query("src_13_validate_upload", f"u AS (SELECT document_id, CASE WHEN document_id % 17 = 0 THEN 0 WHEN document_id % 19 = 0 THEN 30000000 ELSE byte_size END AS size, byte_size AS reserved, content_hash AS h, CASE WHEN document_id % 13 = 0 THEN 'x' ELSE content_hash END AS rh, {_ext('filename')} <> 'html' AS typed FROM kb_documents);; SELECT document_id, CASE WHEN size < 1 THEN 'EMPTY_FILE' WHEN size > 26214400 THEN 'TOO_LARGE' WHEN NOT typed THEN 'BAD_CONTENT_TYPE' WHEN size <> reserved THEN 'SIZE_MISMATCH' WHEN h <> rh THEN 'HASH_MISMATCH' ELSE 'ok' END AS verdict FROM u")
+@query("src_13_validate_upload", f"""u AS (SELECT document_id, CASE WHEN document_id % 17 = 0 THEN 0 WHEN document_id % 19 = 0 THEN 30000000
+    ELSE byte_size END AS size, byte_size AS reserved, content_hash AS h, CASE WHEN document_id % 13 = 0 THEN 'x'
+    ELSE content_hash END AS rh, {_ext('filename')} <> 'html' AS typed FROM kb_documents)
+;; SELECT document_id, CASE WHEN size < 1 THEN 'EMPTY_FILE' WHEN size > 26214400 THEN 'TOO_LARGE' WHEN NOT typed THEN 'BAD_CONTENT_TYPE'
+    WHEN size <> reserved THEN 'SIZE_MISMATCH' WHEN h <> rh THEN 'HASH_MISMATCH' ELSE 'ok' END AS verdict FROM u""")
 def uploads(spark, d):
     u = v.kb_documents(spark, d).withColumn("size", F.expr("CASE WHEN document_id % 17 = 0 THEN 0 WHEN document_id % 19 = 0 THEN 30000000 ELSE byte_size END")).withColumn("rh", F.expr("CASE WHEN document_id % 13 = 0 THEN 'x' ELSE content_hash END"))
     return u.select("document_id", po.validate_upload(F.col("size"), F.col("byte_size"), F.col("content_hash"), F.col("rh"), tx.extension_of("filename") != "html").alias("verdict"))
@@ -83,9 +93,14 @@ def text_files(spark, d):
     return files.read_text_files(spark, f"{path}/*/*").select(F.regexp_extract("path", "part=([0-9]+)", 1).cast("long").alias("part"), F.length("text").cast("long").alias("n_chars"), "problem")
 
 
-@query("src_06_load_gold_manifest", """q AS (SELECT item_id // 10 AS part, item_id % 39 AS id, item_id * 53 % 1500 AS document_id FROM benchmark), a AS (SELECT DISTINCT part, document_id, content_hash FROM q JOIN kb_documents USING (document_id))
-;; SELECT 'DUPLICATE_QUESTION_ID' AS violation, id::VARCHAR AS id FROM q GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'DUPLICATE_DOCUMENT_ID', document_id::VARCHAR FROM a GROUP BY 2 HAVING count(*) > 1
- UNION ALL SELECT 'DUPLICATE_DOCUMENT_CONTENT', content_hash FROM a GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'UNKNOWN_DOCUMENT', q.id::VARCHAR FROM q ANTI JOIN a USING (document_id)""")
+@query("src_06_load_gold_manifest", """q AS (SELECT item_id // 10 AS part, item_id % 39 AS id, item_id * 53 % 1500 AS document_id FROM benchmark),
+  a AS (SELECT DISTINCT part, document_id, content_hash FROM q JOIN kb_documents USING (document_id))
+
+;; SELECT 'DUPLICATE_QUESTION_ID' AS violation, id::VARCHAR AS id FROM q GROUP BY 2 HAVING count(*) > 1
+  UNION ALL SELECT 'DUPLICATE_DOCUMENT_ID', document_id::VARCHAR FROM a GROUP BY 2 HAVING count(*) > 1
+
+  UNION ALL SELECT 'DUPLICATE_DOCUMENT_CONTENT', content_hash FROM a GROUP BY 2 HAVING count(*) > 1
+  UNION ALL SELECT 'UNKNOWN_DOCUMENT', q.id::VARCHAR FROM q ANTI JOIN a USING (document_id)""")
 def manifest(spark, d):
     """Gold manifests of ten of the benchmark's passages each as questions, supported by a document each, written as JSON and loaded."""
     path = new_folder(spark)
@@ -120,7 +135,9 @@ def magic(spark, d):
     return v.kb_documents(spark, d).select("document_id", files.has_pdf_magic(content).alias("is_pdf"))
 
 
-@query("src_15_clip_extraction", "t AS (SELECT document_id, page, least(sum(length(content)), 1500) AS n FROM kb_chunks GROUP BY 1, 2), b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY document_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t);; SELECT document_id, page, greatest(0, least(n, 6000 - before))::BIGINT AS kept FROM b")
+@query("src_15_clip_extraction", """t AS (SELECT document_id, page, least(sum(length(content)), 1500) AS n FROM kb_chunks GROUP BY 1, 2),
+  b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY document_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t)
+;; SELECT document_id, page, greatest(0, least(n, 6000 - before))::BIGINT AS kept FROM b""")
 def clipped(spark, d):
     """Caps of 1,500 characters a page and 6,000 in all (smaller than in use, so that they bind here)."""
     w = Window.partitionBy("document_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
@@ -128,7 +145,10 @@ def clipped(spark, d):
     return t.select("document_id", "page", F.greatest(F.lit(0), F.least(F.col("n"), 6000 - F.coalesce(F.sum("n").over(w), F.lit(0)))).cast("long").alias("kept"))
 
 
-@query("src_16_dataset_fingerprint", """r AS (SELECT doc_id AS k, sha256('{"doc_id":' || doc_id || ',"quality":' || quality || ',"toxic":' || toxic || '}') AS h FROM labels), a AS (SELECT k // 4096 AS k, sha256(string_agg(h, '' ORDER BY k, h)) AS h FROM r GROUP BY 1), b AS (SELECT k // 4096 AS k, sha256(string_agg(h, '' ORDER BY k, h)) AS h FROM a GROUP BY 1)
+@query("src_16_dataset_fingerprint", """r AS (SELECT doc_id AS k, sha256('{"doc_id":' || doc_id || ',"quality":' || quality || ',"toxic":' || toxic || '}') AS h FROM labels),
+  a AS (SELECT k // 4096 AS k, sha256(string_agg(h, '' ORDER BY k, h)) AS h FROM r GROUP BY 1),
+  b AS (SELECT k // 4096 AS k, sha256(string_agg(h, '' ORDER BY k, h)) AS h FROM a GROUP BY 1)
+
 ;; SELECT sha256(string_agg(h, '' ORDER BY k, h)) AS fingerprint, (SELECT count(*) FROM labels) AS n FROM b""")
 def dataset_hash(spark, d):
     return ro.fingerprint(v.read(spark, d, "labels"), "doc_id")
@@ -139,7 +159,8 @@ def tenant(spark, d):
     return v.kb_chunks(spark, d).filter(F.col("tenant").isin("src1", "src2")).groupBy("tenant").agg(F.count("*").alias("n"))
 
 
-@query("flt_02_visible_chunks", "SELECT chunk_id, document_id, chunk_index FROM kb_chunks WHERE status = 'ready' AND chunk_version = version AND model = 'm2' AND (filename NOT LIKE '%.pptx' OR parser_version >= 2)")
+@query("flt_02_visible_chunks", """SELECT chunk_id, document_id, chunk_index FROM kb_chunks WHERE status = 'ready' AND chunk_version = version AND model = 'm2'
+    AND (filename NOT LIKE '%.pptx' OR parser_version >= 2)""")
 def visible(spark, d):
     return visible_chunks(v.kb_chunks(spark, d), "m2").select("chunk_id", "document_id", "chunk_index")
 
@@ -154,7 +175,9 @@ def scope(spark, d):
     return v.kb_chunks(spark, d).join(v.read(spark, d, "labels").filter("quality = 1").selectExpr("doc_id AS document_id"), "document_id", "left_semi").select("chunk_id")
 
 
-@query("flt_04_similarity_floor", "SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q WHERE round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) >= 0.25")
+@query("flt_04_similarity_floor", """SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity
+    FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q WHERE
+    round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) >= 0.25""")
 def floor(spark, d):
     from quern.operators.retrieval import similarities
 
@@ -162,7 +185,8 @@ def floor(spark, d):
     return similarities(e.filter("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "embedding AS query_embedding"), e.selectExpr("vec_id", "embedding")).select("query_id", "vec_id", "similarity")
 
 
-@query("flt_05_list_traces", "t AS (SELECT event_id, ts, (attributes->>'$.k')::BIGINT AS k FROM kb_events ORDER BY ts DESC, event_id LIMIT 100);; SELECT event_id, k FROM t WHERE k > 50")
+@query("flt_05_list_traces", """t AS (SELECT event_id, ts, (attributes->>'$.k')::BIGINT AS k FROM kb_events ORDER BY ts DESC, event_id LIMIT 100)
+;; SELECT event_id, k FROM t WHERE k > 50""")
 def traces(spark, d):
     return v.kb_events(spark, d).orderBy(F.col("ts").desc(), "event_id").limit(100).withColumn("k", F.get_json_object("attributes", "$.k").cast("long")).filter("k > 50").select("event_id", "k")
 
@@ -172,14 +196,16 @@ def events(spark, d):
     return v.kb_events(spark, d).filter("event = 'error'").orderBy(F.col("ts").desc(), "event_id").limit(200).select("event_id", "event", "status")
 
 
-@query("flt_07_reindex_candidates", "SELECT document_id FROM kb_documents WHERE status <> 'deleting' AND model IS DISTINCT FROM 'm2' AND document_id NOT IN (SELECT document_id FROM kb_jobs WHERE status IN ('queued', 'running', 'retrying') AND available_at >= TIMESTAMP '1998-01-01')")
+@query("flt_07_reindex_candidates", """SELECT document_id FROM kb_documents WHERE status <> 'deleting' AND model IS DISTINCT FROM 'm2' AND document_id NOT IN (SELECT document_id
+    FROM kb_jobs WHERE status IN ('queued', 'running', 'retrying') AND available_at >= TIMESTAMP '1998-01-01')""")
 def reindex(spark, d):
     """Jobs that have waited since before 1998 are taken as given up."""
     live = v.kb_jobs(spark, d).filter("status IN ('queued', 'running', 'retrying') AND available_at >= timestamp'1998-01-01'").select("document_id").distinct()
     return v.kb_documents(spark, d).filter("status <> 'deleting' AND NOT model <=> 'm2'").join(live, "document_id", "left_anti").select("document_id")
 
 
-@query("flt_08_due_jobs", "SELECT job_id FROM kb_jobs WHERE ((status IN ('queued', 'retrying') AND available_at <= TIMESTAMP '1996-06-01') OR (status = 'running' AND (locked_at IS NULL OR locked_at < TIMESTAMP '1996-06-01' - INTERVAL 300 SECOND))) AND attempt_count < 4")
+@query("flt_08_due_jobs", """SELECT job_id FROM kb_jobs WHERE ((status IN ('queued', 'retrying') AND available_at <= TIMESTAMP '1996-06-01') OR (status = 'running'
+    AND (locked_at IS NULL OR locked_at < TIMESTAMP '1996-06-01' - INTERVAL 300 SECOND))) AND attempt_count < 4""")
 def due(spark, d):
     return ro.due_jobs(v.kb_jobs(spark, d), F.lit("1996-06-01").cast("timestamp")).select("job_id")
 
@@ -205,7 +231,8 @@ def sanitize(attributes, cut: int = 120):
     return F.transform_values(kept, lambda _, x: F.when(x.isin("NaN", "Infinity", "-Infinity"), F.lit(None).cast("string")).otherwise(F.substring(x, 1, cut)))
 
 
-@query("flt_11_sanitize_attributes", "SELECT event_id, ['k', 'note', 'rate'] AS keys, least(60 * length(event), 120) AS note_length, CASE WHEN event_id % 5 <> 0 THEN '1' END AS rate FROM kb_events")
+@query("flt_11_sanitize_attributes", """SELECT event_id, ['k', 'note', 'rate'] AS keys, least(60 * length(event), 120) AS note_length, CASE WHEN event_id % 5 <> 0 THEN '1' END AS rate
+    FROM kb_events""")
 def sanitized(spark, d):
     m = F.create_map(F.lit("k"), F.get_json_object("attributes", "$.k"), F.lit("prompt"), F.lit("secret words"), F.lit("user_text"), F.col("event"), F.lit("note"), F.repeat("event", F.lit(60)), F.lit("rate"), F.when(F.col("event_id") % 5 == 0, "NaN").otherwise("1"))
     return v.kb_events(spark, d).select("event_id", sanitize(m).alias("m")).selectExpr("event_id", "map_keys(m) AS keys", "length(m['note']) AS note_length", "m['rate'] AS rate")
@@ -245,7 +272,9 @@ def usable(spark, d):
     return v.kb_chunks(spark, d).select("document_id", "chunk_index", tx.usable(F.regexp_replace("content", "[a-z ]+", "")).alias("usable"))
 
 
-@query("flt_14_ocr_suspect", "p AS (SELECT document_id, page, sum(length(content)) AS n FROM kb_chunks GROUP BY 1, 2), t AS (SELECT document_id, sum(n)::BIGINT AS total, count(*) AS pages FROM p GROUP BY 1);; SELECT document_id, CASE WHEN total = 0 THEN 'NO_TEXT' WHEN total / pages < 100 AND total < 500 THEN 'OCR_SUSPECT' ELSE 'ok' END AS verdict FROM t")
+@query("flt_14_ocr_suspect", """p AS (SELECT document_id, page, sum(length(content)) AS n FROM kb_chunks GROUP BY 1, 2),
+  t AS (SELECT document_id, sum(n)::BIGINT AS total, count(*) AS pages FROM p GROUP BY 1)
+;; SELECT document_id, CASE WHEN total = 0 THEN 'NO_TEXT' WHEN total / pages < 100 AND total < 500 THEN 'OCR_SUSPECT' ELSE 'ok' END AS verdict FROM t""")
 def ocr(spark, d):
     pages = v.kb_chunks(spark, d).groupBy("document_id", "page").agg(F.sum(F.length("content")).alias("n"))
     t = pages.groupBy("document_id").agg(F.sum("n").alias("total"), F.count("*").alias("pages"))
@@ -257,14 +286,16 @@ def chunk_document(spark, d):
     return v.kb_chunks(spark, d).select("chunk_id", "document_id").join(v.kb_documents(spark, d).select("document_id", "filename", "lang"), "document_id").select("chunk_id", "filename", "lang")
 
 
-@query("jn_02_query_chunks", "SELECT query_id, count(*) AS n, round(max(list_cosine_similarity(embedding::DOUBLE[], query_embedding::DOUBLE[])), 6) AS best FROM kb_corpus, kb_questions GROUP BY 1")
+@query("jn_02_query_chunks", """SELECT query_id, count(*) AS n, round(max(list_cosine_similarity(embedding::DOUBLE[], query_embedding::DOUBLE[])), 6) AS best
+    FROM kb_corpus, kb_questions GROUP BY 1""")
 def query_chunks(spark, d):
     from quern.operators.retrieval import similarity_summary
 
     return similarity_summary(v.kb_questions(spark, d), v.kb_corpus(spark, d))
 
 
-@query("jn_04_documents_running_job", "SELECT document_id, j.job_id FROM kb_documents LEFT JOIN (SELECT document_id, max(job_id) AS job_id FROM kb_jobs WHERE status = 'running' GROUP BY 1) j USING (document_id)")
+@query("jn_04_documents_running_job", """SELECT document_id, j.job_id FROM kb_documents LEFT JOIN (SELECT document_id, max(job_id) AS job_id FROM kb_jobs WHERE status = 'running'
+    GROUP BY 1) j USING (document_id)""")
 def running(spark, d):
     j = v.kb_jobs(spark, d).filter("status = 'running'").groupBy("document_id").agg(F.max("job_id").alias("job_id"))
     return v.kb_documents(spark, d).select("document_id").join(j, "document_id", "left")
@@ -275,15 +306,21 @@ def roles(spark, d):
     return v.kb_jobs(spark, d).select("job_id", "owner").join(v.read(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").selectExpr("c_custkey AS owner"), "owner", "left_semi").select("job_id", "owner")
 
 
-@query("jn_06_no_live_job", "SELECT document_id FROM kb_documents ANTI JOIN (SELECT document_id FROM kb_jobs WHERE status IN ('queued', 'running', 'retrying') AND available_at >= TIMESTAMP '1998-01-01') USING (document_id)")
+@query("jn_06_no_live_job", """SELECT document_id FROM kb_documents ANTI JOIN (SELECT document_id FROM kb_jobs WHERE status IN ('queued', 'running', 'retrying')
+    AND available_at >= TIMESTAMP '1998-01-01') USING (document_id)""")
 def idle(spark, d):
     return v.kb_documents(spark, d).select("document_id").join(v.kb_jobs(spark, d).filter("status IN ('queued', 'running', 'retrying') AND available_at >= timestamp'1998-01-01'").select("document_id"), "document_id", "left_anti")
 
 
-SPANS = "a AS (SELECT l_orderkey AS doc, l_linenumber AS id, l_partkey % 100 AS s, l_partkey % 100 + l_quantity::BIGINT AS e FROM lineitem WHERE l_linenumber % 2 = 0), b AS (SELECT l_orderkey AS doc, l_linenumber AS id, l_suppkey % 100 AS s, l_suppkey % 100 + l_quantity::BIGINT AS e FROM lineitem WHERE l_linenumber % 2 = 1)"
+SPANS = """a AS (SELECT l_orderkey AS doc, l_linenumber AS id, l_partkey % 100 AS s, l_partkey % 100 + l_quantity::BIGINT AS e FROM lineitem
+    WHERE l_linenumber % 2 = 0),
+  b AS (SELECT l_orderkey AS doc, l_linenumber AS id, l_suppkey % 100 AS s, l_suppkey % 100 + l_quantity::BIGINT AS e FROM lineitem
+    WHERE l_linenumber % 2 = 1)"""
 
 
-@query("jn_07_span_overlap", SPANS + ";; SELECT a.doc, a.id AS a, b.id AS b, least(a.e, b.e) - greatest(a.s, b.s) AS overlap FROM a JOIN b ON a.doc = b.doc AND greatest(a.s, b.s) < least(a.e, b.e)")
+@query("jn_07_span_overlap", SPANS + """
+;; SELECT a.doc, a.id AS a, b.id AS b, least(a.e, b.e) - greatest(a.s, b.s) AS overlap FROM a JOIN b ON a.doc = b.doc
+    AND greatest(a.s, b.s) < least(a.e, b.e)""")
 def spans(spark, d):
     line = v.read(spark, d, "lineitem")
     a = line.filter("l_linenumber % 2 = 0").selectExpr("l_orderkey AS doc", "l_linenumber AS a", "l_partkey % 100 AS s", "l_partkey % 100 + CAST(l_quantity AS BIGINT) AS e")
@@ -291,14 +328,19 @@ def spans(spark, d):
     return a.join(b, "doc").filter("greatest(s, s2) < least(e, e2)").selectExpr("doc", "a", "b", "least(e, e2) - greatest(s, s2) AS overlap")
 
 
-@query("jn_09_requested_all_ready", "r AS (SELECT l_orderkey AS request, l_partkey % 200 AS document_id FROM lineitem);; SELECT request, count(DISTINCT r.document_id) AS wanted, count(DISTINCT d.document_id) = count(DISTINCT r.document_id) AS all_ready FROM r LEFT JOIN (SELECT document_id FROM kb_documents WHERE status = 'ready') d USING (document_id) GROUP BY 1")
+@query("jn_09_requested_all_ready", """r AS (SELECT l_orderkey AS request, l_partkey % 200 AS document_id FROM lineitem)
+;; SELECT request, count(DISTINCT r.document_id) AS wanted, count(DISTINCT d.document_id) = count(DISTINCT r.document_id) AS all_ready FROM r
+    LEFT JOIN (SELECT document_id FROM kb_documents WHERE status = 'ready') d USING (document_id) GROUP BY 1""")
 def division(spark, d):
     r = v.read(spark, d, "lineitem").selectExpr("l_orderkey AS request", "l_partkey % 200 AS document_id").distinct()
     ready = v.kb_documents(spark, d).filter("status = 'ready'").select("document_id", F.lit(1).alias("ok"))
     return r.join(ready, "document_id", "left").groupBy("request").agg(F.count("*").alias("wanted"), (F.count("ok") == F.count("*")).alias("all_ready"))
 
 
-@query("jn_12_apply_reviews", "a AS (SELECT thread_id, turn, sha256(text) AS h FROM kb_messages WHERE role = 'assistant'), j AS (SELECT thread_id, turn, CASE WHEN thread_id % 4 = 0 THEN 'stale' ELSE h END AS h, thread_id % 2 = 0 AS good FROM a WHERE thread_id % 3 <> 0);; SELECT a.thread_id, a.turn, CASE WHEN j.h IS NULL THEN 'pending' WHEN j.h <> a.h THEN 'stale' WHEN good THEN 'accepted' ELSE 'rejected' END AS review FROM a LEFT JOIN j USING (thread_id, turn)")
+@query("jn_12_apply_reviews", """a AS (SELECT thread_id, turn, sha256(text) AS h FROM kb_messages WHERE role = 'assistant'),
+  j AS (SELECT thread_id, turn, CASE WHEN thread_id % 4 = 0 THEN 'stale' ELSE h END AS h, thread_id % 2 = 0 AS good FROM a WHERE thread_id % 3 <> 0)
+;; SELECT a.thread_id, a.turn, CASE WHEN j.h IS NULL THEN 'pending' WHEN j.h <> a.h THEN 'stale' WHEN good THEN 'accepted'
+    ELSE 'rejected' END AS review FROM a LEFT JOIN j USING (thread_id, turn)""")
 def reviews(spark, d):
     a = v.kb_messages(spark, d).filter("role = 'assistant'").selectExpr("thread_id", "turn", "sha2(text, 256) AS h")
     j = a.filter("thread_id % 3 <> 0").selectExpr("thread_id", "turn", "CASE WHEN thread_id % 4 = 0 THEN 'stale' ELSE h END AS jh", "thread_id % 2 = 0 AS good")
@@ -311,7 +353,8 @@ def difference(spark, d):
     return c.select("chunk_id").join(c.filter("chunk_version = version").select("chunk_id"), "chunk_id", "left_anti")
 
 
-@query("set_03_shared_terms", "w AS (SELECT DISTINCT lang, unnest(string_split(lower(text), ' ')) AS t FROM kb_documents);; SELECT t AS term FROM w WHERE lang = 'en' INTERSECT SELECT t FROM w WHERE lang = 'de'")
+@query("set_03_shared_terms", """w AS (SELECT DISTINCT lang, unnest(string_split(lower(text), ' ')) AS t FROM kb_documents)
+;; SELECT t AS term FROM w WHERE lang = 'en' INTERSECT SELECT t FROM w WHERE lang = 'de'""")
 def shared(spark, d):
     w = v.kb_documents(spark, d).select("lang", F.explode(F.split(F.lower("text"), " ")).alias("term"))
     return w.filter("lang = 'en'").select("term").intersect(w.filter("lang = 'de'").select("term"))
@@ -333,13 +376,18 @@ def lowest(spark, d):
     return v.kb_chunks(spark, d).withColumn("r", F.row_number().over(w)).filter("r = 1").select("chunk_id")
 
 
-@query("set_07_violation_rows", "SELECT document_id, 'NO_MODEL' AS violation FROM kb_documents WHERE model IS NULL UNION ALL SELECT document_id, 'NOT_READY' FROM kb_documents WHERE status <> 'ready' UNION ALL SELECT document_id, 'OLD_PARSER' FROM kb_documents WHERE parser_version < 2")
+@query("set_07_violation_rows", """SELECT document_id, 'NO_MODEL' AS violation FROM kb_documents WHERE model IS NULL
+  UNION ALL SELECT document_id, 'NOT_READY' FROM kb_documents WHERE status <> 'ready'
+  UNION ALL SELECT document_id, 'OLD_PARSER' FROM kb_documents WHERE parser_version < 2""")
 def violations(spark, d):
     t = v.kb_documents(spark, d)
     return t.select("document_id", F.explode(F.array_compact(F.array(F.when(F.col("model").isNull(), "NO_MODEL"), F.when(F.col("status") != "ready", "NOT_READY"), F.when(F.col("parser_version") < 2, "OLD_PARSER")))).alias("violation"))
 
 
-@query("set_08_cascade_delete", "gone AS (SELECT document_id FROM kb_documents WHERE status = 'deleting');; SELECT 'chunk' AS kind, chunk_id AS id, NULL AS status FROM kb_chunks ANTI JOIN gone USING (document_id) UNION ALL SELECT 'job', job_id, CASE WHEN gone.document_id IS NOT NULL AND status IN ('queued', 'running', 'retrying') THEN 'cancelled' ELSE status END FROM kb_jobs LEFT JOIN gone USING (document_id)")
+@query("set_08_cascade_delete", """gone AS (SELECT document_id FROM kb_documents WHERE status = 'deleting')
+;; SELECT 'chunk' AS kind, chunk_id AS id, NULL AS status FROM kb_chunks ANTI JOIN gone USING (document_id)
+  UNION ALL SELECT 'job', job_id, CASE WHEN gone.document_id IS NOT NULL AND status IN ('queued', 'running', 'retrying') THEN 'cancelled'
+    ELSE status END FROM kb_jobs LEFT JOIN gone USING (document_id)""")
 def cascade(spark, d):
     gone = v.kb_documents(spark, d).filter("status = 'deleting'").select("document_id")
     left = v.kb_chunks(spark, d).select("chunk_id", "document_id").join(gone, "document_id", "left_anti").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"), F.lit(None).cast("string").alias("status"))
@@ -374,7 +422,9 @@ def fn_terms(spark, d):
 _safe = "trim(regexp_replace(regexp_replace(list_last(regexp_split_to_array(n, '[\\\\/]')), '[\\x00-\\x1f]', '', 'g'), '[^A-Za-z0-9._ ()-]+', '_', 'g'))"
 
 
-@query("fn_05_safe_filename", f"t AS (SELECT p_partkey, 'dir/' || p_name || '*?' || p_brand || CASE p_partkey % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.exe' ELSE '' END AS n FROM part), c AS (SELECT p_partkey, {_safe} AS c FROM t);; SELECT p_partkey, CASE WHEN {_ext('c')} IN {_exts} THEN c ELSE CASE WHEN c = '' THEN 'document' ELSE c END || '.pdf' END AS name FROM c")
+@query("fn_05_safe_filename", f"""t AS (SELECT p_partkey, 'dir/' || p_name || '*?' || p_brand || CASE p_partkey % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.exe' ELSE '' END AS n FROM part),
+  c AS (SELECT p_partkey, {_safe} AS c FROM t)
+;; SELECT p_partkey, CASE WHEN {_ext('c')} IN {_exts} THEN c ELSE CASE WHEN c = '' THEN 'document' ELSE c END || '.pdf' END AS name FROM c""")
 def fn_safe(spark, d):
     n = F.expr("concat('dir/', p_name, '*?', p_brand, CASE p_partkey % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.exe' ELSE '' END)")
     return v.read(spark, d, "part").select("p_partkey", tx.safe_filename(n).alias("name"))
@@ -385,12 +435,15 @@ def fn_ext(spark, d):
     return v.kb_documents(spark, d).select("document_id", tx.extension_of("filename").alias("ext"))
 
 
-@query("fn_07_owner_path", f"t AS (SELECT document_id, tenant, tenant || '/' || document_id || '.' || CASE WHEN {_ext('filename')} IN {_exts} THEN {_ext('filename')} ELSE 'pdf' END AS path FROM kb_documents);; SELECT document_id, path, starts_with(path, 'src1/') AND NOT contains(path, '..') AS mine FROM t")
+@query("fn_07_owner_path", f"""t AS (SELECT document_id, tenant, tenant || '/' || document_id || '.' || CASE WHEN {_ext('filename')} IN {_exts} THEN {_ext('filename')}
+    ELSE 'pdf' END AS path FROM kb_documents)
+;; SELECT document_id, path, starts_with(path, 'src1/') AND NOT contains(path, '..') AS mine FROM t""")
 def fn_path(spark, d):
     return v.kb_documents(spark, d).withColumn("path", tx.owner_path("tenant", "document_id", "filename")).select("document_id", "path", tx.is_owner_path("path", F.lit("src1")).alias("mine"))
 
 
-@query("fn_08_is_sha256", "SELECT document_id, regexp_matches(CASE WHEN document_id % 3 = 0 THEN upper(content_hash) ELSE content_hash END, '^[a-f0-9]{64}$') AS ok FROM kb_documents")
+@query("fn_08_is_sha256", """SELECT document_id, regexp_matches(CASE WHEN document_id % 3 = 0 THEN upper(content_hash) ELSE content_hash END, '^[a-f0-9]{64}$') AS ok
+    FROM kb_documents""")
 def fn_sha(spark, d):
     return v.kb_documents(spark, d).select("document_id", tx.is_sha256(F.when(F.col("document_id") % 3 == 0, F.upper("content_hash")).otherwise(F.col("content_hash"))).alias("ok"))
 
@@ -399,8 +452,12 @@ _STATUS = "CASE event_id % 7 WHEN 0 THEN 402 WHEN 1 THEN 401 WHEN 2 THEN 429 WHE
 _MESSAGE = "CASE event_id % 9 WHEN 0 THEN 'Socket closed' WHEN 1 THEN 'Daily quota reached' WHEN 2 THEN 'API key not valid' WHEN 3 THEN 'width mismatch' WHEN 4 THEN 'timed out' ELSE event END"
 _CODE = "CASE event_id % 5 WHEN 0 THEN 'rate_limit_exceeded' WHEN 1 THEN 'ZERO_COST_AI_BLOCKED' END"
 _has = lambda ws: "(" + " OR ".join(f"contains(lower(concat_ws(' ', m, coalesce(lower(c), ''), '')), '{w}')" for w in ws) + ")"
-CLASSIFY = f"""f AS (SELECT event_id, {_STATUS} AS s, {_CODE} AS c, {_MESSAGE} AS m FROM kb_events), k AS (SELECT *, CASE WHEN c = 'ZERO_COST_AI_BLOCKED' THEN ['PERMANENT', 'AI_DISABLED'] WHEN s = 402 OR {_has(po.QUOTA[2])} THEN ['PERMANENT', 'CREDITS_EXHAUSTED'] WHEN s IN (401, 403) OR {_has(po.CREDENTIALS[2])} THEN ['PERMANENT', 'INVALID_CREDENTIALS']
- WHEN s = 429 OR c = 'rate_limit_exceeded' THEN ['RESOURCE_LIMIT', 'RATE_LIMITED'] WHEN s >= 500 THEN ['DEPENDENCY', 'UPSTREAM_ERROR'] WHEN s >= 400 THEN ['PERMANENT', 'UPSTREAM_REJECTED'] WHEN regexp_matches(m, '(?i)timed? ?out|network|fetch failed|socket|econnreset|econnrefused') THEN ['DEPENDENCY', 'UPSTREAM_TIMEOUT'] WHEN regexp_matches(m, '(?i)dimensions?, expected|width mismatch') THEN ['PERMANENT', 'UPSTREAM_REJECTED'] ELSE ['TRANSIENT', 'UNEXPECTED'] END AS k FROM f)"""
+CLASSIFY = f"""f AS (SELECT event_id, {_STATUS} AS s, {_CODE} AS c, {_MESSAGE} AS m FROM kb_events),
+  k AS (SELECT *, CASE WHEN c = 'ZERO_COST_AI_BLOCKED' THEN ['PERMANENT', 'AI_DISABLED']
+    WHEN s = 402 OR {_has(po.QUOTA[2])} THEN ['PERMANENT', 'CREDITS_EXHAUSTED']
+    WHEN s IN (401, 403) OR {_has(po.CREDENTIALS[2])} THEN ['PERMANENT', 'INVALID_CREDENTIALS']
+ WHEN s = 429 OR c = 'rate_limit_exceeded' THEN ['RESOURCE_LIMIT', 'RATE_LIMITED'] WHEN s >= 500 THEN ['DEPENDENCY', 'UPSTREAM_ERROR']
+    WHEN s >= 400 THEN ['PERMANENT', 'UPSTREAM_REJECTED'] WHEN regexp_matches(m, '(?i)timed? ?out|network|fetch failed|socket|econnreset|econnrefused') THEN ['DEPENDENCY', 'UPSTREAM_TIMEOUT'] WHEN regexp_matches(m, '(?i)dimensions?, expected|width mismatch') THEN ['PERMANENT', 'UPSTREAM_REJECTED'] ELSE ['TRANSIENT', 'UNEXPECTED'] END AS k FROM f)"""
 
 
 def _failures(spark, d):
@@ -413,24 +470,30 @@ def fn_classify(spark, d):
     return _failures(spark, d).select("event_id", "k.class", "k.code")
 
 
-@query("fn_10_backoff", CLASSIFY + ";; SELECT event_id, k[1] <> 'PERMANENT' AND event_id % 6 < 4 AS retryable, least(CASE WHEN k[1] = 'RESOURCE_LIMIT' THEN 30 ELSE 5 END * pow(2, greatest(event_id % 6 - 1, 0)), 600)::BIGINT AS seconds FROM k")
+@query("fn_10_backoff", CLASSIFY + """
+;; SELECT event_id, k[1] <> 'PERMANENT' AND event_id % 6 < 4 AS retryable, least(CASE WHEN k[1] = 'RESOURCE_LIMIT' THEN 30
+    ELSE 5 END * pow(2, greatest(event_id % 6 - 1, 0)), 600)::BIGINT AS seconds FROM k""")
 def fn_backoff(spark, d):
     n = F.col("event_id") % 6
     return _failures(spark, d).select("event_id", po.is_retryable(F.col("k.class"), n).alias("retryable"), po.backoff_seconds(n, F.col("k.class")).alias("seconds"))
 
 
-@query("fn_11_lease_state", "SELECT job_id, CASE WHEN status <> 'running' THEN 'not_running' WHEN locked_at IS NULL OR epoch(TIMESTAMP '1996-06-01') - epoch(locked_at) >= 300 THEN 'expired' ELSE 'active' END AS lease FROM kb_jobs")
+@query("fn_11_lease_state", """SELECT job_id, CASE WHEN status <> 'running' THEN 'not_running'
+    WHEN locked_at IS NULL OR epoch(TIMESTAMP '1996-06-01') - epoch(locked_at) >= 300 THEN 'expired' ELSE 'active' END AS lease FROM kb_jobs""")
 def fn_lease(spark, d):
     return v.kb_jobs(spark, d).select("job_id", po.lease_state(F.col("status"), F.col("locked_at"), F.lit("1996-06-01")).alias("lease"))
 
 
-@query("fn_12_phase_progress", f"p AS (SELECT document_id, ([{','.join(repr(p) for p in po.PHASES)}, 'failed'])[1 + document_id % 9] AS phase FROM kb_documents);; SELECT document_id, phase, CASE WHEN phase = 'failed' THEN 0 ELSE 1 + document_id % 9 END AS step FROM p")
+@query("fn_12_phase_progress", f"""p AS (SELECT document_id, ([{','.join(repr(p) for p in po.PHASES)}, 'failed'])[1 + document_id % 9] AS phase FROM kb_documents)
+;; SELECT document_id, phase, CASE WHEN phase = 'failed' THEN 0 ELSE 1 + document_id % 9 END AS step FROM p""")
 def fn_phase(spark, d):
     p = v.kb_documents(spark, d).withColumn("phase", F.element_at(F.array(*map(F.lit, [*po.PHASES, "failed"])), (1 + F.col("document_id") % 9).cast("int")))
     return p.select("document_id", "phase", po.phase_step(F.col("phase")).alias("step"))
 
 
-@query("fn_13_exact_match", r"n AS (SELECT thread_id, turn, role, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM kb_messages);; SELECT a.thread_id, a.turn, bool_or(coalesce(a.t = b.t, false)) AS matched FROM n a LEFT JOIN n b ON b.thread_id = a.thread_id AND b.role = 'user' WHERE a.role = 'assistant' GROUP BY 1, 2")
+@query("fn_13_exact_match", r"""n AS (SELECT thread_id, turn, role, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM kb_messages)
+;; SELECT a.thread_id, a.turn, bool_or(coalesce(a.t = b.t, false)) AS matched FROM n a LEFT JOIN n b ON b.thread_id = a.thread_id AND b.role = 'user'
+    WHERE a.role = 'assistant' GROUP BY 1, 2""")
 def fn_exact(spark, d):
     m = v.kb_messages(spark, d).withColumn("t", tx.normal_answer("text"))
     refs = m.filter("role = 'user'").groupBy("thread_id").agg(F.collect_list("t").alias("refs"))
@@ -459,12 +522,16 @@ def fn_progress(spark, d):
     return t.select("document_id", po.progress_percent(F.col("done"), F.col("total")).alias("percent"))
 
 
-@query("fn_18_format_bytes", "SELECT document_id, CASE WHEN byte_size < 1024 THEN format('{:d} B', byte_size) WHEN byte_size < 1048576 THEN format('{:.1f} KB', round(byte_size / 1024, 1)) ELSE format('{:.1f} MB', round(byte_size / 1048576, 1)) END AS size, format('{:.1f}%', (document_id % 7) * 12.5) AS share FROM kb_documents")
+@query("fn_18_format_bytes", """SELECT document_id, CASE WHEN byte_size < 1024 THEN format('{:d} B', byte_size) WHEN byte_size < 1048576 THEN format('{:.1f} KB',
+    round(byte_size / 1024, 1)) ELSE format('{:.1f} MB', round(byte_size / 1048576, 1)) END AS size, format('{:.1f}%', (document_id % 7) * 12.5) AS share FROM kb_documents""")
 def fn_bytes(spark, d):
     return v.kb_documents(spark, d).select("document_id", tx.format_bytes("byte_size").alias("size"), tx.percent(F.col("document_id") % 7 * 0.125).alias("share"))
 
 
-@query("fn_19_safe_error_code", "e AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'PGRST202' WHEN 1 THEN '42883' WHEN 2 THEN 'bad code' WHEN 3 THEN '42703' WHEN 4 THEN upper(event) END AS c FROM kb_events);; SELECT event_id, CASE WHEN regexp_matches(c, '^[A-Z0-9_]{1,64}$') THEN c ELSE 'OPERATION_FAILED' END AS code, CASE c WHEN 'PGRST202' THEN 'function_not_resolved' WHEN '42883' THEN 'undefined_function' WHEN '42703' THEN 'undefined_column' END AS kind FROM e")
+@query("fn_19_safe_error_code", """e AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'PGRST202' WHEN 1 THEN '42883' WHEN 2 THEN 'bad code' WHEN 3 THEN '42703'
+    WHEN 4 THEN upper(event) END AS c FROM kb_events)
+;; SELECT event_id, CASE WHEN regexp_matches(c, '^[A-Z0-9_]{1,64}$') THEN c ELSE 'OPERATION_FAILED' END AS code, CASE c
+    WHEN 'PGRST202' THEN 'function_not_resolved' WHEN '42883' THEN 'undefined_function' WHEN '42703' THEN 'undefined_column' END AS kind FROM e""")
 def fn_code(spark, d):
     c = F.expr("CASE event_id % 6 WHEN 0 THEN 'PGRST202' WHEN 1 THEN '42883' WHEN 2 THEN 'bad code' WHEN 3 THEN '42703' WHEN 4 THEN upper(event) END")
     return v.kb_events(spark, d).select("event_id", po.safe_error_code(c).alias("code"), po.schema_error_kind(c).alias("kind"))
