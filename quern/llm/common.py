@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -12,27 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.sources.files import new_folder
+
 #: Bytes of text for a task of a shuffle; rows of a table that is broadcast; rows above which a join key is hot.
 TASK_BYTES, BROADCAST_ROWS, HOT_ROWS = 128 << 20, 100_000, 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below the folder that driver and executors share.
-
-    The place is the session's ``spark.checkpoint.dir``; only where that is unset in local mode (tests)
-    a temporary folder is taken and set as the checkpoint folder. On a cluster its lack is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else None
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
+    """A new folder name below the folder that driver and executors share, ``spark.checkpoint.dir``."""
+    return new_folder(spark, "quern")
 
 
 def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:

@@ -12,7 +12,8 @@ more than once, are its partial sketch, cut by the anchors' leading bits into sh
 grows with the corpus, merges its parts of all units in one count-min sketch of its own, sized by what it holds, and tells
 each unit which of its anchors are estimated to occur twice or more. So no task holds more than a shard.
 
-Second pass. The windows with such an anchor get a 128-bit BLAKE2 digest. Digests go in blocks: a task sends each
+Second pass. The windows with such an anchor get a 104-bit BLAKE2 digest (of 10^13 distinct windows, as 100 TB may
+hold, any two have the same with a chance of 3 in a million). Digests go in blocks: a task sends each
 distinct digest of a block once, with a mark if the block has it more than once, to the bucket of
 its leading bits. A bucket, of which there are more the larger the corpus is, tells each block which of its
 digests occur elsewhere, and the block's documents, kept beside with the places of their windows, are then cut. So
@@ -41,8 +42,10 @@ from quern.llm.common import ceil_div, partitions, schema_of, shared_dir, tasks_
 SIZE, GRAM, DEPTH = 35, 12, 3
 #: Cells of a sketch row for each anchor of a shard, and anchors that are put in or asked at once.
 CELLS, STEP = 4, 1 << 20
-#: Bytes of text of a unit, of a page of one, of a block, of a shard's share and of a bucket's share; windows of a block.
+#: Bytes of text of a unit (at most, and not above a quarter of a task's share), of a page of one, of a block, of a shard's share and of a bucket's share; windows of a block.
 UNIT_BYTES, PAGE_BYTES, BLOCK_BYTES, SHARD_BYTES, BUCKET_BYTES, BLOCK = 32 << 20, 4 << 20, 8 << 20, 512 << 20, 64 << 20, 1_000_000
+#: How hard texts are packed; bytes of a digest beyond its leading eight.
+LEVEL, REST = 7, 5
 #: Words whose hash a worker remembers, and the bytes of such a word, at most.
 MEMO, REMEMBERED = 1_000_000, 64
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -126,12 +129,37 @@ def _sha(words) -> str:
 
 
 def _order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that sorts 128-bit keys, and in it the first of each distinct key."""
+    """An order that sorts keys of two numbers, and in it the first of each distinct key."""
     order = np.lexsort((keys[:, 1], keys[:, 0]))
     s = keys[order]
     return order, np.r_[True, (s[1:] != s[:-1]).any(axis=1)] if len(s) else np.zeros(0, bool)
 
 
+def _narrow(x: np.ndarray, width: int) -> bytes:
+    """64-bit numbers below 256 ** width in so many bytes each."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _widen(x: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(x) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(x, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+def pack(h: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers: the first, the bytes that the largest step takes, and the steps in so many bytes."""
+    if not len(h):
+        return b""
+    steps = np.diff(h)
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return _narrow(h[:1], 8) + bytes([width]) + _narrow(steps, width)
+
+
+def unpack(x: bytes) -> np.ndarray:
+    """The numbers that ``pack`` has packed."""
+    return np.cumsum(np.concatenate([_widen(x[:8], 8), _widen(x[9:], x[8])]), dtype=np.uint64) if x else np.zeros(0, np.uint64)
+
+
 def _cut(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Of ascending 64-bit hashes: the numbers of the equal ranges that they fall in, and where each range starts, and the end."""
     part = (h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
@@ -173,7 +201,7 @@ def _lists(arrays: list[pa.Array]) -> pa.Array:
 
 
 def _digest(x: bytes) -> bytes:
-    return hashlib.blake2b(x, digest_size=16).digest()
+    return hashlib.blake2b(x, digest_size=8 + REST).digest()
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
@@ -188,11 +216,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     n_bytes = text_bytes(rows)
     n, shards, buckets = tasks_for(rows, n_bytes), *(max(partitions(spark), ceil_div(n_bytes, x)) for x in (SHARD_BYTES, BUCKET_BYTES))
+    unit_bytes = min(UNIT_BYTES, ceil_div(n_bytes, 4 * n))
     kind_id = schema_of(rows, "id")
     field = lambda name, kind: T.StructField(name, kind)
-    # kind 0: a document that is done; 1: a page of a unit, or a block, with its documents' ids and texts; 2: a unit's anchors or a block's digests in one shard or bucket
+    # kind 0: a document that is done; 1: a page of a unit, or a block, with its documents' ids and texts;
+    # 2: a unit's anchors (a) or a block's digests (a, b) in one shard or bucket, with marks (c) for those that it has more than once
     state = T.StructType([
-        field("of", T.StringType()), field("at", T.IntegerType()), field("a", T.BinaryType()), field("b", T.BinaryType()), field("ids", T.ArrayType(kind_id.dataType)), field("sizes", T.ArrayType(T.IntegerType())),
+        field("of", T.StringType()), field("at", T.IntegerType()), *(field(c, T.BinaryType()) for c in "abc"), field("ids", T.ArrayType(kind_id.dataType)), field("sizes", T.ArrayType(T.IntegerType())),
         kind_id, field("n_words", T.LongType()), field("n_removed", T.LongType()), field("kept_sha256", T.StringType()), field("kind", T.IntegerType()),
     ])
     out, done_names = Rows(state), ["id", "n_words", "n_removed", "kept_sha256"]
@@ -202,14 +232,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         left = words if kept is None else [list(compress(w, k)) for w, k in zip(words, kept, strict=True)]
         return out(len(words), id=pa.concat_arrays(ids), n_words=[len(w) for w in words], n_removed=[len(w) - len(x) for w, x in zip(words, left, strict=True)], kept_sha256=[_sha(x) for x in left], kind=[0] * len(words))
 
-    def parts(of: str, keys: np.ndarray, head: np.ndarray, more: np.ndarray, ranges: int) -> pa.RecordBatch:
-        """Distinct keys, in the order of their leading 64 bits, as one row per range of these."""
+    def parts(of: str, head: np.ndarray, rest: np.ndarray | None, more: np.ndarray, ranges: int) -> pa.RecordBatch:
+        """Distinct keys, ascending by their leading 64 bits, as one row per range of these."""
         at, cuts = _cut(head, ranges)
-        cut = lambda x: [x[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
-        return out(len(at), of=[of] * len(at), at=at, a=cut(keys), b=cut(more.astype(np.uint8)), kind=[2] * len(at))
+        cut = lambda f: [f(slice(i, j)) for i, j in zip(cuts, cuts[1:], strict=False)]
+        return out(len(at), of=[of] * len(at), at=at, a=cut(lambda x: pack(head[x])), b=cut(lambda x: None if rest is None else _narrow(rest[x], REST)), c=cut(lambda x: np.packbits(more[x]).tobytes()), kind=[2] * len(at))
+
+    def marks(rows: list[dict], sizes: list[int]) -> np.ndarray:
+        return np.concatenate([np.unpackbits(np.frombuffer(r["c"], np.uint8))[:m] for r, m in zip(rows, sizes, strict=True)])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, part, serial, squeeze = WordHashes(), TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3).compress
+        hashes, part, serial, squeeze = WordHashes(), TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=LEVEL).compress
         ids, packed, held, in_page, in_unit, page = [], [], [], 0, 0, 0
 
         def put_page() -> pa.RecordBatch:
@@ -217,7 +250,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         def put_anchors() -> pa.RecordBatch:
             h, times = np.unique(np.concatenate(held), return_counts=True)
-            return parts(f"{part}-{serial}", h, h, times > 1, shards)
+            return parts(f"{part}-{serial}", h, None, times > 1, shards)
 
         for b in batches:
             short, short_words = [], []
@@ -231,10 +264,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 ids.append(b.column("id").slice(k, 1))
                 packed.append(b" ".join(w))
                 in_page, in_unit = in_page + len(packed[-1]), in_unit + len(packed[-1])
-                if in_page >= PAGE_BYTES or in_unit >= UNIT_BYTES:
+                if in_page >= PAGE_BYTES or in_unit >= unit_bytes:
                     yield put_page()
                     ids, packed, in_page, page = [], [], 0, page + 1
-                if in_unit >= UNIT_BYTES:
+                if in_unit >= unit_bytes:
                     yield put_anchors()
                     held, in_unit, page, serial = [], 0, 0, serial + 1
             if short:
@@ -246,19 +279,22 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, units in _by(batches, "at"):
-            h, more = np.frombuffer(b"".join(u["a"] for u in units), np.uint64), np.frombuffer(b"".join(u["b"] for u in units), np.uint8)
+            held = [unpack(u["a"]) for u in units]
+            sizes, h = [len(x) for x in held], np.concatenate(held)
             sketch = Sketch(len(h))
-            sketch.add(h, more)
-            again, ends = sketch.repeated(h), np.cumsum([len(u["b"]) for u in units])
-            told = [h[e - len(u["b"]) : e][again[e - len(u["b"]) : e]].tobytes() for u, e in zip(units, ends, strict=True)]
+            sketch.add(h, marks(units, sizes))
+            again = np.split(sketch.repeated(h), np.cumsum(sizes)[:-1])
+            # the leading half of an anchor is enough to find it in its unit; others with the same half pass too
+            told = [pack(np.unique(x[r] >> np.uint64(32))) for x, r in zip(held, again, strict=True)]
             yield out(len(units), of=[u["of"] for u in units], at=[shard] * len(units), a=told, kind=[0] * len(units))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, unpack, squeeze = WordHashes(), zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
-        unit, flagged, serial, held, n_held, in_block = None, [], 0, [], 0, 0
+        hashes, loosen, squeeze = WordHashes(), zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=LEVEL).compress
+        part, unit, flagged, serial, held, n_held, in_block = TaskContext.get().partitionId(), None, [], 0, [], 0, 0
 
         def block() -> Iterator[pa.RecordBatch]:
-            name, keys = f"{unit}-{serial}", np.frombuffer(b"".join(raw for *_, raw in held), np.uint64).reshape(-1, 2)
+            name, raw = f"{part}-{serial}", np.frombuffer(b"".join(raw for *_, raw in held), np.uint8).reshape(-1, 8 + REST)
+            keys = np.stack([_widen(raw[:, :8].tobytes(), 8), _widen(raw[:, 8:].tobytes(), REST)], axis=1)
             order, first = _order(keys)
             number = np.cumsum(first) - 1
             place = np.empty(len(keys), np.uint32)
@@ -266,23 +302,21 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             steps = np.concatenate([np.diff(pos, prepend=0) for _, _, pos, _ in held]).astype(np.uint32)
             yield out(1, of=[name], a=[squeeze(b"\n".join(t for _, t, *_ in held))], b=[squeeze(steps.tobytes() + place.tobytes())], ids=_lists([i for i, *_ in held]), sizes=[[len(pos) for _, _, pos, _ in held]], kind=[1])
             distinct = keys[order][first]
-            yield parts(name, distinct, distinct[:, 0], np.bincount(number) > 1, buckets)
+            yield parts(name, distinct[:, 0], distinct[:, 1], np.bincount(number) > 1, buckets)
 
         for b in batches:
             for r in range(len(b)):
                 if unit != b.column("of")[r].as_py():
-                    if held:
-                        yield from block()
-                    unit, flagged, serial, held, n_held, in_block = b.column("of")[r].as_py(), [], 0, [], 0, 0
+                    unit, flagged = b.column("of")[r].as_py(), []
                 if b.column("kind")[r].as_py() == 0:
                     flagged.append(b.column("a")[r].as_py())
                     continue
                 if not isinstance(flagged, np.ndarray):
-                    flagged = np.frombuffer(b"".join(flagged), np.uint64)  # in ascending order, as shards are ranges
+                    flagged = np.concatenate([np.zeros(0, np.uint64), *map(unpack, flagged)])  # in ascending order, as shards are ranges
                 ids, clean, clean_words = b.column("ids")[r].values, [], []
-                for k, text in enumerate(unpack(b.column("a")[r].as_py()).split(b"\n")):
+                for k, text in enumerate(loosen(b.column("a")[r].as_py()).split(b"\n")):
                     w = text.split()
-                    anchor, inverse = np.unique(anchors(w, hashes, size)[0], return_inverse=True)
+                    anchor, inverse = np.unique(anchors(w, hashes, size)[0] >> np.uint64(32), return_inverse=True)
                     near = np.searchsorted(flagged, anchor)
                     pos = np.flatnonzero(((near < len(flagged)) & (flagged[np.minimum(near, len(flagged) - 1)] == anchor))[inverse]) if len(flagged) else np.zeros(0, np.int64)
                     if not len(pos):
@@ -304,27 +338,29 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, blocks in _by(batches, "at"):
-            keys = np.frombuffer(b"".join(x["a"] for x in blocks), np.uint64).reshape(-1, 2)
+            held = [unpack(x["a"]) for x in blocks]
+            sizes = [len(x) for x in held]
+            keys = np.stack([np.concatenate(held), _widen(b"".join(x["b"] for x in blocks), REST)], axis=1)
             order, first = _order(keys)
             group = np.cumsum(first) - 1
-            times = np.bincount(group, weights=1 + np.frombuffer(b"".join(x["b"] for x in blocks), np.uint8)[order])
+            times = np.bincount(group, weights=1 + marks(blocks, sizes)[order])
             twice = np.empty(len(keys), np.uint8)
             twice[order] = (times > 1)[group]
-            ends = np.cumsum([len(x["b"]) for x in blocks])
-            yield out(len(blocks), of=[x["of"] for x in blocks], at=[bucket] * len(blocks), a=[twice[e - len(x["b"]) : e].tobytes() for x, e in zip(blocks, ends, strict=True)], kind=[0] * len(blocks))
+            told = [np.packbits(x).tobytes() for x in np.split(twice, np.cumsum(sizes)[:-1])]
+            yield out(len(blocks), of=[x["of"] for x in blocks], at=[bucket] * len(blocks), a=told, sizes=[[m] for m in sizes], kind=[0] * len(blocks))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, name, flags = zstandard.ZstdDecompressor().decompress, None, []
+        loosen, name, flags = zstandard.ZstdDecompressor().decompress, None, []
         for b in batches:
             for r in range(len(b)):
                 if name != b.column("of")[r].as_py():
                     name, flags = b.column("of")[r].as_py(), []
                 if b.column("kind")[r].as_py() == 0:
-                    flags.append(b.column("a")[r].as_py())
+                    flags.append(np.unpackbits(np.frombuffer(b.column("a")[r].as_py(), np.uint8))[: b.column("sizes")[r].as_py()[0]])
                     continue
-                twice = np.frombuffer(b"".join(flags), np.uint8).astype(bool)
-                steps, place = np.frombuffer(unpack(b.column("b")[r].as_py()), np.uint32).reshape(2, -1)
-                words, kept, ids = [t.split() for t in unpack(b.column("a")[r].as_py()).split(b"\n")], [], b.column("ids")[r].values
+                twice = np.concatenate(flags).astype(bool)
+                steps, place = np.frombuffer(loosen(b.column("b")[r].as_py()), np.uint32).reshape(2, -1)
+                words, kept, ids = [t.split() for t in loosen(b.column("a")[r].as_py()).split(b"\n")], [], b.column("ids")[r].values
                 ends = np.cumsum(b.column("sizes")[r].as_py())
                 for w, x, y in zip(words, [0, *ends], ends, strict=False):
                     pos = np.cumsum(steps[x:y], dtype=np.int64)[twice[place[x:y]]]
@@ -341,7 +377,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def told(held: DataFrame, answering, ranges: int) -> DataFrame:
         """What the ranges' answers say to each unit or block, followed by its own rows."""
-        replies = held.filter("kind = 2").repartition(min(ranges, n), "at").sortWithinPartitions("at", "of").mapInArrow(answering, state)
+        replies = held.filter("kind = 2").select("of", "at", "a", "b", "c").repartition(min(ranges, n), "at").sortWithinPartitions("at", "of").mapInArrow(answering, state)
         return replies.unionByName(held.filter("kind = 1")).repartition(n, "of").sortWithinPartitions("of", "kind", "at")
 
     first = saved(rows.mapInArrow(store, state))

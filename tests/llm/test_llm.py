@@ -260,7 +260,7 @@ def test_substring_dedup(spark, odd, monkeypatch):
                 gone[i].update(range(k, k + 35))
     want = {i: (len(w), len(gone[i]), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone[i])).hexdigest()) for i, w in enumerate(cut)}
     assert sum(x[1] for x in want.values()) > 400
-    for unit, block in ((substring_dedup.UNIT_BYTES, substring_dedup.BLOCK), (900, 20)):
+    for unit, block in ((1 << 30, substring_dedup.BLOCK), (900, 20)):
         for name, x in (("UNIT_BYTES", unit), ("PAGE_BYTES", unit // 2), ("SHARD_BYTES", unit // 4), ("BUCKET_BYTES", unit // 3), ("BLOCK", block), ("REMEMBERED", 3)):
             monkeypatch.setattr(substring_dedup, name, x)
         got = rows(substring_dedup.remove_repeats(docs_of(spark, odd)))
@@ -281,6 +281,8 @@ def test_sketch_never_underestimates():
         for x, twice in zip(p.tolist(), m.tolist(), strict=True):
             times[x] = times.get(x, 0) + 1 + twice
     said = dict(zip(h.tolist(), sketch.repeated(h).tolist(), strict=True))
+    for x in (h[:0], h[:1], np.sort(h[:2]), np.unique(h), np.array([5, 5, 6, 2**64 - 1], np.uint64)):
+        assert (substring_dedup.unpack(substring_dedup.pack(x)) == x).all() and len(substring_dedup.pack(np.unique(h))) < 8 * len(h)
     assert all(said[x] for x, n in times.items() if n > 1)
     assert sum(said[x] for x, n in times.items() if n == 1) < 0.03 * len(times)
 
