@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import normal_question
 
+#: Splits that a gold set may have.
+SPLITS = 100
+
 
 def judged(run: DataFrame, relevant: DataFrame) -> DataFrame:
     """The run (query_id, chunk_id, position) with a flag for relevant rows."""
@@ -86,7 +89,9 @@ def leakage_checks(questions: DataFrame) -> DataFrame:
     same = each.groupBy("n").agg(F.min("id").cast("string").alias("key"), F.count_distinct("id").alias("questions")).filter("questions > 1").select(F.lit("DUPLICATE_QUESTION_TEXT").alias("violation"), "key", "questions")
     group = each.groupBy(F.col("leakage_group").alias("key")).agg(F.count_distinct("id").alias("questions"), (F.min("split") < F.max("split")).alias("both")).filter("both").select(F.lit("CROSS_SPLIT_LEAKAGE_GROUP").alias("violation"), "key", "questions")
     spans = questions.filter("start < end").select("id", "split", "document_id", "page", "start", "end")
-    splits = [r.split for r in questions.select("split").distinct().limit(100).collect()]
+    splits = [r.split for r in questions.select("split").distinct().limit(SPLITS + 1).collect()]
+    if len(splits) > SPLITS:
+        raise ValueError(f"more than {SPLITS} splits")
     before, after = (Window.partitionBy("document_id", "page").orderBy(*o) for o in (("start", "end", "id"), (F.col("start").desc(), F.col("end").desc(), F.col("id").desc())))
     hits = F.lit(False)
     for s in splits:
