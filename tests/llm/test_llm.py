@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quern.llm import bpe_tree, decontam, exact_dedup, license_rules, quality, simhash, substring_dedup, token_files, toxicity, url_filter
+from quern.llm import bpe_tree, common, decontam, exact_dedup, license_rules, quality, simhash, substring_dedup, token_files, toxicity, url_filter
 from quern.llm.queries import vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -287,6 +287,24 @@ def test_sketch_never_underestimates():
     assert sum(said[x] for x, n in times.items() if n == 1) < 0.03 * len(times)
 
 
+@pytest.mark.parametrize(("broadcast", "hot"), [(100, 5), (2, 5), (0, 5), (2, 1)])
+def test_join_counted_gives_the_join(spark, monkeypatch, broadcast, hot):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    left = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 40 + [2] * 9 + [3, 4, 4, 9])], "k int, i int")
+    side = spark.createDataFrame([(1, 40, "a"), (2, 9, "b"), (3, 1, "c"), (4, 2, "d"), (5, 0, "e")], "k int, n long, v string")
+    got = common.join_counted(left, side, ["k"], "n")
+    assert got.columns == ["k", "i", "n", "v"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(side, "k").collect()))
+
+
+def test_labelled_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (1, None), (2, "c"), (None, "d"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 1), (None, 1), (4, 0), (2, None)], "doc_id long, quality int")
+    got = common.labelled(docs, labels, F.col("quality"), "doc_id", "text", 10)
+    assert sorted((r.mark, r.text in ("a", "b", "") if r.mark == 0 else r.text) for r in got.collect()) == [(0, True), (1, ""), (1, "c")]
+    assert common.labelled(docs, labels, F.col("quality"), "doc_id", "text", 1).count() <= 1
+
+
 def test_quality_held_out(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     half = labels.filter("doc_id % 2 = 0")
