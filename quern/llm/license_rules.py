@@ -11,6 +11,7 @@ that a full licence text isn't reported again by a shorter rule.
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import DataFrame
@@ -127,6 +128,15 @@ def whole() -> dict[str, str]:
     return {one(s): name for name, sentences in SENTENCES.items() for s in sentences}
 
 
+def signs(table: dict[str, str]) -> list[str]:
+    """A few words of which every known sentence has at least one: the word that most of the sentences left have, as long as there are any."""
+    left, words, out = set(table), sorted({w for k in table for w in k.replace(END, " ").split() if len(w) > 4}), []
+    while left:
+        out.append(max(words, key=lambda w: (sum(w in k for k in left), w)))
+        left = {k for k in left if out[-1] not in k}
+    return out
+
+
 def normalised(text):
     """Normalised text between two ENDs, with lines and sentences apart by one line end or END."""
     out = F.translate(F.lower(F.coalesce(text.cast("string"), F.lit(""))), END, " ")
@@ -147,7 +157,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     edge = f"[\n{END}]"
     found = f"{edge}(?:[0-9]{{1,2}}[ {END}])?({'|'.join(k.replace(' ', '[ \n]') for k in sorted(table, key=len, reverse=True))})(?={edge})"
     lines = df.select(F.col(id_col), normalised(F.col(text_col)).alias("lines"))
-    cut = lines.select(id_col, F.size(F.filter(F.split("lines", edge), lambda s: s != "")).cast("long").alias("n_sentences"), F.split("lines", found).alias("gaps"), F.regexp_extract_all("lines", F.lit(found), F.lit(1)).alias("held"))
+    signed = functools.reduce(lambda a, b: a | b, [F.contains(F.col("lines"), F.lit(w)) for w in signs(table)])  # texts without any sign have no known sentence
+    cut = lines.select(id_col, F.size(F.filter(F.split("lines", edge), lambda s: s != "")).cast("long").alias("n_sentences"), F.when(signed, F.split("lines", found)).otherwise(F.array("lines")).alias("gaps"), F.when(signed, F.regexp_extract_all("lines", F.lit(found), F.lit(1))).otherwise(F.array().cast("array<string>")).alias("held"))
     gap = F.transform("gaps", lambda s: F.when(F.translate(s, f" \n{END}", "") == "", "").otherwise("?"))
     codes = F.zip_with(gap, F.transform("held", lambda s: F.element_at(lookup, F.translate(s, "\n", " "))), lambda g, h: F.concat(g, F.coalesce(h, F.lit(""))))
     coded = cut.select(id_col, "n_sentences", F.array_join(codes, "").alias("sequence"))
