@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +52,22 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def finite_vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(places, rows as doubles) of the vectors of a list column that are neither null nor hold a null or non-finite entry; shorter vectors are padded with zeros to the longest."""
+    sizes = pc.fill_null(column.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.fill_null(column.flatten().cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    good = column.is_valid().to_numpy(zero_copy_only=False).copy()
+    good[row[~np.isfinite(flat)]] = False
+    dim = int(sizes[good].max()) if good.any() else 0
+    if (sizes[good] == dim).all():
+        return np.flatnonzero(good), flat[good[row]].reshape(int(good.sum()), dim)
+    out, place = np.zeros((len(sizes), dim)), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    of_good = good[row]
+    out[row[of_good], place[of_good]] = flat[of_good]
+    return np.flatnonzero(good), out[good]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe_tree, decontam, exact_dedup, license_rules, piece_bpe, quality, simhash, substring_dedup, token_files, toxicity, url_filter
+from quern.llm import bpe_tree, decontam, exact_dedup, license_rules, piece_bpe, quality, simhash, substring_dedup, token_files, toxicity, url_filter, whitening
 from quern.llm.common import LOWER, UPPER
 
 
@@ -62,12 +62,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components_long(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
 def op12_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_license, op3_toxicity, op4_decontam, op5_token_files, op6_simhash, op7_exact_dedup, op8_url_filter, op9_bpe, op10_substring_dedup, op12_piece)}
+    return {f.__name__: f for f in (op1_quality, op2_license, op3_toxicity, op4_decontam, op5_token_files, op6_simhash, op7_exact_dedup, op8_url_filter, op9_bpe, op10_substring_dedup, op11_whitening, op12_piece)}
 
 
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
