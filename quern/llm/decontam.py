@@ -185,22 +185,24 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
     A word is hit inside any exact occurrence of a window; contaminated: some word is hit and at
     least one in twenty is. Null and wordless documents have no words and no hits; passages without
-    words ask for nothing; repeated passages and documents are each judged alone; item ids are
+    words ask for nothing; a passage that is repeated under one id counts once, repeated documents are each judged alone; item ids are
     compared as strings, and a null item id is the string "null". An empty benchmark leaves every
     document clean; an empty table gives an empty result. Other columns are not read.
 
     The benchmark is the stated query set. It goes to the executors in blocks of about BLOCK_BYTES
-    of passages, each answered in one pass over the index of its terms. With several blocks the rows
+    of different passages, each answered in one pass over the index of its terms. With several blocks the rows
     are first written with a key, by which the blocks' results are grouped. n_near_items counts the items of
     which some window has all its words in the document up to ``slop`` words from their places.
     """
-    q = written(benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).cast("string").alias("text")))
+    q = written(benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).cast("string").alias("text")).distinct())
     blocks = ceil_div(q.agg(F.sum(F.octet_length("text"))).first()[0] or 0, BLOCK_BYTES)
     rows, parts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), []
     if blocks > 1:  # each row's key is written once, since no other order or number of rows holds from block to block
         rows = written(rows.select(F.struct(F.monotonically_increasing_id().alias("row"), "id").alias("id"), "text"))
     for k in range(blocks):
         asked = [(r.item, words((r.text or "").encode())) for r in q.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).toLocalIterator()]
+        if k and not asked:
+            continue
         terms = sorted({t for _, w in asked for t in w})
         index = written(build_index(rows, terms, "id", "text"))
         freq = np.zeros(len(terms), np.int64)
