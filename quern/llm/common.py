@@ -103,7 +103,7 @@ def join_counted(rows: DataFrame, side: DataFrame, keys: list[str], count: str)
 
 
 def labelled(df: DataFrame, labels: DataFrame, mark: Column, id_col: str, text_col: str, sample: int) -> DataFrame:
-    """(mark, text) of at most ``sample`` labelled rows, those of the smallest id hashes; of rows that share a labelled id, the one of the smallest text hash."""
+    """(key, mark, text) of at most ``sample`` labelled rows, those of the smallest id hashes (the key); of rows that share a labelled id, the one of the smallest text hash."""
     chosen = labels.select(F.col("doc_id").alias("_id"), mark.alias("mark")).filter("_id IS NOT NULL AND mark IS NOT NULL").groupBy("_id").agg(F.min("mark").alias("mark")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
-    return rows.groupBy("_id").agg(F.min("mark").alias("mark"), F.min_by("text", F.xxhash64("text")).alias("text")).select("mark", "text")
+    return rows.groupBy("_id").agg(F.min("mark").alias("mark"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select(F.xxhash64("_id").alias("key"), "mark", "text")

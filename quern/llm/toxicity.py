@@ -14,6 +14,7 @@ reach the driver.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -76,10 +77,10 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("mark"), pa.array([list(terms_of(t)) for t in texts(b)], pa.list_(pa.binary()))], ["toxic", "terms"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("mark"), pa.array([sorted(terms_of(t)) for t in texts(b)], pa.list_(pa.binary()))], ["key", "toxic", "terms"])
 
     rows = labelled(df, labels, (F.col("toxic") > 0).cast("int"), id_col, text_col, sample)
-    seen = written(rows.mapInArrow(words, "toxic int, terms array<binary>").withColumn("row", F.monotonically_increasing_id()))
+    seen = written(rows.mapInArrow(words, "key long, toxic int, terms array<binary>").withColumn("row", F.monotonically_increasing_id()))
     n = {r.toxic: r.n for r in seen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return None
@@ -94,16 +95,16 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     if not vocabulary:
         return None
     chosen = F.broadcast(df.sparkSession.createDataFrame(list(vocabulary.items()), "term binary, i int"))
-    sparse = seen.select("row", "toxic", F.explode_outer("terms").alias("term")).join(chosen, "term", "left").groupBy("row").agg(F.max("toxic").alias("toxic"), F.sort_array(F.collect_list("i")).alias("i")).orderBy("row").collect()
+    sparse = seen.select("row", "key", "toxic", F.explode_outer("terms").alias("term")).join(chosen, "term", "left").groupBy("row").agg(F.max("key").alias("key"), F.max("toxic").alias("toxic"), F.sort_array(F.collect_list("i")).alias("i")).orderBy("key", "toxic", "i").collect()
     held, toxic = [r.i for r in sparse], np.array([r.toxic for r in sparse])
-    grades = severity(held, toxic, len(vocabulary))
+    grades = severity(held, toxic, len(vocabulary), np.array([r.key % FOLDS for r in sparse]))
     return vocabulary, CumulativeLink(held, grades, len(vocabulary))
 
 
-def severity(rows: list[list[int]], toxic: np.ndarray, n_terms: int, folds: int = FOLDS) -> np.ndarray:
-    """Grades of a sample: 0 for rows that are not toxic, 2 for toxic ones that models of the other folds score above their median, else 1."""
-    scored, fold = np.zeros(len(rows)), np.arange(len(rows)) % folds
-    for k in range(folds):
+def severity(rows: list[list[int]], toxic: np.ndarray, n_terms: int, fold: np.ndarray) -> np.ndarray:
+    """Grades of a sample: 0 for rows that are not toxic, 2 for toxic ones that models of the other folds score above their median, else 1. The fold of a row comes from its id, so that partitions don't matter."""
+    scored = np.zeros(len(rows))
+    for k in np.unique(fold):
         rest = np.flatnonzero(fold != k)
         if toxic[rest].min(initial=1) == toxic[rest].max(initial=0):
             continue
@@ -128,7 +129,7 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         vocabulary, fitted = model
         known = vocabulary.keys()
         for b in batches:
-            s = np.array([sum(fitted.w[vocabulary[t]] for t in known & terms_of(x)) for x in texts(b)], float)
+            s = np.array([math.fsum(fitted.w[vocabulary[t]] for t in known & terms_of(x)) for x in texts(b)], float)
             p = fitted.over(s)
             p = np.column_stack([p, np.zeros((len(p), 2))])[:, :2]
             yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(p[:, k]) for k in (0, 1))], ["id", *names])

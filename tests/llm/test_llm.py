@@ -373,7 +373,7 @@ def test_severity_comes_from_other_folds():
     rng = np.random.default_rng(5)
     rows = [[0, 1] if i % 7 == 0 else [0] if i % 7 in (1, 2) else [2] if rng.random() < 0.5 else [] for i in range(700)]
     toxic = np.array([int(i % 7 < 3 and i % 35 != 1) for i in range(700)])
-    grades = toxicity.severity(rows, toxic, 3)
+    grades = toxicity.severity(rows, toxic, 3, np.arange(700) % 5)
     assert (grades[toxic == 0] == 0).all() and set(grades[toxic == 1]) == {1, 2} and (grades[::7] == 2).all()
 
 
@@ -390,6 +390,66 @@ def test_toxicity_held_out(spark, odd):
     assert toxicity.score(docs_of(spark, odd).limit(0), labels).count() == 0
 
 
+def test_toxicity_does_not_depend_on_partitions(spark):
+    """At a size where the sample lies in many partitions; every row is compared."""
+    sf, found = "/root/testdata/sf0.1", []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    for n in (4, 11):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet").repartition(n, F.rand(n)) for t in ("documents", "labels"))
+        found.append(sorted(tuple(r) for r in toxicity.score(docs, labels).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(found[0]) == 10_000 and found[0] == found[1]
+
+
+def test_toxicity_equals_brute_force(spark):
+    """Every step again from its definition over plain lists; only the fit itself, which has its own test, is shared."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    text, mark = {r.doc_id: r.text or "" for r in docs.collect()}, {r.doc_id: int(r.toxic > 0) for r in labels.collect()}
+    key = {i: xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42) for i in mark}
+    key = {i: k - (k >> 63 << 64) for i, k in key.items()}
+    sample = [(key[i], mark[i], toxicity.terms_of(text[i].encode())) for i in mark if i in text]
+    size = {m: sum(t == m for _, t, _ in sample) for m in (0, 1)}
+    z = {}
+    for term in {t for *_, ts in sample for t in ts}:
+        a, b = (sum(m == k and term in ts for _, m, ts in sample) for k in (1, 0))
+        if a + b >= 5:
+            pull = math.log((a + 0.5) / (size[1] - a + 0.5)) - math.log((b + 0.5) / (size[0] - b + 0.5))
+            z[term] = pull / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    clear = {t for t in z if z[t] >= 0.75 * math.sqrt(2 * math.log(len(z)))} | set(sorted(z, key=lambda t: (-z[t], t))[:20])
+    number = {t: i for i, t in enumerate(sorted(clear))}
+    rows_ = sorted((k, m, sorted(number[t] for t in ts & clear)) for k, m, ts in sample)
+    held, toxic, fold = [r[2] for r in rows_], np.array([r[1] for r in rows_]), np.array([r[0] % toxicity.FOLDS for r in rows_])
+    apart = np.zeros(len(held))
+    for k in set(fold.tolist()):
+        model = toxicity.CumulativeLink([h for h, f in zip(held, fold) if f != k], toxic[fold != k], len(number))
+        for i in np.flatnonzero(fold == k):
+            apart[i] = 1 / (1 + math.exp(model.theta[0] - sum(model.w[j] for j in held[i])))
+    grades = toxic + ((toxic > 0) & (apart > np.median(apart[toxic > 0])))
+    model = toxicity.CumulativeLink(held, grades, len(number))
+    got = rows(toxicity.score(docs, labels))
+    for i, t in text.items():
+        s = sum(model.w[number[x]] for x in toxicity.terms_of(t.encode()) if x in number)
+        p = [1 / (1 + math.exp(c - s)) for c in model.theta]
+        r = got[i]
+        assert abs(r.p_over_0 - p[0]) < 2e-6 and abs(r.p_over_1 - p[1]) < 2e-6 and abs(r.expected_severity - sum(p)) < 3e-6
+        assert r.grade == sum(x >= 0.5 for x in p) and r.toxic == (r.grade > 0)
+
+
+def test_decontam_repeated_passages_are_one_block(spark, odd, monkeypatch):
+    items = [(1, "  ".join(odd[14].split()[:20]))] * 200 + [(2, " ".join(odd[14].split()[40:60]))]
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    want = rows(decontam.decontaminate(docs_of(spark, odd), bench.distinct()))
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 1000)
+    made, build = [], decontam.build_index
+    monkeypatch.setattr(decontam, "build_index", lambda *a: made.append(1) or build(*a))
+    assert rows(decontam.decontaminate(docs_of(spark, odd), bench)) == want and len(made) == 1
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 20)  # more blocks than passages
+    assert rows(decontam.decontaminate(docs_of(spark, odd), bench)) == want and len(made) <= 1 + 3
+
+
 def test_license_rules(spark, odd):
     mit = " ".join(s + "." for k in ("mit-grant", "mit-notice", "mit-warranty") for s in license_rules.SENTENCES[k])
     texts = [mit, "Foo.\nLicensed under the Apache License, Version 2.0.", "bar. Released under the MIT License. baz\nLicensed under CC BY-NC 4.0.", "permission is hereby granted", *odd]
