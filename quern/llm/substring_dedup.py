@@ -12,8 +12,7 @@ more than once, are its partial sketch, cut by the anchors' leading bits into sh
 grows with the corpus, merges its parts of all units in one count-min sketch of its own, sized by what it holds, and tells
 each unit which of its anchors are estimated to occur twice or more. So no task holds more than a shard.
 
-Second pass. The windows with such an anchor get a 104-bit BLAKE2 digest (of 10^13 distinct windows, as 100 TB may
-hold, any two have the same with a chance of 3 in a million). Digests go in blocks: a task sends each
+Second pass. The windows with such an anchor get a 128-bit BLAKE2 digest. Digests go in blocks: a task sends each
 distinct digest of a block once, with a mark if the block has it more than once, to the bucket of
 its leading bits. A bucket, of which there are more the larger the corpus is, tells each block which of its
 digests occur elsewhere, and the block's documents, kept beside with the places of their windows, are then cut. So
@@ -45,7 +44,7 @@ CELLS, STEP = 4, 1 << 20
 #: Bytes of text of a unit (at most, and not above a quarter of a task's share), of a page of one, of a block, of a shard's share and of a bucket's share; windows of a block.
 UNIT_BYTES, PAGE_BYTES, BLOCK_BYTES, SHARD_BYTES, BUCKET_BYTES, BLOCK = 32 << 20, 4 << 20, 8 << 20, 512 << 20, 64 << 20, 1_000_000
 #: How hard texts are packed; bytes of a digest beyond its leading eight.
-LEVEL, REST = 7, 5
+LEVEL, REST = 7, 8
 #: Words whose hash a worker remembers, and the bytes of such a word, at most.
 MEMO, REMEMBERED = 1_000_000, 64
 MULTIPLIER = 0x9E3779B97F4A7C15
