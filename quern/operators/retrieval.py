@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.functions.english import stems
 from quern.functions.text import coverage
 from quern.functions.vectors import normalised
+from quern.operators import lexical as lx
 
 POOL, FUSED, FLOOR, PER_DOCUMENT, RRF_K, W_DENSE, W_LEXICAL = 60, 32, 0.25, 8, 60, 1.0, 0.8
 #: Bytes of question vectors that a task holds, and pairs that are scored at once.
@@ -166,70 +166,49 @@ def ann_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, share: float =
     return top(reduce(DataFrame.unionByName, parts), "similarity", k)
 
 
-def _words(text: Column, english: bool) -> Column:
-    """Words of [a-z0-9] of a text in order; with ``english`` their stems, empty for stop words, which keep their places."""
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
-    return stems(words) if english else words
+def lexical_match(queries: DataFrame, chunks: DataFrame, text: str = "question", english: bool = False, within: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, document_id) of the chunks that a web-search question finds; ``chunks`` may be a written index of postings."""
+    return lx.match(queries, chunks, text, english, within=within)
 
 
-def postings(chunks: DataFrame, content: str = "content", english: bool = False) -> DataFrame:
-    """(chunk_id, document_id, term, position) of the words of a chunk; positions from 1."""
-    placed = chunks.select("chunk_id", "document_id", F.posexplode(_words(F.col(content), english)).alias("position", "term"))
-    return placed.filter("term <> ''").withColumn("position", F.col("position") + 1)
+def cover_density(queries: DataFrame, chunks: DataFrame, text: str = "question", english: bool = False, within: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, document_id, lexical_rank) by cover density; ``chunks`` may be a written index of postings."""
+    return lx.density(queries, chunks, text, english, within=within)
 
 
-def query_terms(queries: DataFrame, text: str = "question", english: bool = False) -> DataFrame:
-    """(query_id, kind, group, offset, term) of a web-search query: words must occur, ``or`` joins, "..." is a phrase, - excludes.
+def visible(chunks: DataFrame) -> DataFrame:
+    """Chunks that may be searched: of a ready document, of its version, slides only of a parser that keeps their order."""
+    return chunks.filter((F.col("status") == "ready") & (F.col("chunk_version") == F.col("version")) & (~F.endswith(F.lower("filename"), F.lit(".pptx")) | (F.col("parser_version") >= 2)))
 
-    A group is met by any of its alternatives; an alternative is one word (offset 0) or a phrase's words in
-    place; kind is ``all`` or ``not``. With ``english`` stop words ask for nothing.
-    """
-    tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r'(-?"[^"]*"|[^\s"]+)'), 1)
-    rows = queries.select("query_id", F.posexplode(tokens).alias("i", "token"))
-    w = Window.partitionBy("query_id").orderBy("i")
-    rows = rows.withColumn("before", F.lag("token").over(w)).filter("token <> 'or'")
-    rows = rows.withColumn("new", F.when(F.coalesce(F.col("before") == "or", F.lit(False)), 0).otherwise(1)).withColumn("group", F.sum("new").over(w))
-    kind = F.when(F.startswith("token", F.lit("-")), "not").otherwise("all")
-    rows = rows.select("query_id", kind.alias("kind"), "group", F.col("i").alias("alternative"), _words(F.col("token"), english).alias("words"))
-    asked = F.size(F.filter("words", lambda x: x != ""))
-    return rows.select("query_id", "kind", "group", "alternative", asked.alias("n"), F.posexplode("words").alias("offset", "term")).filter("term <> ''")
-
-
-def lexical_match(queries: DataFrame, chunks: DataFrame, text: str = "question", english: bool = False) -> DataFrame:
-    """(query_id, chunk_id, document_id) of the chunks that meet every group and no excluded alternative; a query without terms gives no rows."""
-    wanted = query_terms(queries, text, english)
-    hits = postings(chunks, english=english).join(wanted, "term").select("query_id", "chunk_id", "document_id", "kind", "group", "alternative", "n", "offset", (F.col("position") - F.col("offset")).alias("at"))
-    whole = hits.groupBy("query_id", "chunk_id", "document_id", "kind", "group", "alternative", "n", "at").agg(F.count_distinct("offset").alias("m")).filter("m = n")
-    met = whole.filter("kind = 'all'").groupBy("query_id", "chunk_id", "document_id").agg(F.count_distinct("group").alias("met"))
-    need = wanted.filter("kind = 'all'").groupBy("query_id").agg(F.count_distinct("group").alias("need"))
-    out = whole.filter("kind = 'not'").select("query_id", "chunk_id").distinct()
-    return met.join(need, "query_id").filter("met = need").join(out, ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id", "document_id")
-
-
-def cover_density(queries: DataFrame, chunks: DataFrame, text: str = "question", english: bool = False) -> DataFrame:
-    """(query_id, chunk_id, document_id, lexical_rank) by cover density over the plain words of a query, all of which must occur.
-
-    A cover is a shortest stretch that holds all words; it adds 0.1 / (1 + words in it that aren't
-    asked for). For each place, the stretch that ends there starts at the least of the last places of all words;
-    it is a cover if no earlier end has the same start. Only chunks that hold all words of a query
-    are looked at place by place; a word's last place is one running aggregate.
+
+def _by_variant(queries: DataFrame) -> DataFrame:
+    """Questions with (query_id, variant) as one key; a question without a variant is the only one."""
+    rows = queries if "variant" in queries.columns else queries.withColumn("variant", F.lit(0))
+    return rows.withColumn("query_id", F.struct("query_id", "variant"))
+
+
+def _merged(lists: DataFrame, score: str) -> DataFrame:
+    """The lists of a question's variants as one: each chunk by its best score, with positions anew."""
+    best = lists.groupBy("query_id.query_id", "chunk_id").agg(F.max("document_id").alias("document_id"), F.max(score).alias(score))
+    return best.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col(score).desc(), "chunk_id")))
+
+
+def dense_lists(queries: DataFrame, chunks: DataFrame, floor: float = FLOOR, cap: int = PER_DOCUMENT, pool: int = POOL) -> DataFrame:
+    """(query_id, chunk_id, document_id, similarity, position): each variant's list with its cap per document, merged. A variant without a vector gives none."""
+    asked = _by_variant(queries).filter("query_embedding IS NOT NULL")
+    return _merged(per_document_cap(similarities(asked, chunks, floor), cap=cap, pool=pool), "similarity")
+
+
+def lexical_topk(queries: DataFrame, chunks: DataFrame, text: str = "question", english: bool = True, cap: int = PER_DOCUMENT, pool: int = POOL, within: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, document_id, lexical_rank, position): each variant's chunks by cover density, at most ``cap`` of a
+    document where a variant finds several documents, the first ``pool`` of these; the variants' lists merged by best rank.
+
+    Chunks must be eligible (``visible``) before they are ranked. ``chunks`` may be a written index of postings, then with the eligible ones in
+    ``within``, and only chunks that can come among the first are ranked. A variant that asks for nothing is passed over.
     """
-    w = Window.partitionBy("query_id").orderBy("term")
-    asked = query_terms(queries, text, english).filter("kind = 'all'").select("query_id", "term").distinct().withColumn("j", F.row_number().over(w) - 1)
-    need = asked.groupBy("query_id").agg(F.count("*").alias("n"))
-    most = need.agg(F.max("n")).first()[0] or 0
-    held = chunks.select("chunk_id", "document_id", _words(F.col("content"), english).alias("words"))
-    by_term = held.select("chunk_id", F.explode(F.array_distinct("words")).alias("term")).join(asked, "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("met"))
-    all_met = by_term.join(need, "query_id").filter("met = n").select("query_id", "chunk_id", "n")
-    places = held.join(all_met, "chunk_id").select("query_id", "chunk_id", "document_id", "n", F.posexplode("words").alias("position", "term")).join(asked, ["query_id", "term"])
-    w = Window.partitionBy("query_id", "chunk_id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    last = [F.last(F.when(F.col("j") == t, F.col("position")), ignorenulls=True).over(w).alias(f"_{t}") for t in range(most)]
-    ends = places.select("query_id", "chunk_id", "document_id", "n", "position", *last)
-    seen = F.array(*(F.col(f"_{t}") for t in range(most))) if most else F.array().cast("array<int>")
-    ends = ends.withColumn("seen", F.array_compact(seen)).filter("size(seen) = n").withColumn("start", F.array_min("seen"))
-    covers = ends.groupBy("query_id", "chunk_id", "document_id", "n", "start").agg(F.min("position").alias("end"))
-    score = 0.1 / (1 + F.greatest(F.col("end") - F.col("start") + 1 - F.col("n"), F.lit(0)))
-    return covers.groupBy("query_id", "chunk_id", "document_id").agg(F.round(F.sum(score), 6).alias("lexical_rank"))
+    asked = _by_variant(queries).filter(F.col(text).isNotNull())
+    found = lx.best_density(asked, chunks, pool, cap, text, english, within=within) if "places" in chunks.columns else lx.density(asked, chunks, text, english, within=within)
+    return _merged(per_document_cap(found, "lexical_rank", cap, pool), "lexical_rank")
 
 
 def rrf_fuse(dense: DataFrame, lexical: DataFrame, k: int = RRF_K, w_dense: float = W_DENSE, w_lexical: float = W_LEXICAL, limit: int = FUSED) -> DataFrame:
@@ -276,11 +255,15 @@ def with_reason(ranked: DataFrame, min_rerank: float = 0.35, min_similarity: flo
     return seen.withColumn("reason", _reason(F.lit(1), F.col("_n"), F.col("_s"), F.col("_b"), min_rerank, min_similarity, min_chunks)).drop("_n", "_s", "_b")
 
 
-def retrieve(queries: DataFrame, vectors: DataFrame, passages: DataFrame) -> DataFrame:
+def retrieve(queries: DataFrame, vectors: DataFrame, passages: DataFrame, english: bool = True, index: DataFrame | None = None) -> DataFrame:
     """Dense and lexical lists, fused and reranked: at most FUSED ranked passages a query.
 
-    vectors: the chunks that have an embedding, for dense search; passages: all chunks with their content, for full-text search.
+    queries: with ``variant`` and the variant's question and vector where questions are expanded; variant 0 is the question as it was asked, by which passages are reranked.
+    vectors: the chunks that have an embedding, for dense search; passages: all chunks with their content, for full-text search. Only ``visible`` ones are found.
+    index: written postings of the passages, read in their stead for full-text search.
     """
-    dense = per_document_cap(similarities(queries, vectors))
-    lexical = top(cover_density(queries, passages), "lexical_rank", POOL)
-    return heuristic_rerank(rrf_fuse(dense, lexical), queries, passages)
+    passages = visible(passages)
+    dense = dense_lists(queries, visible(vectors))
+    lexical = lexical_topk(queries, passages if index is None else index, english=english, within=None if index is None else passages)
+    asked = queries.filter("variant = 0") if "variant" in queries.columns else queries
+    return heuristic_rerank(rrf_fuse(dense, lexical), asked, passages)

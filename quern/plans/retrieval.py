@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as tx
 from quern.functions import vectors as vx
+from quern.operators import lexical as lx
 from quern.operators import retrieval as rt
 from quern.plans.registry import query
 from quern.sources import views as v
+from quern.sources.files import new_folder
 
 #: Words of the topics that messages are held against; any lists will do.
 TOPICS = [["price", "cost", "pay"], ["the", "and", "of"], ["time", "day", "week"], ["in", "on", "at"]]
@@ -25,29 +27,48 @@ CONTENT, TERMS = (lambda c: _terms(c, ".-", tx.CONTENT_STOP)), (lambda c: _terms
 SIM = """sim AS (SELECT query_id, chunk_id, document_id, round(list_cosine_similarity(embedding::DOUBLE[], query_embedding::DOUBLE[]), 6) AS similarity
     FROM kb_corpus, kb_questions),
   elig AS (SELECT * FROM sim WHERE similarity >= 0.25)"""
-CAPPED = SIM + """,
-  r AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY similarity DESC, chunk_id) AS dr FROM elig),
-  m AS (SELECT query_id, count(DISTINCT document_id) AS docs FROM elig GROUP BY 1),
-  dense AS (SELECT * FROM (SELECT r.query_id, r.chunk_id, r.document_id, similarity,
-    row_number() OVER (PARTITION BY r.query_id ORDER BY similarity DESC, chunk_id) AS position FROM r JOIN m USING (query_id) WHERE dr <= CASE
-    WHEN docs > 1 THEN 8 ELSE 60 END) WHERE position <= 60)"""
+#: Passages that may be searched.
+VISIBLE = """vis AS (SELECT * FROM kb_passages WHERE status = 'ready' AND chunk_version = version AND (filename NOT LIKE '%.pptx' OR parser_version >= 2))"""
+
+
+def _capped(rows: str, of: str, score: str, out: str) -> str:
+    """The CTE ``out``: of each question (columns ``of``) at most eight rows of a document where several documents have some, the first sixty."""
+    return f"""{out}r AS (SELECT *, row_number() OVER (PARTITION BY {of}, document_id ORDER BY {score} DESC, chunk_id) AS dr FROM {rows}),
+  {out}m AS (SELECT {of}, count(DISTINCT document_id) AS docs FROM {rows} GROUP BY ALL),
+  {out} AS (SELECT *, row_number() OVER (PARTITION BY {of} ORDER BY {score} DESC, chunk_id) AS position FROM {out}r JOIN {out}m USING ({of}) WHERE dr <= CASE WHEN docs > 1 THEN 8 ELSE 60 END
+    QUALIFY position <= 60)"""
+
+
+def _variants_merged(rows: str, score: str, out: str) -> str:
+    """The CTE ``out``: the variants' lists as one, each passage by its best score."""
+    return f"""{out}b AS (SELECT query_id, chunk_id, any_value(document_id) AS document_id, max({score}) AS {score} FROM {rows} GROUP BY 1, 2),
+  {out} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, chunk_id) AS position FROM {out}b)"""
+
+
+def _cover(questions: str, passages: str, of: str) -> str:
+    """The CTE lexr: ranks by cover density of the passages that hold all words."""
+    return f"""post AS (SELECT chunk_id, document_id, unnest(w) AS term, generate_subscripts(w, 1) AS position
+    FROM (SELECT chunk_id, document_id, list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM {passages})),
+  asked AS (SELECT DISTINCT {of}, unnest(list_filter(regexp_split_to_array(lower(question), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM {questions}),
+  need AS (SELECT {of}, count(*) AS n FROM asked GROUP BY ALL),
+  whole AS (SELECT {of}, chunk_id FROM (SELECT DISTINCT {of}, chunk_id, term, n FROM post JOIN asked USING (term) JOIN need USING ({of})) GROUP BY ALL HAVING count(*) = any_value(n)),
+  hits AS (SELECT {of}, chunk_id, document_id, term, position FROM post JOIN asked USING (term) JOIN whole USING ({of}, chunk_id)),
+  ends AS (SELECT {of}, chunk_id, document_id, h.position AS e, g.term, max(g.position) AS lastp FROM hits h JOIN hits g USING ({of}, chunk_id, document_id) WHERE g.position <= h.position GROUP BY ALL),
+  st AS (SELECT {of}, chunk_id, document_id, e, min(lastp) AS s, count(*) AS k FROM ends GROUP BY ALL),
+  cov AS (SELECT {of}, chunk_id, document_id, s, min(e) AS e, any_value(n) AS n FROM st JOIN need USING ({of}) WHERE k = n GROUP BY {of}, chunk_id, document_id, s),
+  lexr AS (SELECT {of}, chunk_id, document_id, round(sum(0.1::DOUBLE / (1 + greatest(e - s + 1 - n, 0))), 6) AS lexical_rank FROM cov GROUP BY ALL)"""
+
+
+CAPPED = SIM + ", " + _capped("elig", "query_id", "similarity", "dense")
+#: Of all variants, over the passages that may be searched.
+DENSE = VISIBLE + """, simv AS (SELECT query_id, variant, chunk_id, document_id, round(list_cosine_similarity(embedding::DOUBLE[], query_embedding::DOUBLE[]), 6) AS similarity
+    FROM vis JOIN embeddings ON vec_id = chunk_id, kb_variants WHERE query_embedding IS NOT NULL), eligv AS (SELECT * FROM simv WHERE similarity >= 0.25), """ + _capped("eligv", "query_id, variant", "similarity", "densev") + ", " + _variants_merged("densev", "similarity", "dense")
+LEXICAL = _cover("kb_variants", "vis", "query_id, variant") + ", " + _capped("lexr", "query_id, variant", "lexical_rank", "lexicalv") + ", " + _variants_merged("lexicalv", "lexical_rank", "lexical")
 POST = """post AS (SELECT chunk_id, document_id, unnest(w) AS term, generate_subscripts(w, 1) AS position
     FROM (SELECT chunk_id, document_id, list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM kb_passages))"""
-ASKED = """asked AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(lower(question), '[^a-z0-9]+'), lambda x: x <> '')) AS term
-    FROM kb_questions)"""
-COVER = POST + ", " + ASKED + """,
-  need AS (SELECT query_id, count(*) AS n FROM asked GROUP BY 1),
-  hits AS (SELECT query_id, chunk_id, document_id, term, position FROM post JOIN asked USING (term)),
- ends AS (SELECT h.query_id, h.chunk_id, h.document_id, h.position AS e, g.term, max(g.position) AS lastp FROM hits h
-    JOIN hits g ON h.query_id = g.query_id AND h.chunk_id = g.chunk_id AND g.position <= h.position GROUP BY 1, 2, 3, 4, 5),
- st AS (SELECT query_id, chunk_id, document_id, e, min(lastp) AS s, count(*) AS k FROM ends GROUP BY 1, 2, 3, 4),
- cov AS (SELECT st.query_id, chunk_id, document_id, s, min(e) AS e, any_value(n) AS n FROM st JOIN need USING (query_id) WHERE k = n
-    GROUP BY 1, 2, 3, 4),
- lexr AS (SELECT query_id, chunk_id, document_id, round(sum(0.1::DOUBLE / (1 + greatest(e - s + 1 - n, 0))), 6) AS lexical_rank FROM cov
-    GROUP BY 1, 2, 3),
- lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lexical_rank DESC, chunk_id) AS position FROM lexr)
-    WHERE position <= 60)"""
-FUSED = CAPPED + ", " + COVER + """,
+COVER = _cover("kb_questions", "kb_passages", "query_id")
+LISTS = DENSE + ", " + LEXICAL
+FUSED = LISTS + """,
   f0 AS (SELECT query_id, chunk_id, d.position AS dense_position, d.similarity, l.position AS lexical_position, l.lexical_rank,
     round(coalesce(1.0::DOUBLE / (60 + d.position), 0) + coalesce(0.8::DOUBLE / (60 + l.position), 0), 8) AS fusion_score FROM dense d
     FULL JOIN lexical l USING (query_id, chunk_id)),
@@ -66,14 +87,14 @@ GATE = """seen AS (SELECT query_id, count(*) AS n, count(*) FILTER (rerank_score
 
 
 def ranked_passages(spark, d):
-    """The flagship's ranked passages: dense search over the vectors, full-text search over all documents."""
-    return rt.retrieve(v.kb_questions(spark, d), v.kb_corpus(spark, d), v.kb_passages(spark, d))
+    """The flagship's ranked passages, by plain words: dense search over the vectors, full-text search over all documents, with the questions' variants."""
+    return rt.retrieve(v.kb_variants(spark, d), v.kb_corpus(spark, d), v.kb_passages(spark, d), english=False)
 
 
 def _lists(spark, d):
     """The dense and the lexical list that are fused."""
-    q = v.kb_questions(spark, d)
-    return rt.per_document_cap(rt.similarities(q, v.kb_corpus(spark, d))), rt.top(rt.cover_density(q, v.kb_passages(spark, d)), "lexical_rank", rt.POOL)
+    q = v.kb_variants(spark, d)
+    return rt.dense_lists(q, rt.visible(v.kb_corpus(spark, d))), rt.lexical_topk(q, rt.visible(v.kb_passages(spark, d)), english=False)
 
 
 @query("ret_01_dense_topk", SIM + """
@@ -108,10 +129,10 @@ def capped(spark, d):
   ph AS (SELECT DISTINCT q1.query_id, p.chunk_id FROM q1 JOIN post p ON p.term = c JOIN post r ON r.chunk_id = p.chunk_id AND r.term = e
     AND r.position = p.position + 1)
 
-;; SELECT DISTINCT q1.query_id, t.chunk_id, t.document_id FROM q1 JOIN t ON t.term IN (a, b) JOIN ph ON ph.query_id = q1.query_id
-    AND ph.chunk_id = t.chunk_id WHERE NOT EXISTS (SELECT 1 FROM t n WHERE n.chunk_id = t.chunk_id AND n.term = x || 'zz')""")
+;; SELECT q1.query_id, t.chunk_id, t.document_id FROM q1 JOIN t ON t.term = b JOIN ph ON ph.query_id = q1.query_id
+    AND ph.chunk_id = t.chunk_id WHERE NOT EXISTS (SELECT 1 FROM t n WHERE n.chunk_id = t.chunk_id AND n.term = x || 'zz') UNION SELECT q1.query_id, t.chunk_id, t.document_id FROM q1 JOIN t ON t.term = a""")
 def matched(spark, d):
-    """Asks: first word or second, the phrase of the third and fourth, and not the fifth (spelt wrong)."""
+    """Asks: the first word, or the second with the phrase of the third and fourth and without the fifth (spelt wrong)."""
     w = F.filter(F.split(F.lower("question"), "[^a-z0-9]+"), lambda x: x != "")
     q = v.kb_questions(spark, d).withColumn("w", w).filter("size(w) >= 5").selectExpr("query_id", "concat(w[0], ' or ', w[1], ' \"', w[2], ' ', w[3], '\" -', w[4], 'zz') AS question")
     return rt.lexical_match(q, v.kb_passages(spark, d))
@@ -122,9 +143,28 @@ def cover(spark, d):
     return rt.cover_density(v.kb_questions(spark, d), v.kb_passages(spark, d))
 
 
-@query("ret_07_lexical_topk", COVER + ";; SELECT query_id, chunk_id, lexical_rank, position FROM lexical")
+@query("ret_06_cover_density_indexed", COVER + ";; SELECT query_id, chunk_id, document_id, lexical_rank FROM lexr")
+def cover_indexed(spark, d):
+    """The same from a written index of postings."""
+    index = lx.write_index(v.kb_passages(spark, d), new_folder(spark, "postings"))
+    return rt.cover_density(v.kb_questions(spark, d), index)
+
+
+@query("ret_07_lexical_topk", VISIBLE + ", " + LEXICAL + ";; SELECT query_id, chunk_id, document_id, lexical_rank, position FROM lexical")
 def lexical(spark, d):
-    return rt.top(rt.cover_density(v.kb_questions(spark, d), v.kb_passages(spark, d)), "lexical_rank", rt.POOL).select("query_id", "chunk_id", "lexical_rank", "position")
+    return rt.lexical_topk(v.kb_variants(spark, d), rt.visible(v.kb_passages(spark, d)), english=False)
+
+
+@query("ret_07_lexical_topk_indexed", VISIBLE + ", " + LEXICAL + ";; SELECT query_id, chunk_id, document_id, lexical_rank, position FROM lexical")
+def lexical_indexed(spark, d):
+    """The same from a written index of all passages' postings, of which those that may be searched are found."""
+    passages = v.kb_passages(spark, d)
+    return rt.lexical_topk(v.kb_variants(spark, d), lx.write_index(passages, new_folder(spark, "postings")), english=False, within=rt.visible(passages))
+
+
+@query("ret_07_lexical_topk_english")
+def lexical_english(spark, d):
+    return rt.lexical_topk(v.kb_variants(spark, d), rt.visible(v.kb_passages(spark, d)))
 
 
 @query("ret_05_lexical_match_english")
@@ -257,6 +297,15 @@ def flagship(spark, d):
     return rt.with_reason(ranked_passages(spark, d)).select("query_id", "chunk_id", "final_position", "rerank_score", "reason")
 
 
+@query("ret_17_retrieve_english")
+def flagship_english(spark, d):
+    """The flagship as it is asked: by English stems, with stop words left out, from a written index."""
+    passages = v.kb_passages(spark, d)
+    index = lx.write_index(rt.visible(passages), new_folder(spark, "postings"), english=True)
+    ranked = rt.retrieve(v.kb_variants(spark, d), v.kb_corpus(spark, d), passages, index=index)
+    return rt.with_reason(ranked).select("query_id", "chunk_id", "final_position", "rerank_score", "reason")
+
+
 @query("ret_18_retrieval_telemetry", RANKED + """
 ;; SELECT query_id, count(*) AS final_evidence, count(dense_position) AS dense_hits,
     count(lexical_position) AS lexical_hits, max(similarity) AS best_similarity, max(rerank_score) AS best_rerank FROM ranked GROUP BY 1""")
@@ -279,7 +328,7 @@ def gate(spark, d):
     return rt.evidence_gate(v.kb_questions(spark, d), ranked_passages(spark, d))
 
 
-@query("jn_03_dense_lexical_merge", CAPPED + ", " + COVER + """
+@query("jn_03_dense_lexical_merge", LISTS + """
 ;; SELECT query_id, chunk_id, coalesce(d.document_id, l.document_id) AS document_id, d.position AS dense_position, l.position AS lexical_position
     FROM dense d FULL JOIN lexical l USING (query_id, chunk_id)""")
 def merged(spark, d):
@@ -289,7 +338,7 @@ def merged(spark, d):
     return a.join(b, ["query_id", "chunk_id"], "full_outer").select("query_id", "chunk_id", F.coalesce("da", "db").alias("document_id"), "dense_position", "lexical_position")
 
 
-@query("set_01_list_union", CAPPED + ", " + COVER + """,
+@query("set_01_list_union", LISTS + """,
   u AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + position) AS c FROM dense
   UNION ALL SELECT query_id, chunk_id, 0.8::DOUBLE / (60 + position) FROM lexical)
 ;; SELECT query_id, chunk_id, round(sum(c), 8) AS fusion_score, count(*) AS lists FROM u GROUP BY 1, 2""")

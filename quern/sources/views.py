@@ -52,9 +52,21 @@ def kb_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def kb_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions (variant 0), and as variant 1 their first two words with the vector after theirs."""
+    q = kb_questions(spark, sf_dir).select("query_id", "question", "query_embedding")
+    after = read(spark, sf_dir, "embeddings").selectExpr("vec_id - 1 AS query_id", "embedding AS query_embedding")
+    short = q.selectExpr("query_id", "array_join(slice(split(question, ' '), 1, 2), ' ') AS question").join(after, "query_id", "left")
+    return q.withColumn("variant", F.lit(0)).unionByName(short.withColumn("variant", F.lit(1)))
+
+
 def kb_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages for full-text search: every document is one; sixty parents hold them."""
-    return read(spark, sf_dir, "documents").selectExpr("doc_id AS chunk_id", "doc_id % 60 AS document_id", "doc_id % 3 + 1 AS page", "doc_id AS chunk_index", "concat('file_', doc_id % 60, '.pdf') AS filename", "text AS content", "source AS tenant")
+    """Passages for full-text search: every document is one; sixty parents hold them. Some parents aren't ready, some are slides, and one passage in 29 is of an older version."""
+    return (
+        read(spark, sf_dir, "documents").withColumn("document_id", F.expr("doc_id % 60"))
+        .selectExpr("doc_id AS chunk_id", "document_id", "doc_id % 3 + 1 AS page", "doc_id AS chunk_index", "concat('file_', document_id, CASE WHEN document_id % 8 = 7 THEN '.pptx' ELSE '.pdf' END) AS filename", "text AS content", "source AS tenant",
+                    "CASE WHEN document_id % 15 = 14 THEN 'processing' ELSE 'ready' END AS status", "1 + document_id % 2 AS version", "1 + document_id % 3 AS parser_version", "1 + document_id % 2 - CASE WHEN doc_id % 29 = 3 THEN 1 ELSE 0 END AS chunk_version")
+    )
 
 
 def kb_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +107,11 @@ SQL = {
     "kb_chunks": f"""SELECT document_id * {CHUNK_IDS} + i AS chunk_id, document_id, tenant, filename, status, version, parser_version, model, i AS chunk_index, i // 2 + 1 AS page, substr(text, i * 1000 + 1, 1000) AS content,
       CASE WHEN (document_id + i) % 7 = 0 THEN version - 1 ELSE version END AS chunk_version FROM (SELECT *, unnest(range(0, (length(text) - 1) // 1000 + 1)) AS i FROM kb_documents WHERE length(text) > 0)""",
     "kb_questions": """SELECT vec_id AS query_id, embedding AS query_embedding, array_to_string((regexp_split_to_array(text, '\\s+'))[1:12], ' ') AS question, label AS query_label FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 50 = 0""",
-    "kb_passages": """SELECT doc_id AS chunk_id, doc_id % 60 AS document_id, doc_id % 3 + 1 AS page, doc_id AS chunk_index, 'file_' || doc_id % 60 || '.pdf' AS filename, text AS content, source AS tenant FROM documents""",
+    "kb_variants": """SELECT query_id, 0 AS variant, question, query_embedding FROM kb_questions UNION ALL
+      SELECT query_id, 1, array_to_string((string_split(question, ' '))[1:2], ' '), embedding FROM kb_questions LEFT JOIN embeddings ON vec_id = query_id + 1""",
+    "kb_passages": """SELECT doc_id AS chunk_id, document_id, doc_id % 3 + 1 AS page, doc_id AS chunk_index, 'file_' || document_id || CASE WHEN document_id % 8 = 7 THEN '.pptx' ELSE '.pdf' END AS filename, text AS content, source AS tenant,
+      CASE WHEN document_id % 15 = 14 THEN 'processing' ELSE 'ready' END AS status, 1 + document_id % 2 AS version, 1 + document_id % 3 AS parser_version,
+      1 + document_id % 2 - CASE WHEN doc_id % 29 = 3 THEN 1 ELSE 0 END AS chunk_version FROM (SELECT *, doc_id % 60 AS document_id FROM documents)""",
     "kb_corpus": """SELECT kb_passages.*, embedding, label FROM kb_passages JOIN embeddings ON chunk_id = vec_id""",
     "kb_events": """SELECT event_id, ts, user_id, event_type AS event, value AS latency_ms, props AS attributes, CASE WHEN event_type = 'error' THEN 'error' WHEN event_id % 11 = 0 THEN 'refused' ELSE 'ok' END AS status FROM events""",
     "kb_jobs": """SELECT o_orderkey AS job_id, o_custkey AS owner, o_orderkey % 1000 AS document_id, CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'P' THEN 'retrying' ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'running' WHEN o_orderkey % 3 = 1 THEN 'queued' ELSE 'failed' END END AS status,
@@ -105,7 +121,7 @@ SQL = {
     "kb_answers": """SELECT conv_id * 100 + turn AS answer_id, text || CASE (conv_id + turn) % 8 WHEN 0 THEN '' WHEN 1 THEN ' [source_1]' WHEN 2 THEN ' [source_02]\n\n- item [source_01]\n- more [source_3]' WHEN 3 THEN ' [source_123]' WHEN 4 THEN ' [ source_ 3x ]'
       WHEN 5 THEN ' [source_02]\n```\ncode [source_77]\n```\n# Head\n| a | b |\n|---|---|\n| c [source_1] | d |' WHEN 6 THEN ' [source_07] "quoted words"' ELSE ' [source_03]\n> quote [source_02]\n> more\n\n---\n[source_01]' END AS answer FROM conversations WHERE role = 'assistant'""",
 }
-NEEDS = {"kb_chunks": ["kb_documents"], "kb_corpus": ["kb_passages"]}
+NEEDS = {"kb_chunks": ["kb_documents"], "kb_corpus": ["kb_passages"], "kb_variants": ["kb_questions"]}
 
 
 def with_views(sql: str) -> str:

@@ -178,7 +178,7 @@ def test_web_search_syntax(spark):
     chunks = spark.createDataFrame([(1, 1, "red fox runs far"), (2, 1, "fox red"), (3, 2, "the red hen"), (4, 2, "blue fox runs"), (5, 3, "")], "chunk_id int, document_id int, content string")
     ask = lambda q: sorted(r.chunk_id for r in rt.lexical_match(spark.createDataFrame([(1, q)], "query_id int, question string"), chunks).collect())
     assert ask("red fox") == [1, 2] and ask('"red fox"') == [1] and ask("red or blue") == [1, 2, 3, 4]
-    assert ask("fox -blue") == [1, 2] and ask('fox -"red fox"') == [2, 4] and ask("") == [] and ask("hen or fox runs") == [1, 4]
+    assert ask("fox -blue") == [1, 2] and ask('fox -"red fox"') == [2, 4] and ask("") == [] and ask("hen or fox runs") == [1, 3, 4]
 
 
 def test_cover_density_equals_brute_force(spark):
