@@ -44,13 +44,17 @@ def refusal_metrics(cases: DataFrame) -> DataFrame:
 
 
 def span_coverage(gold: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Per key: gold spans, and how many of them lie whole within the union of the evidence spans."""
+    """Per key: different gold spans, and how many of them lie whole within the union of the evidence spans.
+
+    The union's spans are disjoint, so a gold span lies in the last one that begins no later: one sweep over both by their starts, without pairs.
+    """
     from quern.operators.rollups import merge_spans
 
-    union = merge_spans(evidence.select("key", "start", "end"), ["key"]).select("key", F.col("start").alias("_s"), F.col("end").alias("_e"))
-    inside = (F.col("_s") <= F.col("start")) & (F.col("_e") >= F.col("end"))
-    by = gold.join(union, "key", "left").groupBy("key", "start", "end").agg(F.coalesce(F.bool_or(inside), F.lit(False)).alias("covered"))
-    return by.groupBy("key").agg(F.count("*").alias("spans"), F.count_if("covered").alias("covered"))
+    union = merge_spans(evidence.select("key", "start", "end"), ["key"]).select("key", "start", F.lit(None).cast(gold.schema["end"].dataType).alias("end"), F.col("end").alias("reach"))
+    both = union.unionByName(gold.select("key", "start", "end", F.lit(None).cast(union.schema["reach"].dataType).alias("reach")).distinct())
+    reach = F.max("reach").over(Window.partitionBy("key").orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
+    swept = both.withColumn("covered", F.coalesce(reach >= F.col("end"), F.lit(False))).filter("reach IS NULL")
+    return swept.groupBy("key").agg(F.count("*").alias("spans"), F.count_if("covered").alias("covered"))
 
 
 def threshold_gate(metrics: DataFrame, thresholds: list[tuple[str, str, float]]) -> DataFrame:

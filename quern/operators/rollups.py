@@ -74,10 +74,20 @@ def due_jobs(jobs: DataFrame, now: Column, lease: int = po.LEASE_SECONDS) -> Dat
     return jobs.filter((waiting | stale) & (F.col("attempt_count") < po.MAX_ATTEMPTS))
 
 
-def sliding_rate(events: DataFrame, seconds: int, keys: list[str]) -> DataFrame:
-    """Events of the key in the last seconds, this one included, and the oldest of them."""
-    w = Window.partitionBy(*keys).orderBy(F.unix_micros("ts")).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("n_recent", F.count("*").over(w)).withColumn("oldest", F.min("ts").over(w))
+def sliding_rate(events: DataFrame, seconds: int, keys: list[str], slices: int = 16) -> DataFrame:
+    """Events of the key in the last seconds, this one included, and the oldest of them.
+
+    A key's time is cut in slices of ``slices`` windows, so that no task sorts a whole key; an event that windows of the next slice
+    reach back to goes there too, where it is only counted.
+    """
+    us, window = F.unix_micros("ts"), seconds * 1_000_000
+    width = F.lit(window * slices)
+    own = F.floor(us / width).cast("long")
+    reached = us >= (own + 1) * width - window
+    rows = events.withColumn("_own", own).withColumn("_slice", F.explode(F.when(reached, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
+    w = Window.partitionBy(*keys, "_slice").orderBy(us).rangeBetween(-window, 0)
+    counted = rows.withColumn("n_recent", F.count("*").over(w)).withColumn("oldest", F.min("ts").over(w))
+    return counted.filter("_slice = _own").drop("_slice", "_own")
 
 
 def retry_after(seconds: int) -> Column:
@@ -109,10 +119,47 @@ def merge_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
-def adjoining_runs(rows: DataFrame, keys: list[str], index: str) -> DataFrame:
-    """Runs of consecutive indexes of each key: first, last, n."""
-    w = Window.partitionBy(*keys).orderBy(index)
-    return rows.withColumn("island", F.col(index) - F.row_number().over(w)).groupBy(*keys, "island").agg(F.min(index).alias("first"), F.max(index).alias("last"), F.count("*").alias("n")).drop("island")
+def _runs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (first, last, n) of each key as one where they adjoin or overlap."""
+    w = Window.partitionBy(*keys).orderBy("first", "last")
+    island = F.sum(F.when(F.col("first") <= F.lag("last").over(w) + 1, 0).otherwise(1)).over(w)
+    return rows.select(*keys, "first", "last", "n", island.alias("_i")).groupBy(*keys, "_i").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")).drop("_i")
+
+
+def adjoining_runs(rows: DataFrame, keys: list[str], index: str, width: int = 1 << 16) -> DataFrame:
+    """Runs of consecutive indexes of each key: first, last, n (rows, where an index is repeated).
+
+    Runs are found in slices of ``width`` indexes; only those that touch a slice's border, two a slice at most, are then
+    joined over slices. So no task holds more of a key than a slice's indexes or the runs at its borders.
+    """
+    placed = rows.groupBy(*keys, F.col(index).alias("first")).agg(F.count("*").alias("n")).withColumn("last", F.col("first")).withColumn("_s", F.floor(F.col("first") / F.lit(width)))
+    inner = _runs(placed, [*keys, "_s"])
+    border = (F.col("first") == F.col("_s") * width) | (F.col("last") == (F.col("_s") + 1) * width - 1)
+    return inner.filter(~border).select(*keys, "first", "last", "n").unionByName(_runs(inner.filter(border), keys).select(*keys, "first", "last", "n"))
+
+
+def overlapping(a: DataFrame, b: DataFrame, keys: list[str], ends_a: tuple[str, str], ends_b: tuple[str, str], width: int = 64, step: int = 8) -> DataFrame:
+    """Pairs of ``a`` and ``b`` with equal keys whose spans [start, end) share something; the other columns' names differ.
+
+    Spans are of the level whose cells, ``width`` times a power of ``step``, are as long as they are. A span goes to the one or two cells that it
+    touches on its own level and on all coarser ones up to the other side's coarsest, and a pair is met on the coarser of its two levels, in the
+    first cell that both touch. So a key of many spans that overlap little is dealt over cells, and makes no square of pairs.
+    """
+    (sa, ea), (sb, eb) = ends_a, ends_b
+    length = lambda s, e: F.greatest(F.col(e) - F.col(s), F.lit(1)).cast("double")
+    level = lambda s, e: F.greatest(F.lit(0), F.ceil(F.log(length(s, e) / width) / F.log(F.lit(float(step))) - 1e-9)).cast("int")
+    a, b = a.filter(F.col(sa) < F.col(ea)).withColumn("_la", level(sa, ea)), b.filter(F.col(sb) < F.col(eb)).withColumn("_lb", level(sb, eb))
+    most = [df.agg(F.max(c)).first()[0] or 0 for df, c in ((a, "_la"), (b, "_lb"))]
+
+    def dealt(df: DataFrame, own: str, s: str, e: str, top: int) -> DataFrame:
+        cells = lambda x: F.pow(F.lit(float(step)), x) * width
+        on = df.withColumn("_level", F.explode(F.sequence(F.col(own), F.greatest(F.col(own), F.lit(top)))))
+        first, last = F.floor(F.col(s) / cells(F.col("_level"))), F.floor((F.col(e) - 1) / cells(F.col("_level")))
+        return on.withColumn(f"_f{own}", first).withColumn("_cell", F.explode(F.sequence(first, last)))
+
+    pairs = dealt(a, "_la", sa, ea, most[1]).join(dealt(b, "_lb", sb, eb, most[0]), [*keys, "_level", "_cell"])
+    met = (F.col("_level") == F.greatest("_la", "_lb")) & (F.col("_cell") == F.greatest("_f_la", "_f_lb")) & (F.greatest(sa, sb) < F.least(ea, eb))
+    return pairs.filter(met).drop("_la", "_lb", "_level", "_cell", "_f_la", "_f_lb")
 
 
 def fingerprint(df: DataFrame, order: str, fan: int = 4096, levels: int = 3) -> DataFrame:

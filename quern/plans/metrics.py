@@ -298,13 +298,12 @@ def newest(spark, d):
     return v.kb_messages(spark, d).groupBy("thread_id").agg(F.max("turn").alias("last_turn")).orderBy(F.col("last_turn").desc(), F.col("thread_id").desc()).limit(50)
 
 
-@query("srt_04_claim_order", """c AS (SELECT greatest(0, 3 - count(*) FILTER (locked_at > TIMESTAMP '1998-11-01')) + 2 AS n FROM kb_jobs WHERE status = 'running'
-    AND job_id % 50 = 0),
+@query("srt_04_claim_order", """c AS (SELECT greatest(0, 3 - count(*) FILTER (locked_at > TIMESTAMP '1998-11-01')) + 2 AS n FROM kb_jobs WHERE status = 'running'),
   j AS (SELECT job_id, available_at, row_number() OVER (ORDER BY available_at, job_id) AS r FROM kb_jobs WHERE status = 'queued')
 ;; SELECT job_id, r FROM j, c WHERE r <= least(n, 5)""")
 def claim(spark, d):
     jobs = v.kb_jobs(spark, d)
-    n = jobs.filter("status = 'running' AND job_id % 50 = 0").agg((F.greatest(F.lit(0), 3 - F.count_if(F.col("locked_at") > F.lit("1998-11-01").cast("timestamp"))) + 2).alias("n")).first().n
+    n = jobs.filter("status = 'running'").agg((F.greatest(F.lit(0), 3 - F.count_if(F.col("locked_at") > F.lit("1998-11-01").cast("timestamp"))) + 2).alias("n")).first().n
     first = jobs.filter("status = 'queued'").orderBy("available_at", "job_id").limit(min(n, 5))
     return first.select("job_id", F.row_number().over(Window.orderBy("available_at", "job_id")).alias("r"))
 

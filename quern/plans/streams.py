@@ -6,16 +6,18 @@ from pyspark.sql import functions as F
 
 from quern.functions import policy as po
 from quern.operators import chunking as ch
-from quern.operators import rollups as ro
+from quern.operators.embed import embed_batches
 from quern.plans.registry import query
 from quern.sources import views as v
 from quern.streaming import streams as st
 
 
-@query("str_01_document_ingest", """SELECT doc_id, i AS chunk_index, substr(text, i * 1000 + 1, 1000) AS content FROM (SELECT *, unnest(range(0, (length(text) - 1) // 1000 + 1)) AS i
+@query("str_01_document_ingest", """SELECT doc_id, i AS chunk_index, substr(text, i * 1000 + 1, 1000) AS content, 64 AS dim FROM (SELECT *, unnest(range(0, (length(text) - 1) // 1000 + 1)) AS i
     FROM documents WHERE length(text) > 0)""")
 def ingest(spark, d):
-    return st.ingest(st.source(spark, d, "documents", files=3), lambda b: ch.window_chunks(b, "doc_id", "text"), ["doc_id", "chunk_index"])
+    """Documents are cut, their chunks embedded, and both kept by document."""
+    chunk = lambda b: embed_batches(ch.window_chunks(b, "doc_id", "text"), "content")
+    return st.ingest(st.source(spark, d, "documents", files=3), chunk, "doc_id").select("doc_id", "chunk_index", "content", F.size("embedding").alias("dim"))
 
 
 @query("str_02_telemetry_rollup", """SELECT floor(epoch(ts))::BIGINT - floor(epoch(ts))::BIGINT % 86400 AS start, event_type, count(*) AS requests,
@@ -29,8 +31,9 @@ def rollup(spark, d):
  SELECT user_id, k, CASE WHEN len(held) < 5 THEN list_append(held, us) ELSE held END, event_id, len(held) < 5
     FROM (SELECT e.user_id, e.k, e.us, e.event_id, list_filter(r.held, lambda t: t > e.us - 86400000000) AS held FROM r
     JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))
-SELECT event_id, user_id, admitted FROM r WHERE k > 0""")
+SELECT event_id, user_id, admitted FROM r JOIN (SELECT event_id, us FROM e) USING (event_id) WHERE k > 0 AND us <= (SELECT max(us) // 1000 * 1000 FROM e) - 3600000000""")
 def limiter(spark, d):
+    """Events that the watermark, an hour behind the newest, has passed."""
     return st.drain(st.exact_limiter(st.source(spark, d, "events"), 5, 86400))
 
 
@@ -39,13 +42,13 @@ def fixed(spark, d):
     return st.drain(st.fixed_window_counts(st.source(spark, d, "events"), 3600), "update", ["user_id", "window_start"])
 
 
-@query("str_05_lease_sweep", """SELECT job_id, CASE WHEN attempt_count >= 4 THEN 'failed' ELSE 'retrying' END AS status FROM kb_jobs WHERE status = 'running'
-    AND (locked_at IS NULL OR locked_at <= TIMESTAMP '1996-06-01' - INTERVAL 300 SECOND)""")
+@query("str_05_lease_sweep", """SELECT job_id, CASE WHEN count(*) >= 4 THEN 'failed' ELSE 'retrying' END AS status FROM kb_jobs JOIN lineitem ON l_orderkey = job_id WHERE kb_jobs.status = 'running'
+    GROUP BY job_id HAVING max(l_shipdate) + INTERVAL 300 SECOND <= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 1 HOUR""")
 def sweep(spark, d):
-    """A stream of jobs, joined with their attempts."""
-    jobs = v.kb_jobs(spark, d, st.source(spark, d, "orders"))
-    gone = po.lease_state(F.col("status"), F.col("locked_at"), F.lit("1996-06-01")) == "expired"
-    return st.drain(st.lease_sweep(jobs, gone, F.when(F.col("attempt_count") >= po.MAX_ATTEMPTS, "failed").otherwise("retrying")))
+    """A stream of lines, each a sign of life of its job; those of running jobs renew the job's lease."""
+    running = v.kb_jobs(spark, d).filter("status = 'running'").select("job_id")
+    lines = st.source(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.lit(True).alias("running"), F.col("l_shipdate").cast("timestamp").alias("ts"))
+    return st.drain(st.lease_sweep(lines.withWatermark("ts", st.RETENTION).join(running, "job_id", "left_semi"), po.LEASE_SECONDS, po.MAX_ATTEMPTS, late=None))
 
 
 @query("str_06_pruned_windows", """SELECT floor(epoch(ts))::BIGINT - floor(epoch(ts))::BIGINT % 86400 AS start, count(*) AS n FROM events
@@ -58,9 +61,9 @@ def pruned(spark, d):
 
 @query("str_07_without_repeats", "SELECT DISTINCT sha256(text) AS content_hash FROM documents")
 def repeats(spark, d):
-    """Documents come a second apart; repeats are looked for within thirty days, which holds all of the smaller tables."""
-    docs = st.source(spark, d, "documents").select(F.sha2("text", 256).alias("content_hash"), F.timestamp_seconds(F.col("doc_id") + 1704067200).alias("ts"))
-    return st.drain(st.without_repeats(docs, "content_hash", "ts", "30 days")).select("content_hash")
+    """Documents come within an hour, whatever their number, and repeats are looked for within two."""
+    docs = st.source(spark, d, "documents").select(F.sha2("text", 256).alias("content_hash"), F.timestamp_seconds(F.col("doc_id") % 3600 + 1704067200).alias("ts"))
+    return st.drain(st.without_repeats(docs, "content_hash", "ts", "2 hours")).select("content_hash")
 
 
 @query("str_08_published_view", """p AS (SELECT document_id, count(*) FILTER (chunk_version = version AND model IS NOT NULL) = max(chunk_index) + 1 AS complete FROM kb_chunks
@@ -68,8 +71,9 @@ def repeats(spark, d):
   l AS (SELECT document_id, arg_max(status, job_id) AS s FROM kb_jobs GROUP BY 1)
 ;; SELECT document_id, complete AND coalesce(s, 'succeeded') = 'succeeded' AS published FROM p LEFT JOIN l USING (document_id)""")
 def published(spark, d):
-    """Counts by document over a stream of chunks, joined with each document's last job."""
-    latest = v.kb_jobs(spark, d).groupBy("document_id").agg(F.max_by("status", "job_id").alias("s"))
+    """A stream of chunks and one of jobs, which all come within an hour."""
+    at = lambda c: F.timestamp_seconds(F.col(c) % 60 * 60 + 1704067200).alias("ts")
     chunks = v.kb_chunks(spark, d, documents=st.source(spark, d, "documents", files=3))
-    counted = st.drain(ro.publication_check(chunks), "update", ["document_id"])
-    return counted.join(latest, "document_id", "left").select("document_id", (F.col("complete") & (F.coalesce("s", F.lit("succeeded")) == "succeeded")).alias("published"))
+    good = (F.col("chunk_version") == F.col("version")) & F.col("model").isNotNull()
+    jobs = v.kb_jobs(spark, d, st.source(spark, d, "orders")).select("document_id", F.col("job_id").alias("job"), "status", at("job_id"))
+    return st.drain(st.published_view(chunks.select("document_id", "chunk_index", good.alias("good"), at("document_id")), jobs), "update", ["document_id"])

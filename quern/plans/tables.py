@@ -13,6 +13,7 @@ from quern.functions import policy as po
 from quern.functions import text as tx
 from quern.functions import vectors as vx
 from quern.operators import rollups as ro
+from quern.operators.rollups import overlapping
 from quern.plans.registry import query
 from quern.sources import files
 from quern.sources import views as v
@@ -325,7 +326,7 @@ def spans(spark, d):
     line = v.read(spark, d, "lineitem")
     a = line.filter("l_linenumber % 2 = 0").selectExpr("l_orderkey AS doc", "l_linenumber AS a", "l_partkey % 100 AS s", "l_partkey % 100 + CAST(l_quantity AS BIGINT) AS e")
     b = line.filter("l_linenumber % 2 = 1").selectExpr("l_orderkey AS doc", "l_linenumber AS b", "l_suppkey % 100 AS s2", "l_suppkey % 100 + CAST(l_quantity AS BIGINT) AS e2")
-    return a.join(b, "doc").filter("greatest(s, s2) < least(e, e2)").selectExpr("doc", "a", "b", "least(e, e2) - greatest(s, s2) AS overlap")
+    return overlapping(a, b, ["doc"], ("s", "e"), ("s2", "e2")).selectExpr("doc", "a", "b", "least(e, e2) - greatest(s, s2) AS overlap")
 
 
 @query("jn_09_requested_all_ready", """r AS (SELECT l_orderkey AS request, l_partkey % 200 AS document_id FROM lineitem)

@@ -9,16 +9,31 @@ overwrites what it wrote before.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quern.sources.files import new_folder
 
 RETENTION = "1 hour"
+#: The state store that lists and timers of a key need, and its setting.
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Streams that start in here may hold lists and timers."""
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE, before)
 
 
 def source(spark: SparkSession, sf_dir: str, name: str, files: int | None = None) -> DataFrame:
@@ -46,7 +61,9 @@ def _latest(spark: SparkSession, schema: T.StructType, path: str, keys: list[str
 def drain(df: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """Runs a stream over all there is. In update mode the last row of each key stays."""
     at = new_folder(df.sparkSession, "stream")
-    df.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).foreachBatch(lambda batch, number: _put(batch, number, f"{at}/out")).start().awaitTermination()
+    with keyed_state(df.sparkSession):
+        query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).foreachBatch(lambda batch, number: _put(batch, number, f"{at}/out")).start()
+    query.awaitTermination()
     return _latest(df.sparkSession, df.schema, f"{at}/out", keys if mode == "update" else None)
 
 
@@ -73,27 +90,55 @@ def admit(times: list[int], accepted: list[int], limit: int, window: int) -> tup
     return out, accepted
 
 
-def exact_limiter(events: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """Each event with whether it is admitted.
+class Limiter(StatefulProcessor):
+    """Holds a key's events until the watermark has passed them, then judges them in order of time."""
 
-    The state of a key is the times of its admitted events in the window, at most ``limit`` of them; it goes when
-    the watermark has passed the last of them by the window. Events of a batch are judged in order of time,
-    and those of a later batch after them; events behind the watermark are left out.
-    """
+    def __init__(self, limit: int, seconds: int):
+        self.limit, self.window = limit, seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, event_id long")
+        self.accepted = handle.getListState("accepted", "us long")
+
+    def _wake(self, ms: int) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(ms)
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        accepted = list(state.get[0]) if state.exists else []
-        frame = pd.concat(list(frames)).sort_values(["us", "event_id"])
-        admitted, accepted = admit(frame["us"].tolist(), accepted, limit, seconds * 1_000_000)
-        state.update((accepted,))
-        state.setTimeoutTimestamp(max(max(accepted) // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"event_id": frame["event_id"], "user_id": key[0], "admitted": admitted})
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [(int(us), int(e)) for f in rows for us, e in zip(f["us"], f["event_id"], strict=True)]
+        first = min(us for us, _ in [*new, *self.waiting.get()])
+        self.waiting.appendList(new)
+        self._wake(-(-first // 1000))
+        return iter(())
 
-    rows = events.withWatermark("ts", RETENTION).select("event_id", "user_id", "ts", F.unix_micros("ts").alias("us"))
-    return rows.groupBy("user_id").applyInPandasWithState(run, "event_id long, user_id long, admitted boolean", "accepted array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted(self.waiting.get())
+        due, rest = [x for x in held if x[0] <= until], [x for x in held if x[0] > until]
+        admitted, accepted = admit([us for us, _ in due], sorted(us for (us,) in self.accepted.get()), self.limit, self.window)
+        accepted = [us for us in accepted if us > until - self.window]
+        for state, values in ((self.waiting, rest), (self.accepted, [(us,) for us in accepted])):
+            state.put(values) if values else state.clear()
+        if rest or accepted:
+            self._wake(-(-rest[0][0] // 1000) if rest else max(accepted) // 1000 + self.window // 1000 + 1)
+        if due:
+            yield pd.DataFrame({"event_id": [e for _, e in due], "user_id": key[0], "admitted": admitted})
+
+    def close(self) -> None:
+        pass
+
+
+def exact_limiter(events: DataFrame, limit: int, seconds: int, late: str = RETENTION) -> DataFrame:
+    """Each event with whether it is admitted.
+
+    A key's events wait in its state until the watermark, ``late`` behind the newest event, has passed them, and are judged in
+    order of time and id; so the answer doesn't depend on how events fall into batches. The state holds what waits
+    and the times of at most ``limit`` admitted events; it goes when the last of these has left the window. Events behind the watermark are left out.
+    """
+    rows = events.withWatermark("ts", late).select("event_id", "user_id", "ts", F.unix_micros("ts").alias("us"))
+    return rows.groupBy("user_id").transformWithStateInPandas(Limiter(limit, seconds), "event_id long, user_id long, admitted boolean", "Append", "EventTime")
 
 
 def without_repeats(df: DataFrame, key: str, ts: str, within: str = RETENTION) -> DataFrame:
@@ -101,13 +146,168 @@ def without_repeats(df: DataFrame, key: str, ts: str, within: str = RETENTION) -
     return df.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
 
 
-def lease_sweep(jobs: DataFrame, gone: Column, after: Column) -> DataFrame:
-    """(job_id, status) of each job of the stream whose lease is ``gone``, with the state it goes to; no state is held."""
-    return jobs.filter(gone).select("job_id", after.alias("status"))
+class Leases(StatefulProcessor):
+    """A job's lease, renewed by each sign of life and ended by its timer."""
+
+    def __init__(self, seconds: int, most: int, clock: str):
+        self.lease, self.most, self.clock = seconds * 1000, most, clock
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("lease", "until long, attempts long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows))
+        until, attempts = self.state.get() if self.state.exists() else (None, 0)
+        if until is not None:
+            self.handle.deleteTimer(until)
+        if not frame.sort_values(["ms", "running"])["running"].iloc[-1]:
+            self.state.clear()
+            return iter(())
+        signs = frame.loc[frame["running"], "ms"]
+        from_ = timerValues.getCurrentProcessingTimeInMs() if self.clock == "ProcessingTime" else int(signs.max())
+        until = max(until or 0, from_ + self.lease)
+        self.state.update((until, int(attempts) + len(signs)))
+        self.handle.registerTimer(until)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, attempts = self.state.get()
+        self.state.clear()
+        yield pd.DataFrame({"job_id": [key[0]], "status": ["failed" if attempts >= self.most else "retrying"]})
+
+    def close(self) -> None:
+        pass
+
+
+def lease_sweep(signs: DataFrame, seconds: int, most: int, clock: str = "EventTime", late: str | None = RETENTION) -> DataFrame:
+    """(job_id, status) of each job whose lease has run out: failed after ``most`` signs of life, else retrying.
+
+    signs: (job_id, running, ts). A running job's sign starts or renews its lease; any other state ends it. The lease runs out by a timer,
+    also while no row of the job comes: when the watermark has passed it, or with ``clock`` ProcessingTime when so many seconds have gone by.
+    A job's state is one row, which goes with its lease. ``late`` is None where signs have a watermark.
+    """
+    rows = (signs.withWatermark("ts", late) if late else signs).select("job_id", "running", "ts", F.unix_millis("ts").alias("ms"))
+    return rows.groupBy("job_id").transformWithStateInPandas(Leases(seconds, most, clock), "job_id long, status string", "Append", clock)
+
+
+class Publication(StatefulProcessor):
+    """A document's chunks and last job, until it is published."""
+
+    def __init__(self, wait: int):
+        self.wait = wait * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("document", "indexed long, expected long, job long, status string, told boolean, until long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows))
+        indexed, expected, job, status, told, until = self.state.get() if self.state.exists() else (0, 0, None, None, None, None)
+        chunks, jobs = frame[frame["chunk_index"].notna()], frame[frame["job"].notna()]
+        indexed += int(chunks["good"].astype(bool).sum())
+        expected = max(expected, int(chunks["chunk_index"].max()) + 1 if len(chunks) else 0)
+        if len(jobs) and (job is None or jobs["job"].max() >= job):
+            last = jobs.loc[jobs["job"].idxmax()]
+            job, status = int(last["job"]), last["status"]
+        published = expected > 0 and indexed == expected and status in (None, "succeeded")
+        if until is not None:
+            self.handle.deleteTimer(until)
+        until = max(until or 0, int(frame["ms"].max()) + self.wait)
+        if until <= timerValues.getCurrentWatermarkInMs():
+            self.state.clear()
+        else:
+            self.state.update((indexed, expected, job, status, published if expected else None, until))
+            self.handle.registerTimer(until)
+        if published != told and expected:
+            yield pd.DataFrame({"document_id": [key[0]], "published": [published]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def published_view(chunks: DataFrame, jobs: DataFrame, wait: int = 3600, late: str = RETENTION) -> DataFrame:
+    """(document_id, published) whenever it changes: all expected chunks are indexed and the last job, if any, has succeeded.
+
+    chunks: (document_id, chunk_index, good, ts); jobs: (document_id, job, status, ts). Both streams meet in one state per document,
+    of one row, whichever comes first. The state goes ``wait`` seconds of event time after the document's last row, by a timer, published or not; so it is bounded
+    by the documents of that time. A document without chunks has no row.
+    """
+    a = chunks.select("document_id", F.col("chunk_index").cast("double").alias("chunk_index"), "good", F.lit(None).cast("double").alias("job"), F.lit(None).cast("string").alias("status"), "ts")
+    b = jobs.select("document_id", F.lit(None).cast("double").alias("chunk_index"), F.lit(None).cast("boolean").alias("good"), F.col("job").cast("double").alias("job"), "status", "ts")
+    rows = a.unionByName(b).withWatermark("ts", late).withColumn("ms", F.unix_millis("ts"))
+    return rows.groupBy("document_id").transformWithStateInPandas(Publication(wait), "document_id long, published boolean", "Update", "EventTime")
+
+
+class Chunks:
+    """A table of documents' chunks that batches are written to, in the shared folder.
+
+    A batch leaves its chunks and, for every document it held, the version it brought. A document's chunks are those of its newest version,
+    and of its last batch with that version; so a text that comes again with fewer chunks, or with none, leaves nothing of the old one,
+    and a version that comes late changes nothing. ``compact`` writes what holds into one folder, after which older batches aren't read.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, schema: T.StructType):
+        self.spark, self.path, self.key, self.schema = spark, path, key, schema
+
+    def put(self, docs: DataFrame, chunk: Callable[[DataFrame], DataFrame], version: str | None, number: int) -> None:
+        """A batch of documents; of rows with one key the one of the highest version counts, of equal versions the one of the greatest hash."""
+        v = F.col(version).cast("long") if version else F.lit(0).cast("long")
+        first = Window.partitionBy(self.key).orderBy(v.desc_nulls_last(), F.xxhash64(*(c for c, t in docs.dtypes if not t.startswith("map"))).desc())
+        one = docs.withColumn("_version", F.coalesce(v, F.lit(-1).cast("long"))).withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r").persist()
+        rows = chunk(one).join(one.select(self.key, "_version"), self.key)
+        rows.write.mode("overwrite").parquet(f"{self.path}/chunks/_batch={number}")
+        one.select(self.key, "_version").write.mode("overwrite").parquet(f"{self.path}/versions/_batch={number}")
+        one.unpersist()
+
+    def _folders(self, kind: str) -> list[str]:
+        """The last compacted folder, if any, and the batches after it; folders that aren't finished don't count."""
+        jvm = self.spark._jvm
+        top = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        fs = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(top)] if fs.exists(top) else []
+        names = [n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/{n}/_SUCCESS"))]
+        base = max((n for n in names if n.startswith("upto=")), key=lambda n: int(n[5:]), default=None)
+        after = -1 if base is None else int(base[5:])
+        return [*([base] if base else []), *sorted((n for n in names if n.startswith("_batch=") and int(n[7:]) > after), key=lambda n: int(n[7:]))]
+
+    def _read(self, kind: str, fields: list[T.StructField]) -> DataFrame:
+        out = self.spark.createDataFrame([], T.StructType([*fields, T.StructField("_batch", T.LongType())]))
+        for name in self._folders(kind):
+            df = self.spark.read.schema(T.StructType([*fields, *([T.StructField("_batch", T.LongType())] if name.startswith("upto=") else [])])).parquet(f"{self.path}/{kind}/{name}")
+            out = out.unionByName(df if "_batch" in df.columns else df.withColumn("_batch", F.lit(int(name[7:])).cast("long")))
+        return out
+
+    def _newest(self) -> DataFrame:
+        """(key, _version, _batch) that holds for each document."""
+        fields = [self.schema[self.key], T.StructField("_version", T.LongType())]
+        return self._read("versions", fields).groupBy(self.key).agg(F.max(F.struct("_version", "_batch")).alias("m")).select(self.key, "m._version", "m._batch")
+
+    def _held(self) -> DataFrame:
+        return self._read("chunks", [*self.schema.fields, T.StructField("_version", T.LongType())]).join(self._newest(), [self.key, "_version", "_batch"], "left_semi")
+
+    def latest(self) -> DataFrame:
+        return self._held().select(*self.schema.names)
+
+    def compact(self) -> None:
+        """Writes what holds of all batches so far as one folder."""
+        done = [int(n[7:]) for n in self._folders("versions") if n.startswith("_batch=")]
+        if done:
+            self._held().write.mode("overwrite").parquet(f"{self.path}/chunks/upto={max(done)}")
+            self._newest().write.mode("overwrite").parquet(f"{self.path}/versions/upto={max(done)}")
+
+
+def ingest(docs: DataFrame, chunk: Callable[[DataFrame], DataFrame], key: str, version: str | None = None, every: int = 16) -> DataFrame:
+    """The chunks of a stream of documents (a row a document, with its ``version`` if it has one), as ``Chunks`` keeps them; batches are compacted every so many."""
+    at = new_folder(docs.sparkSession, "stream")
+    table = Chunks(docs.sparkSession, at, key, chunk(docs).schema)
 
+    def put(batch: DataFrame, number: int) -> None:
+        table.put(batch, chunk, version, number)
+        if number % every == every - 1:
+            table.compact()
 
-def ingest(docs: DataFrame, chunk: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
-    """Chunks of a stream of documents, upserted into a table by ``keys``; later batches win."""
-    at, schema = new_folder(docs.sparkSession, "stream"), chunk(docs).schema
-    docs.writeStream.option("checkpointLocation", f"{at}/log").trigger(availableNow=True).foreachBatch(lambda batch, number: _put(chunk(batch), number, f"{at}/chunks")).start().awaitTermination()
-    return _latest(docs.sparkSession, schema, f"{at}/chunks", keys)
+    docs.writeStream.option("checkpointLocation", f"{at}/log").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return table.latest()

@@ -357,3 +357,85 @@ def test_compatibility_form(spark):
 def test_text_functions(spark):
     r = spark.range(1).select(tx.strip(F.lit("  x  ")).alias("s"), tx.safe_filename(F.lit("a/b\\c d*.TXT")).alias("n"), tx.format_bytes(F.lit(2048)).alias("b"), F.size(tx.shingles3(F.lit("One two"))).alias("g")).first()
     assert (r.s, r.n, r.b, r.g) == ("x", "c d_.TXT", "2.0 KB", 1)
+
+
+def test_slices_of_a_key_that_holds_all_rows(spark):
+    """Rates and runs with one key, over many slices, against plain loops; repeated times and indexes, borders."""
+    rng = random.Random(6)
+    times = sorted([rng.randrange(4000) for _ in range(300)] + [800, 800, 1599, 1600, 3200])
+    events = spark.createDataFrame([(i, 1, dt.datetime.fromtimestamp(1_700_000_000 + t, dt.timezone.utc)) for i, t in enumerate(times)], "event_id int, user_id int, ts timestamp")
+    for slices in (1, 4):
+        got = {r.event_id: (r.n_recent, int(r.oldest.timestamp()) - 1_700_000_000) for r in ro.sliding_rate(events, 100, ["user_id"], slices).collect()}
+        assert got == {i: (len(near), min(near)) for i, t in enumerate(times) if (near := [u for u in times if t - 100 <= u <= t])}
+    plan = ro.sliding_rate(events, 100, ["user_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(user_id" in plan and "_slice" in plan.split("hashpartitioning(user_id")[1].split(")")[0]
+    indexes = [i for i in range(0, 500) if i % 37 and i not in (10, 11, 64, 127)] + [5, 5, 63, -1, -2, -64, -65]
+    rows = spark.createDataFrame([("k", i) for i in indexes], "key string, i long")
+    want, held = [], sorted(set(indexes))
+    for i in held:
+        if want and i == want[-1][1] + 1:
+            want[-1][1] = i
+        else:
+            want.append([i, i])
+    for width in (1, 8, 64, 1 << 16):
+        got = sorted((r["first"], r["last"], r.n) for r in ro.adjoining_runs(rows, ["key"], "i", width).collect())
+        assert got == [(a, b, sum(a <= i <= b for i in indexes)) for a, b in want]
+
+
+def test_overlapping_spans_equal_all_pairs(spark):
+    rng = random.Random(7)
+    spans = lambda n: [(rng.choice("ab"), i, s := rng.randrange(-300, 5000), s + rng.choice([0, 1, 5, 64, 65, 500, 512, 4000, rng.randrange(1, 300)])) for i in range(n)]
+    one, two = spans(150), spans(150)
+    a, b = spark.createDataFrame(one, "key string, a int, s long, e long"), spark.createDataFrame(two, "key string, b int, s2 long, e2 long")
+    want = sorted((x[1], y[1]) for x in one for y in two if x[0] == y[0] and max(x[2], y[2]) < min(x[3], y[3]))
+    for width, step in ((64, 8), (1, 2), (10_000, 8)):
+        assert sorted((r.a, r.b) for r in ro.overlapping(a, b, ["key"], ("s", "e"), ("s2", "e2"), width, step).collect()) == want
+
+
+def test_many_spans_that_overlap_little_make_no_square(spark):
+    """One key with 100,000 spans: the join hands on about as many rows as there are pairs, not their square."""
+    a = spark.range(100_000).selectExpr("'k' AS key", "id AS a", "id * 40 AS s", "id * 40 + 50 AS e")
+    b = spark.range(100_000).selectExpr("'k' AS key", "id AS b", "id * 40 + 20 AS s2", "id * 40 + 45 AS e2")
+    assert ro.overlapping(a, b, ["key"], ("s", "e"), ("s2", "e2")).count() == 100_000 + 99_999
+    gold = b.selectExpr("key", "s2 AS start", "e2 AS end")
+    assert [tuple(r) for r in ev.span_coverage(gold, a.filter("a % 3 = 0").selectExpr("key", "s AS start", "e AS end")).collect()] == [("k", 100_000, 33_334)]
+
+
+def test_span_coverage_equals_brute_force(spark):
+    rng = random.Random(8)
+    spans = lambda n, w: [(rng.choice("abc"), s := rng.randrange(60), s + rng.randrange(1, w)) for _ in range(n)]
+    gold, evidence = [*spans(60, 12), ("z", 1, 2)], [*spans(40, 9), ("y", 0, 9)]
+    frame = lambda x: spark.createDataFrame(x, "key string, start int, end int")
+    got = {r.key: (r.spans, r.covered) for r in ev.span_coverage(frame(gold), frame(evidence)).collect()}
+    held = {k: {i for key, s, e in evidence if key == k for i in range(s, e)} for k in "abcz"}
+    assert got == {k: (len({g for g in gold if g[0] == k}), sum(set(range(s, e)) <= held[k] for key, s, e in set(gold) if key == k)) for k in {g[0] for g in gold}}
+
+
+def test_overlap_threshold_and_merge_by_definition():
+    rng = random.Random(9)
+    words = ["alpha", "beta", "gamma", "de", "e"]
+    text = lambda n: "".join(rng.choice(words) + rng.choice([" ", "  ", "\n"]) for _ in range(n)).strip()
+    for _ in range(1500):
+        a, b = text(rng.randrange(1, 14)), text(rng.randrange(1, 14))
+        b = a[-rng.randrange(5, 60) :].lstrip() + b if rng.random() < 0.6 else b
+        exact = max((n for n in range(16, min(len(a), len(b), 600) + 1) if a.endswith(b[:n])), default=0)
+        alike = max((n for n in range(1, len(b) + 1) if not b[n - 1].isspace() and len(" ".join(b[:n].split())) >= 16 and (" ".join(a.split())).endswith(" ".join(b[:n].split()))), default=0)
+        assert cx.overlap_length(a, b) == (exact or alike)
+    assert [round(cx.threshold_for(s), 6) for s in (None, float("nan"), -1, 0, 0.25, 0.5, 0.6, 0.75, 0.875, 1, 3)] == [0.82, 0.82, 0.7, 0.7, 0.76, 0.82, 0.82, 0.82, 0.87, 0.92, 0.92]
+    assert cx.merge_texts("[Section: A]\n\none two three four five", "[section: B ]\n\nthree four five six seven", "[Section: A]\n\nend") == "[Section: A → B]\n\none two three four five three four five six seven end"
+    assert cx.merge_texts("one two three four five six", "two three four five six seven") == "one two three four five six seven" and cx.merge_texts("", "x") == "x"
+
+
+def test_packed_sources_hold_their_limits():
+    """Whatever comes: costs add up, budgets and caps hold, each passage is a source, merged, dropped or not reached, and sources don't repeat each other."""
+    rng = random.Random(10)
+    for _ in range(300):
+        index = rng.sample(range(40), 40)
+        rows = [{"query_id": 1, "chunk_id": i, "document_id": rng.randrange(3), "page": rng.randrange(2), "chunk_index": index[i], "content": " ".join(rng.choice("abcdefghij") * 3 for _ in range(rng.choice([2, 9, 60, 300]))), "score": rng.random(), "place": i + 1} for i in range(rng.randrange(1, 32))]
+        tokens, snippet = rng.choice([100, 700, 6400]), rng.choice([200, 1800])
+        kept, used, dropped, merged = cx.pack([dict(r) for r in rows], tokens=tokens, snippet=snippet)
+        assert 1 <= len(kept) <= 12 and used == sum(-(-len(k["snippet"]) // 4) + 24 for k in kept) and (used <= tokens or len(kept) == 1)
+        assert len(kept) + dropped + merged <= len(rows) and [k["place"] for k in kept] == sorted(k["place"] for k in kept)
+        assert all(len(k["snippet"]) <= max(snippet, 304) and k["low"] <= k["chunk_index"] <= k["high"] for k in kept)
+        pages = [(k["document_id"], k["page"]) for k in kept]
+        assert max(map(pages.count, pages)) <= 2 and len({(*p, i) for p, k in zip(pages, kept) for i in range(k["low"], k["high"] + 1)}) == sum(k["high"] - k["low"] + 1 for k in kept)
