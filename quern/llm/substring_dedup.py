@@ -7,10 +7,10 @@ occurs at least as often as any of its windows. So the count of its anchor overe
 windows whose anchor occurs once loses none. Anchors are about one word in twelve, which is why they are counted in
 the windows' stead.
 
-First pass. A task packs its documents in units of UNIT_BYTES. A unit's distinct anchors, with a mark for those it has
-more than once, are its partial sketch, cut by the anchors' leading bits into shards. A shard, whose number
-grows with the corpus, merges its parts of all units in one count-min sketch of its own, sized by what it holds, and tells
-each unit which of its anchors are estimated to occur twice or more. So no task holds more than a shard.
+First pass. A task packs its documents in units of UNIT_BYTES and fills a count-min sketch for each: DEPTH rows of cells, as
+many as the bytes of all texts ask for, that tell none, one, or more. A unit's sketch is sent as its filled cells, in ranges whose
+number grows with the corpus. A range adds the cells of all units' sketches, in one array of its own size, and tells each unit which of its cells
+hold two or more. An anchor all of whose cells do is estimated to be repeated. So sketches are merged by cell, and no task holds more than a range.
 
 Second pass. The windows with such an anchor get a 128-bit BLAKE2 digest. Digests go in blocks: a task sends each
 distinct digest of a block once, with a mark if the block has it more than once, to the bucket of
@@ -39,8 +39,8 @@ from pyspark.sql import types as T
 from quern.llm.common import ceil_div, partitions, schema_of, shared_dir, tasks_for, text_bytes, texts
 
 SIZE, GRAM, DEPTH = 35, 12, 3
-#: Cells of a sketch row for each anchor of a shard, and anchors that are put in or asked at once.
-CELLS, STEP = 4, 1 << 20
+#: Cells of a sketch row for each anchor, and bytes of text for an anchor, about a dozen words; both bear only on how many windows are looked at in vain.
+CELLS, ANCHOR_BYTES = 4, 72
 #: Bytes of text of a unit (at most, and not above a quarter of a task's share), of a page of one, of a block, of a shard's share and of a bucket's share; windows of a block.
 UNIT_BYTES, PAGE_BYTES, BLOCK_BYTES, SHARD_BYTES, BUCKET_BYTES, BLOCK = 32 << 20, 4 << 20, 8 << 20, 512 << 20, 64 << 20, 1_000_000
 #: How hard texts are packed; bytes of a digest beyond its leading eight.
@@ -99,28 +99,29 @@ def anchors(words: list[bytes], hashes: WordHashes, size: int = SIZE, gram: int
     return m, g[_slide(np.maximum, np.concatenate([edge, m, edge]), spread) == g]
 
 
-def _cells(h: np.ndarray, width: int) -> np.ndarray:
-    """Cell numbers of hashes in each row of a sketch: (DEPTH, len(h)); width is a power of two."""
-    return np.stack([(_mix(h + np.uint64(MULTIPLIER * (r + 1) % (1 << 64))) & np.uint64(width - 1)) + np.uint64(r * width) for r in range(DEPTH)])
+def _cells(h: np.ndarray, width: int, row: int) -> np.ndarray:
+    """The cell of each hash in a row of a sketch; width is a power of two."""
+    return _mix(h + np.uint64(MULTIPLIER * (row + 1) % (1 << 64))) & np.uint64(width - 1)
 
 
-class Sketch:
-    """A count-min sketch whose cells tell none, one, or more."""
+def sketch_width(n_bytes: int) -> int:
+    """Cells of a sketch row, a power of two: CELLS for each anchor that so many bytes of text are thought to hold."""
+    return 1 << max(10, (CELLS * n_bytes // ANCHOR_BYTES).bit_length())
 
-    def __init__(self, entries: int):
-        self.width = 1 << max(6, (CELLS * entries - 1).bit_length())
-        self.cells = np.zeros(DEPTH * self.width, np.uint8)
 
-    def add(self, h: np.ndarray, more: np.ndarray) -> None:
-        """Counts hashes once, and those marked in ``more`` twice."""
-        for i in range(0, len(h), STEP):
-            at = _cells(h[i : i + STEP], self.width)
-            at, n = np.unique(np.concatenate([at, at[:, more[i : i + STEP] > 0]], axis=1), return_counts=True)
-            self.cells[at] = np.minimum(self.cells[at] + np.minimum(n, 2), 2)
+def sketch(h: np.ndarray, times: np.ndarray, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each row of a sketch of distinct hashes that occur so many times: its filled cells, ascending, and whether they hold more than one."""
+    out = []
+    for row in range(DEPTH):
+        cells, of = np.unique(_cells(h, width, row), return_inverse=True)
+        out.append((cells, np.bincount(of, weights=times, minlength=len(cells)) > 1))
+    return out
+
 
-    def repeated(self, h: np.ndarray) -> np.ndarray:
-        """Whether the estimate of each hash is two or more."""
-        return np.concatenate([np.zeros(0, bool), *((self.cells[_cells(h[i : i + STEP], self.width)] > 1).all(axis=0) for i in range(0, len(h), STEP))])
+def _in(cells: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which cells are among ascending known ones."""
+    at = np.minimum(np.searchsorted(known, cells), max(0, len(known) - 1))
+    return known[at] == cells if len(known) else np.zeros(len(cells), bool)
 
 
 def _sha(words) -> str:
@@ -216,10 +217,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_bytes = text_bytes(rows)
     n, shards, buckets = tasks_for(rows, n_bytes), *(max(partitions(spark), ceil_div(n_bytes, x)) for x in (SHARD_BYTES, BUCKET_BYTES))
     unit_bytes = min(UNIT_BYTES, ceil_div(n_bytes, 4 * n))
+    width = sketch_width(n_bytes)
+    span = ceil_div(width, shards)  # cells of a range
     kind_id = schema_of(rows, "id")
     field = lambda name, kind: T.StructField(name, kind)
     # kind 0: a document that is done; 1: a page of a unit, or a block, with its documents' ids and texts;
-    # 2: a unit's anchors (a) or a block's digests (a, b) in one shard or bucket, with marks (c) for those that it has more than once
+    # 2: a unit's cells (a) in one range of a sketch row, or a block's digests (a, b) in one bucket, with marks (c) for those that hold more than one
     state = T.StructType([
         field("of", T.StringType()), field("at", T.IntegerType()), *(field(c, T.BinaryType()) for c in "abc"), field("ids", T.ArrayType(kind_id.dataType)), field("sizes", T.ArrayType(T.IntegerType())),
         kind_id, field("n_words", T.LongType()), field("n_removed", T.LongType()), field("kept_sha256", T.StringType()), field("kind", T.IntegerType()),
@@ -247,9 +250,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         def put_page() -> pa.RecordBatch:
             return out(1, of=[f"{part}-{serial}"], at=[page], a=[squeeze(b"\n".join(packed))], ids=_lists(ids), kind=[1])
 
-        def put_anchors() -> pa.RecordBatch:
-            h, times = np.unique(np.concatenate(held), return_counts=True)
-            return parts(f"{part}-{serial}", h, None, times > 1, shards)
+        def put_sketch() -> Iterator[pa.RecordBatch]:
+            for row, (cells, more) in enumerate(sketch(*np.unique(np.concatenate(held), return_counts=True), width)):
+                starts = np.searchsorted(cells, np.arange(shards + 1, dtype=np.uint64) * np.uint64(span))
+                full = np.flatnonzero(np.diff(starts))
+                cut = [slice(starts[k], starts[k + 1]) for k in full]
+                yield out(len(full), of=[f"{part}-{serial}"] * len(full), at=(row * shards + full).astype(np.int32), a=[pack(cells[x]) for x in cut], c=[np.packbits(more[x]).tobytes() for x in cut], kind=[2] * len(full))
 
         for b in batches:
             short, short_words = [], []
@@ -267,29 +273,27 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     yield put_page()
                     ids, packed, in_page, page = [], [], 0, page + 1
                 if in_unit >= unit_bytes:
-                    yield put_anchors()
+                    yield from put_sketch()
                     held, in_unit, page, serial = [], 0, 0, serial + 1
             if short:
                 yield done(short, short_words)
         if ids:
             yield put_page()
         if held:
-            yield put_anchors()
+            yield from put_sketch()
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, units in _by(batches, "at"):
-            held = [unpack(u["a"]) for u in units]
-            sizes, h = [len(x) for x in held], np.concatenate(held)
-            sketch = Sketch(len(h))
-            sketch.add(h, marks(units, sizes))
-            again = np.split(sketch.repeated(h), np.cumsum(sizes)[:-1])
-            # the leading half of an anchor is enough to find it in its unit; others with the same half pass too
-            told = [pack(np.unique(x[r] >> np.uint64(32))) for x, r in zip(held, again, strict=True)]
-            yield out(len(units), of=[u["of"] for u in units], at=[shard] * len(units), a=told, kind=[0] * len(units))
+        for at, units in _by(batches, "at"):
+            base, merged, held = np.uint64(at % shards * span), np.zeros(span, np.uint8), [unpack(u["a"]) for u in units]
+            for u, cells in zip(units, held, strict=True):
+                here = (cells - base).astype(np.int64)
+                merged[here] = np.minimum(merged[here] + 1 + marks([u], [len(cells)]), 2)
+            told = [pack(cells[merged[(cells - base).astype(np.int64)] > 1]) for cells in held]
+            yield out(len(units), of=[u["of"] for u in units], at=[at] * len(units), a=told, kind=[0] * len(units))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, loosen, squeeze = WordHashes(), zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=LEVEL).compress
-        part, unit, flagged, serial, held, n_held, in_block = TaskContext.get().partitionId(), None, [], 0, [], 0, 0
+        part, unit, told_, flagged, serial, held, n_held, in_block = TaskContext.get().partitionId(), None, [], None, 0, [], 0, 0
 
         def block() -> Iterator[pa.RecordBatch]:
             name, raw = f"{part}-{serial}", np.frombuffer(b"".join(raw for *_, raw in held), np.uint8).reshape(-1, 8 + REST)
@@ -306,18 +310,18 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             for r in range(len(b)):
                 if unit != b.column("of")[r].as_py():
-                    unit, flagged = b.column("of")[r].as_py(), []
+                    unit, told_, flagged = b.column("of")[r].as_py(), [[] for _ in range(DEPTH)], None
                 if b.column("kind")[r].as_py() == 0:
-                    flagged.append(b.column("a")[r].as_py())
+                    told_[b.column("at")[r].as_py() // shards].append(b.column("a")[r].as_py())
                     continue
-                if not isinstance(flagged, np.ndarray):
-                    flagged = np.concatenate([np.zeros(0, np.uint64), *map(unpack, flagged)])  # in ascending order, as shards are ranges
+                if flagged is None:  # in ascending order, as rows come by range
+                    flagged = [np.concatenate([np.zeros(0, np.uint64), *map(unpack, x)]) for x in told_]
                 ids, clean, clean_words = b.column("ids")[r].values, [], []
                 for k, text in enumerate(loosen(b.column("a")[r].as_py()).split(b"\n")):
                     w = text.split()
-                    anchor, inverse = np.unique(anchors(w, hashes, size)[0] >> np.uint64(32), return_inverse=True)
-                    near = np.searchsorted(flagged, anchor)
-                    pos = np.flatnonzero(((near < len(flagged)) & (flagged[np.minimum(near, len(flagged) - 1)] == anchor))[inverse]) if len(flagged) else np.zeros(0, np.int64)
+                    anchor, inverse = np.unique(anchors(w, hashes, size)[0], return_inverse=True)
+                    again = np.logical_and.reduce([_in(_cells(anchor, width, row), f) for row, f in enumerate(flagged)])
+                    pos = np.flatnonzero(again[inverse])
                     if not len(pos):
                         clean.append(ids.slice(k, 1))
                         clean_words.append(w)
@@ -380,6 +384,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return replies.unionByName(held.filter("kind = 1")).repartition(n, "of").sortWithinPartitions("of", "kind", "at")
 
     first = saved(rows.mapInArrow(store, state))
-    second = saved(told(first, estimate, shards).mapInArrow(candidates, state))
+    second = saved(told(first, estimate, DEPTH * shards).mapInArrow(candidates, state))
     cut = told(second, answer, buckets).mapInArrow(finish, state)
     return first.filter("kind = 0").unionByName(second.filter("kind = 0")).unionByName(cut).select(F.col("id").alias(id_col), *done_names[1:])

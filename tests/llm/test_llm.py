@@ -273,20 +273,38 @@ def test_sketch_never_underestimates():
     h = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
     parts = [rng.choice(h, n, replace=False) for n in (2000, 1500, 900)]
     more = [(rng.random(len(p)) < 0.1).astype(np.uint8) for p in parts]
-    sketch = substring_dedup.Sketch(sum(map(len, parts)))
+    width = substring_dedup.sketch_width(substring_dedup.ANCHOR_BYTES * sum(map(len, parts)))
+    merged = np.zeros((substring_dedup.DEPTH, width), int)
     for p, m in zip(parts, more, strict=True):
-        sketch.add(p, m)
+        order = np.argsort(p)
+        for row, (cells, twice) in enumerate(substring_dedup.sketch(p[order], 1 + m[order], width)):
+            assert (np.diff(cells.astype(np.int64)) > 0).all()
+            merged[row, cells.astype(np.int64)] += 1 + twice
     times = {}
     for p, m in zip(parts, more, strict=True):
         for x, twice in zip(p.tolist(), m.tolist(), strict=True):
             times[x] = times.get(x, 0) + 1 + twice
-    said = dict(zip(h.tolist(), sketch.repeated(h).tolist(), strict=True))
+    said = dict(zip(h.tolist(), np.logical_and.reduce([merged[r, substring_dedup._cells(h, width, r).astype(np.int64)] > 1 for r in range(substring_dedup.DEPTH)]).tolist(), strict=True))
     for x in (h[:0], h[:1], np.sort(h[:2]), np.unique(h), np.array([5, 5, 6, 2**64 - 1], np.uint64)):
         assert (substring_dedup.unpack(substring_dedup.pack(x)) == x).all() and len(substring_dedup.pack(np.unique(h))) < 8 * len(h)
     assert all(said[x] for x, n in times.items() if n > 1)
     assert sum(said[x] for x, n in times.items() if n == 1) < 0.03 * len(times)
 
 
+def test_a_passage_in_every_unit_and_block(spark, monkeypatch):
+    """One anchor stands in every unit's sketch and one digest in every block, and nothing else repeats; with sketches so small that all cells are shared, too."""
+    rng = random.Random(3)
+    passage = words(rng, 40, 400)
+    texts = [" ".join(f"d{i}x{rng.randrange(10**7)}" for _ in range(50)) + " " + passage + f" end{i}" for i in range(60)]
+    for cells in (4, 1):
+        for name, x in (("UNIT_BYTES", 600), ("PAGE_BYTES", 300), ("SHARD_BYTES", 2000), ("BUCKET_BYTES", 2000), ("BLOCK", 6), ("CELLS", cells), ("ANCHOR_BYTES", 72 if cells > 1 else 10**6)):
+            monkeypatch.setattr(substring_dedup, name, x)
+        got = rows(substring_dedup.remove_repeats(docs_of(spark, texts)))
+        for i, t in enumerate(texts):
+            kept = [*t.split()[:50], f"end{i}"]
+            assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (91, 40, hashlib.sha256(" ".join(kept).encode()).hexdigest())
+
+
 @pytest.mark.parametrize(("broadcast", "hot"), [(100, 5), (2, 5), (0, 5), (2, 1)])
 def test_join_counted_gives_the_join(spark, monkeypatch, broadcast, hot):
     monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
