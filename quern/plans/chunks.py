@@ -66,8 +66,7 @@ def crumbs(spark, d):
 
 @query("chk_06_recursive_split")
 def split(spark, d):
-    pages = v.kb_documents(spark, d).select("document_id", F.lit(1).alias("page"), "text")
-    return ch.chunk_documents(pages).select("document_id", "chunk_index", F.length("content").alias("n_chars"))
+    return ch.split_documents(v.kb_documents(spark, d)).select("document_id", "chunk_index", F.length("content").alias("n_chars"))
 
 
 @query("chk_08_chunk_documents")

@@ -46,7 +46,7 @@ def cost(spark, d):
 
 @query("agg_05_nearest_rank_percentile", "SELECT user_id, quantile_disc(latency_ms, 0.9) AS p90 FROM kb_events GROUP BY 1")
 def nearest(spark, d):
-    return v.kb_events(spark, d).groupBy("user_id").agg(ro.disc(0.9, "latency_ms").alias("p90"))
+    return ro.exact_percentiles(v.kb_events(spark, d), "latency_ms", {"p90": 0.9}, ["user_id"])
 
 
 @query("agg_06_latency_summary", """SELECT event, count(*) AS n, quantile_disc(latency_ms, 0.5) AS p50, quantile_disc(latency_ms, 0.95) AS p95, quantile_disc(latency_ms, 0.99) AS p99, max(latency_ms) AS max, round(avg(latency_ms), 4) AS mean FROM kb_events GROUP BY 1""")

@@ -94,6 +94,15 @@ def text_files(spark, d):
     return files.read_text_files(spark, f"{path}/*/*").select(F.regexp_extract("path", "part=([0-9]+)", 1).cast("long").alias("part"), F.length("text").cast("long").alias("n_chars"), "problem")
 
 
+@query("src_03_read_text_lines", "SELECT doc_id // 100 AS part, sum(length(text) + 1)::BIGINT AS n_chars, NULL::VARCHAR AS problem FROM documents GROUP BY 1")
+def text_lines(spark, d):
+    """The same files, read by byte ranges."""
+    path = new_folder(spark)
+    v.kb_documents(spark, d).selectExpr("document_id DIV 100 AS part", "text").repartition("part").write.partitionBy("part").text(path)
+    report = files.text_file_report(files.read_text_lines(spark, f"{path}/*/*"))
+    return report.select(F.regexp_extract("path", "part=([0-9]+)", 1).cast("long").alias("part"), "n_chars", "problem")
+
+
 @query("src_06_load_gold_manifest", """q AS (SELECT item_id // 10 AS part, item_id % 39 AS id, item_id * 53 % 1500 AS document_id FROM benchmark),
   a AS (SELECT DISTINCT part, document_id, content_hash FROM q JOIN kb_documents USING (document_id))
 

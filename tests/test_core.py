@@ -439,3 +439,32 @@ def test_packed_sources_hold_their_limits():
         assert all(len(k["snippet"]) <= max(snippet, 304) and k["low"] <= k["chunk_index"] <= k["high"] for k in kept)
         pages = [(k["document_id"], k["page"]) for k in kept]
         assert max(map(pages.count, pages)) <= 2 and len({(*p, i) for p, k in zip(pages, kept) for i in range(k["low"], k["high"] + 1)}) == sum(k["high"] - k["low"] + 1 for k in kept)
+
+
+def test_a_large_text_file_is_read_by_several_tasks(spark, tmp_path):
+    """Byte ranges of one file, with wide characters at their borders; what is found is what the whole file gives."""
+    text = "".join(f"{i} é 語 line {'x' * (i % 90)}\n" for i in range(30_000)) + "no feed at the end"
+    cases = {"good.txt": text.encode(), "bad.txt": text.encode() + b"\n\xff\xfe", "nul.txt": b"a\nb\0c\n", "pdf.txt": b"%PDF-1.7\nx", "late.txt": b"x\n%PDF-1.7\n", "cr.txt": b"a\r\nb\r\n"}
+    for name, data in cases.items():
+        (tmp_path / name).write_bytes(data)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 200_000)
+    try:
+        lines = files.read_text_lines(spark, str(tmp_path))
+        assert lines.filter(F.endswith("path", F.lit("good.txt"))).select("block").distinct().count() >= 8
+        got = {r.path.rsplit("/", 1)[1]: r for r in files.text_file_report(lines).collect()}
+        whole = {r.path.rsplit("/", 1)[1]: r for r in files.read_text_files(spark, str(tmp_path)).collect()}
+        ordered = lines.filter(F.endswith("path", F.lit("good.txt"))).orderBy("block", "line").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert "\n".join(r.content for r in ordered) == text
+    assert {n: (r.problem, r.n_chars) for n, r in got.items()} == {n: (r.problem, None if r.text is None else len(r.text)) for n, r in whole.items()}
+    assert got["good.txt"].n_lines == 30_001
+
+
+def test_documents_of_one_page_are_split_where_they_are_read(spark):
+    texts = [None, "", " ", "# Head\n\nSome words here. " + "More of them follow. " * 200, "| a | b |\n|---|---|\n" + "| c | d |\n" * 300, "plain " * 5000]
+    docs = spark.createDataFrame([(None if i == 3 else i, t) for i, t in enumerate(texts)], "document_id long, text string")
+    got = ch.split_documents(docs)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = ch.chunk_documents(docs.select("document_id", F.lit(1).alias("page"), "text"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
