@@ -42,7 +42,9 @@ SIZE, GRAM, DEPTH = 35, 12, 3
 #: Cells of a sketch row for each anchor, and bytes of text for an anchor, about a dozen words; both bear only on how many windows are looked at in vain.
 CELLS, ANCHOR_BYTES = 4, 72
 #: Bytes of text of a unit (at most, and not above a quarter of a task's share), of a page of one, of a block, of a shard's share and of a bucket's share; windows of a block.
-UNIT_BYTES, PAGE_BYTES, BLOCK_BYTES, SHARD_BYTES, BUCKET_BYTES, BLOCK = 32 << 20, 4 << 20, 8 << 20, 512 << 20, 64 << 20, 1_000_000
+UNIT_BYTES, PAGE_BYTES, BLOCK_BYTES, SHARD_BYTES, BUCKET_BYTES, BLOCK = 32 << 20, 4 << 20, 8 << 20, 1 << 30, 64 << 20, 1_000_000
+#: Ranges of a sketch row at least; their number follows the bytes alone, since each unit has a row for each range.
+LEAST_RANGES = 4
 #: How hard texts are packed; bytes of a digest beyond its leading eight.
 LEVEL, REST = 7, 8
 #: Words whose hash a worker remembers, and the bytes of such a word, at most.
@@ -215,7 +217,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     n_bytes = text_bytes(rows)
-    n, shards, buckets = tasks_for(rows, n_bytes), *(max(partitions(spark), ceil_div(n_bytes, x)) for x in (SHARD_BYTES, BUCKET_BYTES))
+    n, shards, buckets = tasks_for(rows, n_bytes), max(LEAST_RANGES, ceil_div(n_bytes, SHARD_BYTES)), max(partitions(spark), ceil_div(n_bytes, BUCKET_BYTES))
     unit_bytes = min(UNIT_BYTES, ceil_div(n_bytes, 4 * n))
     width = sketch_width(n_bytes)
     span = ceil_div(width, shards)  # cells of a range
