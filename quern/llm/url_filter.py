@@ -4,7 +4,8 @@ Pages are first grouped by host and generalised path: numbers, long hexadecimal
 segments become placeholders. The groups of a host form a tree of segments. Level by level, from
 the top, a node's children without labelled pages become one wildcard branch, and a child whose rate of
 bad labelled pages does not differ from its siblings' (two-proportion z test) joins it too; a child that
-differs keeps its name, however few or many siblings it has. Levels go on until no segments are left.
+differs keeps its name, however few or many siblings it has. Levels go on until no segments are left. A node below which
+no page is labelled is closed: all its further levels follow from one count of segments by place, so jobs are made for the levels of labelled pages only, not for the deepest url.
 A template is rejected when its smoothed purity, the share of good labelled pages drawn toward the share
 of all, is below the threshold. Explicit rules come first: the longest that fits decides.
 
@@ -54,6 +55,19 @@ def _general(segment):
     return out
 
 
+def _wildcards(closed: DataFrame) -> DataFrame:
+    """Groups of nodes without labelled pages, with their whole template, all levels at once.
+
+    There, all children of a node with several join, so a level is one node: its name is its only segment, or the wildcard. ``at`` is the first such level.
+    """
+    rest = F.slice("segments", F.col("at"), F.size("segments"))
+    level = closed.select("host", "template", "at", F.posexplode(rest).alias("i", "s")).groupBy("host", "template", "at", "i").agg(F.min("s").alias("least"), F.max("s").alias("most"))
+    level = level.select("host", "template", "at", F.struct("i", F.when(F.col("least") == F.col("most"), F.col("least")).otherwise("*").alias("name")).alias("x"))
+    names = level.groupBy("host", "template", "at").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["name"]).alias("names"))
+    tail = F.array_join(F.slice("names", F.lit(1), F.size("segments") - F.col("at") + 1), "/")
+    return closed.join(names, ["host", "template", "at"]).select("host", "segments", "n", "labelled", "bad", F.concat("template", F.lit("/"), tail).alias("template"))
+
+
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", depth: int | None = None) -> DataFrame:
     """One row per page: id_col, host, path, rule, verdict, template, n_labelled, purity.
 
@@ -72,10 +86,11 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]
     counted = rows.groupBy("host", "segments", "doc").agg(F.count("*").alias("n")).join(marks, "doc", "left")
     groups = written(counted.groupBy("host", "segments").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("bad").isNotNull(), F.col("n")).otherwise(0)).alias("labelled"), F.sum(F.coalesce(F.col("bad") * F.col("n"), F.lit(0))).alias("bad")))
 
-    tree, done, k = groups.select("*", F.lit("").alias("template"), (F.size("segments") == 0).alias("ended")), [], 0
+    tree, done, closed, k = groups.select("*", F.lit("").alias("template"), (F.size("segments") == 0).alias("ended"), F.lit(False).alias("closed")), [], [], 0
     while True:
-        done.append(tree.filter("ended"))
-        tree = tree.filter("NOT ended")
+        done.append(tree.filter("ended AND NOT closed").drop("closed"))
+        closed.append(tree.filter("closed").select("host", "segments", "n", "labelled", "bad", "template", F.lit(k).alias("at")))
+        tree = tree.filter("NOT ended AND NOT closed").drop("ended", "closed")
         if tree.isEmpty():
             break
         k += 1
@@ -86,12 +101,13 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]
         pooled = (b + 0.5) / (o + 1)
         z = F.abs((a + 0.5) / (m + 1) - (b - a + 0.5) / (o - m + 1)) / F.sqrt(pooled * (1 - pooled) * (1 / (m + 1) + 1 / (o - m + 1)))
         joins = (F.col("children") > 1) & ((F.col("labelled") == 0) | (z <= Z))
-        name = child.join(node, ["host", "template"]).select("host", "template", "child", F.when(joins, F.lit("*")).otherwise(F.col("child")).alias("name"), (F.col("all_groups") == 1).alias("alone"))
+        name = child.join(node, ["host", "template"]).select("host", "template", "child", F.when(joins, F.lit("*")).otherwise(F.col("child")).alias("name"), (F.col("all_groups") == 1).alias("alone"), (F.col("all_labelled") == 0).alias("closed"))
         # a group alone in its node has no siblings further down and keeps all its names
-        names = F.when(F.col("alone"), F.array_join(F.slice("segments", k, F.size("segments")), "/")).otherwise(F.col("name"))
-        tree = tree.join(name, ["host", "template", "child"]).select("host", "segments", "n", "labelled", "bad", F.concat("template", F.lit("/"), names).alias("template"), (F.col("alone") | (F.size("segments") == k)).alias("ended"))
+        names = F.when(F.col("closed"), "").when(F.col("alone"), F.concat(F.lit("/"), F.array_join(F.slice("segments", k, F.size("segments")), "/"))).otherwise(F.concat(F.lit("/"), "name"))
+        ended = ~F.col("closed") & (F.col("alone") | (F.size("segments") == k))
+        tree = tree.join(name, ["host", "template", "child"]).select("host", "segments", "n", "labelled", "bad", F.concat("template", names).alias("template"), ended.alias("ended"), "closed")
         tree = written(tree)  # each level reads its tree twice
-    tree = functools.reduce(DataFrame.unionAll, done)
+    tree = functools.reduce(DataFrame.unionAll, [*(d.drop("ended") for d in done), _wildcards(functools.reduce(DataFrame.unionAll, closed))])
     total = tree.agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).first()
     prior = 1 - (total.bad / total.labelled) if total.labelled else 1.0
     purity = tree.groupBy("host", "template").agg(F.sum("labelled").alias("n_labelled"), F.sum("bad").alias("bad")).withColumn("purity", F.round((F.col("n_labelled") - F.col("bad") + WEIGHT * prior) / (F.col("n_labelled") + WEIGHT), 6))
