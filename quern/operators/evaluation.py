@@ -57,6 +57,21 @@ def span_coverage(gold: DataFrame, evidence: DataFrame) -> DataFrame:
     return swept.groupBy("key").agg(F.count("*").alias("spans"), F.count_if("covered").alias("covered"))
 
 
+def readiness_issues(cases: DataFrame, categories: dict[str, int], splits: dict[str, int], total: int = 60) -> DataFrame:
+    """Unmet conditions of a set of cases (category, split): its size, categories below their least number, splits that miss theirs. A category or split without any case counts as zero."""
+    spark = cases.sparkSession
+
+    def held(targets: dict[str, int], by: str) -> DataFrame:
+        wanted = spark.createDataFrame(list(targets.items()), f"{by} string, target int")
+        return wanted.join(cases.groupBy(by).agg(F.count("*").alias("n")), by, "left").fillna(0, ["n"])
+
+    size = cases.agg(F.count("*").alias("n")).filter(F.col("n") != total).select(F.lit(f"REQUIRES_{total}_REVIEWED_QUESTIONS").alias("issue"))
+    few = held(categories, "category").filter("n < target").select(F.concat(F.lit("INSUFFICIENT_CATEGORY:"), "category").alias("issue"))
+    kind = F.when(F.col("n") > F.col("target"), "EXCESS").otherwise("INSUFFICIENT")
+    off = held(splits, "split").filter("n <> target").select(F.concat(kind, F.lit("_SPLIT:"), "split", F.lit(":"), F.col("target").cast("string")).alias("issue"))
+    return size.unionByName(few).unionByName(off)
+
+
 def threshold_gate(metrics: DataFrame, thresholds: list[tuple[str, str, float]]) -> DataFrame:
     """Violations of floors (min) and ceilings (max) by named metrics (metric, value)."""
     t = metrics.sparkSession.createDataFrame(thresholds, "metric string, bound string, threshold double")

@@ -123,20 +123,19 @@ def progress(spark, d):
     return by.select("category", (F.col("development") + F.col("held-out")).alias("total"), "development", F.col("held-out").alias("held_out"), target.alias("target"))
 
 
-@query("agg_15_readiness_issues", _CASES + """,
-  c AS (SELECT category, count(*) AS n FROM cases GROUP BY 1),
-  s AS (SELECT split, count(*) AS n FROM cases GROUP BY 1)
+SPLITS = {"development": 40, "held-out": 20}
+
+
+@query("agg_15_readiness_issues", _CASES + f""",
+  ct AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {n})" for k, n in TARGETS.items())}) t(category, target)),
+  st AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {n})" for k, n in SPLITS.items())}) t(split, m)),
+  c AS (SELECT category, any_value(target) AS target, count(id) AS n FROM ct LEFT JOIN cases USING (category) GROUP BY 1),
+  s AS (SELECT split, any_value(m) AS m, count(id) AS n FROM st LEFT JOIN cases USING (split) GROUP BY 1)""" + """
 ;; SELECT 'REQUIRES_60_REVIEWED_QUESTIONS' AS issue FROM cases HAVING count(*) <> 60
-  UNION ALL SELECT 'INSUFFICIENT_CATEGORY:' || category FROM c WHERE n < CASE category """ + " ".join(f"WHEN '{k}' THEN {n}" for k, n in TARGETS.items()) + """ END
-  UNION ALL SELECT CASE WHEN n > m THEN 'EXCESS' ELSE 'INSUFFICIENT' END || '_SPLIT:' || split || ':' || m FROM (SELECT *, CASE split
-    WHEN 'held-out' THEN 20 ELSE 40 END AS m FROM s) WHERE n <> m""")
+  UNION ALL SELECT 'INSUFFICIENT_CATEGORY:' || category FROM c WHERE n < target
+  UNION ALL SELECT CASE WHEN n > m THEN 'EXCESS' ELSE 'INSUFFICIENT' END || '_SPLIT:' || split || ':' || m FROM s WHERE n <> m""")
 def readiness(spark, d):
-    cases = kb_cases(spark, d)
-    n = cases.agg(F.count("*").alias("n")).filter("n <> 60").select(F.lit("REQUIRES_60_REVIEWED_QUESTIONS").alias("issue"))
-    need = spark.createDataFrame(list(TARGETS.items()), "category string, target int")
-    c = need.join(cases.groupBy("category").agg(F.count("*").alias("n")), "category", "left").filter("coalesce(n, 0) < target").select(F.concat(F.lit("INSUFFICIENT_CATEGORY:"), "category").alias("issue"))
-    s = cases.groupBy("split").agg(F.count("*").alias("n")).withColumn("m", F.when(F.col("split") == "held-out", 20).otherwise(40)).filter("n <> m").select(F.concat(F.when(F.col("n") > F.col("m"), "EXCESS").otherwise("INSUFFICIENT"), F.lit("_SPLIT:"), "split", F.lit(":"), F.col("m").cast("string")).alias("issue"))
-    return n.unionByName(c).unionByName(s)
+    return ev.readiness_issues(kb_cases(spark, d), TARGETS, SPLITS)
 
 
 @query("agg_16_aggregate_measurements", _CASES + ";; SELECT category, count(score) AS measured, count(*) - count(score) AS missing, round(avg(score), 6) AS mean FROM cases GROUP BY 1")

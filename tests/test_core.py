@@ -468,3 +468,10 @@ def test_documents_of_one_page_are_split_where_they_are_read(spark):
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     want = ch.chunk_documents(docs.select("document_id", F.lit(1).alias("page"), "text"))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_readiness_of_cases_that_lack_categories_and_splits(spark):
+    of = lambda rows: sorted(r.issue for r in ev.readiness_issues(spark.createDataFrame(rows, "category string, split string"), {"a": 2, "b": 1}, {"dev": 2, "out": 1}, 3).collect())
+    assert of([]) == ["INSUFFICIENT_CATEGORY:a", "INSUFFICIENT_CATEGORY:b", "INSUFFICIENT_SPLIT:dev:2", "INSUFFICIENT_SPLIT:out:1", "REQUIRES_3_REVIEWED_QUESTIONS"]
+    assert of([("a", "dev"), ("a", "dev"), ("a", "dev")]) == ["EXCESS_SPLIT:dev:2", "INSUFFICIENT_CATEGORY:b", "INSUFFICIENT_SPLIT:out:1"]
+    assert of([("a", "dev"), ("a", "dev"), ("b", "out")]) == []
