@@ -58,13 +58,18 @@ def _latest(spark: SparkSession, schema: T.StructType, path: str, keys: list[str
     return out.drop("_batch")
 
 
-def drain(df: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
-    """Runs a stream over all there is. In update mode the last row of each key stays."""
+def _run(df: DataFrame, mode: str) -> str:
+    """Runs a stream over all there is; the folder with its batches in ``out`` and its checkpoint in ``log``."""
     at = new_folder(df.sparkSession, "stream")
     with keyed_state(df.sparkSession):
         query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).foreachBatch(lambda batch, number: _put(batch, number, f"{at}/out")).start()
     query.awaitTermination()
-    return _latest(df.sparkSession, df.schema, f"{at}/out", keys if mode == "update" else None)
+    return at
+
+
+def drain(df: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream over all there is. In update mode the last row of each key stays."""
+    return _latest(df.sparkSession, df.schema, f"{_run(df, mode)}/out", keys if mode == "update" else None)
 
 
 def telemetry_rollup(events: DataFrame, width: str = "1 day") -> DataFrame:
@@ -141,6 +146,21 @@ def exact_limiter(events: DataFrame, limit: int, seconds: int, late: str = RETEN
     return rows.groupBy("user_id").transformWithStateInPandas(Limiter(limit, seconds), "event_id long, user_id long, admitted boolean", "Append", "EventTime")
 
 
+def limit_all(events: DataFrame, limit: int, seconds: int, late: str = RETENTION) -> DataFrame:
+    """``exact_limiter`` over all there is: when the stream has ended, what still waits in its state is judged too."""
+    spark, stream = events.sparkSession, exact_limiter(events, limit, seconds, late)
+    at = _run(stream, "append")
+
+    def judge(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        waiting = frame[frame["event_id"].notna()].sort_values(["us", "event_id"])
+        admitted, _ = admit(waiting["us"].tolist(), sorted(frame.loc[frame["event_id"].isna(), "us"].tolist()), limit, seconds * 1_000_000)
+        return pd.DataFrame({"event_id": waiting["event_id"].astype("int64"), "user_id": key[0], "admitted": admitted})
+
+    held = lambda name, *more: spark.read.format("statestore").option("stateVarName", name).load(f"{at}/log").select("key.user_id", "list_element.us", *more)
+    rest = held("waiting", "list_element.event_id").unionByName(held("accepted", F.lit(None).cast("long").alias("event_id")))
+    return _latest(spark, stream.schema, f"{at}/out", None).unionByName(rest.groupBy("user_id").applyInPandas(judge, stream.schema))
+
+
 def without_repeats(df: DataFrame, key: str, ts: str, within: str = RETENTION) -> DataFrame:
     """The first row of each key; a repeat after more than ``within`` is a first row again, as the state is gone by then."""
     return df.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])

@@ -105,6 +105,11 @@ def test_limiter_does_not_depend_on_batches(spark, tmp_path):
             feed.add(rows[at : at + 40 + 20 * k])
         got = st.drain(st.exact_limiter(feed.add(end).stream(), 3, 600)).filter("user_id < 9").collect()
         assert {r.event_id: r.admitted for r in got} == want and len(got) == 120
+        few = Feed(spark, tmp_path / f"all{k}", "event_id long, user_id long, ts timestamp")
+        for at in range(0, 120, 40 + 20 * k):
+            few.add(rows[at : at + 40 + 20 * k])
+        got = st.limit_all(few.stream(), 3, 600).collect()  # without a later event, most still wait when the stream ends
+        assert {r.event_id: r.admitted for r in got} == want and len(got) == 120
 
 
 def test_a_lease_runs_out_while_only_time_passes(spark, tmp_path):
