@@ -521,6 +521,22 @@ TYPED = [
 ]
 
 
+#: Short notices in people's own words.
+NOTICES = [
+    ("Distributed under the MIT License. See LICENSE for more information.", "MIT"), ("This code is licensed under the MIT license.", "MIT"), ("Licensed under MIT", "MIT"), ('{\n  "name": "foo",\n  "license": "MIT",\n  "main": "x.js"\n}', "MIT"),
+    ("// SPDX-License-Identifier: Apache-2.0 OR MIT\nfn main() {}", "MIT,Apache-2.0"), ("License: Apache 2.0", "Apache-2.0"), ("/* SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0 AND MIT) */", "MIT,GPL-2.0-or-later"),
+    ("GNU Foo is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nGNU Foo is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even", "GPL-3.0-or-later"),
+    ("This project is released under the terms of the BSD 3-Clause\nLicense.", "BSD-3-Clause"), ("foo, the best tool, is available under the Apache License 2.0.", "Apache-2.0"), ("Licence\n\nThe source code is licensed under the ISC licence, see LICENSE.md.", "ISC"),
+    ("This software is published under the GPLv3+", "GPL-3.0-or-later"), ("The data are licensed under CC BY-SA 4.0!", "CC-BY-SA-4.0"), ("This project is licensed under the MIT License - see the [LICENSE.md](LICENSE.md) file for details", "MIT"), ("This project is licensed under the MIT License - see the LICENSE file for details", "MIT"),
+    ("one two three four five six seven eight is licensed under the MIT License", ""), ("MIT is a school. Licensed to nobody under the sun", ""), ("SPDX-License-Identifier: Foo-1.0", ""), ("a license: none", ""),
+]
+
+
+def test_license_notices(spark):
+    got = rows(license_rules.scan(docs_of(spark, [t for t, _ in NOTICES])))
+    assert [got[i].licenses for i in range(len(NOTICES))] == [x for _, x in NOTICES]
+
+
 def test_license_texts_typed_by_hand(spark):
     got = rows(license_rules.scan(docs_of(spark, [t for t, _ in TYPED])))
     assert [got[i].licenses for i in range(len(TYPED))] == [x for _, x in TYPED]
@@ -529,7 +545,7 @@ def test_license_texts_typed_by_hand(spark):
 def test_license_sql_equals_query(spark, odd):
     import duckdb
 
-    texts = [*licences_over_lines(), *(t for t, _ in TYPED), *odd]
+    texts = [*licences_over_lines(), *(t for t, _ in TYPED), *(t for t, _ in NOTICES), *odd]
     got = rows(license_rules.scan(docs_of(spark, texts)))
     c = duckdb.connect()
     c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
