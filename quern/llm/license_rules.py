@@ -193,23 +193,26 @@ def whole() -> dict[str, str]:
 
 
 def signs(table: dict[str, str]) -> list[str]:
-    """A few words of which every known sentence has at least one: the word that most of the sentences left have, as long as there are any."""
-    left, out = {frozenset(k.split()) for k in table}, []
+    """A few long words of which every known sentence holds at least one: the word that most of the sentences left have, as long as there are any."""
+    left, out = set(table), []
     while left:
-        counts = Counter(w for k in left for w in k if len(w) > 2)
+        counts = Counter(w for k in left for w in set(k.split()) if len(w) >= min(7, max(map(len, k.split()))))
         out.append(max(counts, key=lambda w: (counts[w], w)))
         left = {k for k in left if out[-1] not in k}
     return out
 
 
-def normalised(text):
-    """Normalised text between two ENDs, with lines and sentences apart by one line end or END."""
-    out = F.replace(F.translate(F.lower(F.coalesce(text.cast("string"), F.lit(""))), END, " "), F.lit("licence"), F.lit("license"))
-    for word, pattern, to in (("license", COLON, "$1 "), ("identifier", COLON, "$1 "), ("v.", VERSION, "$1v $2"), ("gpl", LATER, "$1 or later")):
-        out = F.when(F.contains(out, F.lit(word)), F.regexp_replace(out, pattern, to)).otherwise(out)
-    out = F.regexp_replace(F.regexp_replace(out, ENDS, f"{END}\n"), OTHER.replace("\n", f"\n{END}"), " ")
-    out = F.regexp_replace(F.concat(F.lit(END), out, F.lit(END)), " *\n *", "\n")
-    return F.regexp_replace(F.regexp_replace(out, "\n\n+", END), f"[ \n]*{END}[ \n{END}]*", END)
+def normalised(df: DataFrame, text: str, to: str) -> DataFrame:
+    """Adds a column with the normalised text between ENDs: lines are apart by a line end, sentences by one or more ENDs, which may have line ends around them."""
+    df = df.withColumn(to, F.replace(F.translate(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), END, " "), F.lit("licence"), F.lit("license")))
+    for words, pattern, by in ((("license", "identifier"), COLON, "$1 "), (("v.",), VERSION, "$1v $2"), (("gpl",), LATER, "$1 or later")):
+        df = df.withColumn(to, F.when(functools.reduce(lambda a, b: a | b, [F.contains(to, F.lit(w)) for w in words]), F.regexp_replace(to, pattern, by)).otherwise(F.col(to)))
+    out = F.regexp_replace(F.regexp_replace(to, ENDS, f"{END}\n"), OTHER.replace("\n", f"\n{END}"), " ")
+    out = F.concat(F.lit(END), out, F.lit(END))
+    for a, b in ((" \n", "\n"), ("\n ", "\n"), (f" {END}", END), (f"{END} ", END), ("\n\n", f"\n{END}\n")):  # OTHER leaves single spaces only
+        out = F.replace(out, F.lit(a), F.lit(b))
+    df = df.withColumn(to, out)
+    return df.withColumn(to, F.when(F.contains(to, F.lit(" see")), F.regexp_replace(to, POINTER, "")).otherwise(F.col(to)))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,8 +228,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     most, length = max(len(k.split()) for k in table), max(map(len, table))
     codes = F.map_from_arrays(F.split(F.lit("|".join(table)), r"\|"), F.split(F.lit("|".join(table.values())), r"\|"))
 
-    lines = df.select(F.col(id_col), normalised(F.col(text_col)).alias("lines"))
-    lines = lines.withColumn("lines", F.when(F.contains("lines", F.lit(" see")), F.regexp_replace("lines", POINTER, "")).otherwise(F.col("lines")))
+    lines = normalised(df.select(id_col, F.col(text_col).alias("_text")), "_text", "lines")
     signed = functools.reduce(lambda a, b: a | b, [F.contains(F.col("lines"), F.lit(w)) for w in signs(table)])  # texts without any sign have no known sentence
     cut = lines.select(id_col, signed.alias("signed"), F.expr(f"filter(split(replace(lines, '{END}', '\n{END}\n'), '\n'), l -> l <> '')").alias("ls"))
     cut = cut.withColumn("n_sentences", F.expr(f"CAST(size(filter(ls, l -> l <> '{END}')) AS BIGINT)"))
