@@ -148,3 +148,20 @@ def test_bounds_leave_chunks_out(spark, tmp_path, monkeypatch):
     assert len(rank) == 400 and all(rank[r.chunk_id] == r.lexical_rank for r in some)
     lists = [sorted(tuple(r) for r in rt.lexical_topk(asked, s, english=False, cap=4, pool=10).collect()) for s in (index, chunks)]
     assert lists[0] == lists[1] and len(lists[0]) == 10
+
+
+def test_pairs_are_not_dealt_or_sorted(spark, chunks):
+    """Pairs of a question and a chunk that share a word are neither exchanged nor gathered; only the chunks' words are, before."""
+    asked = spark.createDataFrame(list(enumerate(QUESTIONS)), "query_id int, question string")
+    for found in (lx.match(asked, chunks), lx.density(asked, chunks)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"Exchange hash|ObjectHashAggregate|SortAggregate|\bSort\b", plan), plan
+
+
+@pytest.mark.parametrize("block,rows,places", [(3, 2, 5), (4096, 256, 1 << 20)])
+def test_blocks_of_questions(spark, texts, chunks, block, rows, places, monkeypatch):
+    for name, value in (("BLOCK", block), ("ROWS", rows), ("PLACES", places)):
+        monkeypatch.setattr(lx, name, value)
+    few = ["a b", '"a b" or c', "a -d"] * 2
+    got = {(r.query_id, r.chunk_id) for r in lx.match(spark.createDataFrame(list(enumerate(few)), "query_id int, question string"), chunks).collect()}
+    assert got == {(q, i) for q, question in enumerate(few) for i, t in enumerate(texts) if brute(question, t) is not None}
