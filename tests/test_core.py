@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -475,3 +476,21 @@ def test_readiness_of_cases_that_lack_categories_and_splits(spark):
     assert of([]) == ["INSUFFICIENT_CATEGORY:a", "INSUFFICIENT_CATEGORY:b", "INSUFFICIENT_SPLIT:dev:2", "INSUFFICIENT_SPLIT:out:1", "REQUIRES_3_REVIEWED_QUESTIONS"]
     assert of([("a", "dev"), ("a", "dev"), ("a", "dev")]) == ["EXCESS_SPLIT:dev:2", "INSUFFICIENT_CATEGORY:b", "INSUFFICIENT_SPLIT:out:1"]
     assert of([("a", "dev"), ("a", "dev"), ("b", "out")]) == []
+
+
+@pytest.mark.parametrize("cap,best,docs", [(2, 6, 5), (3, 4, 1), (9, 4, 5)])
+def test_capped_lists_from_few_pairs(spark, cap, best, docs):
+    """Only pairs that can stand in a capped list leave the tasks, and the list is that of all pairs."""
+    rng = np.random.default_rng(3)
+    chunks = spark.createDataFrame([(i, i % docs, rng.normal(size=6).tolist()) for i in range(900)], "chunk_id int, document_id int, embedding array<double>").coalesce(1)
+    asked = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(5)], "query_id int, query_embedding array<double>")
+    some, every = rt.similarities(asked, chunks, -1.0, best, cap), rt.similarities(asked, chunks, -1.0)
+    rows = lambda df: sorted(tuple(r) for r in rt.per_document_cap(df, cap=cap, pool=best).select("query_id", "chunk_id", "similarity", "position").collect())
+    assert rows(some) == rows(every) and some.count() <= 5 * 2 * best < every.count() == 4500
+
+
+def test_dense_lists_carry_no_texts(spark):
+    """The lists' pairs hold ids and scores; a chunk's text goes to no Python worker."""
+    chunks = spark.createDataFrame([(1, 1, [1.0, 0.0], "x" * 50)], "chunk_id int, document_id int, embedding array<double>, content string")
+    plan = rt.dense_lists(spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, query_embedding array<double>"), chunks)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "content" not in plan.split("MapInArrow")[0] and not re.search(r"MapInArrow[^\n]*content", plan)
