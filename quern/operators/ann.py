@@ -24,7 +24,9 @@ from quern.sources.files import written
 #: Vectors that cells and code centres are fitted on, at most; vectors of the sample for a cell at least; groups of dimensions; centres of a group; rounds of fitting.
 SAMPLE, PER_CELL, GROUPS, CENTRES, ROUNDS = 16_384, 16, 16, 256, 12
 #: Bytes of vectors for a task that writes; rows of short lists that are sent to all tasks; pairs that are scored at once.
-TASK_BYTES, SENT, PAIRS = 64 << 20, 1_000_000, 4_000_000
+TASK_BYTES, SENT, PAIRS = 64 << 20, 1_000_000, 1_000_000
+#: Questions whose tables of products are held at once.
+AT_ONCE = 512
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -134,21 +136,25 @@ def search(queries: DataFrame, path: str, k: int = 10, share: float = 0.7, short
         if not len(ids):
             continue
         asked = np.pad(asked, ((0, 0), (0, max(0, book.cells.shape[1] - asked.shape[1]))))[:, : book.cells.shape[1]]
-        asks, tables = asked_cells(book, asked, share), book.products(asked)
-        base = asked @ book.cells.T
+        asks = asked_cells(book, asked, share)
 
-        def by_code(batches: Iterator[pa.RecordBatch], ids: pa.Array = ids, asks: np.ndarray = asks, tables: list = tables, base: np.ndarray = base) -> Iterator[pa.RecordBatch]:
+        def by_code(batches: Iterator[pa.RecordBatch], ids: pa.Array = ids, asks: np.ndarray = asks, asked: np.ndarray = asked) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 cells = b.column("cell").to_numpy()
                 codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint8).reshape(len(cells), -1)
                 for c in np.unique(cells):
-                    mine, who = np.flatnonzero(cells == c), np.flatnonzero(asks[:, c])
-                    for i in range(0, len(mine) if len(who) else 0, step := max(1, PAIRS // len(who))):
-                        some = mine[i : i + step]
-                        s = base[who, c][:, None] + sum(t[who][:, codes[some, g]] for g, t in enumerate(tables))
-                        least = np.partition(s, -limit, axis=1)[:, -limit][:, None] if s.shape[1] > limit else -np.inf
-                        q, at = np.nonzero(s >= least)
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(who[q])), b.column("chunk_id").take(pa.array(some[at])), pa.array(np.full(len(q), c, np.int32)), pa.array(s[q, at])], [f.name for f in kept])
+                    mine, all_who = np.flatnonzero(cells == c), np.flatnonzero(asks[:, c])
+                    for j in range(0, len(all_who), AT_ONCE):  # tables of products are made for few questions at a time
+                        who = all_who[j : j + AT_ONCE]
+                        tables, base = book.products(asked[who]), asked[who] @ book.cells[c]
+                        for i in range(0, len(mine), step := max(1, PAIRS // len(who))):
+                            some = mine[i : i + step]
+                            s = np.repeat(base[:, None], len(some), axis=1)
+                            for g, t in enumerate(tables):
+                                s += t[:, codes[some, g]]
+                            least = np.partition(s, -limit, axis=1)[:, -limit][:, None] if s.shape[1] > limit else -np.inf
+                            q, at = np.nonzero(s >= least)
+                            yield pa.RecordBatch.from_arrays([ids.take(pa.array(who[q])), b.column("chunk_id").take(pa.array(some[at])), pa.array(np.full(len(q), c, np.int32)), pa.array(s[q, at])], [f.name for f in kept])
 
         folders = np.flatnonzero(asks.any(axis=0)).tolist()
         lists.append(index.filter(F.col("cell").isin(folders)).select("cell", "chunk_id", "codes").mapInArrow(by_code, kept))
