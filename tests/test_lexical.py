@@ -165,3 +165,19 @@ def test_blocks_of_questions(spark, texts, chunks, block, rows, places, monkeypa
     few = ["a b", '"a b" or c', "a -d"] * 2
     got = {(r.query_id, r.chunk_id) for r in lx.match(spark.createDataFrame(list(enumerate(few)), "query_id int, question string"), chunks).collect()}
     assert got == {(q, i) for q, question in enumerate(few) for i, t in enumerate(texts) if brute(question, t) is not None}
+
+
+def test_sql_states_the_syntax(texts):
+    """The SQL of cover density has parts, phrases and excluded words as the query has."""
+    import duckdb
+
+    from quern.plans.retrieval import _cover
+
+    c, asked = duckdb.connect(), [*QUESTIONS, "a c or a b c", '"a b c" or b c', "a or or or b"]
+    c.execute("CREATE TABLE qs(query_id INT, question VARCHAR)")
+    c.executemany("INSERT INTO qs VALUES (?, ?)", list(enumerate(asked)))
+    c.execute("CREATE TABLE ps(chunk_id INT, document_id INT, content VARCHAR)")
+    c.executemany("INSERT INTO ps VALUES (?, ?, ?)", [(i, i % 7, t) for i, t in enumerate(texts)])
+    got = {r[:2]: r[2] for r in c.execute("WITH " + _cover("qs", "ps", "query_id") + " SELECT query_id, chunk_id, lexical_rank FROM lexr").fetchall()}
+    want = {(q, i): r for q, question in enumerate(asked) for i, t in enumerate(texts) if (r := brute(question, t)) is not None}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
