@@ -494,3 +494,13 @@ def test_dense_lists_carry_no_texts(spark):
     chunks = spark.createDataFrame([(1, 1, [1.0, 0.0], "x" * 50)], "chunk_id int, document_id int, embedding array<double>, content string")
     plan = rt.dense_lists(spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, query_embedding array<double>"), chunks)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "content" not in plan.split("MapInArrow")[0] and not re.search(r"MapInArrow[^\n]*content", plan)
+
+
+def test_sql_of_questions_in_capitals(spark):
+    """A sharp s in capitals is two letters, in the query and in its SQL."""
+    from quern.plans.metrics import ASKED
+
+    c = duckdb.connect()
+    c.execute("CREATE TABLE kb_messages AS SELECT 10 AS thread_id, 1 AS turn, 'Großer Spaß' AS text")
+    want = spark.createDataFrame([("Großer Spaß",)], "text string").select(F.upper("text")).first()[0]
+    assert want in [r[0] for r in c.execute(f"WITH {ASKED} SELECT text FROM qs").fetchall()]
