@@ -496,6 +496,18 @@ def test_dense_lists_carry_no_texts(spark):
     assert "MapInArrow" in plan and "content" not in plan.split("MapInArrow")[0] and not re.search(r"MapInArrow[^\n]*content", plan)
 
 
+def test_sql_of_spans_leaves_no_tie(spark):
+    """A span that stands twice changes nothing, in whatever order the copies come."""
+    from quern.plans.metrics import MERGE
+
+    assert "SELECT DISTINCT l_orderkey" in MERGE
+    c = duckdb.connect()
+    c.execute("CREATE TABLE lineitem AS SELECT i % 900 AS l_orderkey, i * 7 % 40 AS l_partkey, 3 + i % 2 AS l_quantity FROM range(40000) t(i)")
+    got = sorted(c.execute(f'WITH {MERGE} SELECT key, "start", "end" FROM u').fetchall())
+    rows = spark.createDataFrame(c.execute("SELECT l_orderkey, l_partkey % 200, l_partkey % 200 + l_quantity FROM lineitem").fetchall(), "key long, start long, end long")
+    assert got == sorted(tuple(r) for r in ro.merge_spans(rows, ["key"]).select("key", "start", "end").collect())
+
+
 def test_sql_of_questions_in_capitals(spark):
     """A sharp s in capitals is two letters, in the query and in its SQL."""
     from quern.plans.metrics import ASKED
