@@ -198,8 +198,9 @@ PACK = RANKED + """,
 
 
 def _ranked(spark, d):
-    c = v.kb_passages(spark, d)
-    return ranked_passages(spark, d).drop("document_id").join(c.select("chunk_id", "document_id", "page", "chunk_index", "filename", "content"), "chunk_id").withColumn("snippet", F.substring("content", 1, cx.SNIPPET))
+    """The ranked passages, from a written table, with where they stand and their snippets; of texts only these are dealt."""
+    c = v.kb_passages(spark, d).withColumn("snippet", F.substring("content", 1, cx.SNIPPET))
+    return rt.with_chunks(files.written(ranked_passages(spark, d).drop("document_id")), c.select("chunk_id", "document_id", "page", "chunk_index", "filename", "snippet"))
 
 
 @query("ev_02_comparison_coverage", PACK + r""",
@@ -357,8 +358,8 @@ def conflict_answers(spark, d):
 
 @query("ev_17_build_context")
 def packed(spark, d):
-    r = _ranked(spark, d).select("query_id", "chunk_id", "document_id", "page", "chunk_index", "content", F.col("rerank_score").alias("score"), F.col("final_position").alias("position"))
-    return cx.build_context(r)
+    r = _ranked(spark, d).select("query_id", "chunk_id", "document_id", "page", "chunk_index", F.col("rerank_score").alias("score"), F.col("final_position").alias("position"))
+    return cx.build_context(r, contents=v.kb_passages(spark, d))
 
 
 @query("ev_18_dedupe_by_page", PACK + ";; SELECT query_id, document_id, page, arg_min(chunk_id, final_position) AS chunk_id FROM pk GROUP BY 1, 2, 3")

@@ -516,3 +516,21 @@ def test_sql_of_questions_in_capitals(spark):
     c.execute("CREATE TABLE kb_messages AS SELECT 10 AS thread_id, 1 AS turn, 'Großer Spaß' AS text")
     want = spark.createDataFrame([("Großer Spaß",)], "text string").select(F.upper("text")).first()[0]
     assert want in [r[0] for r in c.execute(f"WITH {ASKED} SELECT text FROM qs").fetchall()]
+
+
+def test_texts_that_no_row_names_are_not_dealt(spark):
+    chunks = spark.range(2000).selectExpr("id AS chunk_id", "id AS document_id", "repeat('w ', 200) AS content").repartition(3)
+    rows = files.written(spark.createDataFrame([(1, 5), (1, 7), (2, 5)], "query_id long, chunk_id long"))
+    df = rt.with_chunks(rows, chunks)
+    assert sorted((r.query_id, r.chunk_id, r.document_id) for r in df.collect()) == [(1, 5, 5), (1, 7, 7), (2, 5, 5)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "broadcast" in plan
+
+
+def test_context_with_texts_joined_late(spark):
+    texts = [f"passage {i} " + " ".join(f"w{(i * 7 + k * (1 + i % 5)) % 90}" for k in range(60)) for i in range(12)]
+    rows = [(q, i, i % 4, 1, i, texts[i], 0.2 + 0.06 * ((i * 5 + q) % 11), p + 1) for q in (1, 2, 3) for p, i in enumerate(range(q, 12))]
+    ranked = spark.createDataFrame(rows, "query_id long, chunk_id long, document_id long, page long, chunk_index long, content string, score double, position int")
+    contents = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string")
+    got = [sorted(map(str, df.collect())) for df in (cx.build_context(ranked), cx.build_context(files.written(ranked.drop("content")), contents=contents))]
+    assert got[0] == got[1] and len(got[0]) > 10
