@@ -366,8 +366,9 @@ def difference(spark, d):
 @query("set_03_shared_terms", """w AS (SELECT DISTINCT lang, unnest(string_split(lower(text), ' ')) AS t FROM kb_documents)
 ;; SELECT t AS term FROM w WHERE lang = 'en' INTERSECT SELECT t FROM w WHERE lang = 'de'""")
 def shared(spark, d):
-    w = v.kb_documents(spark, d).select("lang", F.explode(F.split(F.lower("text"), " ")).alias("term"))
-    return w.filter("lang = 'en'").select("term").intersect(w.filter("lang = 'de'").select("term"))
+    """Texts are read once, and each task brings a term once, however often it has it."""
+    w = v.kb_documents(spark, d).filter("lang IN ('en', 'de')").select("lang", F.explode(F.split(F.lower("text"), " ")).alias("term"))
+    return w.groupBy("term").agg(F.min("lang").alias("a"), F.max("lang").alias("b")).filter("a < b").select("term")
 
 
 @query("set_04_distinct_ids", "SELECT DISTINCT owner, document_id FROM kb_jobs")

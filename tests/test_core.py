@@ -534,3 +534,9 @@ def test_context_with_texts_joined_late(spark):
     contents = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string")
     got = [sorted(map(str, df.collect())) for df in (cx.build_context(ranked), cx.build_context(files.written(ranked.drop("content")), contents=contents))]
     assert got[0] == got[1] and len(got[0]) > 10
+
+
+def test_shared_terms_read_texts_once(spark):
+    df = QUERIES["set_03_shared_terms"](spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation") == 1
