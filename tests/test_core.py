@@ -540,3 +540,13 @@ def test_shared_terms_read_texts_once(spark):
     df = QUERIES["set_03_shared_terms"](spark, SF)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("Relation") == 1
+
+
+def test_text_overlap_equals_brute_force(spark):
+    rng = random.Random(3)
+    some = ["", "a" * 15, "a" * 16, "a" * 700, "ab" * 400, None] + ["".join(rng.choice("ab") for _ in range(rng.choice((20, 90, 900)))) for _ in range(20)]
+    pairs = [(a, b) for a in some for b in some] + [(a, a[-n:] + b) for a in some[6:] for b in some[6:9] for n in (15, 16, 17, 600, 601)]
+    want = [max((n for n in range(16, min(len(a), len(b), 600) + 1) if a[-n:] == b[:n]), default=0) if a and b else 0 for a, b in pairs]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").select("i", tx.text_overlap("a", "b").alias("n"))
+    assert [r.n for r in df.orderBy("i").collect()] == want
+    assert "sequence(" not in df._jdf.queryExecution().optimizedPlan().toString()  # no list of all lengths
