@@ -550,3 +550,10 @@ def test_text_overlap_equals_brute_force(spark):
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").select("i", tx.text_overlap("a", "b").alias("n"))
     assert [r.n for r in df.orderBy("i").collect()] == want
     assert "sequence(" not in df._jdf.queryExecution().optimizedPlan().toString()  # no list of all lengths
+
+
+def test_overlap_score_counts_repeats(spark):
+    rows = [("alpha beta alpha gamma", "alpha gamma delta"), ("of the", "alpha"), ("alpha", ""), (None, "alpha"), ("alpha", None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, q string, c string").select("i", tx.overlap_score("q", "c").alias("s"))
+    assert [r.s for r in df.orderBy("i").collect()] == [0.75, 0.0, 0.0, None, 0.0]
+    assert "array_intersect" in df._jdf.queryExecution().optimizedPlan().toString()  # not each word against each
