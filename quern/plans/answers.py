@@ -238,8 +238,10 @@ SHINGLES = rf"""sh0 AS (SELECT chunk_id, string_split(trim(regexp_replace(lower(
 @query("ev_05_shingles_jaccard", SHINGLES + """
 ;; SELECT a.chunk_id AS a, len(a.s) AS n, round(len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS jaccard FROM sh a JOIN sh b ON b.chunk_id = a.chunk_id + 1""")
 def shingles(spark, d):
-    s = v.kb_chunks(spark, d).select(F.col("chunk_id").alias("a"), tx.shingles3("content").alias("sa"))
-    return s.join(s.select((F.col("a") - 1).alias("a"), F.col("sa").alias("sb")), "a").select("a", F.size("sa").alias("n"), F.round(tx.jaccard(F.col("sa"), F.col("sb")), 6).alias("jaccard"))
+    """Each chunk against the next of its document; texts are dealt, their shingles, which take several times the room, are not."""
+    c = v.kb_chunks(spark, d).select(F.col("chunk_id").alias("a"), "content")
+    pairs = c.join(c.select((F.col("a") - 1).alias("a"), F.col("content").alias("next")), "a")
+    return pairs.select("a", tx.shingles3("content").alias("sa"), tx.shingles3("next").alias("sb")).select("a", F.size("sa").alias("n"), F.round(tx.jaccard(F.col("sa"), F.col("sb")), 6).alias("jaccard"))
 
 
 @query("ev_06_dynamic_threshold", """s AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN NULL ELSE least(greatest(latency_ms / 100, 0), 1) END AS s FROM kb_events)

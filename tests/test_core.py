@@ -557,3 +557,8 @@ def test_overlap_score_counts_repeats(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, q string, c string").select("i", tx.overlap_score("q", "c").alias("s"))
     assert [r.s for r in df.orderBy("i").collect()] == [0.75, 0.0, 0.0, None, 0.0]
     assert "array_intersect" in df._jdf.queryExecution().optimizedPlan().toString()  # not each word against each
+
+
+def test_shingles_are_not_dealt(spark):
+    plan = QUERIES["ev_05_shingles_jaccard"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct" not in plan[plan.index("Join") :]  # shingles are made above the join
