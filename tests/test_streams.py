@@ -163,3 +163,15 @@ def test_published_view_and_its_state(spark, tmp_path, jobs_first):
     assert {k: last[k] for k in (1, 2, 3, 4)} == {1: True, 2: True, 3: False, 4: False}
     held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     assert max(held) >= 4 and held[-1] <= 2  # of five documents of the first hours and the late ones, only the last is held
+
+
+def test_many_keys_share_a_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(st, "BUCKETS", 3)
+    rows = [(i, None if i % 11 == 0 else i % 9, 1_700_000_000_000_000 + i * i % 977 * 20_000_000) for i in range(300)]
+    spark.createDataFrame(rows, "event_id long, user_id long, us long").selectExpr("event_id", "user_id", "timestamp_micros(us) AS ts").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: r.admitted for r in st.limit_all(st.source(spark, str(tmp_path), "events"), 3, 600).collect()}
+    want = {}
+    for user in {u for _, u, _ in rows}:
+        mine = sorted((us, e) for e, u, us in rows if u == user)
+        want |= dict(zip((e for _, e in mine), st.admit([us for us, _ in mine], [], 3, 600_000_000)[0]))
+    assert got == want and 0 < sum(got.values()) < 300
