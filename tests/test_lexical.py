@@ -181,3 +181,50 @@ def test_sql_states_the_syntax(texts):
     got = {r[:2]: r[2] for r in c.execute("WITH " + _cover("qs", "ps", "query_id") + " SELECT query_id, chunk_id, lexical_rank FROM lexr").fetchall()}
     want = {(q, i): r for q, question in enumerate(asked) for i, t in enumerate(texts) if (r := brute(question, t)) is not None}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_no_places_are_written_or_dealt(spark, chunks, monkeypatch):
+    """Texts are cut where they are held against the questions: no table of places is written, and only few rows of a question leave a task."""
+    tables, write = [], lx.written
+    monkeypatch.setattr(lx, "written", lambda df: tables.append(df.columns) or write(df))
+    asked = spark.createDataFrame([(1, "a b"), (2, "c")], "query_id int, question string")
+    for found in (lx.match(asked, chunks), lx.density(asked, chunks), lx.best_density(asked, chunks, 3, 2)):
+        assert "ObjectHashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert tables and not any("places" in t for t in tables)
+    assert lx.best_density(asked, chunks, 3, 2).count() <= 2 * 3 * chunks.rdd.getNumPartitions() < lx.density(asked, chunks).count()
+
+
+@pytest.mark.parametrize("rows,places,text_bytes", [(2, 5, 7), (70, 100, 200), (256, 1 << 20, 8 << 20)])
+def test_ranks_do_not_depend_on_slices(spark, texts, chunks, rows, places, text_bytes, monkeypatch):
+    for name, value in (("ROWS", rows), ("PLACES", places), ("TEXT_BYTES", text_bytes)):
+        monkeypatch.setattr(lx, name, value)
+    asked = ["a b", "a or b", '"a b c" or b c', "a b c d", '"b a" -e', "b"]
+    got = {(r.query_id, r.chunk_id): r.lexical_rank for r in lx.density(spark.createDataFrame(list(enumerate(asked)), "query_id int, question string"), chunks).collect()}
+    want = {(q, i): r for q, question in enumerate(asked) for i, t in enumerate(texts) if (r := brute(question, t)) is not None}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+@pytest.mark.parametrize("from_index", [False, True])
+def test_equal_ranks_go_by_chunk(spark, tmp_path, monkeypatch, from_index):
+    """A task that cuts its lists early keeps the smallest of equal chunks, and rows beyond the cap only of a question with one document."""
+    monkeypatch.setattr(lx, "ROWS", 3)
+    monkeypatch.setattr(lx, "PLACES", 8)
+    rows = [(i, i % 3, "fox " * (1 + i % 2) + ("owl" if i % 3 == 1 else "")) for i in range(60, 0, -1)]
+    chunks = spark.createDataFrame(rows, "chunk_id int, document_id int, content string").coalesce(1)
+    asked = spark.createDataFrame([(1, "fox"), (2, "owl fox")], "query_id int, question string")
+    source = lx.write_index(chunks, str(tmp_path / "i")) if from_index else chunks
+    got = [(r.query_id, r.chunk_id) for r in rt.lexical_topk(asked, source, english=False, cap=2, pool=5).orderBy("query_id", "position").collect()]
+    assert got == [(1, 1), (1, 3), (1, 5), (1, 7), (1, 9), *((2, i) for i in (1, 4, 7, 10, 13))]
+
+
+def test_halves_are_rounded_as_decimals():
+    import numpy as np
+
+    assert lx._rounded(np.array([0.0015625, 0.1 / 7, 0.3, 1e-7, 12.0000005])).tolist() == [0.001563, 0.014286, 0.3, 0.0, 12.000001]
+
+
+def test_many_chunks_of_one_task_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(lx, "TASK_ROWS", 10)
+    chunks = spark.range(0, 100, numPartitions=1).selectExpr("id AS chunk_id", "id % 7 AS document_id", "concat('fox ', id % 3) AS content")
+    found = lx.match(spark.createDataFrame([(1, "fox 2")], "query_id int, question string"), chunks)
+    assert sorted(r.chunk_id for r in found.collect()) == list(range(2, 100, 3)) and found.select(F.spark_partition_id()).distinct().count() > 1
