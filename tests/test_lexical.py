@@ -228,3 +228,18 @@ def test_many_chunks_of_one_task_are_dealt(spark, monkeypatch):
     chunks = spark.range(0, 100, numPartitions=1).selectExpr("id AS chunk_id", "id % 7 AS document_id", "concat('fox ', id % 3) AS content")
     found = lx.match(spark.createDataFrame([(1, "fox 2")], "query_id int, question string"), chunks)
     assert sorted(r.chunk_id for r in found.collect()) == list(range(2, 100, 3)) and found.select(F.spark_partition_id()).distinct().count() > 1
+
+
+@pytest.mark.parametrize("named,sent", [(1000, 200_000), (0, 200_000), (0, 0)])
+def test_index_holds_a_row_for_a_word_and_a_block(spark, texts, chunks, index, named, sent, monkeypatch):
+    """A word of many chunks has few rows, and words that aren't asked for are left before rows are dealt."""
+    monkeypatch.setattr(lx, "NAMED", named)
+    monkeypatch.setattr(lx, "SENT", sent)
+    assert index.filter("term = 'a'").count() == index.select("block").distinct().count() <= 3
+    asked = spark.createDataFrame([(1, "a b")], "query_id int, question string")
+    terms = lx._asked_of(index, spark.createDataFrame([("a",), ("b",)], "term string")).select("term").distinct().collect()
+    assert {r.term for r in terms} == {"a", "b"}
+    few = chunks.filter("chunk_id % 3 = 0")
+    for within in (None, few):
+        got = {(r.chunk_id, r.document_id) for r in lx.density(asked, index, within=within).collect()}
+        assert got == {(i, i % 7) for i, t in enumerate(texts) if brute("a b", t) is not None and (within is None or i % 3 == 0)}
